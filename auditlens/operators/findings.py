@@ -14,7 +14,7 @@ FINDING_COLS = ["finding_ord", "repo_id", "rule_id", "title", "file_path", "star
 
 
 def to_findings(df: DataFrame, run_ts=None, prefix: str = dims.RULE_PREFIX,
-                path_col: str = "file_path") -> DataFrame:
+                path_col: str = "file_path", extra=()) -> DataFrame:
     """Scored rows → finding rows.
 
     Needs ``vuln_type`` and ``confidence``; ``analysis``/``scratchpad``/``poc``
@@ -31,7 +31,7 @@ def to_findings(df: DataFrame, run_ts=None, prefix: str = dims.RULE_PREFIX,
     base = df.join(rule, F.col("vuln_type") == F.col("_vt"), "left")
     name = F.substring_index(F.col(path_col), "/", -1)
     return base.select(
-        *[c for c in ("finding_ord", "repo_id") if c in cols],
+        *[c for c in ("finding_ord", "repo_id", *extra) if c in cols],
         F.concat(F.lit(prefix + "/"), F.col("vuln_type")).alias("rule_id"),
         F.concat(F.col("vuln_type"), F.lit(" vulnerability in "), name).alias("title"),
         F.col(path_col).alias("file_path"),

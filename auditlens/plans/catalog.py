@@ -186,6 +186,9 @@ def q_sink_rule_scores(spark, sf):
     return sink_rule_scores(fixture(spark, sf, "fx_files"))
 
 
+from auditlens.plans import catalog_findings, catalog_ledger  # noqa: E402,F401  (register more queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in QUERIES.items()}
 

@@ -72,3 +72,24 @@ def pricing_values() -> str:
     rows = ", ".join(f"({i}, {q(m)}, {int(round(a * 1e6))}, {int(round(b * 1e6))})"
                      for i, (m, a, b) in enumerate(dims.PRICING))
     return f"(VALUES {rows}) AS pr(ord, model, in_nano, out_nano)"
+
+
+def pricing_ctes(calls: str = "fx_calls") -> str:
+    """CTEs ``c`` (calls + key) and ``p`` (key, in_nano, out_nano, match)."""
+    price = {m: (int(round(a * 1e6)), int(round(b * 1e6))) for m, a, b in dims.PRICING}
+    fb_in = " ".join(f"WHEN contains(lower(k.key), {q(s)}) THEN {price[e][0]}" for s, e in dims.PRICE_FALLBACKS)
+    fb_out = " ".join(f"WHEN contains(lower(k.key), {q(s)}) THEN {price[e][1]}" for s, e in dims.PRICE_FALLBACKS)
+    fb_m = " ".join(f"WHEN contains(lower(k.key), {q(s)}) THEN 'provider'" for s, e in dims.PRICE_FALLBACKS)
+    d_in, d_out = int(round(dims.DEFAULT_PRICE[0] * 1e6)), int(round(dims.DEFAULT_PRICE[1] * 1e6))
+    tier = "(CASE WHEN k.key = pr.model THEN 0 ELSE 1 END)"
+    return f"""c AS (SELECT *, regexp_replace(model, '^[^/]*/', '') AS key FROM {calls}),
+k AS (SELECT DISTINCT key FROM c),
+m AS (SELECT k.key, arg_min(in_nano, {tier} * 1000 + ord) AS i, arg_min(out_nano, {tier} * 1000 + ord) AS o,
+             arg_min({tier}, {tier} * 1000 + ord) AS tier
+      FROM k JOIN {pricing_values()} ON k.key = pr.model OR contains(lower(pr.model), lower(k.key)) OR contains(lower(k.key), lower(pr.model))
+      GROUP BY k.key),
+p AS (SELECT k.key, CAST(coalesce(m.i, CASE {fb_in} ELSE {d_in} END) AS BIGINT) AS in_nano,
+             CAST(coalesce(m.o, CASE {fb_out} ELSE {d_out} END) AS BIGINT) AS out_nano,
+             CASE WHEN m.tier = 0 THEN 'exact' WHEN m.tier = 1 THEN 'partial' ELSE CASE {fb_m} ELSE 'default' END END AS match
+      FROM k LEFT JOIN m USING (key)),
+cc AS (SELECT c.*, p.in_nano, p.out_nano, c.input_tokens * p.in_nano + c.output_tokens * p.out_nano AS cost_nano FROM c JOIN p USING (key))"""

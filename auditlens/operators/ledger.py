@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
+from auditlens.functions.plan import broadcast_if_small
 from auditlens.functions.text import nano_round4, nano_to_usd
 
 MAX_MODELS = 100_000  # distinct model names are a dimension; bound before broadcast
@@ -67,8 +68,7 @@ def resolve_pricing(models: DataFrame, model_col: str = "key") -> DataFrame:
 
 def _bounded_broadcast(df: DataFrame, limit: int = MAX_MODELS) -> DataFrame:
     """Broadcast only when the row count is proven under ``limit``."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return broadcast_if_small(df, limit)
 
 
 def call_costs(calls: DataFrame, model_col: str = "model") -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlens.functions.plan import broadcast_if_small
 from auditlens.operators.responses import JS_WS
 
 CLASS_RE = r"^\s*class\s+([^\s:(]+)\s*[:(]"
@@ -104,8 +105,7 @@ def resolve_definition(requests: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def _bounded(df: DataFrame, limit: int = MAX_BROADCAST_REQUESTS) -> DataFrame:
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return broadcast_if_small(df, limit)
 
 
 def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_BEFORE, after: int = REF_AFTER) -> DataFrame:

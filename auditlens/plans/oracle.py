@@ -93,3 +93,26 @@ p AS (SELECT k.key, CAST(coalesce(m.i, CASE {fb_in} ELSE {d_in} END) AS BIGINT)
              CASE WHEN m.tier = 0 THEN 'exact' WHEN m.tier = 1 THEN 'partial' ELSE CASE {fb_m} ELSE 'default' END END AS match
       FROM k LEFT JOIN m USING (key)),
 cc AS (SELECT c.*, p.in_nano, p.out_nano, c.input_tokens * p.in_nano + c.output_tokens * p.out_nano AS cost_nano FROM c JOIN p USING (key))"""
+
+
+def tag_sql(name: str, body: str) -> str:
+    return f"'<{name}>' || {body} || '</{name}>'"
+
+
+def file_code_sql(path: str = "path", content: str = "content") -> str:
+    return f"'<file_code><file_path>' || {path} || '</file_path>' || chr(10) || '<file_source>' || {content} || '</file_source></file_code>'"
+
+
+def prompt_values() -> str:
+    rows = ", ".join(f"({q(t)}, {q(txt)}, {q(chr(10).join(b))}, {i})" for i, (t, txt, b) in enumerate(dims.PROMPT_TYPES))
+    return f"(VALUES {rows}) AS pd(vuln_type, template, bypass_text, type_ord)"
+
+
+def nl_join(*parts: str) -> str:
+    """Blank-line join of SQL string expressions (text may hold chr(10))."""
+    return " || chr(10) || chr(10) || ".join(parts)
+
+
+def lit_nl(s: str) -> str:
+    """SQL literal for text that may contain newlines (no backslashes)."""
+    return " || chr(10) || ".join(q(x) for x in s.split("\n"))

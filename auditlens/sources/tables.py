@@ -9,6 +9,7 @@ projection.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,10 +118,29 @@ FX_BASE = {
 }
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build one fx_* projection over the parquet tables of ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool = True) -> DataFrame:
+    """One fx_* projection over the parquet tables of ``sf_dir``.
+
+    By default the projection is written once as a parquet table in the
+    session's shared checkpoint folder and read from there afterwards, so it
+    behaves like any input table (scan, pruning, pushdown) instead of being
+    re-derived (with its window shuffles) by every query that uses it.
+    """
     register_tables(spark, sf_dir, FX_BASE[name])
-    return spark.sql(FX_SQL[name])
+    df = spark.sql(FX_SQL[name])
+    if not materialize:
+        return df
+    from pyspark.errors import AnalysisException
+
+    from auditlens.session import checkpoint_dir
+
+    tag = hashlib.sha1((os.path.abspath(sf_dir) + FX_SQL[name]).encode()).hexdigest()[:12]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{tag}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
 
 def with_fixtures(*names: str) -> str:

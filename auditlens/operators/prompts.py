@@ -46,7 +46,8 @@ def build_secondary_prompts(pairs: DataFrame, files: DataFrame, contexts: DataFr
                             response_format: str = dims.RESPONSE_FORMAT) -> DataFrame:
     """One prompt per (file, vuln_type) pair.
 
-    ``pairs``: repo_id, path, vuln_type, previous (JSON text of the last reply).
+    ``pairs``: repo_id, path, vuln_type, previous (JSON text of the last reply)
+    and optionally ``ctx`` - the pair's own ordered definitions.
     ``contexts``: repo_id, path, ord, name, requested, file_path, source -
     the definitions gathered so far, in order.  Type template and example
     inputs come from the prompt table (broadcast); a type it lacks yields an
@@ -55,7 +56,9 @@ def build_secondary_prompts(pairs: DataFrame, files: DataFrame, contexts: DataFr
     spark = pairs.sparkSession
     pd_ = F.broadcast(dims.prompt_dim(spark))
     base = pairs.join(files.select("repo_id", "path", "content"), ["repo_id", "path"])
-    if contexts is not None:
+    if "ctx" in pairs.columns:  # per-pair context already gathered (refinement rounds)
+        base = base.withColumn("_defs", F.array_sort(F.col("ctx"))).drop("ctx")
+    elif contexts is not None:
         ctx = (contexts.groupBy("repo_id", "path")
                .agg(F.array_sort(F.collect_list(F.struct("ord", "name", "requested", "file_path", "source"))).alias("_defs")))
         base = base.join(ctx, ["repo_id", "path"], "left")

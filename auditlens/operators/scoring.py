@@ -48,3 +48,96 @@ def convergence_stop(trace: DataFrame, max_iterations: int = 7, keys=("file_path
                      .otherwise(F.lit("trace_end")))
     return out.select(*keys, stop.cast("bigint").alias("stop_round"), why.alias("reason"),
                       (stop - 1).cast("bigint").alias("last_round"))
+
+
+# ---------------------------------------------------------------------------
+# Batch scoring hook
+# ---------------------------------------------------------------------------
+
+SCORED_FIELDS = "raw string, input_tokens bigint, output_tokens bigint, error string"
+
+
+def _ceil4(n: int) -> int:
+    return -(-n // 4)
+
+
+def score_prompts(prompts: DataFrame, scorer, keys=("repo_id", "path"), prompt_col: str = "prompt",
+                  batch: int = 64) -> DataFrame:
+    """Apply a user-supplied batch scorer to a prompt table.
+
+    ``scorer(pandas.Series[str]) -> pandas.Series[str]`` receives up to
+    ``batch`` prompts at a time inside ``mapInPandas`` (Arrow batches, one
+    Python worker per task; Spark partitions the table, so any number of
+    executors score in parallel).  Token counts are ceil(chars / 4).  A
+    failing batch is retried row by row; a row that still fails yields an
+    ``error`` value instead of failing the job.
+    """
+    import pandas as pd
+
+    keys = list(keys)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.select(*keys).schema.fields) + ", " + SCORED_FIELDS
+
+    def run(it):
+        for pdf in it:
+            for start in range(0, len(pdf), batch):
+                part = pdf.iloc[start:start + batch]
+                texts = part[prompt_col].fillna("")
+                try:
+                    raw = pd.Series(list(scorer(texts.reset_index(drop=True))), dtype=object)
+                    err = pd.Series([None] * len(part), dtype=object)
+                except Exception:  # noqa: BLE001 - isolate the failing rows
+                    vals, errs = [], []
+                    for t in texts:
+                        try:
+                            vals.append(list(scorer(pd.Series([t])))[0])
+                            errs.append(None)
+                        except Exception as e:  # noqa: BLE001
+                            vals.append(None)
+                            errs.append(f"{type(e).__name__}: {e}")
+                    raw, err = pd.Series(vals, dtype=object), pd.Series(errs, dtype=object)
+                out = part[keys].reset_index(drop=True).copy()
+                out["raw"] = raw
+                out["input_tokens"] = [_ceil4(len(t)) for t in texts]
+                out["output_tokens"] = [_ceil4(len(r)) if isinstance(r, str) else 0 for r in raw]
+                out["error"] = err
+                yield out
+
+    return prompts.select(*keys, prompt_col).mapInPandas(run, schema)
+
+
+def digest_scorer(texts):
+    """Deterministic stand-in scorer (tests, benchmarks): a JSON reply whose
+    fields are plain functions of the prompt text."""
+    import hashlib
+    import json
+
+    out = []
+    for t in texts:
+        h = hashlib.sha256(t.encode("utf-8")).hexdigest()[:8]
+        types = ["SQLI"] if "execute(" in t else []
+        out.append(json.dumps({"scratchpad": "", "analysis": f"sha:{h}", "poc": None,
+                               "confidence_score": len(t) % 11, "vulnerability_types": types, "context_code": []}))
+    return out
+
+
+def context_scorer(texts):
+    """Deterministic stand-in for refinement: flags LFI/RCE/SQLI by sink names
+    in the file source and asks for the definitions of the functions the file
+    calls but does not define.  Its requests repeat, so rounds converge."""
+    import json
+    import re
+
+    out = []
+    for t in texts:
+        m = re.search(r"<file_source>(.*?)</file_source>", t, re.S)
+        src = m.group(1) if m else t
+        called = set(re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\(", src))
+        defined = set(re.findall(r"(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)", src))
+        names = sorted(called - defined)[:3]
+        types = [v for v, k in (("LFI", "open("), ("RCE", "eval("), ("SQLI", "execute(")) if k in src]
+        have_ctx = "<context_code><code>" in t
+        conf = 7 + (1 if have_ctx else 0)
+        out.append(json.dumps({"scratchpad": "1. traced", "analysis": f"{len(names)} external calls", "poc": None,
+                               "confidence_score": conf, "vulnerability_types": types,
+                               "context_code": [{"name": n, "reason": "called", "code_line": f"{n}("} for n in names]}))
+    return out

@@ -74,6 +74,9 @@ def score_prompts(prompts: DataFrame, scorer, keys=("repo_id", "path"), prompt_c
     """
     import pandas as pd
 
+    from auditlens.session import ship_package
+
+    ship_package(prompts.sparkSession)
     keys = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.select(*keys).schema.fields) + ", " + SCORED_FIELDS
 

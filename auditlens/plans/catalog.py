@@ -195,3 +195,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in QUERIES.items() if v[1]}
+
+
+@register("scan_source_tree", with_fixtures("fx_files") + """
+SELECT repo_id, path, CAST(length(content) AS BIGINT) AS n_chars, sha256(content) AS content_sha FROM fx_files WHERE ends_with(path, '.py')""")
+def q_scan_tree(spark, sf):
+    """The fx_files tree is written out as real files, then scanned back."""
+    import uuid
+
+    from auditlens.session import checkpoint_dir
+    from auditlens.sources.files import materialize_tree, scan_source_tree
+    root = f"{checkpoint_dir(spark).replace('file:', '').rstrip('/')}/trees/{uuid.uuid4().hex[:10]}"
+    materialize_tree(fixture(spark, sf, "fx_files"), root)
+    t = scan_source_tree(spark, root)
+    return t.select("repo_id", "path", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("content_sha"))

@@ -9,16 +9,94 @@ from auditlens.functions import dims
 from auditlens.functions.text import line_count
 
 
+def _hidden_by_spark(rel: str) -> bool:
+    """Spark's file listing skips names starting with '_' or '.' (and all
+    below such directories); e.g. ``__init__.py``."""
+    return any(c.startswith(("_", ".")) for c in rel.split("/"))
+
+
+def _list_repo_roots(spark: SparkSession, root: str, repo_depth: int) -> list[tuple[str, str]]:
+    """(repo_id, uri) for the directories ``repo_depth`` levels below root.
+    One entry per repository: a small, bounded list."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    level = [("", base)]
+    for _ in range(repo_depth):
+        nxt = []
+        for prefix, p in level:
+            for st in fs.listStatus(p):
+                if st.isDirectory():
+                    name = st.getPath().getName()
+                    nxt.append((f"{prefix}/{name}" if prefix else name, st.getPath()))
+        level = nxt
+    return [(rid, p.toUri().getPath()) for rid, p in level]
+
+
+def _hidden_files(spark: SparkSession, root: str, glob: str, repo_depth: int) -> DataFrame:
+    """Files Spark's listing hides, found and read by a distributed lister.
+
+    Repository roots become rows; each task lists its roots with
+    ``pyarrow.fs`` and keeps only the names Spark would skip; the found
+    paths are rebalanced across tasks before reading, so one giant
+    repository does not become one task.
+    """
+    import fnmatch
+
+    from auditlens.session import ship_package
+
+    ship_package(spark)
+    roots = _list_repo_roots(spark, root, repo_depth)
+    if not roots:
+        return spark.createDataFrame([], "repo_id string, path string, content string")
+    rdf = spark.createDataFrame(roots, "repo_id string, uri string")
+
+    def lister(it):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        for pdf in it:
+            rows = []
+            for rid, uri in zip(pdf["repo_id"], pdf["uri"]):
+                fsys, base = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+                for info in fsys.get_file_info(pafs.FileSelector(base, recursive=True)):
+                    if info.type != pafs.FileType.File:
+                        continue
+                    rel = info.path[len(base.rstrip("/")) + 1:]
+                    if _hidden_by_spark(rel) and fnmatch.fnmatch(info.base_name, glob):
+                        rows.append((rid, rel, uri.rstrip("/") + "/" + rel))
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "uri"])
+
+    def reader(it):
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        local = pafs.LocalFileSystem()
+        for pdf in it:
+            texts = []
+            for uri in pdf["uri"]:
+                fsys, p = pafs.FileSystem.from_uri(uri) if "://" in uri else (local, uri)
+                with fsys.open_input_stream(p) as fh:
+                    texts.append(fh.read().decode("utf-8", errors="replace"))
+            yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "content": texts})
+
+    found = rdf.repartition(max(1, len(roots))).mapInPandas(lister, "repo_id string, path string, uri string")
+    n = spark.sparkContext.defaultParallelism
+    return found.repartition(n).mapInPandas(reader, "repo_id string, path string, content string")
+
+
 def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
                      repo_depth: int = 1, with_ord: bool = False) -> DataFrame:
     """Recursive scan of source files into ``files(repo_id, path, content)``.
 
     ``root`` is either one directory whose first ``repo_depth`` path levels
-    name the repository, or a small ``{repo_id: dir}`` dict.  Files are read
-    by Spark's binaryFile source (splittable listing, parallel reads); only
-    the matching glob is listed.  ``file_ord`` (rank by path) is optional: all
-    "first file" logic orders by ``path`` itself, which needs no window over
-    a possibly giant repository.
+    name the repository, or a small ``{repo_id: dir}`` dict.  The bulk is
+    read by Spark's binaryFile source (JVM, parallel listing and reads, only
+    the glob's files); names that Spark's listing hides - leading '_' or
+    '.', such as ``__init__.py`` - come from a distributed supplement.
+    ``file_ord`` (rank by path) is optional: all "first file" logic orders
+    by ``path``, which needs no window over a possibly giant repository.
     """
     def read(d: str) -> DataFrame:
         return (spark.read.format("binaryFile")
@@ -31,11 +109,12 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
         parts = []
         for repo_id, d in root.items():
             base = d.rstrip("/") + "/"
-            df = read(d)
-            parts.append(df.select(
+            parts.append(read(d).select(
                 F.lit(repo_id).alias("repo_id"),
                 F.regexp_replace("_abs", r"^.*?" + _quote(base), "").alias("path"),
                 "content"))
+            parts.append(_hidden_files(spark, d, glob, 0).withColumn("repo_id", F.lit(repo_id))
+                         .select("repo_id", "path", "content"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -46,6 +125,7 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
         repo = F.array_join(F.slice(comps, 1, repo_depth), "/")
         path = F.array_join(F.slice(comps, repo_depth + 1, 1 << 20), "/")
         out = read(root).select(repo.alias("repo_id"), path.alias("path"), "content")
+        out = out.unionByName(_hidden_files(spark, root, glob, repo_depth))
     if with_ord:
         out = out.withColumn("file_ord", F.row_number().over(Window.partitionBy("repo_id").orderBy("path")))
     return out
@@ -55,6 +135,24 @@ def _quote(s: str) -> str:
     return "\\Q" + s.replace("file:", "") + "\\E"
 
 
+def materialize_tree(files: DataFrame, root: str) -> None:
+    """Write ``files(repo_id, path, content)`` as a directory tree under a
+    local or mounted ``root`` (test inputs), from the executors."""
+    def write(it):
+        import os
+        for pdf in it:
+            for rid, path, content in zip(pdf["repo_id"], pdf["path"], pdf["content"]):
+                full = os.path.join(root, rid, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as fh:
+                    fh.write((content or "").encode("utf-8"))
+            yield pdf.iloc[0:0][["repo_id"]]
+    from auditlens.session import ship_package
+
+    ship_package(files.sparkSession)
+    files.select("repo_id", "path", "content").mapInPandas(write, "repo_id string").count()
+
+
 def scan_target(files: DataFrame, analyze_path: str | None = None) -> DataFrame:
     """Restrict to a sub-path.
 

@@ -106,6 +106,9 @@ def stream_budget_alerts(stream_calls: DataFrame, budget_usd: float, threshold:
     """
     import pandas as pd
 
+    from auditlens.session import ship_package
+
+    ship_package(stream_calls.sparkSession)
     b = int(round(budget_usd * 1e9))
     thr = int(round(budget_usd * 1e9 * threshold))
     c = with_cost(stream_calls).select(F.col(key).cast("long").alias(key), F.col("seq").cast("long").alias("seq"),

@@ -311,42 +311,74 @@ PARSE_FAILED = "Failed to parse structured response"
 # DataFrame builders (all tiny; callers hint broadcast)
 # ---------------------------------------------------------------------------
 
+def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small fixed table as a JVM-local relation (no Python worker to scan it).
+
+    Built with ``inline`` over an array of struct literals, so it plans as a
+    local scan that Catalyst can size exactly and broadcast for free.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    names = [f.name for f in st.fields]
+    if not rows:
+        return spark.createDataFrame([], st)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(n) for v, n, f in zip(r, names, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def rule_dim(spark: SparkSession) -> DataFrame:
     """vuln_type, cwe, cwe_name, type_ord (table order)."""
     names = dict(CWE_NAMES)
     rows = [(t, c, names[c], i) for i, (t, c) in enumerate(VULN_CWE)]
-    return spark.createDataFrame(rows, "vuln_type string, cwe string, cwe_name string, type_ord int")
+    return local_table(spark, rows, "vuln_type string, cwe string, cwe_name string, type_ord int")
 
 
 def severity_dim(spark: SparkSession) -> DataFrame:
     rows = [(s, sc, r, i) for i, (s, sc, r) in enumerate(SEVERITIES)]
-    return spark.createDataFrame(rows, "severity string, sev_score int, sev_rank int, sev_ord int")
+    return local_table(spark, rows, "severity string, sev_score int, sev_rank int, sev_ord int")
 
 
 def pricing_dim(spark: SparkSession) -> DataFrame:
     """ord, model, in_nano, out_nano: nano-USD per token (exact integers)."""
     rows = [(i, m, int(round(pi * 1e6)), int(round(po * 1e6))) for i, (m, pi, po) in enumerate(PRICING)]
-    return spark.createDataFrame(rows, "ord int, model string, in_nano long, out_nano long")
+    return local_table(spark, rows, "ord int, model string, in_nano long, out_nano long")
 
 
 def pattern_dim(spark: SparkSession, patterns=None) -> DataFrame:
     rows = [(i, fam, pat) for i, (fam, pat) in enumerate(patterns or NETWORK_PATTERNS)]
-    return spark.createDataFrame(rows, "pat_ord int, family string, pattern string")
+    return local_table(spark, rows, "pat_ord int, family string, pattern string")
 
 
 def sink_dim(spark: SparkSession) -> DataFrame:
     rows = [(i, t, p) for i, (t, p) in enumerate(SINK_RULES)]
-    return spark.createDataFrame(rows, "rule_ord int, vuln_type string, pattern string")
+    return local_table(spark, rows, "rule_ord int, vuln_type string, pattern string")
 
 
 def prompt_dim(spark: SparkSession) -> DataFrame:
     rows = [(t, txt, list(b), i) for i, (t, txt, b) in enumerate(PROMPT_TYPES)]
-    return spark.createDataFrame(rows, "vuln_type string, template string, bypasses array<string>, type_ord int")
+    return local_table(spark, rows, "vuln_type string, template string, bypasses array<string>, type_ord int")
 
 
 def readme_dim(spark: SparkSession) -> DataFrame:
     rows = [(n, i) for i, n in enumerate(README_CANDIDATES)]
-    return spark.createDataFrame(rows, "name string, prio int")
+    return local_table(spark, rows, "name string, prio int")
+
+
+def cwe_of(type_col) -> "F.Column":
+    """Vulnerability type → CWE id (unknown → CWE-0), as a CASE."""
+    expr = F.lit(UNKNOWN_CWE)
+    for t, c in reversed(VULN_CWE):
+        expr = F.when(type_col == t, F.lit(c)).otherwise(expr)
+    return expr
+
+
+def cwe_name_of(type_col) -> "F.Column":
+    names = dict(CWE_NAMES)
+    expr = F.lit(UNKNOWN_CWE_NAME)
+    for t, c in reversed(VULN_CWE):
+        expr = F.when(type_col == t, F.lit(names[c])).otherwise(expr)
+    return expr
 
 
 def severity_of(conf_col) -> "F.Column":

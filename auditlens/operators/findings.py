@@ -14,21 +14,26 @@ FINDING_COLS = ["finding_ord", "repo_id", "rule_id", "title", "file_path", "star
 
 
 def to_findings(df: DataFrame, run_ts=None, prefix: str = dims.RULE_PREFIX,
-                path_col: str = "file_path", extra=()) -> DataFrame:
+                path_col: str = "file_path", extra=(), rules: DataFrame | None = None) -> DataFrame:
     """Scored rows → finding rows.
 
     Needs ``vuln_type`` and ``confidence``; ``analysis``/``scratchpad``/``poc``
     default to empty/null.  CWE id and name come from the 7-row rule table
-    (broadcast left join: unknown type → CWE-0 / Unknown); severity follows
-    the confidence thresholds; line/column fields are 0; the discovery time
-    is a run parameter so output is reproducible.
+    (a CASE over the fixed table, or a broadcast left join with a user rule
+    table ``rules``; unknown type → CWE-0 / Unknown); severity follows the
+    confidence thresholds; line/column fields are 0; the discovery time is a
+    run parameter so output is reproducible.
     """
-    spark = df.sparkSession
-    rule = F.broadcast(dims.rule_dim(spark).select(F.col("vuln_type").alias("_vt"), "cwe", "cwe_name"))
     cols = df.columns
     opt = lambda c, default: F.col(c) if c in cols else default
     ts = F.lit(run_ts).cast("timestamp_ntz") if run_ts is not None else F.lit(None).cast("timestamp_ntz")
-    base = df.join(rule, F.col("vuln_type") == F.col("_vt"), "left")
+    if rules is not None:
+        rule = F.broadcast(rules.select(F.col("vuln_type").alias("_vt"), "cwe", "cwe_name"))
+        base = df.join(rule, F.col("vuln_type") == F.col("_vt"), "left")
+        cwe, cwe_name = F.col("cwe"), F.col("cwe_name")
+    else:
+        base = df
+        cwe, cwe_name = dims.cwe_of(F.col("vuln_type")), dims.cwe_name_of(F.col("vuln_type"))
     name = F.substring_index(F.col(path_col), "/", -1)
     return base.select(
         *[c for c in ("finding_ord", "repo_id", *extra) if c in cols],
@@ -44,8 +49,8 @@ def to_findings(df: DataFrame, run_ts=None, prefix: str = dims.RULE_PREFIX,
         F.col("confidence").cast("double").alias("confidence"),
         dims.severity_of(F.col("confidence")).alias("severity"),
         "vuln_type",
-        F.coalesce(F.col("cwe"), F.lit(dims.UNKNOWN_CWE)).alias("cwe"),
-        F.coalesce(F.col("cwe_name"), F.lit(dims.UNKNOWN_CWE_NAME)).alias("cwe_name"),
+        F.coalesce(cwe, F.lit(dims.UNKNOWN_CWE)).alias("cwe"),
+        F.coalesce(cwe_name, F.lit(dims.UNKNOWN_CWE_NAME)).alias("cwe_name"),
         opt("context_code", F.lit("")).alias("context_code"),
         ts.alias("discovered_at"),
     )

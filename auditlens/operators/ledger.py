@@ -241,7 +241,7 @@ def estimate_file_costs(files: DataFrame, model: str, content_col: str = "conten
     = (27 t + 143501) div 2; output = 33250; calls = 14.
     """
     spark = files.sparkSession
-    price = F.broadcast(resolve_pricing(spark.createDataFrame([(model,)], "key string")))
+    price = F.broadcast(resolve_pricing(dims.local_table(spark, [(model,)], "key string")))
     secondary = dims.EST_TYPES_PER_FILE * dims.EST_ITERATIONS_PER_TYPE  # 12.5
     ctx = dims.EST_CONTEXT_PER_ITERATION * (dims.EST_ITERATIONS_PER_TYPE / 2)  # 2500
     t = F.ceil(F.length(F.col(content_col)) / F.lit(4)).cast("bigint")

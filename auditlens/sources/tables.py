@@ -134,12 +134,14 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool = Tru
 
     from auditlens.session import checkpoint_dir
 
-    tag = hashlib.sha1((os.path.abspath(sf_dir) + FX_SQL[name]).encode()).hexdigest()[:12]
+    tag = hashlib.sha1(("v2" + os.path.abspath(sf_dir) + FX_SQL[name]).encode()).hexdigest()[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{tag}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:
-        df.write.mode("overwrite").parquet(path)
+        # several files, as landed tables have: input splits then spread the
+        # (CPU-heavy, text) work over all cores without any extra shuffle
+        df.repartition(2 * spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 

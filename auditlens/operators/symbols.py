@@ -65,9 +65,9 @@ def block_expr(lines: Column, line_no: Column, cap: int = BLOCK_CAP) -> Column:
 
 def definition_block(defs: DataFrame, files: DataFrame, cap: int = BLOCK_CAP) -> DataFrame:
     """Attach ``source`` (the body) to definition rows by joining their files."""
-    f = files.select("repo_id", "path", F.split("content", "\n", -1).alias("_lines"))
+    f = files.select("repo_id", "path", "content")
     return (defs.join(f, ["repo_id", "path"])
-            .withColumn("source", block_expr(F.col("_lines"), F.col("line_no"), cap)).drop("_lines"))
+            .withColumn("source", block_expr(F.split("content", "\n", -1), F.col("line_no"), cap)).drop("content"))
 
 
 def request_parts(requests: DataFrame, name_col: str = "name") -> DataFrame:
@@ -129,11 +129,14 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
              .agg(F.min_by(F.struct("repo_id", "path", "line_no"), F.struct("_o", "line_no")).alias("_w"))
              .select("request_id", F.col("_w.repo_id").alias("repo_id"), F.col("_w.path").alias("file_path"),
                      F.col("_w.line_no").alias("line_no")))
-    ctx = files.select("repo_id", F.col("path").alias("file_path"), F.split("content", "\n", -1).alias("_lines"))
+    # join first (the winners are few and broadcast), split only the files that won
+    ctx = files.select("repo_id", F.col("path").alias("file_path"), "content")
+    lines = F.split("content", "\n", -1)
     start = F.greatest(F.lit(1), F.col("line_no") - F.lit(before))
-    end = F.least(F.size("_lines"), F.col("line_no") + F.lit(after - 1))
-    return ctx.join(_bounded(first), ["repo_id", "file_path"]).select("request_id", "file_path", "line_no",
-                     F.array_join(F.slice("_lines", start.cast("int"), (end - start + 1).cast("int")), "\n").alias("source"))
+    end = F.least(F.size(lines), F.col("line_no") + F.lit(after - 1))
+    return ctx.join(_bounded(first), ["repo_id", "file_path"]).select(
+        "request_id", "file_path", "line_no",
+        F.array_join(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")), "\n").alias("source"))
 
 
 def resolve_symbols_batch(requests: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,9 +148,10 @@ def resolve_symbols_batch(requests: DataFrame, files: DataFrame) -> tuple[DataFr
     """
     defs = definition_index(files)
     d = resolve_definition(requests, defs)
-    f_lines = files.select("repo_id", F.col("path").alias("file_path"), F.split("content", "\n", -1).alias("_lines"))
-    d_src = (f_lines.join(_bounded(d.join(requests.select("request_id", "repo_id"), "request_id")), ["repo_id", "file_path"])
-             .select("request_id", "file_path", "line_no", block_expr(F.col("_lines"), F.col("line_no")).alias("source"),
+    f_text = files.select("repo_id", F.col("path").alias("file_path"), "content")
+    d_src = (f_text.join(_bounded(d.join(requests.select("request_id", "repo_id"), "request_id")), ["repo_id", "file_path"])
+             .select("request_id", "file_path", "line_no",
+                     block_expr(F.split("content", "\n", -1), F.col("line_no")).alias("source"),
                      F.lit("definition").alias("how")))
     left = requests.join(d.select("request_id"), "request_id", "left_anti")
     r_src = resolve_reference(left, files).withColumn("how", F.lit("reference"))

@@ -124,3 +124,31 @@ FROM h WHERE role = 'user'""")
 def q_history(spark, sf):
     from auditlens.operators.prompts import history_window
     return history_window(table(spark, sf, "conversations"))
+
+
+@register("preview_plan", with_fixtures("fx_files") + f""",
+{_PICK},
+af AS (SELECT repo_id, path FROM fx_files WHERE {O.keep_path_sql('path')}),
+an AS (SELECT repo_id, path FROM fx_files WHERE {O.keep_path_sql('path')} AND {O.network_sql('content')}),
+na AS (SELECT repo_id, count(*) AS n_all FROM af GROUP BY repo_id),
+nn AS (SELECT repo_id, count(*) AS n_an FROM an GROUP BY repo_id),
+tot AS (SELECT repo_id, coalesce(n_all, 0) AS n_all, coalesce(n_an, 0) AS n_an FROM na FULL JOIN nn USING (repo_id)),
+s AS (SELECT repo_id, CASE WHEN regexp_replace(regexp_extract(content, '(?s)<summary>(.*?)</summary>', 1), '^{WS}+|{WS}+$', '', 'g') <> ''
+        THEN regexp_replace(regexp_extract(content, '(?s)<summary>(.*?)</summary>', 1), '^{WS}+|{WS}+$', '', 'g') ELSE content END AS summary FROM best),
+sl AS (SELECT repo_id, string_split(summary, chr(10)) AS l FROM s),
+lines AS (
+  SELECT repo_id, 0 AS part, CAST(0 AS BIGINT) AS ord, 'Total Python files: ' || n_all || chr(10) || 'Files to analyze: ' || n_an AS text FROM tot
+  UNION ALL SELECT repo_id, 1, CAST(i AS BIGINT), '   ' || l[i] FROM (SELECT repo_id, l, unnest(range(1, least(len(l), 10) + 1)) AS i FROM sl)
+  UNION ALL SELECT repo_id, 2, CAST(0 AS BIGINT), '   ... (' || (len(l) - 10) || ' more lines)' FROM sl WHERE len(l) > 10
+  UNION ALL SELECT repo_id, 3, CAST(0 AS BIGINT), 'Files to Analyze (' || n_an || ' files):' FROM tot
+  UNION ALL SELECT * FROM (SELECT repo_id, 4, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS r, '   ' || lpad(CAST(row_number() OVER (PARTITION BY repo_id ORDER BY path) AS VARCHAR), 3, ' ') || '. ' || path FROM an) WHERE r <= 20
+  UNION ALL SELECT repo_id, 5, CAST(0 AS BIGINT), '   ... and ' || (n_an - 20) || ' more files' FROM tot WHERE n_an > 20)
+SELECT repo_id, part, ord, text FROM lines""")
+def q_preview(spark, sf):
+    from auditlens.operators.paths import discover_files, list_all_files
+    from auditlens.operators.prompts import readme_summaries
+    from auditlens.operators.reports import preview_plan
+    from auditlens.sources.files import pick_readme
+    files = fixture(spark, sf, "fx_files")
+    rd = pick_readme(files).filter("found").select("repo_id", F.col("content").alias("reply"))
+    return preview_plan(list_all_files(files), discover_files(files), readme_summaries(rd))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,14 +165,37 @@ def sort_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(*sort_key())
 
 
-def number_findings(findings: DataFrame, by=("repo_id",)) -> DataFrame:
-    """1-based report position per repository in report order.
+def rank_two_level(df: DataFrame, by, order, out: str = "pos", slices: int | None = None) -> DataFrame:
+    """1-based row number per ``by`` group in ``order`` without sorting any
+    group in a single task.
 
-    A window per repository; for one giant repository use
-    ``number_findings_global`` which ranks through a range-partitioned sort.
+    The rows are range-partitioned on (by, order), so a hot group spans many
+    partitions (slices) in order; each row is numbered inside its
+    (group, slice), and the slice's offset is the count of the group's rows
+    in earlier slices - a tiny (group, slice) table.  Equal to
+    ``row_number() over (partition by by order by order)`` when ``order`` is
+    a total order within each group.
     """
-    w = Window.partitionBy(*by).orderBy(*sort_key())
-    return findings.withColumn("pos", F.row_number().over(w))
+    by = list(by)
+    spark = df.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the slice is assigned once and persisted: range bounds come from a
+    # sample, so two separate exchanges could cut the groups differently
+    keyed = (df.repartitionByRange(n, *[F.col(c) for c in by], *order)
+             .withColumn("_slice", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    local = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
+    ranked = keyed.withColumn("_local", local)
+    counts = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return (ranked.join(offs, [*by, "_slice"])
+            .withColumn(out, (F.col("_off") + F.col("_local")).cast("int")).drop("_slice", "_local", "_off"))
+
+
+def number_findings(findings: DataFrame, by=("repo_id",)) -> DataFrame:
+    """1-based report position per repository in report order (two-level
+    rank, so one giant repository is numbered by many tasks)."""
+    return rank_two_level(findings, by, sort_key())
 
 
 def top_findings(findings: DataFrame, k: int, by=("repo_id",)) -> DataFrame:

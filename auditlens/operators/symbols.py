@@ -33,21 +33,21 @@ def _order_col(files: DataFrame) -> str:
 
 
 def definition_index(files: DataFrame) -> DataFrame:
-    """(repo_id, path, file_ord, line_no, kind, name, indent) for definition lines."""
+    """(repo_id, path, file_ord, line_no, kind, name, indent) for definition lines.
+
+    One scan and one ``posexplode``; only lines containing 'class' or 'def'
+    reach the regexes, and each kind found on a line becomes a row.
+    """
     ordc = _order_col(files)
     keep = ["repo_id", "path"] + (["file_ord"] if ordc == "file_ord" else [])
-    lines = files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("_pos", "line"))
-    cls = F.regexp_extract("line", CLASS_RE, 1)
-    dfn = F.regexp_extract("line", DEF_RE, 1)
-    is_cls = F.col("line").contains("class") & (cls != "")
-    is_def = F.col("line").contains("def") & (dfn != "")
-    # a line can be both only in pathological text; emit each kind separately
-    c = lines.filter(is_cls).select(*keep, (F.col("_pos") + 1).alias("line_no"), F.lit("class").alias("kind"),
-                                    cls.alias("name"), "line")
-    d = lines.filter(is_def).select(*keep, (F.col("_pos") + 1).alias("line_no"), F.lit("def").alias("kind"),
-                                    dfn.alias("name"), "line")
-    out = c.unionByName(d)
-    return out.withColumn("indent", F.length(F.regexp_extract("line", "^" + JS_WS + "*", 0))).drop("line")
+    lines = (files.select(*keep, F.posexplode(F.split("content", "\n", -1)).alias("_pos", "line"))
+             .filter(F.col("line").contains("class") | F.col("line").contains("def")))
+    kinds = F.filter(F.array(F.struct(F.lit("class").alias("kind"), F.regexp_extract("line", CLASS_RE, 1).alias("name")),
+                             F.struct(F.lit("def").alias("kind"), F.regexp_extract("line", DEF_RE, 1).alias("name"))),
+                     lambda k: k["name"] != "")
+    return (lines.select(*keep, (F.col("_pos") + 1).alias("line_no"), "line", F.explode(kinds).alias("_k"))
+            .select(*keep, "line_no", "_k.kind", "_k.name",
+                    F.length(F.regexp_extract("line", "^" + JS_WS + "*", 0)).alias("indent")))
 
 
 def block_expr(lines: Column, line_no: Column, cap: int = BLOCK_CAP) -> Column:

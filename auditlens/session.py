@@ -77,7 +77,11 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    target = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"auditlens-{app}.zip")
+    ck = checkpoint_dir(spark)
+    # addPyFile uploads a driver-side file to every executor; the checkpoint
+    # folder is used when it is a local/mounted path, else a driver temp file
+    folder = ck.replace("file:", "") if (ck.startswith("file:") or "://" not in ck) else tempfile.mkdtemp(prefix="auditlens-pkg-")
+    target = os.path.join(folder, f"auditlens-{app}.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, names in os.walk(pkg):
             for n in names:

@@ -123,7 +123,9 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     pos = F.instr(F.col("content"), F.col("_base"))
     before_txt = F.substring(F.col("content"), 1, pos - 1)
     line_no = F.length(before_txt) - F.length(F.replace(before_txt, F.lit("\n"), F.lit(""))) + 1
-    hits = (f.join(_bounded(req), "repo_id").filter(pos > 0)
+    # contains (first-byte scan) rejects most pairs cheaply; instr, which
+    # compares at every position, runs only on pairs that do contain the name
+    hits = (f.join(_bounded(req), "repo_id").filter(F.col("content").contains(F.col("_base")) & (pos > 0))
             .select("request_id", "repo_id", "path", "_o", line_no.alias("line_no")))
     first = (hits.groupBy("request_id")
              .agg(F.min_by(F.struct("repo_id", "path", "line_no"), F.struct("_o", "line_no")).alias("_w"))

@@ -71,6 +71,7 @@ def main():
             bad += 1
             continue
         ts = time.time() - t0
+        spark.catalog.clearCache()
         if name not in os_:
             print(f"ROWS {name}: {len(srows)} rows ({ts:.1f}s, no oracle)")
             continue

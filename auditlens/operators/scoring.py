@@ -136,7 +136,7 @@ def context_scorer(texts):
         src = m.group(1) if m else t
         called = set(re.findall(r"([A-Za-z_][A-Za-z0-9_]*)\(", src))
         defined = set(re.findall(r"(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)", src))
-        names = sorted(called - defined)[:3]
+        names = sorted(called - defined)
         types = [v for v, k in (("LFI", "open("), ("RCE", "eval("), ("SQLI", "execute(")) if k in src]
         have_ctx = "<context_code><code>" in t
         conf = 7 + (1 if have_ctx else 0)

@@ -34,59 +34,78 @@ def _score(pairs: DataFrame, files: DataFrame, scorer, provider: str) -> DataFra
     return parsed
 
 
+STATE_COLS = [*PAIR, "ok", "scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
+              "context_code", "ctx", "round", "prev_names", "stop_reason"]
+
+
+def initial_state(files: DataFrame, initial: DataFrame, scorer, provider: str = "openai") -> DataFrame:
+    """Round 0: every pair scored once with the initial reply as previous
+    analysis and no context (names of the initial reply are not resolved)."""
+    open_ = initial.select(*PAIR, "previous").withColumn("ctx", F.array().cast(CTX_T))
+    cur = _score(open_, files, scorer, provider)
+    return (cur.join(open_.select(*PAIR, "ctx"), PAIR)
+            .select(*PAIR, "ok", "scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
+                    "context_code", "ctx", F.lit(0).alias("round"), F.lit(None).cast("array<string>").alias("prev_names"),
+                    F.lit(None).cast("string").alias("stop_reason")))
+
+
+def refine_round(state: DataFrame, files: DataFrame, scorer, round_no: int, provider: str = "openai") -> tuple[DataFrame, bool]:
+    """One round for every open pair at once: stop pairs whose last reply
+    asked for nothing / the same names / the same count as the one before;
+    resolve the others' requested names against the file list (one batched
+    join), append the definitions to the pair's context and score again.
+
+    Returns (new state, any pair still open).
+    """
+    names = F.array_sort(F.transform("context_code", lambda c: c["name"]))
+    chk = state.withColumn("_names", names).withColumn(
+        "_reason",
+        F.when(F.col("stop_reason").isNotNull(), F.col("stop_reason"))
+         .when(F.size("context_code") == 0, F.lit("no_context"))
+         .when(F.col("prev_names").isNotNull() & (F.col("_names") == F.col("prev_names")), F.lit("same_names"))
+         .when(F.col("prev_names").isNotNull() & (F.size("_names") == F.size("prev_names")), F.lit("same_count")))
+    done = chk.filter(F.col("_reason").isNotNull()).withColumn("stop_reason", F.col("_reason")).drop("_names", "_reason")
+    todo = chk.filter(F.col("_reason").isNull())
+    if todo.isEmpty():
+        return done, False
+    req = (todo.select(*PAIR, F.posexplode("context_code").alias("k", "c"))
+           .select(*PAIR, "k", F.col("c.name").alias("name"))
+           .withColumn("request_id", F.xxhash64(*PAIR, "k")))
+    res, _ = resolve_symbols_batch(req.select("request_id", "repo_id", "name"), files)
+    found = (res.filter("found").select("request_id", "name", "file_path", "source")
+             .join(req.select("request_id", *PAIR, "k"), "request_id")
+             .groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct(
+                 F.col("k").cast("int").alias("k"), F.col("name").alias("name"), F.col("name").alias("requested"),
+                 F.col("file_path").alias("file_path"), F.col("source").alias("source")))).alias("_new")))
+    nxt = (todo.join(found, PAIR, "left")
+           .withColumn("ctx", F.concat("ctx", F.transform(F.coalesce("_new", F.array().cast(found.schema["_new"].dataType)),
+                                                          lambda s: F.struct((F.size("ctx") + s["k"]).cast("int").alias("ord"),
+                                                                             s["name"], s["requested"], s["file_path"], s["source"]))))
+           .withColumn("previous", F.to_json(F.struct("scratchpad", "analysis", "poc", "confidence_score",
+                                                       "vulnerability_types", "context_code")))
+           .withColumn("prev_names", F.col("_names")))
+    scored = _score(nxt.select(*PAIR, "previous", "ctx"), files, scorer, provider)
+    new_state = (scored.join(nxt.select(*PAIR, "ctx", "prev_names"), PAIR)
+                 .select(*PAIR, "ok", "scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
+                         "context_code", "ctx", F.lit(round_no).alias("round"), "prev_names",
+                         F.lit(None).cast("string").alias("stop_reason")))
+    return done.unionByName(new_state), True
+
+
 def refine(files: DataFrame, initial: DataFrame, scorer, max_iterations: int = 7, provider: str = "openai",
            run_name: str = "refine") -> DataFrame:
     """``initial``: repo_id, path, vuln_type, previous (initial reply JSON).
 
-    Returns one row per pair: last reply fields, rounds scored, stop reason.
+    Returns one row per pair: last reply fields, last round scored, stop
+    reason.  Each round's state is written to the shared checkpoint folder.
     """
-    spark = files.sparkSession
-    empty_ctx = F.array().cast(CTX_T)
-    open_ = initial.select(*PAIR, "previous").withColumn("ctx", empty_ctx)
-    cur = _score(open_, files, scorer, provider)
-    state = (cur.join(open_.select(*PAIR, "ctx"), PAIR)
-             .select(*PAIR, "ok", "scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types", "context_code",
-                     "ctx", F.lit(0).alias("round"), F.lit(None).cast("array<string>").alias("prev_names"),
-                     F.lit(None).cast("string").alias("stop_reason")))
-    state = cut_lineage(state, f"{run_name}/round0")
+    state = cut_lineage(initial_state(files, initial, scorer, provider), f"{run_name}/round0")
     for i in range(1, max_iterations):
-        names = F.array_sort(F.transform("context_code", lambda c: c["name"]))
-        chk = state.withColumn("_names", names).withColumn(
-            "_reason",
-            F.when(F.col("stop_reason").isNotNull(), F.col("stop_reason"))
-             .when(F.size("context_code") == 0, F.lit("no_context"))
-             .when(F.col("prev_names").isNotNull() & (F.col("_names") == F.col("prev_names")), F.lit("same_names"))
-             .when(F.col("prev_names").isNotNull() & (F.size("_names") == F.size("prev_names")), F.lit("same_count")))
-        done = chk.filter(F.col("_reason").isNotNull()).withColumn("stop_reason", F.col("_reason")).drop("_names", "_reason")
-        todo = chk.filter(F.col("_reason").isNull())
-        if todo.isEmpty():
-            state = done
+        state, still_open = refine_round(state, files, scorer, i, provider)
+        state = cut_lineage(state, f"{run_name}/round{i}")
+        if not still_open:
             break
-        # resolve the requested names of every open pair in one batch
-        req = (todo.select(*PAIR, F.posexplode("context_code").alias("k", "c"))
-               .select(*PAIR, "k", F.col("c.name").alias("name"))
-               .withColumn("request_id", F.xxhash64(*PAIR, "k")))
-        res, _ = resolve_symbols_batch(req.select("request_id", "repo_id", "name"), files)
-        found = (res.filter("found").select("request_id", "name", "file_path", "source")
-                 .join(req.select("request_id", *PAIR, "k"), "request_id")
-                 .groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct(
-                     F.col("k").cast("int").alias("k"), F.col("name").alias("name"), F.col("name").alias("requested"),
-                     F.col("file_path").alias("file_path"), F.col("source").alias("source")))).alias("_new")))
-        nxt = (todo.join(found, PAIR, "left")
-               .withColumn("ctx", F.concat("ctx", F.transform(F.coalesce("_new", F.array().cast(found.schema["_new"].dataType)),
-                                                              lambda s: F.struct((F.size("ctx") + s["k"]).cast("int").alias("ord"),
-                                                                                 s["name"], s["requested"], s["file_path"], s["source"]))))
-               .withColumn("previous", F.to_json(F.struct("scratchpad", "analysis", "poc", "confidence_score",
-                                                           "vulnerability_types", "context_code")))
-               .withColumn("prev_names", F.col("_names")))
-        scored = _score(nxt.select(*PAIR, "previous", "ctx"), files, scorer, provider)
-        new_state = (scored.join(nxt.select(*PAIR, "ctx", "prev_names"), PAIR)
-                     .select(*PAIR, "ok", "scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
-                             "context_code", "ctx", F.lit(i).alias("round"), "prev_names",
-                             F.lit(None).cast("string").alias("stop_reason")))
-        state = cut_lineage(done.unionByName(new_state), f"{run_name}/round{i}")
     else:
         state = state.withColumn("stop_reason", F.coalesce("stop_reason", F.lit("max_iterations")))
-    del spark
     return state.select(*PAIR, "ok", "confidence_score", "analysis", F.col("round").alias("last_round"),
                         F.size("ctx").alias("n_context"), "stop_reason", "scratchpad", "poc", "vulnerability_types")

@@ -90,14 +90,22 @@ def _targets(req: DataFrame) -> DataFrame:
 def resolve_definition(requests: DataFrame, defs: DataFrame) -> DataFrame:
     """First definition per request by (file order, pattern order, line).
 
+    The pattern order is fixed by the kind (class before def), so the index
+    is first reduced to the earliest definition per (repo, kind, name) - a
+    partial+final aggregate - and each request then meets at most two
+    candidates: no (request x definition) pairs for popular names.
     Exact for names whose parts hold no whitespace, ':' or '(' (every Python
     identifier): such a name matches a definition line's pattern iff it
     equals the line's extracted name.
     """
     ordc = "file_ord" if "file_ord" in defs.columns else "path"
+    first = (defs.groupBy("repo_id", "kind", F.col("name").alias("target"))
+             .agg(F.min_by(F.struct("path", "line_no", F.col(ordc).alias("o")),
+                           F.struct(F.col(ordc).alias("o"), F.col("line_no"))).alias("_d"))
+             .select("repo_id", "kind", "target", "_d.*"))
     tg = _targets(request_parts(requests))
-    hits = tg.join(defs.withColumnRenamed("name", "target"), ["repo_id", "kind", "target"])
-    key = F.struct(F.col(ordc).alias("o"), F.col("pat_ord"), F.col("line_no"))
+    hits = tg.join(first, ["repo_id", "kind", "target"])
+    key = F.struct(F.col("o"), F.col("pat_ord"), F.col("line_no"))
     return (hits.groupBy("request_id")
             .agg(F.min_by(F.struct("path", "line_no", "kind"), key).alias("_w"))
             .select("request_id", F.col("_w.path").alias("file_path"), F.col("_w.line_no").alias("line_no"),

@@ -120,25 +120,29 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     """First line (file order, then line) containing the name's last part;
     returns lines i-before .. i+after-1 around it.
 
-    Requests are broadcast (count checked) and each file text is searched
-    once per request with ``instr``; the line number is the count of
-    newlines before the hit.  Only (request, file, line) tuples leave the
-    map side, pre-aggregated per request.
+    Like the audited tool this is a scan of each repository's files per
+    wanted name, done set-wise: the distinct (repo, name) pairs are
+    broadcast (count checked) and every file text is streamed past them with
+    a byte search, so file contents are never shuffled; only hits leave the
+    map side, pre-aggregated per name, and the answer is joined back to
+    every request that asked for that name.
     """
     ordc = _order_col(files)
     req = request_parts(requests).select("request_id", "repo_id", F.element_at("_parts", -1).alias("_base"))
+    # one search per distinct (repo, name): requests repeating a name share it
+    names = req.select("repo_id", "_base").distinct()
     f = files.select("repo_id", "path", F.col(ordc).alias("_o"), "content")
     pos = F.instr(F.col("content"), F.col("_base"))
     before_txt = F.substring(F.col("content"), 1, pos - 1)
     line_no = F.length(before_txt) - F.length(F.replace(before_txt, F.lit("\n"), F.lit(""))) + 1
     # contains (first-byte scan) rejects most pairs cheaply; instr, which
     # compares at every position, runs only on pairs that do contain the name
-    hits = (f.join(_bounded(req), "repo_id").filter(F.col("content").contains(F.col("_base")) & (pos > 0))
-            .select("request_id", "repo_id", "path", "_o", line_no.alias("line_no")))
-    first = (hits.groupBy("request_id")
-             .agg(F.min_by(F.struct("repo_id", "path", "line_no"), F.struct("_o", "line_no")).alias("_w"))
-             .select("request_id", F.col("_w.repo_id").alias("repo_id"), F.col("_w.path").alias("file_path"),
-                     F.col("_w.line_no").alias("line_no")))
+    hits = (f.join(_bounded(names), "repo_id").filter(F.col("content").contains(F.col("_base")) & (pos > 0))
+            .select("repo_id", "_base", "path", "_o", line_no.alias("line_no")))
+    best = (hits.groupBy("repo_id", "_base")
+            .agg(F.min_by(F.struct("path", "line_no"), F.struct("_o", "line_no")).alias("_w")))
+    first = (req.join(best, ["repo_id", "_base"])
+             .select("request_id", "repo_id", F.col("_w.path").alias("file_path"), F.col("_w.line_no").alias("line_no")))
     # join first (the winners are few and broadcast), split only the files that won
     ctx = files.select("repo_id", F.col("path").alias("file_path"), "content")
     lines = F.split("content", "\n", -1)

@@ -66,16 +66,44 @@ def resolve_pricing(models: DataFrame, model_col: str = "key") -> DataFrame:
          .when(found, F.lit("partial")).otherwise(fmatch).alias("match"))
 
 
+def price_expr(key: Column) -> Column:
+    """Price resolution as one expression over the fixed price list:
+    exact → first partial (either containment, case-insensitive) in table
+    order → provider fallbacks → default.  A model's price is a pure function
+    of its name, so per-row resolution needs no join, no shuffle and no
+    extra job (and works on streams)."""
+    nano = {m: (int(round(a * 1e6)), int(round(b * 1e6))) for m, a, b in dims.PRICING}
+    mk = lambda i, o: F.struct(F.lit(i).cast("bigint").alias("in_nano"), F.lit(o).cast("bigint").alias("out_nano"))
+    out = mk(int(round(dims.DEFAULT_PRICE[0] * 1e6)), int(round(dims.DEFAULT_PRICE[1] * 1e6)))
+    lk = F.lower(key)
+    for sub, entry in reversed(dims.PRICE_FALLBACKS):
+        out = F.when(lk.contains(sub), mk(*nano[entry])).otherwise(out)
+    for m, _, _ in reversed(dims.PRICING):
+        out = F.when(F.lit(m.lower()).contains(lk) | lk.contains(m.lower()), mk(*nano[m])).otherwise(out)
+    for m, _, _ in reversed(dims.PRICING):
+        out = F.when(key == m, mk(*nano[m])).otherwise(out)
+    return out
+
+
 def _bounded_broadcast(df: DataFrame, limit: int = MAX_MODELS) -> DataFrame:
     """Broadcast only when the row count is proven under ``limit``."""
     return broadcast_if_small(df, limit)
 
 
-def call_costs(calls: DataFrame, model_col: str = "model") -> DataFrame:
-    """Add ``key`` (pricing name), prices and exact ``cost_nano`` per call."""
+def call_costs(calls: DataFrame, model_col: str = "model", prices: DataFrame | None = None) -> DataFrame:
+    """Add ``key`` (pricing name), prices and exact ``cost_nano`` per call.
+
+    With the fixed price list the price is the ``price_expr`` projection
+    (map-only); a user price table (``prices``: key, in_nano, out_nano, e.g.
+    from ``resolve_pricing`` over another list) is joined instead, broadcast
+    behind a row-count check.
+    """
     c = calls.withColumn("key", pricing_key(F.col(model_col)))
-    prices = _bounded_broadcast(resolve_pricing(c.select("key")))
-    return (c.join(prices, "key", "left")
+    if prices is not None:
+        return (c.join(_bounded_broadcast(prices.select("key", "in_nano", "out_nano")), "key", "left")
+                .withColumn("cost_nano", F.col("input_tokens") * F.col("in_nano") + F.col("output_tokens") * F.col("out_nano")))
+    p = price_expr(F.col("key"))
+    return (c.withColumn("in_nano", p["in_nano"]).withColumn("out_nano", p["out_nano"])
             .withColumn("cost_nano", F.col("input_tokens") * F.col("in_nano") + F.col("output_tokens") * F.col("out_nano")))
 
 
@@ -240,8 +268,7 @@ def estimate_file_costs(files: DataFrame, model: str, content_col: str = "conten
     tokens t = ceil(len/4); input = round(t + 3000 + (t + 5500) x 12.5)
     = (27 t + 143501) div 2; output = 33250; calls = 14.
     """
-    spark = files.sparkSession
-    price = F.broadcast(resolve_pricing(dims.local_table(spark, [(model,)], "key string")))
+    p = price_expr(F.lit(model))  # constant-folded by the optimizer
     secondary = dims.EST_TYPES_PER_FILE * dims.EST_ITERATIONS_PER_TYPE  # 12.5
     ctx = dims.EST_CONTEXT_PER_ITERATION * (dims.EST_ITERATIONS_PER_TYPE / 2)  # 2500
     t = F.ceil(F.length(F.col(content_col)) / F.lit(4)).cast("bigint")
@@ -250,7 +277,7 @@ def estimate_file_costs(files: DataFrame, model: str, content_col: str = "conten
     inp = F.floor((twice + F.lit(1)) / F.lit(2)).cast("bigint")
     out_tokens = int(round(dims.EST_INITIAL_OUTPUT + dims.EST_SECONDARY_OUTPUT * secondary))
     calls = int(1 + secondary + 0.5)  # round(13.5) = 14
-    return (files.crossJoin(price.select("in_nano", "out_nano"))
+    return (files.withColumn("in_nano", p["in_nano"]).withColumn("out_nano", p["out_nano"])
             .withColumn("file_tokens", t)
             .withColumn("estimated_input_tokens", inp)
             .withColumn("estimated_output_tokens", F.lit(out_tokens).cast("bigint"))

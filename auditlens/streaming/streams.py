@@ -14,26 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlens.functions import dims
-from auditlens.operators.ledger import pricing_key
-
-
-def price_expr(key: Column) -> Column:
-    """Price resolution as one expression over the fixed price list:
-    exact → first partial (either containment, case-insensitive) in table
-    order → provider fallbacks → default.  Usable where a join is not
-    (streams) and needs no shuffle."""
-    nano = {m: (int(round(a * 1e6)), int(round(b * 1e6))) for m, a, b in dims.PRICING}
-    mk = lambda i, o: F.struct(F.lit(i).cast("bigint").alias("in_nano"), F.lit(o).cast("bigint").alias("out_nano"))
-    out = mk(int(round(dims.DEFAULT_PRICE[0] * 1e6)), int(round(dims.DEFAULT_PRICE[1] * 1e6)))
-    lk = F.lower(key)
-    for sub, entry in reversed(dims.PRICE_FALLBACKS):
-        out = F.when(lk.contains(sub), mk(*nano[entry])).otherwise(out)
-    for m, _, _ in reversed(dims.PRICING):
-        out = F.when(F.lit(m.lower()).contains(lk) | lk.contains(m.lower()), mk(*nano[m])).otherwise(out)
-    for m, _, _ in reversed(dims.PRICING):
-        out = F.when(key == m, mk(*nano[m])).otherwise(out)
-    return out
+from auditlens.operators.ledger import price_expr, pricing_key
 
 
 def with_cost(calls: DataFrame, model_col: str = "model") -> DataFrame:

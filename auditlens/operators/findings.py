@@ -189,7 +189,7 @@ def rank_two_level(df: DataFrame, by, order, out: str = "pos", slices: int | Non
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return (ranked.join(offs, [*by, "_slice"])
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("int")).drop("_slice", "_local", "_off"))
+            .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_slice", "_local", "_off"))
 
 
 def number_findings(findings: DataFrame, by=("repo_id",)) -> DataFrame:
@@ -208,7 +208,7 @@ def top_findings(findings: DataFrame, k: int, by=("repo_id",)) -> DataFrame:
     """
     score = dims.severity_score(F.col("severity"))
     w = Window.partitionBy(*by).orderBy(score.desc(), F.col("finding_ord").asc())
-    top = findings.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    top = findings.withColumn("pos", F.row_number().over(w).cast("bigint")).filter(F.col("pos") <= k)
     tot = findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"))
     return (top.join(tot, list(by))
             .withColumn("n_more", F.greatest(F.col("n_total") - F.lit(k), F.lit(0)))

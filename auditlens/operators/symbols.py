@@ -45,7 +45,7 @@ def definition_index(files: DataFrame) -> DataFrame:
     kinds = F.filter(F.array(F.struct(F.lit("class").alias("kind"), F.regexp_extract("line", CLASS_RE, 1).alias("name")),
                              F.struct(F.lit("def").alias("kind"), F.regexp_extract("line", DEF_RE, 1).alias("name"))),
                      lambda k: k["name"] != "")
-    return (lines.select(*keep, (F.col("_pos") + 1).alias("line_no"), "line", F.explode(kinds).alias("_k"))
+    return (lines.select(*keep, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line", F.explode(kinds).alias("_k"))
             .select(*keep, "line_no", "_k.kind", "_k.name",
                     F.length(F.regexp_extract("line", "^" + JS_WS + "*", 0)).alias("indent")))
 
@@ -138,7 +138,7 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     # contains (first-byte scan) rejects most pairs cheaply; instr, which
     # compares at every position, runs only on pairs that do contain the name
     hits = (f.join(_bounded(names), "repo_id").filter(F.col("content").contains(F.col("_base")) & (pos > 0))
-            .select("repo_id", "_base", "path", "_o", line_no.alias("line_no")))
+            .select("repo_id", "_base", "path", "_o", line_no.cast("bigint").alias("line_no")))
     best = (hits.groupBy("repo_id", "_base")
             .agg(F.min_by(F.struct("path", "line_no"), F.struct("_o", "line_no")).alias("_w")))
     first = (req.join(best, ["repo_id", "_base"])

@@ -13,6 +13,7 @@ import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -145,7 +146,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool = Tru
 
     from auditlens.session import checkpoint_dir
 
-    tag = hashlib.sha1(("v2" + os.path.abspath(sf_dir) + FX_SQL[name]).encode()).hexdigest()[:12]
+    tag = hashlib.sha1(("v3" + os.path.abspath(sf_dir) + FX_SQL[name]).encode()).hexdigest()[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{tag}"
     key = (spark.sparkContext.applicationId, path)
     if key in _READS:
@@ -155,6 +156,9 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, materialize: bool = Tru
     except AnalysisException:
         register_tables(spark, sf_dir, FX_BASE[name])
         df = spark.sql(FX_SQL[name])
+        # row_number() is INT in Spark and BIGINT in SQL engines; ordinals are BIGINT here
+        df = df.select(*[F.col(c).cast("bigint").alias(c) if c in ("file_ord", "seq", "round") else F.col(c)
+                         for c in df.columns])
         # several files, as landed tables have: input splits then spread the
         # (CPU-heavy, text) work over all cores without any extra shuffle
         df.repartition(2 * spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)

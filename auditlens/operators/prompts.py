@@ -3,7 +3,7 @@ aggregation; conversation history by a bounded row-frame window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
@@ -116,23 +116,29 @@ def history_window(messages: DataFrame, depth: int = 5, chars: int = 2000, keys=
     History = the conversation's user/assistant messages.  When it holds more
     than two messages (the current one included), the up-to-``depth``
     preceding ones, each cut to ``chars`` characters and wrapped in
-    <role>…</role>, are prefixed inside <conversation_context>.  A row frame
-    of ``depth`` rows bounds the work per row; no conversation is gathered
-    whole.
+    <role>…</role>, are prefixed inside <conversation_context>.
+
+    No conversation is sorted as one window partition: positions come from
+    the two-level rank, each message is sent to the ``depth`` positions that
+    follow it, and contexts are assembled per (conversation, position) -
+    groups of at most ``depth`` items hashed across tasks.  ``order`` must be
+    unique within a conversation.
     """
-    h = messages.filter(F.col("role").isin("user", "assistant"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    frame = w.rowsBetween(-depth, -1)
-    item = F.struct(F.col(order).alias("o"), F.concat(F.lit("<"), F.col("role"), F.lit(">"),
-                                                      F.substring(F.col("text"), 1, chars),
-                                                      F.lit("</"), F.col("role"), F.lit(">")).alias("m"))
-    prev = F.transform(F.array_sort(F.collect_list(item).over(frame)), lambda s: s["m"])
-    h = h.withColumn("_n", F.row_number().over(w)).withColumn("_prev", prev)
+    from auditlens.operators.findings import rank_two_level
+
+    h = rank_two_level(messages.filter(F.col("role").isin("user", "assistant")), keys, [F.col(order).asc()], out="_n")
+    item = F.concat(F.lit("<"), F.col("role"), F.lit(">"), F.substring(F.col("text"), 1, chars),
+                    F.lit("</"), F.col("role"), F.lit(">"))
+    feed = h.select(*keys, F.col("_n").alias("_src"), item.alias("m"),
+                    F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + depth)).alias("_n"))
+    ctx = (feed.groupBy(*keys, "_n")
+           .agg(F.array_sort(F.collect_list(F.struct("_src", "m"))).alias("_prev")))
+    users = h.filter(F.col("role") == "user").join(ctx, [*keys, "_n"], "left")
+    prev = F.transform(F.coalesce(F.col("_prev"), F.array().cast(ctx.schema["_prev"].dataType)), lambda s: s["m"])
     base = F.col("text")
     if prefill_hint:
         base = F.concat(base, F.lit("\n\nIMPORTANT: Begin your JSON response starting with: " + dims.PREFILL))
-    ctx = F.when((F.col("_n") > 2) & (F.size("_prev") > 0), F.array_join("_prev", "\n"))
-    full = F.when(ctx.isNotNull(), F.concat(F.lit("<conversation_context>\n"), ctx,
-                                            F.lit("\n</conversation_context>\n\n"), base)).otherwise(base)
-    return (h.filter(F.col("role") == "user")
-            .select(*keys, order, ctx.alias("context"), full.alias("prompt")))
+    ctx_txt = F.when((F.col("_n") > 2) & (F.size(prev) > 0), F.array_join(prev, "\n"))
+    full = F.when(ctx_txt.isNotNull(), F.concat(F.lit("<conversation_context>\n"), ctx_txt,
+                                                F.lit("\n</conversation_context>\n\n"), base)).otherwise(base)
+    return users.select(*keys, order, ctx_txt.alias("context"), full.alias("prompt"))

@@ -127,7 +127,8 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
         out = read(root).select(repo.alias("repo_id"), path.alias("path"), "content")
         out = out.unionByName(_hidden_files(spark, root, glob, repo_depth))
     if with_ord:
-        out = out.withColumn("file_ord", F.row_number().over(Window.partitionBy("repo_id").orderBy("path")))
+        from auditlens.operators.findings import rank_two_level
+        out = rank_two_level(out, ["repo_id"], [F.col("path").asc()], out="file_ord")
     return out
 
 

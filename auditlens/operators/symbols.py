@@ -112,11 +112,24 @@ def resolve_definition(requests: DataFrame, defs: DataFrame) -> DataFrame:
                     F.col("_w.kind").alias("kind")))
 
 
-def _bounded(df: DataFrame, limit: int = MAX_BROADCAST_REQUESTS) -> DataFrame:
+def _bounded(df: DataFrame, limit: int = MAX_BROADCAST_REQUESTS, proven: bool | None = None) -> DataFrame:
+    """Broadcast when the side is proven small: either by the caller (a bound
+    inherited from the request table, no job) or by a row-count check."""
+    if proven is True:
+        return F.broadcast(df)
+    if proven is False:
+        return df
     return broadcast_if_small(df, limit)
 
 
-def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_BEFORE, after: int = REF_AFTER) -> DataFrame:
+def requests_small(requests: DataFrame, limit: int = MAX_BROADCAST_REQUESTS) -> bool:
+    """One count of the request table bounds every per-request side derived
+    from it (distinct names, first hits, winners: at most one row per request)."""
+    return requests.limit(limit + 1).count() <= limit
+
+
+def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_BEFORE, after: int = REF_AFTER,
+                      small: bool | None = None) -> DataFrame:
     """First line (file order, then line) containing the name's last part;
     returns lines i-before .. i+after-1 around it.
 
@@ -128,6 +141,8 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     every request that asked for that name.
     """
     ordc = _order_col(files)
+    if small is None:
+        small = requests_small(requests)
     req = request_parts(requests).select("request_id", "repo_id", F.element_at("_parts", -1).alias("_base"))
     # one search per distinct (repo, name): requests repeating a name share it
     names = req.select("repo_id", "_base").distinct()
@@ -137,7 +152,7 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     line_no = F.length(before_txt) - F.length(F.replace(before_txt, F.lit("\n"), F.lit(""))) + 1
     # contains (first-byte scan) rejects most pairs cheaply; instr, which
     # compares at every position, runs only on pairs that do contain the name
-    hits = (f.join(_bounded(names), "repo_id").filter(F.col("content").contains(F.col("_base")) & (pos > 0))
+    hits = (f.join(_bounded(names, proven=small), "repo_id").filter(F.col("content").contains(F.col("_base")) & (pos > 0))
             .select("repo_id", "_base", "path", "_o", line_no.cast("bigint").alias("line_no")))
     best = (hits.groupBy("repo_id", "_base")
             .agg(F.min_by(F.struct("path", "line_no"), F.struct("_o", "line_no")).alias("_w")))
@@ -148,7 +163,7 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     lines = F.split("content", "\n", -1)
     start = F.greatest(F.lit(1), F.col("line_no") - F.lit(before))
     end = F.least(F.size(lines), F.col("line_no") + F.lit(after - 1))
-    return ctx.join(_bounded(first), ["repo_id", "file_path"]).select(
+    return ctx.join(_bounded(first, proven=small), ["repo_id", "file_path"]).select(
         "request_id", "file_path", "line_no",
         F.array_join(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")), "\n").alias("source"))
 
@@ -160,15 +175,17 @@ def resolve_symbols_batch(requests: DataFrame, files: DataFrame) -> tuple[DataFr
     ``found``/``how``/``file_path``/``source``; counts give resolved/total per
     repository.
     """
+    small = requests_small(requests)
     defs = definition_index(files)
     d = resolve_definition(requests, defs)
     f_text = files.select("repo_id", F.col("path").alias("file_path"), "content")
-    d_src = (f_text.join(_bounded(d.join(requests.select("request_id", "repo_id"), "request_id")), ["repo_id", "file_path"])
+    d_src = (f_text.join(_bounded(d.join(requests.select("request_id", "repo_id"), "request_id"), proven=small),
+                         ["repo_id", "file_path"])
              .select("request_id", "file_path", "line_no",
                      block_expr(F.split("content", "\n", -1), F.col("line_no")).alias("source"),
                      F.lit("definition").alias("how")))
     left = requests.join(d.select("request_id"), "request_id", "left_anti")
-    r_src = resolve_reference(left, files).withColumn("how", F.lit("reference"))
+    r_src = resolve_reference(left, files, small=small).withColumn("how", F.lit("reference"))
     found = d_src.unionByName(r_src)
     res = (requests.join(found, "request_id", "left")
            .select("request_id", "repo_id", F.col("name").alias("context_name_requested"), "name",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,10 +178,15 @@ def rank_two_level(df: DataFrame, by, order, out: str = "pos", slices: int | Non
     by = list(by)
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the slice is assigned once and persisted: range bounds come from a
-    # sample, so two separate exchanges could cut the groups differently
-    keyed = (df.repartitionByRange(n, *[F.col(c) for c in by], *order)
-             .withColumn("_slice", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    # the slice is assigned once and written to the shared checkpoint folder:
+    # range bounds come from a sample, so two separate exchanges could cut the
+    # groups differently; the written table is fixed even if executors are lost
+    import uuid
+
+    from auditlens.functions.plan import cut_lineage
+
+    keyed = cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in by], *order)
+                        .withColumn("_slice", F.spark_partition_id()), f"rank/{uuid.uuid4().hex}")
     local = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
     ranked = keyed.withColumn("_local", local)
     counts = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))

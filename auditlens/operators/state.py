@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from auditlens.functions.plan import cut_lineage
 from auditlens.operators.responses import JS_WS
 
-STATUS_RANK = {"pending": 0, "complete": 1}
-
-
 def pending_files(files: DataFrame, state: DataFrame, keys=("repo_id", "path")) -> DataFrame:
     """Files still to analyse: the list minus completed entries (anti-join)."""
     done = state.filter(F.col("status") == "complete").select(*keys)

@@ -134,9 +134,15 @@ def file_cost_lookup(files: DataFrame, costs: DataFrame, by=("scan_id",), path_c
             .withColumn("cost_nano", F.coalesce(F.col("_c"), F.lit(0)).cast("bigint")).drop("_c"))
 
 
-def cost_summary(costs: DataFrame, by=("scan_id",)) -> DataFrame:
-    """Totals per scan; elapsed is max(ts) - min(ts) in seconds (1 decimal)."""
-    return (costs.groupBy(*by).agg(
+def cost_summary(costs: DataFrame, by=("scan_id",), with_model_map: bool = False) -> DataFrame:
+    """Totals per scan; elapsed is max(ts) - min(ts) in seconds (1 decimal).
+
+    ``with_model_map`` adds ``costs_by_model`` (model → USD, 4 decimals): a
+    map over the scan's few models.  Per-file costs stay the
+    ``cost_by_file`` table - a map of every file of a scan would gather an
+    unbounded group into one value.
+    """
+    out = (costs.groupBy(*by).agg(
         F.sum("cost_nano").alias("cost_nano"),
         F.sum("input_tokens").cast("bigint").alias("total_input_tokens"),
         F.sum("output_tokens").cast("bigint").alias("total_output_tokens"),
@@ -147,6 +153,11 @@ def cost_summary(costs: DataFrame, by=("scan_id",)) -> DataFrame:
         .withColumn("elapsed_seconds", F.floor(
             (F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
              + F.lit(50000)) / F.lit(100000)).cast("double") / F.lit(10.0)))
+    if with_model_map:
+        m = (cost_by_model(costs, by).groupBy(*by)
+             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "cost_usd")))).alias("costs_by_model")))
+        out = out.join(m, list(by), "left")
+    return out
 
 
 def restore_ledger(prior: DataFrame, new: DataFrame, key: str = "call_id") -> DataFrame:

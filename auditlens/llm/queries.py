@@ -37,3 +37,9 @@ def op2(spark, sf):
 def op6(spark, sf):
     from auditlens.llm.token_attribution import count_tokens
     return count_tokens(read(spark, sf, "documents"))
+
+
+@register("op5_line_quality")
+def op5(spark, sf):
+    from auditlens.llm.line_quality import judge_documents
+    return judge_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))

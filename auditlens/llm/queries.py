@@ -43,3 +43,22 @@ def op6(spark, sf):
 def op5(spark, sf):
     from auditlens.llm.line_quality import judge_documents
     return judge_documents(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
+@register("op4_substring_dedup", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+n AS (SELECT doc_id, words, CAST(len(words) AS BIGINT) AS n_words FROM w),
+s AS (SELECT doc_id, words, unnest(range(1, n_words - 48)) AS p FROM n WHERE n_words >= 50),
+k AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win FROM s),
+f AS (SELECT win, min(doc_id) AS lo FROM k GROUP BY win),
+h AS (SELECT k.doc_id, k.p FROM k JOIN f ON k.win = f.win WHERE f.lo < k.doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM h),
+r AS (SELECT doc_id, list(q) AS gone, count(*) AS n_removed FROM c GROUP BY doc_id)
+SELECT n.doc_id, n.n_words, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN r.gone IS NULL THEN array_to_string(words, ' ')
+    ELSE array_to_string(list_filter(words, (x, i) -> NOT list_contains(r.gone, i)), ' ') END) AS kept_sha256
+FROM n LEFT JOIN r ON n.doc_id = r.doc_id
+""")
+def op4(spark, sf):
+    from auditlens.llm.substring_dedup import remove_repeats
+    return remove_repeats(read(spark, sf, "documents")).drop("kept_text")

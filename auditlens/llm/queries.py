@@ -62,3 +62,32 @@ FROM n LEFT JOIN r ON n.doc_id = r.doc_id
 def op4(spark, sf):
     from auditlens.llm.substring_dedup import remove_repeats
     return remove_repeats(read(spark, sf, "documents")).drop("kept_text")
+
+
+@register("op8_pii")
+def op8(spark, sf):
+    from auditlens.llm.pii import find_pii
+    return find_pii(read(spark, sf, "documents"))
+
+
+@register("op9_decontamination", """
+WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM benchmark),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM documents),
+bs AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS win, least(len(w), 10) AS size FROM bs),
+sizes AS (SELECT DISTINCT size FROM win),
+ds AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT ds.doc_id, ds.p, ds.size, win.item_id FROM ds JOIN win ON win.size = ds.size AND win.win = array_to_string(ds.w[ds.p:ds.p + ds.size - 1], ' ')),
+pos AS (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS q FROM hit),
+n AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(it.items, '')) AS items_sha256, n.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
+""")
+def op9(spark, sf):
+    from auditlens.llm.decontamination import find_contamination
+    return find_contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))

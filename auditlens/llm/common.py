@@ -69,7 +69,7 @@ def number_rows(df: DataFrame, by: list[str], order: Column, slices: int, out: s
     offsets = counts.select(*by, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(*by, "__slice").orderBy("__order")
     numbered = cut.withColumn("__row", F.row_number().over(inside))
-    return (numbered.join(offsets, [*by, "__slice"])
+    return (numbered.join(offsets, [*by, "__slice"])  # offsets: one row per slice and group
             .withColumn(out, (F.col("__before") + F.col("__row") - 1).cast("bigint"))
             .drop("__slice", "__order", "__before", "__row", "__n"))
 

@@ -91,3 +91,15 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 def op9(spark, sf):
     from auditlens.llm.decontamination import find_contamination
     return find_contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@register("op3_sharding")
+def op3(spark, sf):
+    from auditlens.llm.sharding import shard_documents
+    return shard_documents(read(spark, sf, "documents"))
+
+
+@register("op10_best_fit_packing")
+def op10(spark, sf):
+    from auditlens.llm.packing import pack_documents
+    return pack_documents(read(spark, sf, "documents"))

@@ -103,3 +103,9 @@ def op3(spark, sf):
 def op10(spark, sf):
     from auditlens.llm.packing import pack_documents
     return pack_documents(read(spark, sf, "documents"))
+
+
+@register("op7_jaccard_join")
+def op7(spark, sf):
+    from auditlens.llm.jaccard_join import similar_documents
+    return similar_documents(read(spark, sf, "documents"))

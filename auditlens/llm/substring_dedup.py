@@ -7,8 +7,9 @@ word, so the path is compacted in two steps.
 
 1. **Edges.**  Each window belongs to its least k-mer (15 words, by hash; the
    first one on a tie), which depends on the window's words alone.  Windows in
-   a row with the same k-mer make an *edge*: about one row per 18 words, with
-   a 128-bit hash of all its words.  Equal hashes mean equal windows.
+   a row with the same k-mer make an *edge*: about one row per 18 words, keyed
+   by the k-mer's hash ``a`` and the hash ``c`` of all its words (128 bits
+   together).  Equal keys mean equal windows.
 2. **Paths.**  Edges seen in more than one document, followed and preceded by
    one and the same edge wherever they occur, join into paths by pointer
    doubling (Spark joins on the edge hash).  Only path heads are joined back
@@ -16,7 +17,7 @@ word, so the path is compacted in two steps.
 
 Where a k-mer has several edges (the graph branches: passage ends, edited
 copies), the windows of one source occurrence of each edge are hashed from the
-text at its coordinates (128 bits) and matched one by one, which verifies the
+text at its coordinates (with the k-mer 128 bits) and matched one by one, which verifies the
 part of a span that two documents share.  The result is exact but for 128-bit
 hash collisions.  No step gathers a group; joins are on hashes (AQE splits
 skewed ones) and aggregates combine before the shuffle.
@@ -38,9 +39,9 @@ from auditlens.llm.common import drop, ready, written
 WINDOW, KMER = 50, 15
 _FULL = np.int64(-1)
 
-_EDGE = "struct<a:long,c1:long,c2:long,start:int,n:int>"
-_FACTS = f"doc_id long, k1 long, n_words long, words_sha256 string, edges array<{_EDGE}>"
-_EDGE_TYPE = pa.struct([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_EDGE = "struct<a:long,c:long,start:int,n:int>"
+_FACTS = f"doc_id long, k1 int, n_words long, words_sha256 string, edges array<{_EDGE}>"
+_EDGE_TYPE = pa.struct([("a", pa.int64()), ("c", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
 def _least_kmers(words: np.ndarray, bounds: np.ndarray, window: int, kmer: int):
@@ -65,11 +66,11 @@ def _least_kmers(words: np.ndarray, bounds: np.ndarray, window: int, kmer: int):
 
 
 def edges_of(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW, kmer: int = KMER):
-    """Edges of several documents: (document, a, c1, c2, start in document, windows)."""
+    """Edges of several documents: (document, a, c, start in document, windows)."""
     starts, at, kmers = _least_kmers(words, bounds, window, kmer)
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z, z
+        return z, z, z, z, z
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
@@ -78,14 +79,14 @@ def edges_of(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW, kmer:
     hi = lo + n + window - 1
     shape = (at[first] - lo).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)
     a = kmers[at[first]]
-    c = [K.mix(K.hash_spans(words, lo, hi, s) + shape * np.uint64(2 * s + 1)) for s in (1, 2)]
+    c = K.mix(K.hash_spans(words, lo, hi, 2) + shape * np.uint64(5))
     doc = np.searchsorted(bounds, lo, side="right") - 1
-    return doc, a.view(np.int64), c[0].view(np.int64), c[1].view(np.int64), lo - bounds[doc], n
+    return doc, a.view(np.int64), c.view(np.int64), lo - bounds[doc], n
 
 
 def _key(words: np.ndarray) -> int:
-    """Hash of a whole word sequence, to tell rows with one doc_id apart."""
-    return int(K.hash_spans(words, np.array([0]), np.array([len(words)]))[0].astype(np.int64)) if len(words) else 0
+    """32-bit hash of a whole word sequence, to tell rows with one doc_id apart."""
+    return int(K.hash_spans(words, np.array([0]), np.array([len(words)])).view(np.int32)[0]) if len(words) else 0
 
 
 def document_edges(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
@@ -97,62 +98,70 @@ def document_edges(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
             data, offsets = K.text_bytes(batch.column(1))
             for i, j in K.chunks(offsets):
                 words, _, _, bounds = K.words_of(data, offsets, i, j)
-                doc, a, c1, c2, start, n = edges_of(words, bounds, window, kmer)
-                cells = pa.StructArray.from_arrays([pa.array(a), pa.array(c1), pa.array(c2), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
+                doc, a, c, start, n = edges_of(words, bounds, window, kmer)
+                cells = pa.StructArray.from_arrays([pa.array(a), pa.array(c), pa.array(start, pa.int32()), pa.array(n, pa.int32())],
                                                    fields=list(_EDGE_TYPE))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(j - i + 1)), pa.int32()), cells)
                 sha = [hashlib.sha256(b" ".join(data[offsets[r]:offsets[r + 1]].tobytes().split())).hexdigest() for r in range(i, j)]
                 keys = [_key(words[bounds[r]:bounds[r + 1]]) for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.array(sha), lists],
+                    [batch.column(0).slice(i, j - i), pa.array(keys, pa.int32()), pa.array(np.diff(bounds)), pa.array(sha), lists],
                     ["doc_id", "k1", "n_words", "words_sha256", "edges"])
 
     return docs.select("doc_id", "text").mapInArrow(work, _FACTS)
 
 
-def _classes(facts: DataFrame) -> DataFrame:
-    """One row per distinct edge: first and last document, a source occurrence in the first, and what stands before and after it."""
-    chained = F.expr("transform(edges, (e, i) -> struct(e.a, e.c1, e.c2, e.start, e.n, "
-                     "if(i > 0, edges[i - 1].c1, 0L) AS p1, if(i > 0, edges[i - 1].c2, 0L) AS p2, "
-                     "if(i + 1 < size(edges), edges[i + 1].c1, 0L) AS q1, if(i + 1 < size(edges), edges[i + 1].c2, 0L) AS q2))")
-    rows = facts.where("doc_id IS NOT NULL AND size(edges) > 0").select("doc_id", "k1", F.explode(chained).alias("e")).select("doc_id", "k1", "e.*")
-    return (rows.groupBy("a", "c1", "c2")
+def shared_edges(facts: DataFrame) -> DataFrame:
+    """Edge occurrences whose k-mer stands in more than one document: doc_id, k1, a, c, start, n, p, q.
+
+    p and q are the hashes of the edges before and after it (0 at the ends).
+    Only the k-mer and the doc_id go through the first shuffle.
+    """
+    edges = facts.where("doc_id IS NOT NULL AND size(edges) > 0")
+    kmers = (edges.select("doc_id", F.explode("edges.a").alias("a")).groupBy("a")
+             .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a"))
+    chained = F.expr("transform(edges, (e, i) -> struct(e.a, e.c, e.start, e.n, "
+                     "if(i > 0, edges[i - 1].c, 0L) AS p, if(i + 1 < size(edges), edges[i + 1].c, 0L) AS q))")
+    return edges.select("doc_id", "k1", F.explode(chained).alias("e")).select("doc_id", "k1", "e.*").join(kmers, "a", "left_semi")
+
+
+def _classes(shared: DataFrame) -> DataFrame:
+    """One row per distinct edge: first and last document, a source occurrence in the first, and the edges before and after it if always the same."""
+    return (shared.groupBy("a", "c")
             .agg(F.min(F.struct("doc_id", "k1", "start", "n")).alias("src"), F.max("doc_id").alias("last"),
-                 F.min(F.struct("p1", "p2")).alias("p"), F.max(F.struct("p1", "p2")).alias("p_max"),
-                 F.min(F.struct("q1", "q2")).alias("q"), F.max(F.struct("q1", "q2")).alias("q_max"))
-            .select("a", "c1", "c2", F.col("src.doc_id").alias("first"), "last", F.col("src.k1").alias("k1"), F.col("src.start").alias("start"),
+                 F.min("p").alias("p"), F.max("p").alias("p_max"), F.min("q").alias("q"), F.max("q").alias("q_max"))
+            .select("a", "c", F.col("src.doc_id").alias("first"), "last", F.col("src.k1").alias("k1"), F.col("src.start").alias("start"),
                     F.col("src.n").alias("n"), F.when(F.col("p") == F.col("p_max"), F.col("p")).alias("p"),
                     F.when(F.col("q") == F.col("q_max"), F.col("q")).alias("q")))
 
 
 def _paths(classes: DataFrame, name: str = "paths") -> DataFrame:
-    """Heads of the repeated nonbranching paths: c1, c2, first, windows of the whole path."""
-    rep = written(classes.where("first < last").select("c1", "c2", "first", "n", "p", "q"), name)
-    before = rep.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("q").alias("bq"))
+    """Heads of the repeated nonbranching paths: a, c, first, windows of the whole path."""
+    rep = written(classes.where("first < last").select("a", "c", "first", "n", "p", "q"), name)
+    before = rep.select(F.col("a").alias("ba"), F.col("c").alias("bc"), F.col("q").alias("bq"))
     # the edge before is repeated too, is always the one before, and is always followed by this one
-    linked = rep.join(before, (F.col("p.p1") == F.col("b1")) & (F.col("p.p2") == F.col("b2"))
-                      & (F.col("bq.q1") == F.col("c1")) & (F.col("bq.q2") == F.col("c2")), "left")
-    now = written(linked.select("c1", "c2", F.coalesce("b1", "c1").alias("h1"), F.coalesce("b2", "c2").alias("h2")), name)
+    linked = rep.join(before, (F.col("p") == F.col("bc")) & (F.col("bq") == F.col("c")), "left")
+    now = written(linked.select("a", "c", F.coalesce("ba", "a").alias("ha"), F.coalesce("bc", "c").alias("hc")), name)
     while True:  # pointer doubling: as many rounds as the logarithm of the longest path
-        up = now.select(F.col("c1").alias("h1"), F.col("c2").alias("h2"), F.col("h1").alias("u1"), F.col("h2").alias("u2"))
-        moving = now.where("c1 <> h1 OR c2 <> h2")
-        nxt = written(moving.join(up, ["h1", "h2"]).select("c1", "c2", F.col("u1").alias("h1"), F.col("u2").alias("h2"), (F.expr("u1 <> h1 OR u2 <> h2")).alias("moved"))
-                      .unionByName(now.where("c1 = h1 AND c2 = h2").withColumn("moved", F.lit(False))), name)
+        up = now.select(F.col("a").alias("ha"), F.col("c").alias("hc"), F.col("ha").alias("ua"), F.col("hc").alias("uc"))
+        moving = now.where("a <> ha OR c <> hc").join(up, ["ha", "hc"])
+        nxt = written(moving.select("a", "c", F.col("ua").alias("ha"), F.col("uc").alias("hc"), F.expr("ua <> ha OR uc <> hc").alias("moved"))
+                      .unionByName(now.where("a = ha AND c = hc").withColumn("moved", F.lit(False))), name)
         moved = not nxt.where("moved").isEmpty()
         drop(now)
         now = nxt.drop("moved")
         now._scratch = nxt._scratch
         if not moved:
             break
-    sums = rep.join(now, ["c1", "c2"]).groupBy("h1", "h2").agg(F.sum("n").cast("int").alias("n"), F.min("first").alias("first"))
-    return sums.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first", "n")
+    sums = rep.join(now, ["a", "c"]).groupBy("ha", "hc").agg(F.sum("n").cast("int").alias("n"), F.min("first").alias("first"))
+    return sums.select(F.col("ha").alias("a"), F.col("hc").alias("c"), "first", "n")
 
 
 def _branch_masks(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
     """For edges of branching k-mers: which of their windows start in an earlier document (bit mask by window)."""
     many = classes.groupBy("a").agg(F.count("*").alias("edges"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("edges > 1 AND lo < hi")
     picked = classes.join(many.select("a"), "a", "left_semi")
-    wanted = picked.groupBy(F.col("first").alias("doc_id"), "k1").agg(F.collect_list(F.struct("c1", "c2", "start", "n")).alias("at"))
+    wanted = picked.groupBy(F.col("first").alias("doc_id"), "k1").agg(F.collect_list(F.struct("a", "c", "start", "n")).alias("at"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,17 +176,17 @@ def _branch_masks(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame
                 bit = np.concatenate([np.arange(k) for k in n])
                 pos = np.repeat(start, n) + bit
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.hash_windows(words, window, 1)[pos].view(np.int64)), pa.array(K.hash_windows(words, window, 2)[pos].view(np.int64)),
+                    [pa.array(np.repeat(np.asarray(at.field("a")), n)), pa.array(K.hash_windows(words, window)[pos].view(np.int64)),
                      pa.array(np.full(len(pos), batch.column(0)[r].as_py(), np.int64)),
-                     pa.array(np.repeat(np.asarray(at.field("c1")), n)), pa.array(np.repeat(np.asarray(at.field("c2")), n)), pa.array(bit, pa.int32())],
-                    ["w1", "w2", "first", "c1", "c2", "bit"])
+                     pa.array(np.repeat(np.asarray(at.field("c")), n)), pa.array(bit, pa.int8())],
+                    ["a", "w", "first", "c", "bit"])
 
     rows = (docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "k1", "at")
-            .mapInArrow(work, "w1 long, w2 long, first long, c1 long, c2 long, bit int"))
+            .mapInArrow(work, "a long, w long, first long, c long, bit byte"))
     windows = written(rows, "windows")
-    earliest = windows.groupBy("w1", "w2").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").drop("hi")
-    hit = windows.join(earliest, ["w1", "w2"]).where("lo < first")
-    return hit.groupBy("c1", "c2").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    earliest = windows.groupBy("a", "w").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").drop("hi")
+    hit = windows.join(earliest, ["a", "w"]).where("lo < first")
+    return hit.groupBy("a", "c").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, facts: DataFrame | None = None) -> DataFrame:
@@ -189,12 +198,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, fact
     if window - kmer + 1 > 62:
         raise ValueError("window - kmer must be at most 61: windows of an edge are bits of a long")
     facts = facts if facts is not None else written(document_edges(docs, window, kmer), "edges")
-    classes = written(_classes(facts), "classes")
+    shared = written(shared_edges(facts), "shared")
+    classes = written(_classes(shared), "classes")
     heads = _paths(classes).withColumn("mask", F.lit(-1).cast("bigint"))
     masks = _branch_masks(docs, classes, window)
-    partial = classes.select("c1", "c2", "first", "n").join(masks, ["c1", "c2"])
-    cells = facts.where("doc_id IS NOT NULL AND size(edges) > 0").select("doc_id", "k1", F.explode("edges").alias("e")).select("doc_id", "k1", "e.c1", "e.c2", "e.start")
-    found = cells.join(heads.unionByName(partial.select("c1", "c2", "first", "n", "mask")), ["c1", "c2"])
+    partial = classes.select("a", "c", "first", "n").join(masks, ["a", "c"])
+    found = shared.select("doc_id", "k1", "a", "c", "start").join(heads.unionByName(partial.select("a", "c", "first", "n", "mask")), ["a", "c"])
     # later documents share a path whole; in the first document of an edge only its masked windows are earlier elsewhere
     return found.where("(mask = -1 AND first < doc_id) OR (mask <> -1 AND first = doc_id)").select("doc_id", "k1", "start", "n", "mask")
 
@@ -237,11 +246,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> D
                 out.append((batch.column(0)[r].as_py(), keys[r], int((~keep).sum()), hashlib.sha256(text).hexdigest(), text.decode()))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)],
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)],
                     ["doc_id", "k1", "n_removed", "kept_sha256", "kept_text"])
 
     cut = (docs.join(plan, "doc_id").select("doc_id", "text", "k1", "at")
-           .mapInArrow(work, "doc_id long, k1 long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "k1"]))
+           .mapInArrow(work, "doc_id long, k1 int, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "k1"]))
     base = facts.select("doc_id", "k1", "n_words", "words_sha256")
     return (base.join(cut, ["doc_id", "k1"], "left")
             .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),

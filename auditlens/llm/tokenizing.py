@@ -17,9 +17,11 @@ import numpy as np
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Cached pieces per worker (about 250 bytes each); the cache starts anew beyond it.
-MAX_CACHED = 600_000
+MAX_CACHED = 800_000
 _NOT_PLAIN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: ASCII marks that the pre-tokenizer always cuts from a letter before them (apostrophes may start a contraction).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -65,9 +67,15 @@ class PieceEncoder:
         if len(self.cache) + len(missing) > MAX_CACHED:
             self.cache = {}
             missing = list(set().union(*pieces))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i:i + 20_000]
+        # most new pieces are known words with new marks: encode the two parts apart
+        tails = {p: len(core) for p in missing if self.cuttable and len(core := p.rstrip(_MARKS)) < len(p) and core[-1:].isalpha()}
+        parts = {p[:n] for p, n in tails.items()} | {p[n:] for p, n in tails.items()} | {p for p in missing if p not in tails}
+        parts = list(parts.difference(self.cache))
+        for i in range(0, len(parts), 20_000):
+            part = parts[i:i + 20_000]
             self.cache.update(zip(part, self._ids(part), strict=True))
+        for p, n in tails.items():
+            self.cache[p] = self.cache[p[:n]] + self.cache[p[n:]]
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 

@@ -17,8 +17,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     shuffle join (AQE may still pick a broadcast from measured sizes).
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:

@@ -194,13 +194,16 @@ def prefix_sum(df: DataFrame, part, order: str, value: str, out: str, inclusive:
 def budget_gate(costs: DataFrame, budget_usd: float | None, by=("scan_id",)) -> DataFrame:
     """Per file in file order (first call): spent before it and admitted.
 
-    A file is admitted iff the cost of all earlier files is below the budget;
-    costs are non-negative, so the prefix is monotone and the gate never
-    reopens.  No budget admits everything.
+    A file is admitted iff the total spent before it is below the budget: the
+    cost of all earlier files and of every call without a file made before
+    its first call.  Costs are non-negative, so the prefix is monotone and
+    the gate never reopens.  No budget admits everything.
     """
     files = (costs.filter(F.col("file_path").isNotNull())
              .groupBy(*by, "file_path").agg(F.min("seq").alias("first_seq"), F.sum("cost_nano").alias("file_nano")))
-    out = prefix_sum(files, by, "first_seq", "file_nano", "spent_before_nano", inclusive=False)
+    other = costs.filter(F.col("file_path").isNull()).select(*by, "file_path", F.col("seq").alias("first_seq"), F.col("cost_nano").alias("file_nano"))
+    out = (prefix_sum(files.unionByName(other), by, "first_seq", "file_nano", "spent_before_nano", inclusive=False)
+           .filter(F.col("file_path").isNotNull()))
     adm = F.lit(True) if budget_usd is None else F.col("spent_before_nano") < F.lit(int(round(budget_usd * 1e9)))
     return out.withColumn("admitted", adm)
 

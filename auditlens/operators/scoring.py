@@ -87,12 +87,15 @@ def score_prompts(prompts: DataFrame, scorer, keys=("repo_id", "path"), prompt_c
                 texts = part[prompt_col].fillna("")
                 try:
                     raw = pd.Series(list(scorer(texts.reset_index(drop=True))), dtype=object)
+                    if len(raw) != len(part):
+                        raise ValueError(f"the scorer returned {len(raw)} replies for {len(part)} prompts")
                     err = pd.Series([None] * len(part), dtype=object)
                 except Exception:  # noqa: BLE001 - isolate the failing rows
                     vals, errs = [], []
                     for t in texts:
                         try:
-                            vals.append(list(scorer(pd.Series([t])))[0])
+                            (reply,) = scorer(pd.Series([t]))  # exactly one
+                            vals.append(reply)
                             errs.append(None)
                         except Exception as e:  # noqa: BLE001
                             vals.append(None)

@@ -3,6 +3,8 @@ resumable scans, state-record normalisation and option precedence."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,15 @@ def mark_complete(state: DataFrame, updates: DataFrame, keys=("repo_id", "path")
                   name: str | None = None) -> DataFrame:
     """Idempotent upsert: latest ``updated_at`` wins per key, 'complete' beats
     'pending' at equal times.  Updates for files skipped by the budget or
-    unreadable simply carry status 'pending'.  With ``name`` the new state
-    version is written to the shared checkpoint folder (append-only log of
-    versions; nothing is modified in place)."""
+    unreadable simply carry status 'pending'.  With ``name`` the new state is
+    written to a version folder of its own below ``name`` in the shared
+    checkpoint folder; the version it was read from is never touched."""
     both = state.select(*keys, "status", "updated_at").unionByName(updates.select(*keys, "status", "updated_at"))
     rank = F.when(F.col("status") == "complete", F.lit(1)).otherwise(F.lit(0))
     out = (both.groupBy(*keys)
            .agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", rank.alias("r"))).alias("_w"))
            .select(*keys, "_w.status", "_w.updated_at"))
-    return cut_lineage(out, name) if name else out
+    return cut_lineage(out, f"{name}/{uuid.uuid4().hex}") if name else out
 
 
 def progress_summary(state: DataFrame, repos: DataFrame | None = None, by=("repo_id",)) -> DataFrame:
@@ -57,12 +59,15 @@ def resumable_scans(state: DataFrame, by=("repo_id",)) -> DataFrame:
 STATE_SCHEMA = ("completedFiles array<string>, completed_files array<string>, pendingFiles array<string>, "
                 "pending_files array<string>, currentFile string, current_file string, repoPath string, "
                 "repo_path string, model string, startedAt string, started_at string, lastUpdated string, "
-                "last_updated string, version string, vulnhuntr_version string")
+                "last_updated string, version string")
+
 
+def normalize_state(records: DataFrame, text_col: str = "json", legacy_version_keys: tuple[str, ...] = ()) -> DataFrame:
+    """camelCase or snake_case state records → one schema with defaults.
 
-def normalize_state(records: DataFrame, text_col: str = "json") -> DataFrame:
-    """camelCase or snake_case state records → one schema with defaults."""
-    s = F.from_json(F.col(text_col), STATE_SCHEMA)
+    ``legacy_version_keys``: names under which older writers kept the version.
+    """
+    s = F.from_json(F.col(text_col), ", ".join([STATE_SCHEMA, *(f"`{k}` string" for k in legacy_version_keys)]))
     pick = lambda a, b: F.coalesce(s[a], s[b])
     keep = [c for c in records.columns if c != text_col]
     return records.select(
@@ -74,7 +79,7 @@ def normalize_state(records: DataFrame, text_col: str = "json") -> DataFrame:
         s["model"].alias("model"),
         pick("startedAt", "started_at").alias("started_at"),
         pick("lastUpdated", "last_updated").alias("last_updated"),
-        F.coalesce(s["version"], s["vulnhuntr_version"], F.lit("1.0.0")).alias("version"))
+        F.coalesce(s["version"], *[s[k] for k in legacy_version_keys], F.lit("1.0.0")).alias("version"))
 
 
 # ---------------------------------------------------------------------------

@@ -103,9 +103,10 @@ def q_restore(spark, sf):
 
 
 @register("budget_gate", L + f""",
-fl AS (SELECT scan_id, file_path, min(seq) AS first_seq, sum(cost_nano) AS file_nano FROM cc WHERE file_path IS NOT NULL GROUP BY ALL),
+fl AS (SELECT scan_id, file_path, min(seq) AS first_seq, sum(cost_nano) AS file_nano FROM cc WHERE file_path IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT scan_id, file_path, seq, cost_nano FROM cc WHERE file_path IS NULL),
 r AS (SELECT *, CAST(coalesce(sum(file_nano) OVER (PARTITION BY scan_id ORDER BY first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_before_nano FROM fl)
-SELECT scan_id, file_path, first_seq, spent_before_nano, spent_before_nano < {NANO(BUDGET)} AS admitted FROM r""")
+SELECT scan_id, file_path, first_seq, spent_before_nano, spent_before_nano < {NANO(BUDGET)} AS admitted FROM r WHERE file_path IS NOT NULL""")
 def q_budget_gate(spark, sf):
     from auditlens.operators.ledger import budget_gate
     return budget_gate(_costs(spark, sf), BUDGET).select("scan_id", "file_path", "first_seq", "spent_before_nano", "admitted")

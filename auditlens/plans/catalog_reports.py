@@ -199,9 +199,9 @@ def q_issue_rows(spark, sf):
 
 
 @register("dedupe_issues", with_fixtures("fx_findings", "fx_issues") + f""",
-t AS (SELECT finding_ord, severity, '[audit] ' || vuln_type || ' vulnerability in ' || file_path AS title FROM fx_findings),
+t AS (SELECT finding_ord, repo_id, severity, '[audit] ' || vuln_type || ' vulnerability in ' || file_path AS title FROM fx_findings),
 d AS (SELECT t.*, {O.sev_rank_case('t.severity')} < 1 AS below, EXISTS (SELECT 1 FROM fx_issues i WHERE i.title = t.title) AS ex FROM t),
-r AS (SELECT *, CASE WHEN NOT below THEN row_number() OVER (PARTITION BY title, below ORDER BY finding_ord) END AS fst FROM d)
+r AS (SELECT *, CASE WHEN NOT below THEN row_number() OVER (PARTITION BY repo_id, title, below ORDER BY finding_ord) END AS fst FROM d)
 SELECT finding_ord, title,
   CASE WHEN below THEN 'skipped' WHEN ex OR fst > 1 THEN 'duplicate' ELSE 'to_create' END AS disposition,
   CASE WHEN below THEN 'Below minimum severity LOW' WHEN ex THEN 'Title already exists' WHEN fst > 1 THEN 'Repeated in batch' END AS reason FROM r""")

@@ -65,6 +65,6 @@ def q_refine(spark, sf):
     pairs = (parsed.select("repo_id", "path", F.explode("vulnerability_types").alias("vuln_type"),
                            F.to_json(F.struct("scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
                                               "context_code")).alias("previous")))
-    out = refine(files, pairs, context_scorer, max_iterations=7, run_name=f"refine-{abs(hash(sf)) % 10**8}")
+    out = refine(files, pairs, context_scorer, max_iterations=7)
     f = responses_to_findings(out.withColumnRenamed("path", "file_path"), run_ts="2024-01-01 00:00:00")
     return filter_min_confidence(f, 5).select("repo_id", "file_path", "vuln_type", "confidence", "severity")

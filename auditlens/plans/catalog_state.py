@@ -81,7 +81,7 @@ def _state_json(spark, sf):
     camel = F.to_json(F.struct(F.col("done").alias("completedFiles"), F.col("todo").alias("pendingFiles"),
                                F.col("repo_id").alias("repoPath"), F.lit("m1").alias("model")))
     snake = F.to_json(F.struct(F.col("done").alias("completed_files"), F.col("todo").alias("pending_files"),
-                               F.col("repo_id").alias("repo_path"), F.lit("0.9").alias("vulnhuntr_version")))
+                               F.col("repo_id").alias("repo_path"), F.lit("0.9").alias("legacy_version")))
     return g.select("repo_id", F.when(even, camel).otherwise(snake).alias("json"))
 
 
@@ -94,7 +94,7 @@ SELECT repo_id, CAST(coalesce(len(done), 0) AS INTEGER) AS n_completed, CAST(coa
   CASE WHEN CAST(substr(repo_id, 5) AS INTEGER) % 2 = 0 THEN '1.0.0' ELSE '0.9' END AS version FROM g""")
 def q_normalize(spark, sf):
     from auditlens.operators.state import normalize_state
-    n = normalize_state(_state_json(spark, sf))
+    n = normalize_state(_state_json(spark, sf), legacy_version_keys=("legacy_version",))
     return n.select("repo_id", F.size("completed_files").alias("n_completed"), F.size("pending_files").alias("n_pending"),
                     F.array_join("completed_files", ",").alias("completed"), "repo_path", "model", "version")
 

@@ -12,6 +12,8 @@ is open (an ``isEmpty`` probe, never a collect).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def _score(pairs: DataFrame, files: DataFrame, scorer, provider: str) -> DataFra
     p = build_secondary_prompts(pairs.select(*PAIR, "previous", "ctx"), files)
     scored = score_prompts(p.filter(F.col("prompt").isNotNull()), scorer, keys=PAIR)
     rep = repair_responses(scored.withColumn("provider", F.lit(provider)), text_col="raw")
-    parsed, _ = parse_responses(rep.select(*PAIR, "input_tokens", "output_tokens", "repaired"))
+    parsed, _ = parse_responses(rep.select(*PAIR, "input_tokens", "output_tokens", "error", "repaired"))
     return parsed
 
 
@@ -70,7 +72,7 @@ def refine_round(state: DataFrame, files: DataFrame, scorer, round_no: int, prov
         return done, False
     req = (todo.select(*PAIR, F.posexplode("context_code").alias("k", "c"))
            .select(*PAIR, "k", F.col("c.name").alias("name"))
-           .withColumn("request_id", F.xxhash64(*PAIR, "k")))
+           .withColumn("request_id", F.struct(*PAIR, "k")))
     res, _ = resolve_symbols_batch(req.select("request_id", "repo_id", "name"), files)
     found = (res.filter("found").select("request_id", "name", "file_path", "source")
              .join(req.select("request_id", *PAIR, "k"), "request_id")
@@ -85,20 +87,25 @@ def refine_round(state: DataFrame, files: DataFrame, scorer, round_no: int, prov
                                                        "vulnerability_types", "context_code")))
            .withColumn("prev_names", F.col("_names")))
     scored = _score(nxt.select(*PAIR, "previous", "ctx"), files, scorer, provider)
-    new_state = (scored.join(nxt.select(*PAIR, "ctx", "prev_names"), PAIR)
+    # a failed call keeps the last good reply and closes the pair
+    failed = scored.filter(F.col("error").isNotNull()).select(*PAIR)
+    kept = nxt.join(failed, PAIR).withColumn("stop_reason", F.lit("call_failed")).select(*STATE_COLS)
+    new_state = (scored.filter(F.col("error").isNull()).join(nxt.select(*PAIR, "ctx", "prev_names"), PAIR)
                  .select(*PAIR, "ok", "scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
                          "context_code", "ctx", F.lit(round_no).alias("round"), "prev_names",
-                         F.lit(None).cast("string").alias("stop_reason")))
+                         F.lit(None).cast("string").alias("stop_reason")).unionByName(kept))
     return done.unionByName(new_state), True
 
 
 def refine(files: DataFrame, initial: DataFrame, scorer, max_iterations: int = 7, provider: str = "openai",
-           run_name: str = "refine") -> DataFrame:
+           run_name: str | None = None) -> DataFrame:
     """``initial``: repo_id, path, vuln_type, previous (initial reply JSON).
 
     Returns one row per pair: last reply fields, last round scored, stop
-    reason.  Each round's state is written to the shared checkpoint folder.
+    reason.  Each round's state is written to the shared checkpoint folder, in
+    a folder of this run.
     """
+    run_name = run_name or f"refine/{uuid.uuid4().hex}"
     state = cut_lineage(initial_state(files, initial, scorer, provider), f"{run_name}/round0")
     for i in range(1, max_iterations):
         state, still_open = refine_round(state, files, scorer, i, provider)

@@ -47,11 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and state tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir); only when unset - as in local tests - create one.
+    checkpoint dir).  When unset, a local session (tests) gets one under /tmp;
+    on a cluster a machine-local folder would lose rows, so this raises.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="auditlens-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

@@ -103,7 +103,7 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
                 .option("recursiveFileLookup", "true")
                 .option("pathGlobFilter", glob)
                 .load(d)
-                .select(F.col("path").alias("_abs"), F.decode("content", "UTF-8").alias("content")))
+                .select(F.col("path").alias("_abs"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
     if isinstance(root, dict):
         parts = []

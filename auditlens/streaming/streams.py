@@ -41,7 +41,8 @@ def stream_incremental_scan(spark: SparkSession, in_dir: str, out_dir: str, chec
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         d = discover_files(df.select("repo_id", "path", "content"))
-        build_initial_prompts(d).withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_dir)
+        # a batch that is run again after a failure replaces its own folder
+        build_initial_prompts(d).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch_id}")
 
     w = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

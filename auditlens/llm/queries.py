@@ -46,7 +46,7 @@ def op5(spark, sf):
 
 
 @register("op4_substring_dedup", """
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
 n AS (SELECT doc_id, words, CAST(len(words) AS BIGINT) AS n_words FROM w),
 s AS (SELECT doc_id, words, unnest(range(1, n_words - 48)) AS p FROM n WHERE n_words >= 50),
 k AS (SELECT doc_id, p, array_to_string(words[p:p + 49], ' ') AS win FROM s),
@@ -56,7 +56,7 @@ c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM h),
 r AS (SELECT doc_id, list(q) AS gone, count(*) AS n_removed FROM c GROUP BY doc_id)
 SELECT n.doc_id, n.n_words, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN r.gone IS NULL THEN array_to_string(words, ' ')
-    ELSE array_to_string(list_filter(words, (x, i) -> NOT list_contains(r.gone, i)), ' ') END) AS kept_sha256
+    ELSE array_to_string(list_filter(words, lambda x, i: NOT list_contains(r.gone, i)), ' ') END) AS kept_sha256
 FROM n LEFT JOIN r ON n.doc_id = r.doc_id
 """)
 def op4(spark, sf):
@@ -72,9 +72,9 @@ def op8(spark, sf):
 
 @register("op9_decontamination", """
 WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM benchmark),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM documents),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 bs AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS win, least(len(w), 10) AS size FROM bs),
 sizes AS (SELECT DISTINCT size FROM win),

@@ -45,3 +45,10 @@ def test_escalation(spark):
     rows = [(1, i + 1, "f", "secondary-LFI", "gpt-4o", t, 0) for i, t in enumerate(toks)]
     d = escalation_stop(_calls(spark, rows), mode="delta").collect()
     assert d[0].stop_seq == 4  # 100 < 0.8*200 and 200 < 0.8*400 first holds at the 4th call
+
+
+def test_budget_gate_counts_calls_without_a_file(spark):
+    from auditlens.operators.ledger import budget_gate
+    costs = spark.createDataFrame([(1, None, 1, 100), (1, "a.py", 2, 10), (1, "b.py", 3, 10)], "scan_id long, file_path string, seq long, cost_nano long")
+    got = {r.file_path: (r.spent_before_nano, r.admitted) for r in budget_gate(costs, 105e-9).collect()}
+    assert got == {"a.py": (100, True), "b.py": (110, False)}

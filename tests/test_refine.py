@@ -21,3 +21,25 @@ def test_refine_stops_on_repeated_names(spark):
     rce = out[("c.py", "RCE")]
     # c.py calls only eval (a builtin, unresolved but still requested) → same names again at round 2
     assert rce.stop_reason == "same_names" and rce.last_round == 1
+
+
+def test_failed_call_keeps_the_last_reply_and_runs_do_not_share_folders(spark):
+    files = spark.createDataFrame([("r", "app.py", 1, A), ("r", "lib.py", 2, B)], "repo_id string, path string, file_ord long, content string")
+    initial = spark.createDataFrame([("r", "app.py", "LFI", "{}")], "repo_id string, path string, vuln_type string, previous string")
+    def second_call_fails(texts):
+        if any("<context_code><code>" in t for t in texts):
+            raise RuntimeError("no answer")
+        return context_scorer(texts)
+
+    failed = refine(files, initial, second_call_fails)
+    again = refine(files, initial, context_scorer)
+    (r,) = failed.collect()
+    assert r.stop_reason == "call_failed" and r.confidence_score == 7.0 and r.ok
+    assert again.collect()[0].stop_reason == "same_names"
+
+
+def test_a_short_reply_is_an_error_column(spark):
+    from auditlens.operators.scoring import score_prompts
+    prompts = spark.createDataFrame([("r", "a", "x"), ("r", "b", "y")], "repo_id string, path string, prompt string")
+    got = score_prompts(prompts, lambda texts: []).collect()
+    assert len(got) == 2 and all(r.raw is None and r.error for r in got)

@@ -76,3 +76,20 @@ def test_option_precedence(spark):
     assert (r["a"].budget, r["a"].max_iterations, r["a"].min_confidence) == (3.0, 4.0, 6.0)
     assert (r["b"].budget, r["b"].min_confidence, r["b"].vuln_types, r["b"].model) == (9.0, 2.0, "LFI", None)
     assert (r["c"].budget, r["c"].max_iterations) == (7.0, 2.0)  # nested section beats flat key
+
+
+def test_same_title_in_two_repositories_is_no_duplicate(spark):
+    from auditlens.operators.delivery import dedupe_issues
+    issues = spark.createDataFrame([(1, "r1", "HIGH", "t"), (2, "r2", "HIGH", "t"), (3, "r1", "HIGH", "t"), (4, "r3", "HIGH", "u")],
+                                   "finding_ord long, repo_id string, severity string, title string")
+    existing = spark.createDataFrame([("r3", "u")], "repo_id string, title string")
+    got = {r.finding_ord: r.disposition for r in dedupe_issues(issues, existing).collect()}
+    assert got == {1: "to_create", 2: "to_create", 3: "duplicate", 4: "duplicate"}
+
+
+def test_named_state_versions_are_kept(spark):
+    from auditlens.operators.state import mark_complete
+    one = spark.createDataFrame([("r", "a", "pending", "1")], "repo_id string, path string, status string, updated_at string")
+    first = mark_complete(one, one.where("false"), name="versions")
+    second = mark_complete(first, one.selectExpr("repo_id", "path", "'complete' AS status", "'2' AS updated_at"), name="versions")
+    assert [r.status for r in first.collect()] == ["pending"] and [r.status for r in second.collect()] == ["complete"]

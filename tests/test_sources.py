@@ -41,3 +41,12 @@ def test_readme_and_refs(spark):
     rows = {(x.owner, x.repo, x.clone_url): x.n for x in repo_ref_rollup(refs).collect()}
     assert rows[("o", "r", "https://github.com/o/r.git")] == 2 and rows[(None, None, None)] == 2
     assert rows[("o", "r\n", "https://github.com/o/r\n.git")] == 1  # [^/]+ takes the newline, as in the audited tool
+
+
+def test_invalid_utf8_is_replaced(spark, tmp_path):
+    from auditlens.sources.files import scan_source_tree
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "latin.py").write_bytes(b"# caf\xe9\nx = 1\n")
+    (tmp_path / "repo" / "__init__.py").write_bytes(b"# caf\xe9\n")
+    got = {r.path: r.content for r in scan_source_tree(spark, str(tmp_path)).collect()}
+    assert got == {"latin.py": "# caf�\nx = 1\n", "__init__.py": "# caf�\n"}

@@ -9,14 +9,15 @@ the map from operator to module).  Typical flow::
     raw = score_prompts(prompts, my_batch_scorer)                    # the one Python hook
     parsed, bad = parse_responses(repair_responses(raw, text_col="raw"))
     findings = responses_to_findings(parsed.withColumnRenamed("path", "file_path"), run_ts=ts)
-    write_all_reports(findings, files, out_dir, ts)
+    write_all_reports(findings, files, out_dir, ts)                  # numbers the findings (with_ordinals)
 """
 
 from auditlens.operators.delivery import (dedupe_issues, issue_rows, notify_discord, notify_json,  # noqa: F401
                                           notify_slack, notify_teams, sign_payloads)
 from auditlens.operators.findings import (count_by_confidence, count_by_severity, count_by_vuln_type,  # noqa: F401
                                           filter_min_confidence, filter_min_severity, filter_requested_types,
-                                          number_findings, scan_summary, sort_findings, to_findings, top_findings)
+                                          number_findings, scan_summary, sort_findings, to_findings, top_findings,
+                                          with_ordinals)
 from auditlens.operators.ledger import (budget_gate, budget_warning, call_costs, cost_by_file, cost_by_model,  # noqa: F401
                                         cost_summary, escalation_stop, estimate_corpus_cost, estimate_file_costs,
                                         file_cost_limit, file_cost_lookup, iteration_cost_limit, remaining_budget,

@@ -19,16 +19,18 @@ def to_findings(df: DataFrame, run_ts=None, prefix: str = dims.RULE_PREFIX,
 
     Needs ``vuln_type`` and ``confidence``; ``analysis``/``scratchpad``/``poc``
     default to empty/null.  CWE id and name come from the 7-row rule table
-    (a CASE over the fixed table, or a broadcast left join with a user rule
-    table ``rules``; unknown type → CWE-0 / Unknown); severity follows the
-    confidence thresholds; line/column fields are 0; the discovery time is a
-    run parameter so output is reproducible.
+    (a CASE over the fixed table, or a left join with a user rule table
+    ``rules``, whose strategy is left to the measured size; unknown type →
+    CWE-0 / Unknown); severity follows the confidence thresholds; line/column
+    fields are 0; the discovery time is a run parameter so output is
+    reproducible.  A ``metadata`` column passes through.  ``with_ordinals``
+    adds the input order where the source has none.
     """
     cols = df.columns
     opt = lambda c, default: F.col(c) if c in cols else default
     ts = F.lit(run_ts).cast("timestamp_ntz") if run_ts is not None else F.lit(None).cast("timestamp_ntz")
     if rules is not None:
-        rule = F.broadcast(rules.select(F.col("vuln_type").alias("_vt"), "cwe", "cwe_name"))
+        rule = rules.select(F.col("vuln_type").alias("_vt"), "cwe", "cwe_name")
         base = df.join(rule, F.col("vuln_type") == F.col("_vt"), "left")
         cwe, cwe_name = F.col("cwe"), F.col("cwe_name")
     else:
@@ -53,9 +55,25 @@ def to_findings(df: DataFrame, run_ts=None, prefix: str = dims.RULE_PREFIX,
         F.coalesce(cwe_name, F.lit(dims.UNKNOWN_CWE_NAME)).alias("cwe_name"),
         opt("context_code", F.lit("")).alias("context_code"),
         ts.alias("discovered_at"),
+        *[c for c in ("metadata",) if c in cols],
     )
 
 
+def with_ordinals(findings: DataFrame, by=("repo_id",)) -> DataFrame:
+    """Adds ``finding_ord`` (1-based per repository) where it is missing.
+
+    The order comes from the findings' own keys (path, type, confidence, a
+    digest of the texts), so it does not depend on partitioning; equal rows
+    are interchangeable.  Numbered by the two-level rank, so a hot repository
+    takes many tasks.
+    """
+    if "finding_ord" in findings.columns:
+        return findings
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in ("analysis", "scratchpad", "poc", "context_code") if c in findings.columns]
+    order = [F.col("file_path").asc(), F.col("vuln_type").asc(), F.col("confidence").desc(), F.xxhash64(*texts).asc()]
+    return rank_two_level(findings, [c for c in by if c in findings.columns], order, "finding_ord")
+
+
 # ---------------------------------------------------------------------------
 # Filters
 # ---------------------------------------------------------------------------
@@ -138,13 +156,14 @@ def scan_summary(findings: DataFrame, all_files: DataFrame, calls: DataFrame | N
                          F.coalesce(_map_text(F.col("_b")), F.lit("")).alias("by_confidence"),
                          F.coalesce(_map_text(F.col("_s")), F.lit("")).alias("by_severity"))
     else:
-        mk = lambda c: F.map_from_entries(F.coalesce(F.col(c), F.array()).cast("array<struct<k:string,n:bigint>>"))
-        out = out.select("repo_id", F.coalesce("total_files", F.lit(0)).alias("total_files"),
-                         F.coalesce("total_findings", F.lit(0)).alias("total_findings"),
+        mk = lambda c: F.map_from_entries(F.array_sort(F.coalesce(F.col(c), F.array().cast("array<struct<k:string,n:bigint>>"))))
+        out = out.select("repo_id", F.coalesce("total_files", F.lit(0)).cast("bigint").alias("total_files"),
+                         F.coalesce("total_findings", F.lit(0)).cast("bigint").alias("total_findings"),
                          mk("_t").alias("by_vuln_type"), mk("_b").alias("by_confidence"),
                          mk("_s").alias("by_severity"))
     if calls is not None and "cost_nano" in calls.columns:
-        cost = calls.groupBy("repo_id").agg(F.sum("cost_nano").alias("_c"))
+        key = "repo_id" if "repo_id" in calls.columns else "scan_id"  # the ledger's calls carry the scan
+        cost = calls.groupBy(F.col(key).alias("repo_id")).agg(F.sum("cost_nano").alias("_c"))
         out = out.join(cost, "repo_id", "left").withColumn(
             "total_cost_usd", F.coalesce(F.col("_c"), F.lit(0)).cast("double") / F.lit(1e9)).drop("_c")
     return out

@@ -124,8 +124,9 @@ def _bounded(df: DataFrame, limit: int = MAX_BROADCAST_REQUESTS, proven: bool |
 
 def requests_small(requests: DataFrame, limit: int = MAX_BROADCAST_REQUESTS) -> bool:
     """One count of the request table bounds every per-request side derived
-    from it (distinct names, first hits, winners: at most one row per request)."""
-    return requests.limit(limit + 1).count() <= limit
+    from it (distinct names, first hits, winners: at most one row per request).
+    A plain count: a limit before it would pull the rows into one task."""
+    return requests.count() <= limit
 
 
 def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_BEFORE, after: int = REF_AFTER,

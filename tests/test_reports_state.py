@@ -93,3 +93,42 @@ def test_named_state_versions_are_kept(spark):
     first = mark_complete(one, one.where("false"), name="versions")
     second = mark_complete(first, one.selectExpr("repo_id", "path", "'complete' AS status", "'2' AS updated_at"), name="versions")
     assert [r.status for r in first.collect()] == ["pending"] and [r.status for r in second.collect()] == ["complete"]
+
+
+def _read_documents(spark, path):
+    """Documents per repository from written report lines, files in name order."""
+    rows = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"),
+                                        "repo_id", "value").collect()
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.f, r.i)):
+        out.setdefault(r.repo_id, []).append(r.value)
+    return {k: "\n".join(v) for k, v in out.items()}
+
+
+def test_replies_to_reports(spark, tmp_path):
+    from auditlens.operators.reports import write_all_reports
+    from auditlens.operators.responses import parse_responses, repair_responses, responses_to_findings
+    reply = json.dumps({"scratchpad": "s", "analysis": "found", "poc": None, "confidence_score": 8,
+                        "vulnerability_types": ["LFI", "RCE"], "context_code": []})
+    raw = spark.createDataFrame([("r", "a.py", reply), ("r", "b.py", reply)], "repo_id string, path string, raw string")
+    files = spark.createDataFrame([("r", "a.py"), ("r", "b.py"), ("clean", "c.py")], "repo_id string, path string")
+    calls = spark.createDataFrame([("r", "a.py", "m", 10, 5, 25_000_000, "2024-01-01 00:00:00")],
+                                  "scan_id string, file_path string, model string, input_tokens long, output_tokens long, cost_nano long, called_at string")
+    parsed, bad = parse_responses(repair_responses(raw, text_col="raw"))
+    assert bad.count() == 0
+    found = responses_to_findings(parsed.withColumnRenamed("path", "file_path"), run_ts="2024-01-01 00:00:00")
+    found = found.withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
+    from auditlens.operators.findings import scan_summary, with_ordinals
+    assert sorted(r.finding_ord for r in with_ordinals(found).collect()) == [1, 2, 3, 4]
+    cost = {r.repo_id: r.total_cost_usd for r in scan_summary(with_ordinals(found), files, calls).collect()}
+    assert cost == {"r": 0.025, "clean": 0.0}
+    paths = write_all_reports(found, files, str(tmp_path), "2024-01-01T00:00:00")
+    docs = {k: _read_documents(spark, p) for k, p in paths.items()}
+    assert all(set(d) == {"r", "clean"} for d in docs.values())
+    js = json.loads(docs["json"]["r"])
+    assert js["summary"]["by_vuln_type"] == {"LFI": 2, "RCE": 2} and len(js["findings"]) == 4
+    assert json.loads(docs["json"]["clean"])["summary"]["by_severity"] == {}
+    assert len(json.loads(docs["sarif"]["r"])["runs"][0]["results"]) == 4
+    assert json.loads(docs["sarif"]["clean"])["runs"][0]["results"] == []
+    assert len(docs["csv"]["clean"].split("\n")) == 1 and len(docs["csv"]["r"].split("\n")) == 5
+    assert "<th>Severity</th>" in docs["html"]["r"] and "<th>Severity</th>" not in docs["html"]["clean"]

@@ -162,8 +162,9 @@ def scan_summary(findings: DataFrame, all_files: DataFrame, calls: DataFrame | N
                          mk("_t").alias("by_vuln_type"), mk("_b").alias("by_confidence"),
                          mk("_s").alias("by_severity"))
     if calls is not None and "cost_nano" in calls.columns:
-        key = "repo_id" if "repo_id" in calls.columns else "scan_id"  # the ledger's calls carry the scan
-        cost = calls.groupBy(F.col(key).alias("repo_id")).agg(F.sum("cost_nano").alias("_c"))
+        # the ledger's calls carry the scan; a scan id that names no repository adds no cost
+        key = "repo_id" if "repo_id" in calls.columns else "scan_id"
+        cost = calls.groupBy(F.col(key).try_cast(findings.schema["repo_id"].dataType).alias("repo_id")).agg(F.sum("cost_nano").alias("_c"))
         out = out.join(cost, "repo_id", "left").withColumn(
             "total_cost_usd", F.coalesce(F.col("_c"), F.lit(0)).cast("double") / F.lit(1e9)).drop("_c")
     return out

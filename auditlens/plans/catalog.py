@@ -205,7 +205,7 @@ def q_scan_tree(spark, sf):
 
     from auditlens.session import checkpoint_dir
     from auditlens.sources.files import materialize_tree, scan_source_tree
-    root = f"{checkpoint_dir(spark).replace('file:', '').rstrip('/')}/trees/{uuid.uuid4().hex[:10]}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/trees/{uuid.uuid4().hex[:10]}"
     materialize_tree(fixture(spark, sf, "fx_files"), root)
     t = scan_source_tree(spark, root)
     return t.select("repo_id", "path", F.length("content").cast("bigint").alias("n_chars"), F.sha2("content", 256).alias("content_sha"))

@@ -9,81 +9,103 @@ from auditlens.functions import dims
 from auditlens.functions.text import line_count
 
 
-def _hidden_by_spark(rel: str) -> bool:
-    """Spark's file listing skips names starting with '_' or '.' (and all
-    below such directories); e.g. ``__init__.py``."""
-    return any(c.startswith(("_", ".")) for c in rel.split("/"))
-
-
-def _list_repo_roots(spark: SparkSession, root: str, repo_depth: int) -> list[tuple[str, str]]:
-    """(repo_id, uri) for the directories ``repo_depth`` levels below root.
-    One entry per repository: a small, bounded list."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(conf)
-    level = [("", base)]
-    for _ in range(repo_depth):
-        nxt = []
-        for prefix, p in level:
-            for st in fs.listStatus(p):
-                if st.isDirectory():
-                    name = st.getPath().getName()
-                    nxt.append((f"{prefix}/{name}" if prefix else name, st.getPath()))
-        level = nxt
-    return [(rid, p.toUri().getPath()) for rid, p in level]
-
-
-def _hidden_files(spark: SparkSession, root: str, glob: str, repo_depth: int) -> DataFrame:
-    """Files Spark's listing hides, found and read by a distributed lister.
-
-    Repository roots become rows; each task lists its roots with
-    ``pyarrow.fs`` and keeps only the names Spark would skip; the found
-    paths are rebalanced across tasks before reading, so one giant
-    repository does not become one task.
+#: Directory levels below the repository that are listed as rows of their own.
+LIST_LEVELS = 2
+
+
+def _skipped_by_spark(rel: str) -> bool:
+    """Names that Spark's listing skips, with all below such directories (e.g.
+    ``__init__.py``); empty files are skipped as well, whatever their name."""
+    def private(name: str) -> bool:
+        return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+    *dirs, name = rel.split("/")
+    return private(name) or any(private(d) and not d.startswith(("_metadata", "_common_metadata")) for d in dirs)
+
+
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with scheme and authority, in the form Spark's ``path`` column has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString().rstrip("/")
+
+
+def _store(uri: str):
+    """(file system, path in it) for a qualified path; used inside tasks."""
+    from urllib.parse import quote
+
+    from pyarrow import fs as pafs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+
+
+def _hidden_files(spark: SparkSession, roots: list[tuple[str, str]], glob: str, repo_depth: int) -> DataFrame:
+    """Files Spark's listing skips, found and read by a distributed lister.
+
+    ``roots``: (repo_id, qualified directory), repo_id '' where the first
+    ``repo_depth`` levels name it.  Every listing step is a map over directory
+    rows, dealt anew between steps: the levels that name the repository and
+    the first ``LIST_LEVELS`` below it list one directory per row, the last
+    step lists what is left recursively.  The found paths are dealt out again
+    before reading, so a giant repository is not one task.
     """
     import fnmatch
 
     from auditlens.session import ship_package
 
     ship_package(spark)
-    roots = _list_repo_roots(spark, root, repo_depth)
-    if not roots:
-        return spark.createDataFrame([], "repo_id string, path string, content string")
-    rdf = spark.createDataFrame(roots, "repo_id string, uri string")
-
-    def lister(it):
-        import pandas as pd
-        from pyarrow import fs as pafs
-
-        for pdf in it:
-            rows = []
-            for rid, uri in zip(pdf["repo_id"], pdf["uri"]):
-                fsys, base = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
-                for info in fsys.get_file_info(pafs.FileSelector(base, recursive=True)):
-                    if info.type != pafs.FileType.File:
+    n = spark.sparkContext.defaultParallelism
+    schema = "repo_id string, path string, uri string, is_dir boolean"
+    columns = schema.replace(" string", "").replace(" boolean", "").split(", ")
+
+    def lister(naming: bool, recursive: bool):
+        def work(it):
+            import pandas as pd
+            from pyarrow import fs as pafs
+
+            for pdf in it:
+                rows = []
+                for rid, path, uri, is_dir in pdf.itertuples(index=False):
+                    if not is_dir:
+                        rows.append((rid, path, uri, False))
                         continue
-                    rel = info.path[len(base.rstrip("/")) + 1:]
-                    if _hidden_by_spark(rel) and fnmatch.fnmatch(info.base_name, glob):
-                        rows.append((rid, rel, uri.rstrip("/") + "/" + rel))
-            yield pd.DataFrame(rows, columns=["repo_id", "path", "uri"])
+                    store, base = _store(uri)
+                    for info in store.get_file_info(pafs.FileSelector(base, recursive=recursive)):
+                        rel = info.path[len(base.rstrip("/")) + 1:]
+                        at, below = f"{uri}/{rel}", info.type == pafs.FileType.Directory
+                        if naming:
+                            if below:
+                                rows.append((f"{rid}/{rel}" if rid else rel, "", at, True))
+                        elif below and not recursive:
+                            rows.append((rid, f"{path}/{rel}" if path else rel, at, True))
+                        elif info.type == pafs.FileType.File and fnmatch.fnmatch(info.base_name, glob):
+                            full = f"{path}/{rel}" if path else rel
+                            # seen from the directory that Spark lists: a hidden repository name counts too
+                            if info.size == 0 or _skipped_by_spark(f"{rid}/{full}" if repo_depth else full):
+                                rows.append((rid, full, at, False))
+                yield pd.DataFrame(rows, columns=columns)
+        return work
 
     def reader(it):
         import pandas as pd
-        from pyarrow import fs as pafs
 
-        local = pafs.LocalFileSystem()
         for pdf in it:
             texts = []
             for uri in pdf["uri"]:
-                fsys, p = pafs.FileSystem.from_uri(uri) if "://" in uri else (local, uri)
-                with fsys.open_input_stream(p) as fh:
+                store, path = _store(uri)
+                with store.open_input_stream(path) as fh:
                     texts.append(fh.read().decode("utf-8", errors="replace"))
             yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "content": texts})
 
-    found = rdf.repartition(max(1, len(roots))).mapInPandas(lister, "repo_id string, path string, uri string")
-    n = spark.sparkContext.defaultParallelism
-    return found.repartition(n).mapInPandas(reader, "repo_id string, path string, content string")
+    found = spark.createDataFrame([(rid, "", uri, True) for rid, uri in roots], schema)
+    for level in range(repo_depth + LIST_LEVELS + 1):
+        found = found.repartition(n, "uri").mapInPandas(lister(level < repo_depth, level == repo_depth + LIST_LEVELS), schema)
+    return (found.filter(~F.col("is_dir")).select("repo_id", "path", "uri")
+            .repartition(n, "uri").mapInPandas(reader, "repo_id string, path string, content string"))
 
 
 def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
@@ -91,66 +113,74 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
     """Recursive scan of source files into ``files(repo_id, path, content)``.
 
     ``root`` is either one directory whose first ``repo_depth`` path levels
-    name the repository, or a small ``{repo_id: dir}`` dict.  The bulk is
-    read by Spark's binaryFile source (JVM, parallel listing and reads, only
-    the glob's files); names that Spark's listing hides - leading '_' or
-    '.', such as ``__init__.py`` - come from a distributed supplement.
+    name the repository, or a small ``{repo_id: dir}`` dict, on any store;
+    both are qualified first, and every path is taken relative to that.  The
+    bulk is read by Spark's binaryFile source (JVM, parallel listing and
+    reads, only the glob's files); files that Spark's listing skips - leading
+    '_' or '.', such as ``__init__.py``, and empty ones - come from a distributed supplement,
+    through ``pyarrow.fs`` on the same store.  Invalid UTF-8 is replaced.
     ``file_ord`` (rank by path) is optional: all "first file" logic orders
     by ``path``, which needs no window over a possibly giant repository.
     """
-    def read(d: str) -> DataFrame:
+    def read(dirs: list[str]) -> DataFrame:
         return (spark.read.format("binaryFile")
                 .option("recursiveFileLookup", "true")
                 .option("pathGlobFilter", glob)
-                .load(d)
+                .load(dirs)
                 .select(F.col("path").alias("_abs"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
     if isinstance(root, dict):
-        parts = []
-        for repo_id, d in root.items():
-            base = d.rstrip("/") + "/"
-            parts.append(read(d).select(
-                F.lit(repo_id).alias("repo_id"),
-                F.regexp_replace("_abs", r"^.*?" + _quote(base), "").alias("path"),
-                "content"))
-            parts.append(_hidden_files(spark, d, glob, 0).withColumn("repo_id", F.lit(repo_id))
-                         .select("repo_id", "path", "content"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        if not root:
+            return spark.createDataFrame([], "repo_id string, path string, content string" + (", file_ord bigint" if with_ord else ""))
+        places = [(rid, _qualified(spark, d)) for rid, d in root.items()]
+        ids: dict[str, list[str]] = {}
+        for rid, d in places:
+            ids.setdefault(d, []).append(rid)
+        owners = F.create_map(*[x for d, r in ids.items() for x in (F.lit(d), F.array(*map(F.lit, r)))])
+        # one read of the outermost directories; a file belongs to every given directory above it
+        outer = [d for d in ids if not any(d.startswith(o + "/") for o in ids)]
+        parts = F.split("_abs", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+        out = (read(outer).select("_abs", "content", F.explode(F.filter(above, lambda a: F.map_contains_key(owners, a))).alias("_base"))
+               .select(F.explode(F.element_at(owners, F.col("_base"))).alias("repo_id"),
+                       F.substring(F.col("_abs"), F.length("_base") + 2, F.length("_abs")).alias("path"), "content"))
+        if any(_skipped_by_spark(d[len(o) + 1:] + "/x") for d in ids for o in outer if d.startswith(o + "/")):
+            raise ValueError("a directory inside another one, below a hidden name: scan it on its own")
+        out = out.unionByName(_hidden_files(spark, places, glob, 0))
     else:
-        base = root.rstrip("/") + "/"
-        rel = F.regexp_replace(F.col("_abs"), r"^.*?" + _quote(base), "")
-        comps = F.split(rel, "/")
+        base = _qualified(spark, root) + "/"
+        comps = F.split(F.substring(F.col("_abs"), len(base) + 1, 1 << 30), "/")
         repo = F.array_join(F.slice(comps, 1, repo_depth), "/")
         path = F.array_join(F.slice(comps, repo_depth + 1, 1 << 20), "/")
-        out = read(root).select(repo.alias("repo_id"), path.alias("path"), "content")
-        out = out.unionByName(_hidden_files(spark, root, glob, repo_depth))
+        out = read([root]).select(repo.alias("repo_id"), path.alias("path"), "content")
+        if repo_depth:  # a file above the repository level belongs to none
+            out = out.filter(F.col("path") != "")
+        out = out.unionByName(_hidden_files(spark, [("", base[:-1])], glob, repo_depth))
     if with_ord:
         from auditlens.operators.findings import rank_two_level
         out = rank_two_level(out, ["repo_id"], [F.col("path").asc()], out="file_ord")
     return out
 
 
-def _quote(s: str) -> str:
-    return "\\Q" + s.replace("file:", "") + "\\E"
+def materialize_tree(files: DataFrame, root: str) -> None:
+    """Write ``files(repo_id, path, content)`` as a directory tree under
+    ``root`` (test inputs), from the executors, on the store of ``root``."""
+    from auditlens.session import ship_package
 
+    spark = files.sparkSession
+    base = _qualified(spark, root)
 
-def materialize_tree(files: DataFrame, root: str) -> None:
-    """Write ``files(repo_id, path, content)`` as a directory tree under a
-    local or mounted ``root`` (test inputs), from the executors."""
     def write(it):
-        import os
+        store, top = _store(base)
         for pdf in it:
             for rid, path, content in zip(pdf["repo_id"], pdf["path"], pdf["content"]):
-                full = os.path.join(root, rid, path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "wb") as fh:
+                full = f"{top}/{rid}/{path}"
+                store.create_dir(full.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(full) as fh:
                     fh.write((content or "").encode("utf-8"))
             yield pdf.iloc[0:0][["repo_id"]]
-    from auditlens.session import ship_package
 
-    ship_package(files.sparkSession)
+    ship_package(spark)
     files.select("repo_id", "path", "content").mapInPandas(write, "repo_id string").count()
 
 

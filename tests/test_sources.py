@@ -50,3 +50,24 @@ def test_invalid_utf8_is_replaced(spark, tmp_path):
     (tmp_path / "repo" / "__init__.py").write_bytes(b"# caf\xe9\n")
     got = {r.path: r.content for r in scan_source_tree(spark, str(tmp_path)).collect()}
     assert got == {"latin.py": "# caf�\nx = 1\n", "__init__.py": "# caf�\n"}
+
+
+def test_roots_with_and_without_scheme_agree(spark, tmp_path):
+    names = ["a.py", "_metadata.py", "_x=y.py", "_p.py", "d/e/f/g/__init__.py", "d/e/f/g/h.py", ".h/i.py", "_metadata/j.py",
+             "empty.py"]
+    text = lambda repo, name: "" if name == "empty.py" else f"{repo}/{name}"
+    for repo in ("r1", "_r2"):
+        for name in names:
+            full = tmp_path / "with space" / repo / name
+            full.parent.mkdir(parents=True, exist_ok=True)
+            full.write_text(text(repo, name))
+    (tmp_path / "with space" / "loose.py").write_text("above every repository")
+    root = str(tmp_path / "with space")
+    want = sorted((repo, name, text(repo, name)) for repo in ("r1", "_r2") for name in names)
+    for given in (root, root + "/", "file://" + root, "file:" + root):
+        assert sorted(map(tuple, scan_source_tree(spark, given).collect())) == want
+    given = {"one": root + "/r1", "two": "file://" + root + "/_r2", "again": root + "/r1/", "inner": root + "/r1/d"}
+    got = sorted((r.repo_id, r.path) for r in scan_source_tree(spark, given).collect())
+    assert got == sorted([(rid, n) for rid in ("one", "two", "again") for n in names]
+                         + [("inner", "e/f/g/__init__.py"), ("inner", "e/f/g/h.py")])
+    assert scan_source_tree(spark, {}).count() == 0

@@ -169,16 +169,18 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
         F.array_join(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")), "\n").alias("source"))
 
 
-def resolve_symbols_batch(requests: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_symbols_batch(requests: DataFrame, files: DataFrame, defs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Resolve every request: definition first, then reference, else not found.
 
+    ``defs`` is the definition index of ``files`` where the caller has it
+    already (refinement asks in every round).
+
     Returns (results, counts): results keep one row per request with
     ``found``/``how``/``file_path``/``source``; counts give resolved/total per
     repository.
     """
     small = requests_small(requests)
-    defs = definition_index(files)
-    d = resolve_definition(requests, defs)
+    d = resolve_definition(requests, definition_index(files) if defs is None else defs)
     f_text = files.select("repo_id", F.col("path").alias("file_path"), "content")
     d_src = (f_text.join(_bounded(d.join(requests.select("request_id", "repo_id"), "request_id"), proven=small),
                          ["repo_id", "file_path"])

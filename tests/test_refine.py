@@ -33,6 +33,12 @@ def test_failed_call_keeps_the_last_reply_and_runs_do_not_share_folders(spark):
 
     failed = refine(files, initial, second_call_fails)
     again = refine(files, initial, context_scorer)
+    def no_call_works(texts):
+        raise RuntimeError("no answer")
+
+    previous = '{"scratchpad": "s", "analysis": "first", "poc": null, "confidence_score": 4, "vulnerability_types": ["LFI"], "context_code": []}'
+    (never,) = refine(files, initial.withColumn("previous", F.lit(previous)), no_call_works).collect()
+    assert (never.stop_reason, never.last_round, never.analysis, never.confidence_score) == ("call_failed", -1, "first", 4.0)
     (r,) = failed.collect()
     assert r.stop_reason == "call_failed" and r.confidence_score == 7.0 and r.ok
     assert again.collect()[0].stop_reason == "same_names"
@@ -43,3 +49,31 @@ def test_a_short_reply_is_an_error_column(spark):
     prompts = spark.createDataFrame([("r", "a", "x"), ("r", "b", "y")], "repo_id string, path string, prompt string")
     got = score_prompts(prompts, lambda texts: []).collect()
     assert len(got) == 2 and all(r.raw is None and r.error for r in got)
+
+
+def test_cost_limits_stop_pairs_and_keep_their_reply(spark):
+    from auditlens.plans.refine import Limits
+    files = spark.createDataFrame([("r", "app.py", 1, A), ("r", "lib.py", 2, B), ("s", "app.py", 1, A), ("s", "lib.py", 2, B)],
+                                  "repo_id string, path string, file_ord long, content string")
+    first = '{"scratchpad": "s", "analysis": "first", "poc": null, "confidence_score": 4, "vulnerability_types": ["LFI"], "context_code": []}'
+    initial = spark.createDataFrame([("r", "app.py", "LFI", first), ("s", "app.py", "LFI", first), ("s", "app.py", "RCE", first)],
+                                    "repo_id string, path string, vuln_type string, previous string")
+    prior = spark.createDataFrame([("r", None, 900_000_000), ("r", "app.py", 200_000_000), ("s", "app.py", 1)],
+                                  "repo_id string, file_path string, cost_nano long")
+    run = lambda limits, **k: {(r.repo_id, r.vuln_type): r for r in refine(files, initial, context_scorer, limits=limits, **k).collect()}
+    out = run(Limits("gpt-4o", budget_usd=1.0, escalation=None), prior=prior)
+    # the calls before, one of them without a file, have used up r's budget: no call, the initial reply stays
+    r, s = out[("r", "LFI")], out[("s", "LFI")]
+    assert (r.stop_reason, r.last_round, r.analysis, r.cost_nano) == ("budget", -1, "first", 0)
+    assert (s.stop_reason, s.last_round) == ("same_names", 1) and s.cost_nano > 0
+    out = run(Limits("gpt-4o", budget_usd=1e-9))
+    assert all((x.stop_reason, x.last_round) == ("budget", 0) and x.ok for x in out.values())
+    out = run(Limits("gpt-4o", iteration_usd=1e-9), types=["LFI"])
+    assert set(out) == {("r", "LFI"), ("s", "LFI")} and all(x.stop_reason == "iteration_cost" for x in out.values())
+
+
+def test_escalation_needs_two_steep_steps(spark):
+    from auditlens.plans.refine import Limits
+    rows = spark.createDataFrame([([10, 20, 40],), ([10, 12, 40],), ([5, 10, 20, 21],), ([10, 20],), ([],)], "h array<bigint>")
+    got = rows.select(Limits("gpt-4o").reason(F.lit(0), F.lit(0), F.col("h"))).collect()
+    assert [r[0] for r in got] == ["escalation", None, None, None, None]

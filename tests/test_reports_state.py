@@ -95,13 +95,13 @@ def test_named_state_versions_are_kept(spark):
     assert [r.status for r in first.collect()] == ["pending"] and [r.status for r in second.collect()] == ["complete"]
 
 
-def _read_documents(spark, path):
+def _read_documents(spark, path, key="repo_id"):
     """Documents per repository from written report lines, files in name order."""
     rows = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"),
-                                        "repo_id", "value").collect()
+                                        key, "value").collect()
     out = {}
     for r in sorted(rows, key=lambda r: (r.f, r.i)):
-        out.setdefault(r.repo_id, []).append(r.value)
+        out.setdefault(r[key], []).append(r.value)
     return {k: "\n".join(v) for k, v in out.items()}
 
 
@@ -132,3 +132,15 @@ def test_replies_to_reports(spark, tmp_path):
     assert json.loads(docs["sarif"]["clean"])["runs"][0]["results"] == []
     assert len(docs["csv"]["clean"].split("\n")) == 1 and len(docs["csv"]["r"].split("\n")) == 5
     assert "<th>Severity</th>" in docs["html"]["r"] and "<th>Severity</th>" not in docs["html"]["clean"]
+
+
+def test_cost_document_holds_every_file_and_model(spark, tmp_path):
+    from auditlens.operators.reports import cost_document, write_document
+    rows = [("s1", f"d/{k % 7}'\"\n.py", f"m{k % 2}", 10, 5, 25_000_000, f"2024-01-01 00:00:{k:02d}") for k in range(20)]
+    rows += [("s1", None, "m0", 1, 1, 100_000, "2024-01-01 00:01:00"), ("s2", None, "m0", 1, 1, 100_000, "2024-01-01 00:01:00")]
+    costs = spark.createDataFrame(rows, "scan_id string, file_path string, key string, input_tokens long, output_tokens long, cost_nano long, ts string")
+    write_document(cost_document(costs.withColumn("ts", F.col("ts").cast("timestamp"))), str(tmp_path / "c"), key="scan_id")
+    docs = {k: json.loads(v) for k, v in _read_documents(spark, str(tmp_path / "c"), "scan_id").items()}
+    assert docs["s1"]["costs_by_model"] == {"m0": 0.2501, "m1": 0.25} and docs["s2"]["costs_by_file"] == {}
+    assert docs["s1"]["costs_by_file"] == {f"d/{k}'\"\n.py": round(0.025 * (3 if k < 6 else 2), 4) for k in range(7)}
+    assert docs["s1"]["api_calls"] == 21 and docs["s1"]["total_cost_usd"] == 0.5001

@@ -59,12 +59,13 @@ def resumable_scans(state: DataFrame, by=("repo_id",)) -> DataFrame:
 STATE_SCHEMA = ("completedFiles array<string>, completed_files array<string>, pendingFiles array<string>, "
                 "pending_files array<string>, currentFile string, current_file string, repoPath string, "
                 "repo_path string, model string, startedAt string, started_at string, lastUpdated string, "
-                "last_updated string, version string")
+                "last_updated string, version string, results string, costTrackerData string, cost_tracker_data string")
 
 
 def normalize_state(records: DataFrame, text_col: str = "json", legacy_version_keys: tuple[str, ...] = ()) -> DataFrame:
     """camelCase or snake_case state records → one schema with defaults.
 
+    ``results`` (default '[]') and ``cost_tracker_data`` stay JSON text.
     ``legacy_version_keys``: names under which older writers kept the version.
     """
     s = F.from_json(F.col(text_col), ", ".join([STATE_SCHEMA, *(f"`{k}` string" for k in legacy_version_keys)]))
@@ -79,6 +80,8 @@ def normalize_state(records: DataFrame, text_col: str = "json", legacy_version_k
         s["model"].alias("model"),
         pick("startedAt", "started_at").alias("started_at"),
         pick("lastUpdated", "last_updated").alias("last_updated"),
+        F.coalesce(s["results"], F.lit("[]")).alias("results"),
+        pick("costTrackerData", "cost_tracker_data").alias("cost_tracker_data"),
         F.coalesce(s["version"], *[s[k] for k in legacy_version_keys], F.lit("1.0.0")).alias("version"))
 
 
@@ -111,13 +114,21 @@ def _num(v: Column) -> Column:
     return F.when(v.rlike(r"^\d+(\.\d+)?$"), v.cast("double"))
 
 
+def _json_list(v: Column) -> Column:
+    """JSON array text → array<string>; anything else → null."""
+    return F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>"))
+
+
 def resolve_scan_options(options: DataFrame, cfg_col: str = "cfg_text") -> DataFrame:
     """Per repository: input > config (nested section > flat key) > default.
 
     Input columns (nullable): in_budget, in_min_confidence, in_max_iterations,
-    in_types (comma list; empty does not override), in_model.  The config is
-    'key: value' text or a JSON object with optional cost/llm/analysis
-    sections.  Later duplicate keys win, as in a plain key/value parse.
+    in_types (comma list; empty does not override), in_provider, in_model.
+    The config is 'key: value' text or a JSON object with optional
+    cost/llm/analysis sections; lists (vuln_types, exclude_paths,
+    include_paths) need the JSON form.  An empty provider or model does not
+    override, an empty list does.  Later duplicate keys win, as in a plain
+    key/value parse.  ``vuln_types`` is a comma list, '' for all types.
     """
     c = F.col(cfg_col)
     is_json = F.regexp_replace(c, f"^{JS_WS}+", "").startswith("{")
@@ -127,13 +138,19 @@ def resolve_scan_options(options: DataFrame, cfg_col: str = "cfg_text") -> DataF
     nested = lambda sec, k: F.when(is_json, j(f"$.{sec}.{k}"))
     cols = options.columns
     inp = lambda k: F.col(k) if k in cols else F.lit(None)
+    text = lambda v: F.nullif(v.cast("string"), F.lit(""))
+    names = lambda k: F.coalesce(_json_list(nested("analysis", k)), F.when(is_json, _json_list(j(f"$.{k}"))),
+                                 F.array().cast("array<string>"))
     budget = F.coalesce(inp("in_budget").cast("double"), _num(nested("cost", "budget")), _num(flat("budget")))
     minc = F.coalesce(inp("in_min_confidence").cast("double"), _num(nested("analysis", "confidence_threshold")),
                       _num(flat("confidence_threshold")), F.lit(DEFAULTS["min_confidence"]))
     maxi = F.coalesce(inp("in_max_iterations").cast("double"), _num(nested("analysis", "max_iterations")),
                       _num(flat("max_iterations")), F.lit(DEFAULTS["max_iterations"]))
-    model = F.coalesce(F.nullif(inp("in_model").cast("string"), F.lit("")), nested("llm", "model"), flat("model"))
-    types_in = F.nullif(inp("in_types").cast("string"), F.lit(""))
+    provider = F.coalesce(text(inp("in_provider")), text(nested("llm", "provider")), text(flat("provider")))
+    model = F.coalesce(text(inp("in_model")), text(nested("llm", "model")), text(flat("model")))
+    types = F.coalesce(text(inp("in_types")), F.array_join(names("vuln_types"), ","))
+    dry_run = F.coalesce(~flat("dry_run").isin("false", "0", ""), F.lit(False))
     return options.select(
         "repo_id", budget.alias("budget"), minc.alias("min_confidence"), maxi.alias("max_iterations"),
-        model.alias("model"), F.coalesce(types_in, F.lit("")).alias("vuln_types"))
+        provider.alias("provider"), model.alias("model"), types.alias("vuln_types"), dry_run.alias("dry_run"),
+        names("include_paths").alias("include_paths"), names("exclude_paths").alias("exclude_paths"))

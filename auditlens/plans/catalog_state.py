@@ -79,7 +79,8 @@ def _state_json(spark, sf):
         F.array_sort(F.collect_list(F.when(F.col("status") != "complete", F.col("doc_id").cast("string")))).alias("todo"))
     even = F.substring("repo_id", 5, 10).cast("int") % 2 == 0
     camel = F.to_json(F.struct(F.col("done").alias("completedFiles"), F.col("todo").alias("pendingFiles"),
-                               F.col("repo_id").alias("repoPath"), F.lit("m1").alias("model")))
+                               F.col("repo_id").alias("repoPath"), F.lit("m1").alias("model"), F.array(F.struct(F.size("done").alias("n"))).alias("results"),
+                               F.struct(F.size("todo").alias("calls")).alias("costTrackerData")))
     snake = F.to_json(F.struct(F.col("done").alias("completed_files"), F.col("todo").alias("pending_files"),
                                F.col("repo_id").alias("repo_path"), F.lit("0.9").alias("legacy_version")))
     return g.select("repo_id", F.when(even, camel).otherwise(snake).alias("json"))
@@ -91,12 +92,14 @@ g AS (SELECT repo_id, list(CAST(doc_id AS STRING) ORDER BY CAST(doc_id AS STRING
 SELECT repo_id, CAST(coalesce(len(done), 0) AS INTEGER) AS n_completed, CAST(coalesce(len(todo), 0) AS INTEGER) AS n_pending,
   array_to_string(coalesce(done, []), ',') AS completed, repo_id AS repo_path,
   CASE WHEN CAST(substr(repo_id, 5) AS INTEGER) % 2 = 0 THEN 'm1' END AS model,
+  CASE WHEN CAST(substr(repo_id, 5) AS INTEGER) % 2 = 0 THEN '[{"n":' || coalesce(len(done), 0) || '}]' ELSE '[]' END AS results,
+  CASE WHEN CAST(substr(repo_id, 5) AS INTEGER) % 2 = 0 THEN '{"calls":' || coalesce(len(todo), 0) || '}' END AS cost_tracker_data,
   CASE WHEN CAST(substr(repo_id, 5) AS INTEGER) % 2 = 0 THEN '1.0.0' ELSE '0.9' END AS version FROM g""")
 def q_normalize(spark, sf):
     from auditlens.operators.state import normalize_state
     n = normalize_state(_state_json(spark, sf), legacy_version_keys=("legacy_version",))
     return n.select("repo_id", F.size("completed_files").alias("n_completed"), F.size("pending_files").alias("n_pending"),
-                    F.array_join("completed_files", ",").alias("completed"), "repo_path", "model", "version")
+                    F.array_join("completed_files", ",").alias("completed"), "repo_path", "model", "results", "cost_tracker_data", "version")
 
 
 _TRIM = f"'^{WS}+|{WS}+$'"
@@ -111,13 +114,23 @@ kv AS (SELECT repo_id, i, regexp_replace(split_part(line, ':', 1), {_TRIM}, '',
 cfg AS (SELECT repo_id, arg_max(CASE WHEN v IN ('null', '~') THEN NULL ELSE v END, i) FILTER (WHERE k = 'budget') AS budget,
                arg_max(CASE WHEN v IN ('null', '~') THEN NULL ELSE v END, i) FILTER (WHERE k = 'confidence_threshold') AS conf,
                arg_max(CASE WHEN v IN ('null', '~') THEN NULL ELSE v END, i) FILTER (WHERE k = 'max_iterations') AS maxi,
-               arg_max(CASE WHEN v IN ('null', '~') THEN NULL ELSE v END, i) FILTER (WHERE k = 'model') AS model FROM kv GROUP BY repo_id)
+               arg_max(CASE WHEN v IN ('null', '~') THEN NULL ELSE v END, i) FILTER (WHERE k = 'model') AS model,
+               arg_max(v, i) FILTER (WHERE k = 'provider') AS provider, arg_max(v, i) FILTER (WHERE k = 'dry_run') AS dry FROM kv GROUP BY repo_id),
+j AS (SELECT repo_id, json_extract_string(t, '$.cost.budget') AS budget, json_extract_string(t, '$.analysis.max_iterations') AS maxi,
+             json_extract_string(t, '$.llm.provider') AS provider, json_extract_string(t, '$.model') AS model, json_extract_string(t, '$.dry_run') AS dry,
+             array_to_string(coalesce(CAST(json_extract(t, '$.analysis.vuln_types') AS VARCHAR[]), CAST(json_extract(t, '$.vuln_types') AS VARCHAR[])), ',') AS types,
+             array_to_string(CAST(json_extract(t, '$.include_paths') AS VARCHAR[]), ',') AS inc,
+             array_to_string(CAST(json_extract(t, '$.analysis.exclude_paths') AS VARCHAR[]), ',') AS exc
+      FROM (SELECT repo_id, cfg_text AS t FROM fx_options WHERE starts_with(cfg_text, '{{')))
 SELECT o.repo_id,
-  coalesce(o.in_budget, CASE WHEN regexp_full_match(c.budget, '\\d+(\\.\\d+)?') THEN CAST(c.budget AS DOUBLE) END) AS budget,
+  coalesce(o.in_budget, CAST(j.budget AS DOUBLE), CASE WHEN regexp_full_match(c.budget, '\\d+(\\.\\d+)?') THEN CAST(c.budget AS DOUBLE) END) AS budget,
   coalesce(CAST(o.in_min_confidence AS DOUBLE), CASE WHEN regexp_full_match(c.conf, '\\d+(\\.\\d+)?') THEN CAST(c.conf AS DOUBLE) END, 5.0) AS min_confidence,
-  coalesce(CASE WHEN regexp_full_match(c.maxi, '\\d+(\\.\\d+)?') THEN CAST(c.maxi AS DOUBLE) END, 7.0) AS max_iterations,
-  c.model AS model, coalesce(nullif(o.in_types, ''), '') AS vuln_types
-FROM fx_options o LEFT JOIN cfg c USING (repo_id)""")
+  coalesce(CAST(j.maxi AS DOUBLE), CASE WHEN regexp_full_match(c.maxi, '\\d+(\\.\\d+)?') THEN CAST(c.maxi AS DOUBLE) END, 7.0) AS max_iterations,
+  coalesce(j.model, c.model) AS model, coalesce(nullif(o.in_types, ''), j.types, '') AS vuln_types, coalesce(j.provider, c.provider) AS provider,
+  coalesce(j.dry, c.dry, 'false') = 'true' AS dry_run, coalesce(j.inc, '') AS include_list, coalesce(j.exc, '') AS exclude_list
+FROM fx_options o LEFT JOIN cfg c USING (repo_id) LEFT JOIN j USING (repo_id)""")
 def q_options(spark, sf):
     from auditlens.operators.state import resolve_scan_options
-    return resolve_scan_options(fixture(spark, sf, "fx_options"))
+    o = resolve_scan_options(fixture(spark, sf, "fx_options"))
+    return (o.withColumn("include_list", F.array_join("include_paths", ",")).withColumn("exclude_list", F.array_join("exclude_paths", ","))
+            .drop("include_paths", "exclude_paths"))

@@ -114,7 +114,9 @@ SELECT doc_id, 'repo' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS r
     "fx_options": """
 SELECT n_name AS repo_id, CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS in_budget, CASE WHEN n_nationkey % 4 = 0 THEN 8 END AS in_min_confidence,
   CASE WHEN n_nationkey % 5 = 0 THEN 'LFI,RCE' ELSE '' END AS in_types,
-  '# cfg' || chr(10) || 'budget: ' || CAST(n_nationkey + 0 AS STRING) || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'max_iterations: 3' ELSE '' END || chr(10) || 'model: ~' AS cfg_text FROM nation
+  CASE WHEN n_nationkey % 5 = 3 THEN '{"budget": 4, "provider": "openai", "model": "m1", "dry_run": true, "vuln_types": ["SQLI"], "include_paths": ["src/"], "cost": {"budget": ' || CAST(n_nationkey AS STRING)
+    || '}, "llm": {"provider": "anthropic", "model": ""}, "analysis": {' || CASE WHEN n_nationkey % 2 = 0 THEN '"vuln_types": ["XSS", "SSRF"], ' ELSE '' END || '"exclude_paths": ["tests/", "docs/"], "max_iterations": 2}}'
+  ELSE '# cfg' || chr(10) || 'budget: ' || CAST(n_nationkey + 0 AS STRING) || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'max_iterations: 3' || chr(10) || 'dry_run: true' || chr(10) || 'provider: openai' ELSE '' END || chr(10) || 'model: ~' END AS cfg_text FROM nation
 """,
     "fx_refs": """
 SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'https://github.com/o' || CAST(c_nationkey AS STRING) || '/r' || CAST(c_custkey % 9 AS STRING) WHEN 1 THEN 'http://github.com/o' || CAST(c_nationkey AS STRING) || '/r' || CAST(c_custkey % 9 AS STRING) || '.git'

@@ -234,6 +234,11 @@ NETWORK_PATTERNS = [
     ("Templates", r"autoescape\s*=\s*False"),
 ]
 
+# Stand-in texts for missing or unusable input.
+NO_README = "No README available."
+README_FAILED = "README summarization failed."
+PARSE_FAILED = "Failed to parse structured response"
+
 # ---------------------------------------------------------------------------
 # Own tables (this engine's wording and choices, not the audited tool's)
 # ---------------------------------------------------------------------------
@@ -302,9 +307,6 @@ RESPONSE_FORMAT = ('{"scratchpad": str, "analysis": str, "poc": str|null, "confi
                    '"context_code": [{"name": str, "reason": str, "code_line": str}]}')
 README_INSTRUCTIONS = "Summarise what this project does and how it is reached over the network, inside <summary></summary>."
 SYSTEM_INSTRUCTIONS = "You audit Python source for remotely exploitable vulnerabilities."
-NO_README = "No README available."
-README_FAILED = "README summarization failed."
-PARSE_FAILED = "Failed to parse structured response"
 
 
 # ---------------------------------------------------------------------------

@@ -177,10 +177,22 @@ def q_scan_summary(spark, sf):
 _ORDER = f"{O.sev_score_case()} DESC, confidence DESC, finding_ord"
 
 
-@register("sort_findings", FX_F + f"SELECT finding_ord, severity, confidence FROM fx_findings ORDER BY {_ORDER}")
+@register("sort_findings", FX_F + f"SELECT row_number() OVER (ORDER BY {_ORDER}) AS pos, finding_ord, severity, confidence FROM fx_findings")
 def q_sort(spark, sf):
+    """The sorted rows with the place where the sort put them: rows of earlier
+    partitions (one count each) plus the place in the partition."""
+    import uuid
+
+    from pyspark.sql import Window
+
+    from auditlens.functions.plan import cut_lineage
     from auditlens.operators.findings import sort_findings
-    return sort_findings(_findings(spark, sf)).select("finding_ord", "severity", "confidence")
+    placed = sort_findings(_findings(spark, sf)).select("finding_ord", "severity", "confidence", F.monotonically_increasing_id().alias("_at"))
+    placed = (cut_lineage(placed, f"sorted/{uuid.uuid4().hex}")
+              .withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(starts, "_part").select((F.col("_before") + F.col("_at") + 1).alias("pos"), "finding_ord", "severity", "confidence")
 
 
 @register("number_findings", FX_F + f"SELECT repo_id, finding_ord, row_number() OVER (PARTITION BY repo_id ORDER BY {_ORDER}) AS pos FROM fx_findings")

@@ -3,8 +3,11 @@
 Every page becomes a DOM; each node gets its link-adjusted characters per tag
 (the composite text density of Sun, Song and Liao, 2011), a node's score is
 the sum of its children's densities, and the subtree with the greatest score
-among nodes at or above the body-path threshold is the article.  The work is
-one map over the pages: no shuffle, memory bounded by one Arrow batch.
+among nodes at or above the body-path threshold is the article.  Words in class
+and id names lower densities; a subtree is dropped by them only when every word
+of a name marks furniture and it holds no article, no article heading and no
+large share of the page's text.  The work is one map over the pages: no
+shuffle, memory bounded by one Arrow batch.
 """
 
 from __future__ import annotations
@@ -40,15 +43,22 @@ FURNITURE = frozenset(
     "social related recommended widget toolbar login search copyright disclaimer alert skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 KEPT = frozenset("html body article main".split())
+#: Text blocks that a class or id name never drops, only lowers.
+TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre figure figcaption table tbody thead tfoot tr td th li dt dd".split())
+#: Factors of the densities below a name that has a furniture word, and one of furniture words only.
+PARTLY, WHOLLY = 0.7, 0.3
+#: Share of the page's non-link text from which a name drops nothing.
+LARGE_SHARE = 1 / 3
 _NAME_PARTS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "score", "factor", "holds")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, factor: float = 1.0):
+        self.tag, self.parent, self.dropped, self.factor = tag, parent, dropped, factor
+        self.holds = False
         self.parts: list[str | _Node] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.score = 0.0
@@ -72,7 +82,7 @@ class _Builder(HTMLParser):
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             stack.pop()
         top = stack[-1]
-        node = _Node(tag, top, top.dropped or self._furniture(tag, attrs))
+        node = _Node(tag, top, top.dropped or self._furniture(tag, attrs), _factor(tag, attrs))
         top.parts.append(node)
         self.order.append(node)
         if tag not in VOID:
@@ -119,13 +129,68 @@ class _Builder(HTMLParser):
                 return True
             if tag in KEPT:
                 continue
-            if name in ("class", "id") and not FURNITURE.isdisjoint(_NAME_PARTS.findall(value.lower())):
-                return True
             if name == "role" and value.strip().lower() in ROLES:
                 return True
         return False
 
 
+def _factor(tag: str, attrs) -> float:
+    """What class and id names make of the densities below: 1, ``PARTLY``, or ``WHOLLY`` if every word of one name marks furniture."""
+    out = 1.0
+    if tag in KEPT:
+        return out
+    for name, value in attrs:
+        if value and name in ("class", "id"):
+            for one in value.lower().split():
+                words = _NAME_PARTS.findall(one)
+                if words and not FURNITURE.isdisjoint(words):
+                    out = min(out, WHOLLY if FURNITURE.issuperset(words) else PARTLY)
+    return out
+
+
+def _drop_marked(order: list[_Node]) -> None:
+    """Drops the subtrees whose name is wholly furniture and that hold nothing of the article; hands the factors down."""
+    if all(n.factor == 1.0 for n in order):
+        return
+    scope: dict[_Node, tuple] = {order[0]: (None, None, False)}  # nearest article or main, nearest heading, below a marked name
+    started = set()
+    for n in order[1:]:
+        article, heading, marked = scope[n.parent]
+        article, heading = (n if n.tag in ("article", "main") else article), (n if n.tag in HEADINGS else heading)
+        scope[n] = article, heading, marked or n.factor < 1
+        n.holds = n.tag in ("article", "main", "h1")
+        if article not in started and not n.dropped and any(isinstance(x, str) and x.strip() for x in n.parts):
+            started.add(article)
+            if article is not None and heading is not None:
+                heading.holds = True  # an article starts with its heading
+    own: dict[_Node, int] = {}  # non-link characters
+    for n in reversed(order):
+        if n.dropped:
+            continue
+        total = 0
+        for part in n.parts:
+            if isinstance(part, str):
+                total += len("".join(part.split()))
+            elif not part.dropped:
+                total += own[part]
+                n.holds = n.holds or part.holds
+        own[n] = 0 if n.tag == "a" else total
+    page = own[order[0]]
+    # a page that marks its article says itself that large texts beside it are not part of it
+    beside = any(n.tag in ("article", "main") and own.get(n) and not scope[n][2] for n in order)
+    for n in order[1:]:
+        up = n.parent
+        if up.dropped:
+            n.dropped = True
+        if n.dropped:
+            continue
+        large = own[n] >= LARGE_SHARE * page and not (beside and scope[n][0] is None)
+        if n.factor == WHOLLY and n.tag not in TEXT_BLOCKS and not n.holds and not large:
+            n.dropped = True
+        elif n.tag not in ("article", "main"):  # a marked article counts whole wherever it stands
+            n.factor *= up.factor
+
+
 def _measure(order: list[_Node]) -> None:
     """Counts, densities and scores, children before parents."""
     for n in reversed(order):
@@ -195,11 +260,12 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     order = parser.order
+    _drop_marked(order)
     _measure(order)
     body = next((n for n in order if n.tag == "body" and not n.dropped), parser.root)
     inside = [n for n in order if not n.dropped]
     for n in inside:
-        n.density = _density(n, body)
+        n.density = _density(n, body) * n.factor
         if n.parent is not None:
             n.parent.score += n.density
     best = max(inside, key=lambda n: n.score)  # the first one wins a tie: parents come before children

@@ -71,6 +71,36 @@ def test_odd_html_does_not_fail(html):
     assert isinstance(main_text(html), str)
 
 
+ARTICLE = "<article><h1>Title</h1><p>First paragraph of some length.</p><p>Second paragraph, longer than the first one.</p></article>"
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "post comments-open", "no-menu-page", "page-header", "alert-text", "social-history",
+                                  "sidebar", "comments", "cookie-notice", "widget"])
+def test_names_never_drop_the_article(name):
+    """Brute force: every element around and in the article takes the name, as class or id; the text stays the same."""
+    import re
+
+    from auditlens.llm.html_extract import main_text
+    want = ["Title", "First paragraph of some length.", "Second paragraph, longer than the first one."]
+    page = f"<body><nav><a href=/>Home</a></nav><div><section>{ARTICLE}</section></div><footer>f</footer></body>"
+    plain = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    for html in (page, plain):
+        assert main_text(html).split("\n\n") == want
+        for at in re.finditer("<(div|section|article|h1|p)>", html):
+            for attr in ("class", "id"):
+                assert main_text(f"{html[:at.end() - 1]} {attr}='{name}'>{html[at.end():]}").split("\n\n") == want, (at, attr)
+
+
+def test_partly_marked_section_stays_and_furniture_goes():
+    from auditlens.llm.html_extract import main_text
+    html = ARTICLE.replace("</article>", "<section class='social-history'><p>Aside fact.</p></section><div class='share'>Share it</div></article>")
+    assert main_text(html).split("\n\n")[3:] == ["Aside fact."]
+    titled = ARTICLE.replace("<h1>Title</h1>", "<div class='banner'><h2><a href=/>Title</a></h2></div>")
+    assert main_text(titled).startswith("Title\n\nFirst")
+    assert main_text(f"<body><div class='ad'>{prose(random.Random(1), 90)}</div>{ARTICLE}").startswith("Title\n\nFirst")  # beside the article
+    assert main_text(f"<body><div class='widget'>{prose(random.Random(1), 90)}</div><p>x</p>").startswith(prose(random.Random(1), 90))
+
+
 def test_extract_rows(spark):
     from auditlens.llm.html_extract import extract_main_text
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")

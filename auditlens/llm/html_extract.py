@@ -35,6 +35,9 @@ DROPPED = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 BARRIERS = frozenset("html body table ul ol dl select article section div main td th".split())
+#: Elements that may stand in a head, and those in it whose content is not markup of the page.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+RAW_IN_HEAD = frozenset("noframes noscript script style template".split())
 #: Words in class or id names, and roles, that mark page furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent "
@@ -75,6 +78,7 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         stack = self.open
+        self._leave_head(tag)
         if tag in BLOCKS and tag not in ("html", "body"):
             self._close_until({"p"}, BARRIERS)
         if tag in CLOSES:
@@ -104,8 +108,20 @@ class _Builder(HTMLParser):
         return j  # line numbers are not needed
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and not data.isspace():
+            self.open.pop()
         self.open[-1].parts.append(data)
 
+    def _leave_head(self, tag):
+        """The end tag of a head is optional: body, or the first element that cannot stand in it, ends it."""
+        stack = self.open
+        at = next((i for i in range(1, min(len(stack), 4)) if stack[i].tag == "head"), 0)
+        if not at or tag == "html" or tag == "head":
+            return
+        inner = stack[at + 1:]
+        if tag == "body" or (tag not in HEAD_CONTENT and not any(n.tag in RAW_IN_HEAD for n in inner) and (not inner or tag in BLOCKS)):
+            del stack[at:]
+
     def _close_until(self, names, barriers):
         stack = self.open
         for i in range(len(stack) - 1, 0, -1):

@@ -101,6 +101,16 @@ def test_partly_marked_section_stays_and_furniture_goes():
     assert main_text(f"<body><div class='widget'>{prose(random.Random(1), 90)}</div><p>x</p>").startswith(prose(random.Random(1), 90))
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>T</title></head><body>", "<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title>",
+                                   "<title>T</title><body>", "<title>T</title>", "<head><title>T</title><style>p{}</style><link rel=x><script>1</script>",
+                                   "", "<body>", "<head>", "<head><noscript><div>pixel</div></noscript>", "<head><noscript><img src=x><body>"])
+@pytest.mark.parametrize("end", ["", "</body></html>"])
+def test_optional_head_and_body_tags(start, end):
+    from auditlens.llm.html_extract import main_text
+    assert main_text(start + ARTICLE + end).split("\n\n") == ["Title", "First paragraph of some length.", "Second paragraph, longer than the first one."]
+    assert main_text(f"{start}Bare text of the page.{end}").endswith("Bare text of the page.")
+
+
 def test_extract_rows(spark):
     from auditlens.llm.html_extract import extract_main_text
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")

@@ -6,7 +6,8 @@ kept by pattern and validator alone; the kinds that the method adds need a
 score of at least ``MIN_SCORE``.
 
 Matches are found left to right without overlap per kind, whole, in one pass
-over each text; positions are running sums of the pieces between matches.
+over each text (account numbers: among the strings that pass their check, since
+only length and checksum tell where one ends); positions are running sums of the pieces between matches.
 The patterns are written with possessive runs and anchored starts, which match
 the same spans as the plain forms in time proportional to the text (no
 backtracking over long runs, no recursion in the matcher).
@@ -81,12 +82,47 @@ def _ssn(m: Column) -> Column:
 @dataclass(frozen=True)
 class Kind:
     name: str
-    pattern: str                          # matches the same spans as the plain form
+    pattern: str                          # matches the same spans as the plain form; with ``found``, any text that has one
     valid: Callable[[Column], Column]
     score: float                          # before context
     context: str                          # words that raise the score
     must: str | None = None               # a substring that every match has
     base: bool = True
+    found: Callable[[Column], Column] | None = None  # the distinct valid strings of a text, where a pattern alone cannot tell their ends
+
+
+#: Lengths of the IBAN by country code (registry and published national forms).
+IBAN_LENGTHS = {c: int(n) for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in codes.split()}
+_IBAN_START, _END = "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})", "(?![A-Za-z0-9])"
+
+
+def _iban_of_length(n: int) -> str:
+    return f"[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}{_END}"
+
+
+def _ibans(t: Column) -> Column:
+    """Distinct valid IBANs that start anywhere in a text, overlapping proposals too.
+
+    A country code gives the length; for other codes every prefix of 15 to 34
+    characters that ends at a word's end is tried.
+    """
+    by_length = {n: "|".join(c for c, m in IBAN_LENGTHS.items() if m == n) for n in sorted(set(IBAN_LENGTHS.values()))}
+    known = "|".join(f"(?:{codes}){_iban_of_length(n)}" for n, codes in by_length.items())
+    runs = F.regexp_extract_all(t, F.lit(f"{_IBAN_START}(?=({known}))"), F.lit(1))
+    others = F.regexp_extract_all(t, F.lit(f"{_IBAN_START}(?!{'|'.join(IBAN_LENGTHS)})(?=([A-Z0-9](?: ?[A-Z0-9]){{14,33}}))"), F.lit(1))
+    after = F.regexp_extract_all(t, F.lit(f"{_IBAN_START}(?!{'|'.join(IBAN_LENGTHS)})(?=[A-Z0-9](?: ?[A-Z0-9]){{14,33}}([A-Za-z0-9]?))"), F.lit(1))
+    # the character behind a run tells whether its last word ends there
+    others = F.zip_with(others, after, lambda run, c: F.concat(run, F.lower(c)))
+
+    def prefixes(run):
+        return F.array(*[F.regexp_extract(run, f"^[A-Z0-9](?: ?[A-Z0-9]){{{n - 1}}}{_END}", 0) for n in range(15, 35)])
+
+    others = F.filter(F.flatten(F.transform(others, prefixes)), lambda x: x != "")
+    return F.array_distinct(F.filter(F.concat(runs, others), _iban))
 
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -96,7 +132,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _ip, 0.6, r"\bip\b|host|server|address"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", _card, 0.8, "card|visa|master|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _digit_count(9, 15), 0.7, "phone|tel|call|mobile|fax|fon", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _iban, 0.7, "iban|account|bank|konto|compte|cuenta", None, False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2} ?[A-Z0-9]", _iban, 0.7, "iban|account|bank|konto|compte|cuenta", None, False, _ibans),
     Kind("ssn", r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", _ssn, 0.3, r"\bssn\b|social security", None, False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -118,6 +154,11 @@ def _near(before: Column, after: Column) -> Column:
 def _with_matches(df: DataFrame, k: Kind, text: str, m: str, p: str) -> DataFrame:
     """Adds the matches of a kind and the pieces between them (one more piece than matches); null without a match."""
     t = F.col(text)
+    if k.found:  # one pattern per text: its valid strings, the longest first where one starts another
+        valid = F.when(t.rlike(k.pattern), F.sort_array(k.found(t), asc=False))
+        df = df.withColumn(p, F.when(F.size(valid) > 0, F.concat(F.lit("(?<![A-Za-z0-9])(?:"), F.array_join(valid, "|"), F.lit(f"){_END}"))))
+        df = df.withColumn(m, F.regexp_extract_all(t, F.col(p), F.lit(0)))
+        return df.withColumn(p, F.split(t, F.col(p), -1))
     found = F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))
     df = df.withColumn(m, F.when(t.contains(k.must), found) if k.must else found)
     return df.withColumn(p, F.when(F.size(m) > 0, F.split(t, k.pattern, -1)))

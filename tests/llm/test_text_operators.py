@@ -323,6 +323,36 @@ def test_pii_spans(spark):
     assert find_pii(empty(spark)).count() == 0
 
 
+IBANS = {"DE89370400440532013000 Please": (0, 22), "pay to DE89370400440532013000. BIC COBADEFFXXX.": (7, 29), "DE89370400440532013000 BIC COBADEFFXXX.": (0, 22),
+         "GB82 WEST 1234 5698 7654 32 I agree": (0, 27), "DE89370400440532013000 2024": (0, 22), "DE89 3704 0044 0532 0130 00 AB 12 CD": (0, 27),
+         "BE20 DE89 3704 0044 0532 0130 00 X": (5, 32),  # a false start does not hide the number behind it
+         "x NO9386011117947 OK": (2, 17), "DE89370400440532013000A": None, "DE89 3704 0044 0532 0130": None, "DE8937040044053201300 0 Please": (0, 23),
+         "DE89370400440532013001 Please": None}
+
+
+def test_ibans_end_where_their_length_says(spark):
+    from auditlens.llm.pii import find_pii, redact
+    df = frame(spark, list(enumerate(IBANS)) + [(99, "DE89370400440532013000 GB82WEST12345698765432 DE89370400440532013000")])
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in find_pii(df).collect()}
+    assert [got[i] for i in range(len(IBANS))] == [[f"iban:{at[0]}:{at[1]}"] if at else [] for at in IBANS.values()]
+    assert got[99] == ["iban:0:22", "iban:23:45", "iban:46:68"]
+    out = {r.doc_id: r.text for r in redact(df).collect()}
+    assert out[0] == "[IBAN] Please" and out[3] == "[IBAN] I agree" and out[99] == "[IBAN] [IBAN] [IBAN]" and out[6] == "BE20 [IBAN] X"
+
+
+def test_ibans_of_unlisted_countries_by_prefix(spark):
+    from auditlens.llm.pii import IBAN_LENGTHS, find_pii
+
+    def checked(code, bban):
+        number = int("".join(str(int(c, 36)) for c in bban + code + "00"))
+        return f"{code}{98 - number % 97:02}{bban}"
+
+    rng = random.Random(3)
+    texts = [checked(code, "".join(rng.choice("0123456789ABCDEFGH") for _ in range(n - 4))) for code, n in [*IBAN_LENGTHS.items(), ("ZZ", 15), ("ZZ", 23), ("XY", 34)]]
+    got = {r.doc_id: r.spans for r in find_pii(frame(spark, [(i, f"é {t} Ab cd") for i, t in enumerate(texts)])).collect()}
+    assert all(f"iban:2:{2 + len(t)}" in got[i] for i, t in enumerate(texts))
+
+
 def test_redaction(spark):
     from auditlens.llm.pii import redact
     df = clashing(spark, list(enumerate(PII_TEXTS)))

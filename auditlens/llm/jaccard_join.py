@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm import kernels as K
-from auditlens.llm.common import components, ready, written
+from auditlens.llm.common import WORD_CLASS, components, ready, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, TARGET_RECALL = 4, 0.99999
@@ -62,14 +62,15 @@ def _class_key(words: np.ndarray) -> tuple[int, int]:
     return tuple(int(K.hash_spans(words, *ends, s)[0].astype(np.int64)) for s in (1, 2))
 
 
-def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, bands array<long>) for every document row; no bands without a word."""
+def signatures(docs: DataFrame, size: int, bands: int, rows: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(``keep`` columns, k1, k2, bands array<long>) for every document row; no bands without a word."""
     ready(docs.sparkSession)
+    docs = docs.select(*keep, "text")
     factors = _multipliers(bands * rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.text_bytes(batch.column(1))
+            data, offsets = K.text_bytes(batch.column("text"))
             for i, j in K.chunks(offsets):
                 words, _, _, bounds = K.words_of(data, offsets, i, j)
                 sets = [shingles(words[a:b], size) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -91,10 +92,10 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     which[full] = np.arange(len(full))
                     column = pa.array([None if w < 0 else band[w].view(np.int64) for w in which], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), column],
-                    ["doc_id", "k1", "k2", "bands"])
+                    [*[batch.column(c).slice(i, j - i) for c in keep], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), column],
+                    [*keep, "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(work, ", ".join([*[f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep], "k1 long, k2 long, bands array<long>"]))
 
 
 def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies: np.ndarray, threshold: float, same: bool):
@@ -195,28 +196,32 @@ def link_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: in
     return rows.groupBy("root", "lo", "hi").applyInArrow(verify, f"node {key}, n_links long, root {key}")
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL,
-                      rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_links) for every document row.
-
-    class_id is the least doc_id of the document's group (connected by links);
-    n_links counts the other document rows with an equal word sequence or a
-    shingle Jaccard similarity of at least ``threshold``.  Texts without a
-    word (null, empty, white space) link to nothing: class_id is their doc_id.
-    A group without any doc_id has a null class_id.  Only doc_id and text are read.
-    """
-    docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs, size, bands_for(threshold, rows, recall), rows), "signatures")
+def _grouped(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL,
+             rows: int = ROWS, block: int = BLOCK, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """Document rows (``keep`` columns, bands, class key k), and classes (k, least doc_id, n_links, root)."""
+    signed = written(signatures(docs, size, bands_for(threshold, rows, recall), rows, keep), "signatures")
     with_key = signed.withColumn("k", F.struct("k1", "k2"))
     classes = written(with_key.where("bands IS NOT NULL").groupBy("k")
                       .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    found = written(link_classes(docs, classes, threshold, size, block), "links")
+    found = written(link_classes(docs.select("doc_id", "text"), classes, threshold, size, block), "links")
     edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(edges, "groups").withColumnRenamed("node", "k")
     degree = found.groupBy(F.col("node").alias("k")).agg(F.sum("n_links").alias("links"))
     grouped = (classes.select("k", "doc_id", "copies").join(degree, "k", "left").join(roots, "k", "left")
                .select("k", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "k").alias("root")))
-    grouped = written(grouped, "grouped")
+    return with_key, written(grouped, "grouped")
+
+
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, n_links) for every document row.
+
+    class_id is the least doc_id of the document's group (connected by links);
+    n_links counts the other document rows with an equal word sequence or a
+    shingle Jaccard similarity of at least ``threshold``.  Texts without a
+    word (null, empty, white space) link to nothing: class_id is their doc_id.
+    A group without any doc_id has a null class_id.  Only doc_id and text are read.
+    """
+    with_key, grouped = _grouped(docs.select("doc_id", "text"), **options)
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     per_class = grouped.join(least, "root").select("k", "class_id", "n_links")
     linked = with_key.where("bands IS NOT NULL").select("doc_id", "k").join(per_class, "k").select("doc_id", "class_id", "n_links")
@@ -225,12 +230,24 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, size: int =
 
 
 def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) with the least doc_id of their group; a row without a word or doc_id stays.
+    """The rows of ``docs`` (all columns) that stand for their group: the least by doc_id, then by a hash of the text.
 
-    Repeated rows of the kept document are copies of it too: one of them stays.
+    Rows are told apart by doc_id and text, so another text under the doc_id of
+    a copy stays, and so does one row only of different copies under one doc_id
+    and of equal rows.  Rows without a doc_id stay beside the named row of their
+    group, one a group.  Rows without a word all stay.
     """
-    groups = similar_documents(docs.select("doc_id", "text"), **options)
-    gone = groups.where("doc_id <> class_id").select(F.col("doc_id").alias("__doc")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
-    named = kept.where("doc_id IS NOT NULL").withColumn("__key", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "__key"]).drop("__key").unionByName(kept.where("doc_id IS NULL"))
+    named = lambda c: F.coalesce(c, F.lit(0))
+    hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+    rows, grouped = _grouped(docs.select("doc_id", "text", *[h.alias(c) for c, h in hashes.items()]), keep=("doc_id", "t1", "t2"), **options)
+    rows = rows.where("bands IS NOT NULL").select("k", F.col("doc_id").isNull().alias("unnamed"), F.struct("doc_id", "t1", "t2").alias("row"))
+    of_class = rows.groupBy("k", "unnamed").agg(F.min("row").alias("least")).join(grouped.select("k", "root"), "k")
+    of_group = of_class.groupBy("root", "unnamed").agg(F.min("least").alias("best"))
+    best = of_class.join(of_group, ["root", "unnamed"]).select("k", "unnamed", "best")
+    gone = (rows.join(best, ["k", "unnamed"]).where("NOT (row <=> best)")
+            .select("unnamed", named(F.col("row.doc_id")).alias("id"), F.col("row.t1").alias("t1"), F.col("row.t2").alias("t2")).distinct())
+    worded = F.coalesce(F.col("text").rlike(WORD_CLASS), F.lit(False))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col("doc_id").isNull().alias("unnamed"), named(F.col("doc_id")).alias("id"),
+                        *[h.alias(c) for c, h in hashes.items()], F.when(worded, -1).otherwise(F.monotonically_increasing_id()).alias("own"))
+    key = ["unnamed", "id", "t1", "t2"]
+    return whole.join(gone, key, "left_anti").dropDuplicates([*key, "own"]).select("__row.*")

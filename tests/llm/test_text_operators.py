@@ -297,6 +297,20 @@ def test_jaccard_odd_rows_and_stage(spark):
     assert similar_documents(empty(spark)).count() == 0
 
 
+def test_one_row_per_group_under_repeated_and_null_ids(spark):
+    from auditlens.llm.jaccard_join import keep_one_per_group
+    a, b, c, d = (prose(random.Random(i), 60) for i in range(20, 24))
+    rows = [(1, a), (2, a + " more"), (2, b),           # another text under the doc_id of a near copy stays
+            (3, c), (3, c + " more"), (3, c), (4, c),   # different near copies under the least doc_id: one
+            (None, d), (None, d + " more"), (None, d),  # copies without any doc_id: one
+            (None, b), (None, b),                       # and one beside a named row
+            (6, " "), (6, " "), (None, None), (None, None)]
+    got = [(r.doc_id, r.text) for r in keep_one_per_group(clashing(spark, rows)).collect()]
+    group = {t: n for n, x in enumerate((a, b, c, d)) for t in (x, x + " more")}
+    assert sorted((i or 0, group.get(t, "-1" if t else "-2")) for i, t in got if t in group) == [(0, 1), (0, 3), (1, 0), (2, 1), (3, 2)]
+    assert sorted((i or 0, t or "") for i, t in got if t not in group) == [(0, ""), (0, ""), (6, " "), (6, " ")]
+
+
 # -- 8 personal data --------------------------------------------------------
 
 PII_TEXTS = [

@@ -3,15 +3,18 @@
 Documents that share a hub (for the registered query: an equal text) should
 share a shard, while every shard holds the same number of rows, to one.  Links
 are kept as (document, hub) rows, so a group of n copies is n rows, not n*n/2
-edges.  All rows start in even shards.  In each round hubs count their
-members' shards, each linked document asks for the shard with most of its
-neighbours, and moves are granted in balanced pairs: i to j against j to i,
-and for the rest against unlinked documents of j.  Each grant swaps two rows,
-so the row counts never change: the law ``rows`` holds at every step.
-
-The driver sees at most shards * shards counts per round.  Moves are picked by
-two-level numbers, so no window holds a whole shard.  A hub with more members
-than half a shard is split into parts of that size before it votes.
+edges.  Whole groups are placed first, by best fit decreasing on the histogram
+of their sizes; other rows and groups that fit nowhere fill the room that is
+left.  In each round hubs count their members' shards, each linked document
+asks for the shard with most of its neighbours (a hash of hub and shard breaks
+ties, so that members agree), and moves are granted in balance: round cycles
+of shards, and for the rest against unlinked documents.  The row counts never
+change: the law ``rows`` holds at every step.
+
+The driver sees the histogram and at most shards * shards counts per round.
+Moves are picked by two-level numbers, so no window holds a whole shard.  Only
+a hub with more members than a shard has rows is split, into whole shards and
+a rest.
 """
 
 from __future__ import annotations
@@ -22,11 +25,53 @@ from pyspark.sql import functions as F
 from auditlens.llm.common import drop, number_rows, slices_for, written
 
 
+def _cycle(edges) -> list[tuple[int, int]]:
+    """The edges of one cycle; none if there is no cycle."""
+    after: dict[int, list[int]] = {}
+    for i, j in edges:
+        after.setdefault(i, []).append(j)
+    done: set[int] = set()
+
+    def walk(path):
+        for j in after.get(path[-1], ()):
+            if j in path:
+                ring = path[path.index(j):] + [j]
+                return list(zip(ring[:-1], ring[1:], strict=True))
+            if j not in done and (found := walk(path + [j])):
+                return found
+        done.add(path[-1])
+        return []
+
+    return next((found for i in sorted(after) if i not in done and (found := walk([i]))), [])
+
+
+def _plan(histogram: dict[int, int], room: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+    """Best fit decreasing of groups into shards: ((size, first rank, rank after the last, shard) runs, room left)."""
+    runs, room = [], list(room)
+    for size, n in sorted(histogram.items(), reverse=True):
+        at = 0
+        for shard in sorted(range(len(room)), key=lambda x: (room[x], x)):
+            k = min(n - at, room[shard] // size)
+            if k:
+                runs.append((size, at, at + k, shard))
+                room[shard] -= k * size
+                at += k
+    return runs, room
+
+
 def _grants(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], int]]:
     """(linked moves granted by (from, to), unlinked rows sent back by (from, to))."""
     linked, back, left = {}, {}, dict(free)
     for (i, j), n in sorted(wants.items()):
         linked[i, j] = min(n, wants.get((j, i), 0))
+    open_ = {k: n - linked[k] for k, n in sorted(wants.items()) if n > linked[k]}
+    while cycle := _cycle(open_):
+        k = min(open_[e] for e in cycle)
+        for e in cycle:
+            linked[e] += k
+            open_[e] -= k
+            if not open_[e]:
+                del open_[e]
     for (i, j), n in sorted(wants.items(), key=lambda x: (-x[1], x[0])):
         more = min(n - linked[i, j], left.get(j, 0))
         if more > 0:
@@ -45,19 +90,37 @@ def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6
     spark = nodes.sparkSession
     n = nodes.count()
     slices = slices_for(n)
-    part_size = max(1, n // n_shards // 2)
+    most = max(1, -(-n // n_shards))
     sizes = links.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
-    parts = F.ceil(F.col("members") / F.lit(part_size))
-    links = written(links.join(sizes, "hub").select(
-        "node", "hub", F.when(parts > 1, F.pmod(F.xxhash64("node"), parts)).otherwise(0).alias("part")), name)
-    linked = links.select("node").distinct().withColumn("linked", F.lit(True))
-    state = written(number_rows(nodes.select("node"), [], F.col("node"), slices, "row").join(linked, "node", "left")
-                    .select("node", F.pmod("row", F.lit(n_shards)).cast("int").alias("shard"), F.coalesce("linked", F.lit(False)).alias("linked")), name)
+    sized = links.join(sizes, "hub").select("node", "hub", "members")
+    whole = sized.where(F.col("members") <= most).select("node", "hub", F.lit(0).cast("bigint").alias("part"))
+    cut = (number_rows(sized.where(F.col("members") > most).select("node", "hub"), ["hub"], F.col("node"), slices, "row")
+           .select("node", "hub", F.expr(f"row div {most}").alias("part")))
+    links = written(whole.unionByName(cut), name)
+    # a node's first hub places it
+    home = written(links.groupBy("node").agg(F.min(F.struct(F.xxhash64("hub", "part").alias("h"), "hub", "part")).alias("x"))
+                   .select("node", "x.hub", "x.part"), name)
+    groups = written(home.groupBy("hub", "part").agg(F.count("*").alias("size")), name)
+    histogram = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    runs, room = _plan(histogram, [n // n_shards + (i < n % n_shards) for i in range(n_shards)])
+    runs = spark.createDataFrame(runs, "size long, lo long, hi long, shard int")
+    ends = [sum(room[:i]) for i in range(n_shards + 1)]
+    gaps = spark.createDataFrame([(ends[i], ends[i + 1], i) for i in range(n_shards)], "lo long, hi long, shard int")
+    placed = (number_rows(groups, ["size"], F.struct("hub", "part"), slices, "row").join(F.broadcast(runs), "size")
+              .where("row >= lo AND row < hi").select("hub", "part", "shard"))
+    spots = written(nodes.select("node").join(home.join(placed, ["hub", "part"], "left").select("node", "shard", F.lit(True).alias("linked")), "node", "left")
+                    .select("node", "shard", F.coalesce("linked", F.lit(False)).alias("linked")), name)
+    rest = (number_rows(spots.where("shard IS NULL").drop("shard"), [], F.col("node"), slices, "row")
+            .join(F.broadcast(gaps), F.expr("row >= lo AND row < hi")).select("node", "shard", "linked"))
+    state = written(spots.where("shard IS NOT NULL").unionByName(rest), name)
+    for used in (home, groups, spots):
+        drop(used)
     for _ in range(rounds):
         own = links.join(state.select("node", "shard"), "node")
         votes = own.groupBy("hub", "part", "shard").agg(F.count("*").alias("votes"))
-        asked = (links.join(votes, ["hub", "part"]).groupBy("node", "shard").agg(F.sum("votes").alias("votes"))
-                 .groupBy("node").agg(F.max(F.struct("votes", "shard")).alias("best"))
+        votes = votes.withColumn("tie", F.xxhash64("hub", "part", "shard"))
+        asked = (links.join(votes, ["hub", "part"]).groupBy("node", "shard").agg(F.sum("votes").alias("votes"), F.max("tie").alias("tie"))
+                 .groupBy("node").agg(F.max(F.struct("votes", "tie", "shard")).alias("best"))
                  .select("node", F.col("best.shard").alias("to"), F.col("best.votes").alias("top")))
         now = state.where("linked").join(asked, "node").where("shard <> to").select("node", "shard", "to")
         wants = {(r["shard"], r["to"]): r["n"] for r in now.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}

@@ -66,6 +66,27 @@ def test_hot_group_keeps_the_law(spark):
     assert {r.shard for r in shard_documents(frame(spark, [(1, "a"), (2, None)])).collect()} == {0, 1}
 
 
+@pytest.mark.parametrize("pairs, hot", [(0, 0.05), (0.7, 0), (0.9, 0), (0.4, 1 / 3)])
+def test_only_groups_that_must_be_cut_are_cut(spark, pairs, hot):
+    from auditlens.llm.sharding import shard_documents
+    n = 3200
+    texts = ["hot"] * int(hot * n) + [f"pair {i // 2}" for i in range(int(pairs * n))]
+    texts += [f"t{i}" for i in range(n - len(texts))]
+    got = shard_documents(frame(spark, list(enumerate(texts)))).collect()
+    count, where = Counter(r.shard for r in got), {}
+    assert len(got) == n and set(count.values()) == {n // 16}
+    for r in got:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(where.pop("hot", ())) == -(-int(hot * n) * 16 // n)  # as few shards as it needs
+    assert all(len(x) == 1 for x in where.values())
+
+
+def test_grants_go_round_cycles():
+    from auditlens.llm.sharding import _grants, _plan
+    assert _grants({(0, 1): 5, (1, 2): 3, (2, 0): 4}, {}) == ({(0, 1): 3, (1, 2): 3, (2, 0): 3}, {})
+    assert _plan({6: 1, 4: 2, 2: 1}, [8, 8]) == ([(6, 0, 1, 0), (4, 0, 2, 1), (2, 0, 1, 0)], [0, 0])
+
+
 def test_growing_the_grant_never_exceeds_supply():
     from auditlens.llm.sharding import _grants
     linked, back = _grants({(0, 1): 5, (1, 0): 2, (2, 1): 4}, {0: 0, 1: 4, 2: 0})

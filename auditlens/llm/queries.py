@@ -109,3 +109,44 @@ def op10(spark, sf):
 def op7(spark, sf):
     from auditlens.llm.jaccard_join import similar_documents
     return similar_documents(read(spark, sf, "documents"))
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf):
+    from auditlens.llm.periodic_runs import run_digest
+    return run_digest(read(spark, sf, "documents"))
+
+
+@register("op12_spelling_variants", """
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w
+  FROM documents WHERE text IS NOT NULL),
+many AS (SELECT doc_id, w, count(*) AS k FROM runs GROUP BY doc_id, w),
+bytes AS (SELECT w, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END)) AS b FROM many),
+crc AS (SELECT w, k, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) AS INT) + 1])), 4294967295) AS h FROM bytes, tab),
+vocab AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word FROM crc)
+  GROUP BY word HAVING length(word) >= 6 AND sum(k) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM places),
+wild AS (SELECT word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS d FROM places),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.d = b.d AND a.word <> b.word
+  UNION ALL SELECT c.word, c.n, v.word, v.n FROM cut c JOIN vocab v ON c.d = v.word
+  UNION ALL SELECT v.word, v.n, c.word, c.n FROM cut c JOIN vocab v ON c.d = v.word),
+ranked AS (SELECT word, n, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r FROM near),
+forms AS (SELECT v.word, v.n, coalesce(x.n_near, 0) AS n_near, CASE WHEN x.m >= 5 * v.n THEN x.other END AS form, CASE WHEN x.m >= 5 * v.n THEN x.m END AS form_n
+  FROM vocab v LEFT JOIN ranked x ON x.word = v.word AND x.r = 1),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NOT NULL),
+roots AS (SELECT walk.word, walk.root FROM walk JOIN forms f ON f.word = walk.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
+""")
+def op12(spark, sf):
+    from auditlens.llm.spelling_variants import variant_groups
+    return variant_groups(read(spark, sf, "documents"))
+
+
+@register("op13_language_mixture")
+def op13(spark, sf):
+    from auditlens.llm.language_mixture import identify_languages
+    return identify_languages(read(spark, sf, "documents"))

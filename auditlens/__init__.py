@@ -33,8 +33,8 @@ from auditlens.operators.responses import parse_responses, repair_responses, res
 from auditlens.operators.scoring import collect_findings, convergence_stop, score_prompts  # noqa: F401
 from auditlens.operators.state import (mark_complete, normalize_state, pending_files, progress_summary,  # noqa: F401
                                        resolve_scan_options, resumable_scans)
-from auditlens.operators.symbols import (definition_block, definition_index, resolve_definition,  # noqa: F401
-                                         resolve_reference, resolve_symbols_batch)
+from auditlens.operators.symbols import (definition_block, definition_blocks, definition_index, reference_index,  # noqa: F401
+                                         resolve_definition, resolve_reference, resolve_symbols_batch)
 from auditlens.plans.refine import refine, refine_round  # noqa: F401
 from auditlens.sources.files import (explode_lines, file_line_stats, pick_readme, repo_ref_rollup,  # noqa: F401
                                      scan_source_tree, scan_target)

@@ -74,9 +74,8 @@ FROM db d JOIN lw l ON l.repo_id = d.repo_id AND l.path = d.path
      AND l.line_no BETWEEN d.line_no AND coalesce(d.stop - 1, least(d.last, d.line_no + 150))
 GROUP BY ALL""")
 def q_def_block(spark, sf):
-    from auditlens.operators.symbols import definition_block, definition_index
-    files = _all_files(spark, sf)
-    return definition_block(definition_index(files), files).select("repo_id", "path", "line_no", "kind", "source")
+    from auditlens.operators.symbols import definition_blocks
+    return definition_blocks(_all_files(spark, sf)).select("repo_id", "path", "line_no", "kind", "source")
 
 
 @register("resolve_definition", BASE + "SELECT request_id, file_path, line_no, kind FROM rdef")

@@ -30,9 +30,10 @@ def test_pricing_needs_no_join(spark, q):
     assert "Join" not in p and "EvalPython" not in p
 
 
-def test_reference_search_streams_files_past_a_broadcast(spark, q):
+def test_reference_search_shuffles_no_text(spark, q):
     p = _plan(q["resolve_reference"](spark, SMOKE))
     assert "BroadcastHashJoin" in p and "CartesianProduct" not in p
+    assert not any("Exchange hash" in line and "content" in line for line in p.split("\n"))
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):

@@ -40,3 +40,104 @@ def test_block_cap(spark):
     req = spark.createDataFrame([(1, "r", "big")], "request_id long, repo_id string, name string")
     res, _ = resolve_symbols_batch(req, files)
     assert len(res.collect()[0].source.split("\n")) == 151  # the definition line + 150
+
+
+def _plain_blocks(content, cap=150):
+    """Bodies line by line, as the audited tool reads them."""
+    import re
+
+    from auditlens.operators.symbols import CLASS_RE, DEF_RE, WS_CHARS
+    lines = content.split("\n")
+    indent = [len(x) - len(x.lstrip(WS_CHARS)) for x in lines]
+    out = []
+    for i, x in enumerate(lines):
+        for kind, pattern in (("class", CLASS_RE), ("def", DEF_RE)):
+            if m := re.match(pattern, x, re.ASCII):
+                j = i + 1
+                while j < len(lines) and j <= i + cap and (not lines[j].strip(WS_CHARS) or indent[j] > indent[i]):
+                    j += 1
+                out.append((i + 1, kind, m.group(1), "\n".join(lines[i:j])))
+    return sorted(out)
+
+
+def _random_code(rng, n):
+    kinds = ["def f{}(x):", "class C{}:", "async def g{}():", "x = {}", "", "   ", "# class def {}", "return {}"]
+    return "\n".join(" " * rng.choice([0, 0, 2, 4, 4, 8, 12]) + rng.choice(kinds).format(rng.randrange(9)) for _ in range(n))
+
+
+def test_blocks_against_a_plain_scan(spark):
+    import random
+
+    from auditlens.operators.symbols import definition_block, definition_blocks
+    rng = random.Random(4)
+    texts = [_random_code(rng, rng.randrange(1, 60)) for _ in range(60)]
+    texts += ["def big():\n" + "    y\n" * 400 + "class Z:\n  pass", "\u00a0def a():\n\u00a0\u00a0x\n\ny", "", "def only():", "\n\n  \n"]
+    files = spark.createDataFrame([("r", f"f{i}.py", i, t) for i, t in enumerate(texts)] + [("r", "none.py", 999, None)],
+                                  "repo_id string, path string, file_ord long, content string")
+    want = sorted((f"f{i}.py", *b) for i, t in enumerate(texts) for b in _plain_blocks(t))
+    blocks = definition_blocks(files)
+    assert sorted((r.path, r.line_no, r.kind, r.name, r.source) for r in blocks.collect()) == want
+    joined = definition_block(definition_index(files), files)
+    assert sorted((r.path, r.line_no, r.kind, r.name, r.source) for r in joined.collect()) == want
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()  # map-only
+
+
+def _plain_reference(base, files):
+    for _, path, _, content in sorted(files, key=lambda f: f[2]):
+        for i, line in enumerate(content.split("\n")):
+            if base in line:
+                lines = content.split("\n")
+                return path, i + 1, "\n".join(lines[max(0, i - 20):i + 30])
+    return None
+
+
+def test_references_against_a_plain_scan(spark):
+    """Names inside longer words, short names, names with marks, blanks and line ends; hot and rare grams."""
+    import random
+
+    from auditlens.operators.symbols import resolve_reference
+    rng = random.Random(8)
+    words = ["alpha", "alphabet", "be", "b", "get_user()", "x[i]", "é_name", "a", "zz", "the", "other", "self", "value_1"]
+    files = [("r", f"p{i}.py", i, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 40))))
+             for i in range(30)]
+    files.append(("r", "last.py", 40, "def unique_name(arg):\n    say = 'two words'\n\ttab\tname = unique_name_2"))
+    names = ["alpha", "lphabe", "b", "be", "et_u", "user()", "x[i", "_name", "é", "zz", "q", "nothing", "two words", "two  words", "unique_name", "name_2", "que_name(arg)",
+             "", "\n", "a\nb", "tab\tname", "e v", ")", "'", "selfx", "the"]
+    req = spark.createDataFrame([(i, "r", n) for i, n in enumerate(names)] + [(500, "r", "a.b.alpha"), (501, "s", "alpha"), (502, "r", None), (503, "r", "alpha")],
+                                "request_id long, repo_id string, name string")
+    f = spark.createDataFrame(files + [("r", "none.py", 50, None)], "repo_id string, path string, file_ord long, content string")
+    got = {r.request_id: (r.file_path, r.line_no, r.source) for r in resolve_reference(req, f).collect()}
+    want = {i: w for i, n in [*enumerate(names), (500, "alpha"), (503, "alpha")] if (w := _plain_reference(n, files))}
+    assert got == want
+
+
+def test_symbol_plans_at_a_hot_repository(spark):
+    """90 % of the files in one repository: no file text is shuffled, and the index is dealt by word, not by repository."""
+    from pyspark.sql import functions as F
+
+    from auditlens.operators.symbols import reference_index, resolve_symbols_batch
+    repo = F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("r"), F.col("id")))
+    files = spark.range(400).select(repo.alias("repo_id"), F.concat(F.lit("f"), F.col("id"), F.lit(".py")).alias("path"), F.col("id").alias("file_ord"),
+                                    F.concat(F.lit("def only_"), F.col("id"), F.lit("():\n    return other_"), F.col("id"), F.lit(" + shared")).alias("content"))
+    req = spark.range(400).select(F.col("id").alias("request_id"), repo.alias("repo_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("only_"), F.col("id"))).otherwise(
+        F.concat(F.lit("ther_"), F.col("id"))).alias("name"))
+    res, counts = resolve_symbols_batch(req, files)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "content" in line for line in plan.split("\n")) and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert counts.agg(F.sum("resolved"), F.sum("total")).first()[:] == (400, 400)
+    rows = {r.request_id: r for r in res.collect()}
+    assert rows[2].source == "def only_2():\n    return other_2 + shared" and rows[2].how == "definition"
+    assert rows[3].how == "reference" and rows[3].line_no == 2
+    sizes = [r["n"] for r in reference_index(files).repartition(8, "repo_id", "unit").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * min(sizes)
+
+
+def test_many_answers_in_one_file(spark, monkeypatch):
+    from auditlens.operators import symbols as S
+    monkeypatch.setattr(S, "ANSWERS_PER_SPLIT", 7)
+    text = "\n".join(f"def f{i}():\n    use{i}" for i in range(100))
+    files = spark.createDataFrame([("r", "a.py", 1, text)], "repo_id string, path string, file_ord long, content string")
+    req = spark.createDataFrame([(i, "r", f"f{i}") for i in range(100)] + [(1000 + i, "r", f"use{i}") for i in range(100)], "request_id long, repo_id string, name string")
+    got = {r.request_id: r for r in S.resolve_symbols_batch(req, files)[0].collect()}
+    assert all(got[i].source == f"def f{i}():\n    use{i}" and got[i].line_no == 2 * i + 1 for i in range(100))
+    assert got[1005].line_no == 12 and got[1005].how == "reference"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
+from auditlens.functions.slices import Term, rank_two_level, sort_order
 
 FINDING_COLS = ["finding_ord", "repo_id", "rule_id", "title", "file_path", "start_line", "end_line",
                 "start_column", "end_column", "description", "analysis", "scratchpad", "poc",
@@ -70,7 +71,7 @@ def with_ordinals(findings: DataFrame, by=("repo_id",)) -> DataFrame:
     if "finding_ord" in findings.columns:
         return findings
     texts = [F.coalesce(F.col(c), F.lit("")) for c in ("analysis", "scratchpad", "poc", "context_code") if c in findings.columns]
-    order = [F.col("file_path").asc(), F.col("vuln_type").asc(), F.col("confidence").desc(), F.xxhash64(*texts).asc()]
+    order = [F.col("file_path"), F.col("vuln_type"), (F.col("confidence"), False), F.xxhash64(*texts)]
     return rank_two_level(findings, [c for c in by if c in findings.columns], order, "finding_ord")
 
 
@@ -174,52 +175,20 @@ def scan_summary(findings: DataFrame, all_files: DataFrame, calls: DataFrame | N
 # Ordering, numbering, top-k
 # ---------------------------------------------------------------------------
 
-def sort_key(findings_cols=None) -> list[Column]:
+def report_order() -> list[Term]:
     """Severity score desc, confidence desc, then input order (stable)."""
-    return [dims.severity_score(F.col("severity")).desc(), F.col("confidence").desc(), F.col("finding_ord").asc()]
+    return [(dims.severity_score(F.col("severity")), False), (F.col("confidence"), False), F.col("finding_ord")]
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
     """Global order; a range-partitioned sort (no single-task collect)."""
-    return findings.orderBy(*sort_key())
-
-
-def rank_two_level(df: DataFrame, by, order, out: str = "pos", slices: int | None = None) -> DataFrame:
-    """1-based row number per ``by`` group in ``order`` without sorting any
-    group in a single task.
-
-    The rows are range-partitioned on (by, order), so a hot group spans many
-    partitions (slices) in order; each row is numbered inside its
-    (group, slice), and the slice's offset is the count of the group's rows
-    in earlier slices - a tiny (group, slice) table.  Equal to
-    ``row_number() over (partition by by order by order)`` when ``order`` is
-    a total order within each group.
-    """
-    by = list(by)
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the slice is assigned once and written to the shared checkpoint folder:
-    # range bounds come from a sample, so two separate exchanges could cut the
-    # groups differently; the written table is fixed even if executors are lost
-    import uuid
-
-    from auditlens.functions.plan import cut_lineage
-
-    keyed = cut_lineage(df.repartitionByRange(n, *[F.col(c) for c in by], *order)
-                        .withColumn("_slice", F.spark_partition_id()), f"rank/{uuid.uuid4().hex}")
-    local = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order))
-    ranked = keyed.withColumn("_local", local)
-    counts = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return (ranked.join(offs, [*by, "_slice"])
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_slice", "_local", "_off"))
+    return findings.orderBy(*sort_order(report_order()))
 
 
 def number_findings(findings: DataFrame, by=("repo_id",)) -> DataFrame:
     """1-based report position per repository in report order (two-level
     rank, so one giant repository is numbered by many tasks)."""
-    return rank_two_level(findings, by, sort_key())
+    return rank_two_level(findings, by, report_order())
 
 
 def top_findings(findings: DataFrame, k: int, by=("repo_id",)) -> DataFrame:

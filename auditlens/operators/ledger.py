@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlens.functions import dims
 from auditlens.functions.plan import broadcast_if_small
+from auditlens.functions.slices import prefix_sum
 from auditlens.functions.text import nano_round4, nano_to_usd
 
 MAX_MODELS = 100_000  # distinct model names are a dimension; bound before broadcast
@@ -169,28 +170,6 @@ def restore_ledger(prior: DataFrame, new: DataFrame, key: str = "call_id") -> Da
 # Running totals
 # ---------------------------------------------------------------------------
 
-def prefix_sum(df: DataFrame, part, order: str, value: str, out: str, inclusive: bool = True,
-               block: int = 1 << 16) -> DataFrame:
-    """Running sum of ``value`` per ``part`` in ``order`` (an integer key).
-
-    Two levels: totals per (part, order // block) are summed into block
-    offsets (a tiny table), and the in-block running sum is a window over
-    (part, block).  No partition ever holds more than one block, however
-    large a single scan is.
-    """
-    part = list(part)
-    b = F.floor(F.col(order) / F.lit(block)).cast("bigint")
-    d = df.withColumn("_blk", b)
-    tot = d.groupBy(*part, "_blk").agg(F.sum(value).alias("_bt"))
-    wo = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wo), F.lit(0))).drop("_bt")
-    wi = Window.partitionBy(*part, "_blk").orderBy(order)
-    frame = wi.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    inner = F.coalesce(F.sum(value).over(frame), F.lit(0))
-    return (d.join(offs, [*part, "_blk"]).withColumn(out, (F.col("_off") + inner).cast("bigint"))
-            .drop("_blk", "_off"))
-
-
 def budget_gate(costs: DataFrame, budget_usd: float | None, by=("scan_id",)) -> DataFrame:
     """Per file in file order (first call): spent before it and admitted.
 

@@ -3,13 +3,18 @@ aggregation; conversation history by a bounded row-frame window."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
+from auditlens.functions.slices import rank_two_level
 from auditlens.operators.responses import JS_WS
 
 
+#: Messages of one conversation in a window at a time.
+HISTORY_BLOCK = 8192
+
+
 def tag(name: str, body: Column) -> Column:
     return F.concat(F.lit(f"<{name}>"), body, F.lit(f"</{name}>"))
 
@@ -118,23 +123,24 @@ def history_window(messages: DataFrame, depth: int = 5, chars: int = 2000, keys=
     preceding ones, each cut to ``chars`` characters and wrapped in
     <role>…</role>, are prefixed inside <conversation_context>.
 
-    No conversation is sorted as one window partition: positions come from
-    the two-level rank, each message is sent to the ``depth`` positions that
-    follow it, and contexts are assembled per (conversation, position) -
-    groups of at most ``depth`` items hashed across tasks.  ``order`` must be
-    unique within a conversation.
+    Positions come from the two-level rank.  Blocks of ``HISTORY_BLOCK``
+    positions are windows of their own; the last ``depth`` messages of a block
+    are copied to the next one (the halo), so a frame of ``depth`` rows finds
+    everything it needs and no conversation is one window partition.  ``order``
+    must be unique within a conversation.
     """
-    from auditlens.operators.findings import rank_two_level
-
-    h = rank_two_level(messages.filter(F.col("role").isin("user", "assistant")), keys, [F.col(order).asc()], out="_n")
+    keys, size = list(keys), max(HISTORY_BLOCK, depth)
+    h = rank_two_level(messages.filter(F.col("role").isin("user", "assistant")), keys, [F.col(order)], out="_n")
     item = F.concat(F.lit("<"), F.col("role"), F.lit(">"), F.substring(F.col("text"), 1, chars),
                     F.lit("</"), F.col("role"), F.lit(">"))
-    feed = h.select(*keys, F.col("_n").alias("_src"), item.alias("m"),
-                    F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + depth)).alias("_n"))
-    ctx = (feed.groupBy(*keys, "_n")
-           .agg(F.array_sort(F.collect_list(F.struct("_src", "m"))).alias("_prev")))
-    users = h.filter(F.col("role") == "user").join(ctx, [*keys, "_n"], "left")
-    prev = F.transform(F.coalesce(F.col("_prev"), F.array().cast(ctx.schema["_prev"].dataType)), lambda s: s["m"])
+    own = F.floor((F.col("_n") - 1) / size)
+    edge = F.pmod(F.col("_n") - 1, F.lit(size)) >= size - depth
+    blocks = h.withColumn("_m", item).withColumn("_own", own).withColumn("_block", F.explode(
+        F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(-depth, -1)
+    users = (blocks.withColumn("_prev", F.collect_list("_m").over(frame))
+             .filter((F.col("_block") == F.col("_own")) & (F.col("role") == "user")))
+    prev = F.col("_prev")
     base = F.col("text")
     if prefill_hint:
         base = F.concat(base, F.lit("\n\nIMPORTANT: Begin your JSON response starting with: " + dims.PREFILL))

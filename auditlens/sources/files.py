@@ -157,8 +157,8 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
             out = out.filter(F.col("path") != "")
         out = out.unionByName(_hidden_files(spark, [("", base[:-1])], glob, repo_depth))
     if with_ord:
-        from auditlens.operators.findings import rank_two_level
-        out = rank_two_level(out, ["repo_id"], [F.col("path").asc()], out="file_ord")
+        from auditlens.functions.slices import rank_two_level
+        out = rank_two_level(out, ["repo_id"], [F.col("path")], out="file_ord")
     return out
 
 

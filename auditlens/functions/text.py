@@ -13,6 +13,15 @@ def line_count(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))) + F.lit(1)
 
 
+def grams(c: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters.
+
+    A look-ahead moves along the text once; ``substr`` at every place would
+    walk from the start of the text each time.
+    """
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
 def ws_trim(c: Column) -> Column:
     """Strip leading/trailing whitespace (Spark's trim strips spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

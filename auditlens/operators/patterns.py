@@ -1,42 +1,88 @@
-"""Regex rule tables applied to text columns.
-
-Rules are small tables (family, pattern).  They are turned into native
-``rlike`` expressions - one predicate or one per-row count per family - so the
-work is a map-only pass inside whole-stage codegen: no UDF, no explode before
-aggregation, no join against the rule table.
+"""Regex rules applied to text columns.
+
+Fixed rules, and rules given as a list, become native ``rlike`` expressions -
+one predicate or one per-row count per family - so the work is a map-only pass:
+no UDF, no explode before aggregation, no join against the rules.
+
+Rules given as a DataFrame (family, pattern) may be any number.  They stay rows,
+behind an index of the literals that their matches must contain: each rule waits
+at one trigram of its literal, the one that fewest rules share, and a text meets
+only the rules whose trigram it has.  ``contains`` then asks for the whole
+literal, and only what passes is matched.  Rules without a usable literal wait at
+the empty gram, which every text has.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from functools import reduce
 from operator import add, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
+from auditlens.functions.plan import cut_lineage
 from auditlens.functions.regex import guard_for
+from auditlens.functions.text import grams
+from auditlens.session import ship_package
 
-MAX_RULES = 10_000  # a rule table is a dimension; refuse to inline a fact table
+GRAM = 3
+#: Rules are broadcast in blocks of this size; each block is a pass over the texts.
+RULE_BLOCK_BYTES = 16 << 20
 
 
 def _rules(rules) -> list[tuple[str, str]]:
-    """Accept a list of (family, pattern) or a small DataFrame with those columns."""
-    if rules is None:
-        return list(dims.NETWORK_PATTERNS)
-    if isinstance(rules, DataFrame):
-        cols = rules.columns
-        fam = "family" if "family" in cols else ("vuln_type" if "vuln_type" in cols else cols[0])
-        order = [c for c in ("pat_ord", "rule_ord") if c in cols]
-        small = rules.limit(MAX_RULES + 1)
-        if order:
-            small = small.orderBy(*order)
-        rows = small.select(fam, "pattern").collect()
-        if len(rows) > MAX_RULES:
-            raise ValueError("rule table too large to inline")
-        return [(r[0], r[1]) for r in rows]
-    return list(rules)
+    """The fixed rules, or a list of (family, pattern)."""
+    return list(dims.NETWORK_PATTERNS if rules is None else rules)
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """(family, pattern, times, literal, lowered, gram), written once, from rows of (family or vuln_type, pattern).
+
+    ``gram`` is the trigram of the literal that the fewest literals share, in
+    lower case; '' where a rule has no ASCII literal of three characters.
+    """
+    ship_package(rules.sparkSession)
+    cols = rules.columns
+    fam = "family" if "family" in cols else ("vuln_type" if "vuln_type" in cols else cols[0])
+
+    def literals(frames):
+        for frame in frames:
+            found = [guard_for(p) or ("", False) for p in frame["pattern"]]
+            found = [(lit, low) if lit.isascii() and len(lit) >= GRAM else ("", False) for lit, low in found]
+            yield frame.assign(literal=pd.Series([x[0] for x in found], dtype=object), lowered=pd.Series([x[1] for x in found], dtype=bool))
+
+    one = (rules.where("pattern is not null").groupBy(F.col(fam).alias("family"), "pattern").agg(F.count(F.lit(1)).alias("times"))
+           .mapInPandas(literals, "family string, pattern string, times long, literal string, lowered boolean"))
+    parts = one.where("literal <> ''").select("literal").distinct().select("literal", F.explode(grams(F.lower("literal"), GRAM)).alias("gram"))
+    shared = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(shared, "gram").groupBy("literal").agg(F.min(F.struct("n", "gram")).alias("_g")).select("literal", F.col("_g.gram").alias("gram"))
+    return cut_lineage(one.join(rarest, "literal", "left").select("family", "pattern", "times", "literal", "lowered", F.coalesce("gram", F.lit("")).alias("gram")),
+                       f"rules/{uuid.uuid4().hex[:12]}")
+
+
+def rule_matches(df: DataFrame, keep: list[Column | str], text_col: str, rules: DataFrame) -> DataFrame:
+    """(keep.., family, pattern, times) for every rule that matches a text; no text is shuffled.
+
+    The grams of a text are looked up in a hash table of the rules inside the
+    scan's own stage.  The rules' bytes are summed first; beyond
+    ``RULE_BLOCK_BYTES`` they are broadcast block by block.
+    """
+    index = rule_index(rules)
+    size = F.length("family") + F.length("pattern") + F.length("literal") + F.lit(100)
+    blocks = -(-int(index.agg(F.sum(size)).first()[0] or 1) // RULE_BLOCK_BYTES)
+    text = F.col("_text")
+    texts = (df.select(*keep, F.col(text_col).alias("_text")).where("_text is not null")
+             .withColumn("gram", F.explode(F.concat(F.array(F.lit("")), grams(F.lower(text), GRAM)))))
+    has = F.when(F.col("lowered"), F.contains(F.lower(text), F.col("literal"))).otherwise(F.contains(text, F.col("literal")))
+    parts = []
+    for b in range(blocks):
+        block = index.where(F.pmod(F.xxhash64("family", "pattern"), F.lit(blocks)) == b)
+        parts.append(texts.join(F.broadcast(block), "gram").where(has).where(F.rlike(text, F.col("pattern"))).drop("_text", "gram", "literal", "lowered"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rule_match(c: Column, pattern: str) -> Column:
@@ -74,7 +120,14 @@ def network_predicate(text_col: str = "content", rules=None) -> Column:
 
 
 def filter_network_files(files: DataFrame, rules=None, text_col: str = "content") -> DataFrame:
-    """Keep files where any endpoint/sink pattern matches; unreadable (null) drop."""
+    """Keep files where any endpoint/sink pattern matches; unreadable (null) drop.
+
+    With a DataFrame of rules the matching rows are named by a digest of all
+    their columns, and the files are met with the distinct digests.
+    """
+    if isinstance(rules, DataFrame):
+        named = files.withColumn("_row", F.sha2(F.to_json(F.struct(*files.columns)), 256))
+        return named.join(rule_matches(named, ["_row"], text_col, rules).select("_row").distinct(), "_row", "left_semi").drop("_row")
     return files.filter(network_predicate(text_col, rules))
 
 
@@ -98,9 +151,13 @@ def pattern_family_hits(df: DataFrame, id_cols, text_col: str, rules=None, label
     """(id.., family, n): number of the family's rules that match each text.
 
     One pass per row computes every family count; only rows with hits are
-    emitted.  No shuffle.
+    emitted.  No shuffle.  With a DataFrame of rules the hits alone are summed by
+    (id.., family), so the ids must name a text.
     """
     id_cols = list(id_cols)
+    if isinstance(rules, DataFrame):
+        hits = rule_matches(df, id_cols, text_col, rules)
+        return hits.groupBy(*id_cols, F.col("family").alias(label)).agg(F.sum("times").cast("bigint").alias("n"))
     return (df.select(*id_cols, F.explode(family_counts(text_col, rules, label)).alias("_h"))
             .select(*id_cols, F.col("_h")[label].alias(label), F.col("_h.n").cast("bigint").alias("n")))
 

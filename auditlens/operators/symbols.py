@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.functions.plan import cut_lineage
+from auditlens.functions.text import grams
 from auditlens.operators.responses import JS_WS
 
 CLASS_RE = r"^\s*class\s+([^\s:(]+)\s*[:(]"
@@ -189,13 +190,6 @@ def _unit_kind(base: Column) -> Column:
                   F.when(base.rlike(_UNITS["identifier"][0]), F.lit("identifier")))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` characters."""
-    n = F.length(text) - (size - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(size))))).otherwise(
-        F.array().cast("array<string>"))
-
-
 def reference_index(files: DataFrame, kind: str = "identifier") -> DataFrame:
     """(repo_id, unit, _o): distinct units of each repository with the first file they stand in.
 
@@ -221,14 +215,14 @@ def _first_references(names: DataFrame, files: DataFrame) -> DataFrame:
         index = _written(reference_index(files, kind), f"index-{kind}")
         for size in sorted(r["size"] for r in shapes if r["kind"] == kind):
             mine = wanted.where((F.col("kind") == kind) & (F.col("size") == size)).select("repo_id", "base")
-            units = index.select("repo_id", "unit", "_o", F.explode(_grams(F.col("unit"), size)).alias("gram"))
+            units = index.select("repo_id", "unit", "_o", F.explode(grams(F.col("unit"), size)).alias("gram"))
             if size < GRAM:  # the name is its own gram
                 probe = mine.withColumn("gram", F.col("base"))
             else:
-                grams = mine.select("repo_id", "base", F.explode(_grams(F.col("base"), size)).alias("gram"))
-                seen = units.join(grams.select("repo_id", "gram").distinct(), ["repo_id", "gram"]).groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+                parts = mine.select("repo_id", "base", F.explode(grams(F.col("base"), size)).alias("gram"))
+                seen = units.join(parts.select("repo_id", "gram").distinct(), ["repo_id", "gram"]).groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
                 # the rarest gram; a name with a gram that no unit has meets nothing
-                probe = (grams.join(seen, ["repo_id", "gram"], "left").groupBy("repo_id", "base")
+                probe = (parts.join(seen, ["repo_id", "gram"], "left").groupBy("repo_id", "base")
                          .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_g"))
                          .where("_g.n > 0").select("repo_id", "base", F.col("_g.gram").alias("gram")))
             found.append(units.join(probe, ["repo_id", "gram"]).where(F.col("unit").contains(F.col("base")))

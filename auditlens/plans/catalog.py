@@ -150,13 +150,32 @@ def q_discover_files(spark, sf):
     return discover_files(fixture(spark, sf, "fx_files"), network_only=True, analyze_path="src").select("repo_id", "path")
 
 
-@register("pattern_family_hits", with_fixtures("fx_files") + f""",
-h AS ({O.family_hits_sql('fx_files', ['repo_id', 'path'], 'content', dims.NETWORK_PATTERNS)})
+FAMILY_SQL = with_fixtures("fx_snippets") + f""",
+h AS ({O.family_hits_sql('fx_snippets', ['doc_id'], 'content', dims.NETWORK_PATTERNS)})
 SELECT family, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_hits FROM h GROUP BY family
-""")
+"""
+
+
+@register("pattern_family_hits", FAMILY_SQL)
 def q_pattern_family_hits(spark, sf):
+    """Every document with a line of one family; all 30 families are hit."""
+    from auditlens.operators.patterns import family_rollup, pattern_family_hits
+    return family_rollup(pattern_family_hits(fixture(spark, sf, "fx_snippets"), ["doc_id"], "content"))
+
+
+@register("rule_table_hits", FAMILY_SQL)
+def q_rule_table_hits(spark, sf):
+    """The same with the rules as a table of rows, through the literal index."""
     from auditlens.operators.patterns import family_rollup, pattern_family_hits
-    return family_rollup(pattern_family_hits(fixture(spark, sf, "fx_files"), ["repo_id", "path"], "content"))
+    return family_rollup(pattern_family_hits(fixture(spark, sf, "fx_snippets"), ["doc_id"], "content", dims.pattern_dim(spark)))
+
+
+@register("filter_by_rule_table", with_fixtures("fx_files") + f"""
+SELECT repo_id, path FROM fx_files WHERE {O.network_sql('content')}
+""")
+def q_filter_by_rule_table(spark, sf):
+    from auditlens.operators.patterns import filter_network_files
+    return filter_network_files(fixture(spark, sf, "fx_files"), dims.pattern_dim(spark)).select("repo_id", "path")
 
 
 # User rules over arbitrary text (web pages): families of page features.

@@ -43,7 +43,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _read(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: A line for each family of endpoint rules, in table order.
+FAMILY_LINES = [
+    'app.route("/a")', "APIRouter()", "urlpatterns = []", "tornado.ioloop", "aiohttp.web.Application", "sanic.Sanic", "falcon.App()", "@cherrypy.expose", "Starlette()",
+    "@view_config", "bottle.run()", "quart.Quart()", "request.vars", "@hug.get", "dash.Dash()", "responder.API()", "gr.Blocks()", "ariadne.load", "def lambda_handler(event)",
+    "@app.function_name", "functions_framework", "gunicorn", "WEBSOCKET", "grpc.server", "urllib3", "async def get(self)", "lxml.etree", "send_file(p)", "engine.execute", "mark_safe(x)",
+]
+
 FX_SQL = {
+    "fx_snippets": """
+SELECT doc_id, text || chr(10) || CASE doc_id % 31 """ + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FAMILY_LINES)) + """ ELSE 'plain' END AS content FROM documents
+""",
     "fx_files": """
 WITH d AS (SELECT doc_id, text, 'repo' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS repo_id, CAST(floor(doc_id / 50) AS BIGINT) AS g, row_number() OVER (PARTITION BY floor(doc_id / 50) ORDER BY doc_id) AS rn FROM documents),
 p AS (SELECT doc_id, repo_id, rn, text,
@@ -126,7 +136,7 @@ SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'https://github.com/o' || CAST(
 
 # Which base tables each projection reads.
 FX_BASE = {
-    "fx_files": ["documents"], "fx_requests": ["documents"], "fx_calls": ["events"],
+    "fx_snippets": ["documents"], "fx_files": ["documents"], "fx_requests": ["documents"], "fx_calls": ["events"],
     "fx_findings": ["orders"], "fx_issues": ["orders"], "fx_trace": ["lineitem"],
     "fx_responses": ["documents"], "fx_completed": ["documents"], "fx_options": ["nation"],
     "fx_refs": ["customer"],

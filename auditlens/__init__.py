@@ -38,4 +38,5 @@ from auditlens.operators.symbols import (definition_block, definition_blocks, de
 from auditlens.plans.refine import refine, refine_round  # noqa: F401
 from auditlens.sources.files import (explode_lines, file_line_stats, pick_readme, repo_ref_rollup,  # noqa: F401
                                      scan_source_tree, scan_target)
-from auditlens.streaming.streams import stream_budget_alerts, stream_cost_totals, stream_incremental_scan  # noqa: F401
+from auditlens.streaming.streams import (read_totals, stream_budget_alerts, stream_cost_totals, stream_incremental_scan,  # noqa: F401
+                                         write_totals)

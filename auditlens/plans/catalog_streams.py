@@ -1,9 +1,10 @@
 """Registered queries: streaming jobs, checked against their batch answers.
 
-Each run lands the input table as parquet drops in a fresh folder under the
-session's checkpoint folder, streams it to completion (availableNow, one
-file per trigger so several micro-batches and state carry-over happen) and
-returns what the sink holds.
+Each run lands the input table in several drops in a fresh folder under the
+session's checkpoint folder.  After each drop the stream is started over the same
+checkpoint and runs until it has caught up (availableNow), so restarts and state
+carry-over happen; the query returns what the sink holds.  A drop is written
+with the partitions that its rows have, many files to a drop.
 """
 
 from __future__ import annotations
@@ -29,40 +30,34 @@ def q_stream_scan(spark, sf):
     from auditlens.streaming.streams import stream_incremental_scan
     base = _run_dir(spark, "scan")
     files = fixture(spark, sf, "fx_files").select("repo_id", "path", "content")
-    files.repartition(4, "repo_id").write.parquet(f"{base}/in")
-    q = stream_incremental_scan(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files.schema, max_files_per_trigger=1)
-    q.awaitTermination()
-    # a restart over the same checkpoint must not reprocess anything
-    q2 = stream_incremental_scan(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files.schema, max_files_per_trigger=1)
-    q2.awaitTermination()
+
+    def run():
+        stream_incremental_scan(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", files.schema).awaitTermination()
+
+    for i in range(2):
+        files.filter(F.pmod(F.xxhash64("repo_id", "path"), F.lit(2)) == i).write.mode("append").parquet(f"{base}/in")
+        run()
+    run()  # nothing new: must not reprocess anything
     return spark.read.parquet(f"{base}/out").select("repo_id", "path")
 
 
-def _calls_drops(spark, sf, base, drops: int = 4):
-    """Land the call ledger as ``drops`` files in arrival (seq) order, one
-    append per drop, so the file source sees them in the order they came."""
-    import time
+def _calls_drops(spark, sf, base, run, drops: int = 4):
+    """Land the call ledger in seq order, drop by drop, and let ``run(stream)`` catch up after each."""
     calls = fixture(spark, sf, "fx_calls")
-    top = calls.agg(F.max("seq")).first()[0] or 0
-    step = -(-top // drops)
+    top = calls.agg(F.max("seq").alias("_top"))  # one row
+    dealt = calls.crossJoin(F.broadcast(top)).withColumn("_drop", F.floor((F.col("seq") - 1) * drops / F.col("_top")))
     for i in range(drops):
-        calls.filter((F.col("seq") > i * step) & (F.col("seq") <= (i + 1) * step)).coalesce(1) \
-            .write.mode("append").parquet(f"{base}/in")
-        time.sleep(0.05)
-    return calls.schema
+        dealt.filter(F.col("_drop") == i).drop("_top", "_drop").write.mode("append").parquet(f"{base}/in")
+        run(spark.readStream.schema(calls.schema).parquet(f"{base}/in")).awaitTermination()
 
 
 @register("stream_cost_totals", L + """SELECT scan_id, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
   CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cost_nano) AS BIGINT) AS cost_nano FROM cc GROUP BY scan_id""")
 def q_stream_totals(spark, sf):
-    from auditlens.streaming.streams import stream_cost_totals, write_complete
+    from auditlens.streaming.streams import read_totals, stream_cost_totals, write_totals
     base = _run_dir(spark, "totals")
-    schema = _calls_drops(spark, sf, base)
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = write_complete(stream_cost_totals(s), f"{base}/out", f"{base}/ckpt")
-    q.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    return out.select("scan_id", "calls", *[F.col(c).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens", "cost_nano")])
+    _calls_drops(spark, sf, base, lambda s: write_totals(stream_cost_totals(s), f"{base}/out", f"{base}/ckpt"))
+    return read_totals(spark, f"{base}/out").select("scan_id", "calls", *[F.col(c).cast("bigint").alias(c) for c in ("input_tokens", "output_tokens", "cost_nano")])
 
 
 _RUN = "CAST(sum(cost_nano) OVER (PARTITION BY scan_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)"
@@ -76,9 +71,5 @@ SELECT w.scan_id, w.kind, w.seq, r.running_nano FROM w JOIN r USING (scan_id, se
 def q_stream_alerts(spark, sf):
     from auditlens.streaming.streams import stream_budget_alerts
     base = _run_dir(spark, "alerts")
-    schema = _calls_drops(spark, sf, base)
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = (stream_budget_alerts(s, BUDGET).writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    _calls_drops(spark, sf, base, lambda s: stream_budget_alerts(s, BUDGET, f"{base}/out", f"{base}/ckpt"))
+    return spark.read.parquet(f"{base}/out").drop("epoch")

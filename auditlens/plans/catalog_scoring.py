@@ -50,7 +50,22 @@ def q_convergence(spark, sf):
     return convergence_stop(fixture(spark, sf, "fx_trace"), max_iterations=7)
 
 
-@register("refine_findings", None)
+# The stand-in scorer is a function of the file and of whether context arrived, so the rounds
+# unroll: round 0 asks for the names called but not defined; round 1 stops if there are none,
+# else resolves them and scores again; round 2 sees the same names and stops.
+@register("refine_findings", with_fixtures("fx_files") + f""",
+allf AS (SELECT repo_id, path, content FROM fx_files WHERE {O.keep_path_sql('path')}),
+d AS (SELECT repo_id, path, content, list_distinct(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS called,
+        regexp_extract_all(content, '(?:def|class)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS defined FROM allf WHERE {O.network_sql('content')}),
+a AS (SELECT repo_id, path, unnest(list_filter(called, lambda x: NOT list_contains(defined, x))) AS name FROM d),
+r AS (SELECT a.repo_id, a.path, count(DISTINCT a.name) FILTER (WHERE contains(f.content, a.name)) AS n_found, count(DISTINCT a.name) AS n_names
+      FROM a JOIN allf f ON f.repo_id = a.repo_id GROUP BY ALL),
+t AS (SELECT repo_id, path, content, unnest(list_filter(['LFI', 'RCE', 'SQLI'], lambda v: contains(content, CASE v WHEN 'LFI' THEN 'open(' WHEN 'RCE' THEN 'eval(' ELSE 'execute(' END))) AS vuln_type FROM d),
+o AS (SELECT t.repo_id, t.path, t.vuln_type, CAST(CASE WHEN coalesce(r.n_found, 0) > 0 THEN 8 ELSE 7 END AS DOUBLE) AS confidence,
+        CAST(CASE WHEN coalesce(r.n_names, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS last_round, CAST(coalesce(r.n_found, 0) AS BIGINT) AS n_context,
+        CASE WHEN coalesce(r.n_names, 0) > 0 THEN 'same_names' ELSE 'no_context' END AS stop_reason
+      FROM t LEFT JOIN r ON r.repo_id = t.repo_id AND r.path = t.path)
+SELECT repo_id, path AS file_path, vuln_type, confidence, {O.severity_case('confidence')} AS severity, last_round, n_context, stop_reason FROM o WHERE confidence >= 5""")
 def q_refine(spark, sf):
     """Initial scoring of discovered files, then refinement rounds (stand-in scorer)."""
     from auditlens.operators.findings import filter_min_confidence
@@ -66,5 +81,6 @@ def q_refine(spark, sf):
                            F.to_json(F.struct("scratchpad", "analysis", "poc", "confidence_score", "vulnerability_types",
                                               "context_code")).alias("previous")))
     out = refine(files, pairs, context_scorer, max_iterations=7)
-    f = responses_to_findings(out.withColumnRenamed("path", "file_path"), run_ts="2024-01-01 00:00:00")
-    return filter_min_confidence(f, 5).select("repo_id", "file_path", "vuln_type", "confidence", "severity")
+    f = responses_to_findings(out.withColumnRenamed("path", "file_path"), run_ts="2024-01-01 00:00:00", extra=("last_round", "n_context", "stop_reason"))
+    return filter_min_confidence(f, 5).select("repo_id", "file_path", "vuln_type", "confidence", "severity", F.col("last_round").cast("bigint").alias("last_round"),
+                                              F.col("n_context").cast("bigint").alias("n_context"), "stop_reason")

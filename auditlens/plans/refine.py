@@ -4,10 +4,11 @@ Round 0 scores a secondary prompt per pair with the initial reply as the
 previous analysis.  Round i >= 1 stops a pair when reply i-1 asked for no
 context, or (i >= 2) asked for the same sorted names or the same number of
 names as reply i-2; otherwise the names are resolved against the file list,
-appended to the pair's context and the pair is scored again.  The open set
-shrinks every round; the state table is written to the shared checkpoint
-folder each round (lineage cut, restartable) and the loop ends when no pair
-is open (an ``isEmpty`` probe, never a collect).
+appended to the pair's context and the pair is scored again.  A pair that stops
+is written once and leaves the loop: every round writes one table in the shared
+checkpoint folder, split into closed and open pairs, and the next round reads
+the open ones alone, so bytes read and written fall with the open set.  The loop
+ends when no pair is open (an ``isEmpty`` probe, never a collect).
 
 With ``Limits`` a pair also stops when its repository's cost reaches the
 budget, when its file's cost reaches the iteration limit, or when the file's
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ from auditlens.operators.prompts import build_secondary_prompts
 from auditlens.operators.responses import parse_responses, repair_responses
 from auditlens.operators.scoring import score_prompts
 from auditlens.operators.symbols import definition_index, resolve_symbols_batch
+from auditlens.session import checkpoint_dir
 
 PAIR = ["repo_id", "path", "vuln_type"]
 CTX_T = "array<struct<ord:int,name:string,requested:string,file_path:string,source:string>>"
@@ -123,37 +126,35 @@ def initial_state(files: DataFrame, initial: DataFrame, scorer, provider: str =
     return result.unionByName(out[0]) if out else result
 
 
-def refine_round(state: DataFrame, files: DataFrame, scorer, round_no: int, provider: str = "openai",
+def refine_round(open_: DataFrame, files: DataFrame, scorer, round_no: int, provider: str = "openai",
                  defs: DataFrame | None = None, limits: Limits | None = None,
-                 prior: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """One round for every open pair at once: stop pairs whose last reply
+                 closed_costs: DataFrame | None = None) -> DataFrame:
+    """One round for the open pairs: stop pairs whose last reply
     asked for nothing / the same names / the same count as the one before;
     resolve the others' requested names against the file list (one batched
     join), append the definitions to the pair's context and score again.
 
-    Returns (new state, any pair still open).
+    ``closed_costs`` (repo_id, path, spent) is what closed pairs and earlier
+    calls have cost.  Returns the same pairs; those with a ``stop_reason`` are closed.
     """
-    limit = F.lit(None).cast("string")
+    limit, state = F.lit(None).cast("string"), open_
     if limits is not None:
         spent = state.select("repo_id", "path", "spent")
-        state = _with_costs(state, spent if prior is None else spent.unionByName(prior))
-        state = state.withColumn("file_costs", F.when(F.col("stop_reason").isNull(), F.concat("file_costs", F.array("_file").cast(NO_COSTS)))
-                                 .otherwise(F.col("file_costs")))
-        limit = limits.reason(F.col("_repo"), F.col("_file"), F.col("file_costs"))
-        state = state.withColumn("_limit", limit).drop("_repo", "_file")
+        state = _with_costs(state, spent if closed_costs is None else spent.unionByName(closed_costs))
+        state = state.withColumn("file_costs", F.concat("file_costs", F.array("_file").cast(NO_COSTS)))
+        state = state.withColumn("_limit", limits.reason(F.col("_repo"), F.col("_file"), F.col("file_costs"))).drop("_repo", "_file")
         limit = F.col("_limit")
     names = F.array_sort(F.transform("context_code", lambda c: c["name"]))
     chk = state.withColumn("_names", names).withColumn(
         "_reason",
-        F.when(F.col("stop_reason").isNotNull(), F.col("stop_reason"))
-         .when(limit.isNotNull(), limit)
+        F.when(limit.isNotNull(), limit)
          .when(F.size("context_code") == 0, F.lit("no_context"))
          .when(F.col("prev_names").isNotNull() & (F.col("_names") == F.col("prev_names")), F.lit("same_names"))
          .when(F.col("prev_names").isNotNull() & (F.size("_names") == F.size("prev_names")), F.lit("same_count")))
     done = chk.filter(F.col("_reason").isNotNull()).withColumn("stop_reason", F.col("_reason")).select(*STATE_COLS)
     todo = chk.filter(F.col("_reason").isNull())
     if todo.isEmpty():
-        return done, False
+        return done
     req = (todo.select(*PAIR, F.posexplode("context_code").alias("k", "c"))
            .select(*PAIR, "k", F.col("c.name").alias("name"))
            .withColumn("request_id", F.struct(*PAIR, "k")))
@@ -171,16 +172,30 @@ def refine_round(state: DataFrame, files: DataFrame, scorer, round_no: int, prov
                                                        "vulnerability_types", "context_code")))
            .withColumn("prev_names", F.col("_names")))
     scored = _score(nxt.select(*PAIR, "previous", "ctx"), files, scorer, provider)
-    # a failed call keeps the last good reply and closes the pair
-    failed = scored.filter(F.col("error").isNotNull()).select(*PAIR)
-    kept = nxt.join(failed, PAIR).withColumn("stop_reason", F.lit("call_failed")).select(*STATE_COLS)
     cost = limits.cost() if limits is not None else F.lit(0)
-    new_state = (scored.filter(F.col("error").isNull())
-                 .join(nxt.select(*PAIR, "ctx", "prev_names", "file_costs", F.col("spent").alias("_before")), PAIR)
-                 .select(*PAIR, *REPLY, "ctx", F.lit(round_no).alias("round"), "prev_names",
-                         F.lit(None).cast("string").alias("stop_reason"), (F.col("_before") + cost).cast("bigint").alias("spent"),
-                         "file_costs").unionByName(kept))
-    return done.unionByName(new_state), True
+    # a failed call keeps the last good reply and closes the pair; every reply meets its pair in one join, so
+    # the scorer is called once a prompt
+    replies = scored.select(*PAIR, F.struct(*REPLY).alias("_reply"), F.col("error").alias("_error"), cost.cast("bigint").alias("_cost"))
+    met = nxt.join(replies, PAIR)
+    bad = F.col("_error").isNotNull()
+    again = met.select(*PAIR, *[F.when(bad, F.col(c)).otherwise(F.col(f"_reply.{c}")).alias(c) for c in REPLY], "ctx",
+                       F.when(bad, F.col("round")).otherwise(F.lit(round_no)).alias("round"), "prev_names",
+                       F.when(bad, F.lit("call_failed")).alias("stop_reason"),
+                       (F.col("spent") + F.when(bad, F.lit(0)).otherwise(F.col("_cost"))).cast("bigint").alias("spent"), "file_costs")
+    return done.unionByName(again)
+
+
+def _kept(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(closed, open) pairs of one round, written once in two folders."""
+    spark, path = rows.sparkSession, f"{checkpoint_dir(rows.sparkSession).rstrip('/')}/tables/{name}"
+    schema = rows.schema
+    rows.withColumn("_open", F.col("stop_reason").isNull()).write.mode("overwrite").partitionBy("_open").parquet(path)
+
+    def part(value: str) -> DataFrame:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_open={value}")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        return spark.read.schema(schema).parquet(f"{path}/_open={value}") if there else spark.createDataFrame([], schema)
+    return part("false"), part("true")
 
 
 def refine(files: DataFrame, initial: DataFrame, scorer, max_iterations: int = 7, provider: str = "openai",
@@ -203,13 +218,19 @@ def refine(files: DataFrame, initial: DataFrame, scorer, max_iterations: int = 7
         prior = cut_lineage(prior.groupBy("repo_id", F.col("file_path").alias("path")).agg(F.sum("cost_nano").cast("bigint").alias("spent")),
                             f"{run_name}/prior")
     defs = cut_lineage(definition_index(files), f"{run_name}/definitions")  # one index for all rounds
-    state = cut_lineage(initial_state(files, initial, scorer, provider, limits, prior, run_name), f"{run_name}/round0")
+    closed, open_ = _kept(initial_state(files, initial, scorer, provider, limits, prior, run_name), f"{run_name}/round0")
+    parts, costs = [closed], prior
     for i in range(1, max_iterations):
-        state, still_open = refine_round(state, files, scorer, i, provider, defs, limits, prior)
-        state = cut_lineage(state, f"{run_name}/round{i}")
-        if not still_open:
+        if open_.isEmpty():
             break
-    else:
-        state = state.withColumn("stop_reason", F.coalesce("stop_reason", F.lit("max_iterations")))
+        if limits is not None:
+            # costs of closed pairs, by file: the one thing a round needs of them
+            spent = closed.select("repo_id", "path", "spent")
+            costs = cut_lineage((spent if costs is None else spent.unionByName(costs)).groupBy("repo_id", "path").agg(F.sum("spent").cast("bigint").alias("spent")),
+                                f"{run_name}/costs{i}")
+        closed, open_ = _kept(refine_round(open_, files, scorer, i, provider, defs, limits, costs), f"{run_name}/round{i}")
+        parts.append(closed)
+    parts.append(open_.withColumn("stop_reason", F.lit("max_iterations")))
+    state = reduce(DataFrame.unionByName, parts)
     return state.select(*PAIR, "ok", "confidence_score", "analysis", F.col("round").alias("last_round"),
                         F.size("ctx").alias("n_context"), F.col("spent").alias("cost_nano"), "stop_reason", "scratchpad", "poc", "vulnerability_types")

@@ -77,3 +77,40 @@ def test_escalation_needs_two_steep_steps(spark):
     rows = spark.createDataFrame([([10, 20, 40],), ([10, 12, 40],), ([5, 10, 20, 21],), ([10, 20],), ([],)], "h array<bigint>")
     got = rows.select(Limits("gpt-4o").reason(F.lit(0), F.lit(0), F.col("h"))).collect()
     assert [r[0] for r in got] == ["escalation", None, None, None, None]
+
+
+def test_rounds_hold_open_pairs_only(spark):
+    """Pairs stop in different rounds; each round's table has the pairs still open, and each prompt is scored once."""
+    import json
+
+    from auditlens.session import checkpoint_dir
+    n = 40
+    files = spark.createDataFrame([("r", f"f{i}.py", i, f"def name_{i}():\n    pass\n# stop {i % 5}\n") for i in range(n)],
+                                  "repo_id string, path string, file_ord long, content string")
+    initial = spark.createDataFrame([("r", f"f{i}.py", "LFI", "{}") for i in range(n)], "repo_id string, path string, vuln_type string, previous string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(texts):
+        """Asks for one more name every round until round ``stop``, then for nothing."""
+        import re
+        out = []
+        for t in texts:
+            calls.add(1)
+            stop = int(re.search(r"# stop (\d)", t).group(1))
+            had = len(re.findall("<context_name_requested>", t))
+            seen = re.search(r'"analysis":"(\d+)', t)
+            now = int(seen.group(1)) + 1 if seen else 0
+            names = [f"name_{k}" for k in range(now + 1)] if now < stop else []
+            out.append(json.dumps({"scratchpad": "", "analysis": str(now), "poc": None, "confidence_score": min(10, had), "vulnerability_types": ["LFI"],
+                                   "context_code": [{"name": x, "reason": "", "code_line": ""} for x in names]}))
+        return out
+
+    got = refine(files, initial, scorer, max_iterations=4, run_name="rounds-test").collect()
+    assert len(got) == n
+    for r in got:
+        stop = int(r.path[1:-3]) % 5
+        assert (r.last_round, r.stop_reason) == ((stop, "no_context") if stop < 3 else (3, "max_iterations")), r
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/rounds-test"
+    sizes = [spark.read.parquet(f"{folder}/round{i}").count() for i in range(4)]
+    assert sizes == [n, n, n * 4 // 5, n * 3 // 5]  # pairs closed at a round's check are written by that round, then never again
+    assert calls.value == n + n * 4 // 5 + n * 3 // 5 + n * 2 // 5

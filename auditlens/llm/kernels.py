@@ -119,11 +119,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``CHUNK_BYTES`` of text each (one row at least)."""
+def chunks(offsets: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` (``CHUNK_BYTES``) of text each (one row at least)."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (size or CHUNK_BYTES), side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 

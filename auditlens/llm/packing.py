@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import number_rows, ready, slices_for, written
-from auditlens.llm.tokenizing import DEFAULT_TOKENIZER, encoder, text_chunks, tokenizer_path
+from auditlens.llm.tokenizing import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a sequence beyond its length, and the length at which attention costs as much as the rest.
@@ -139,8 +139,7 @@ def token_lengths(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER):
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoder(where)
         for column in batches:
-            texts = [t or "" for t in column.to_pylist()]
-            yield pa.array([len(ids) // 4 + 1 for part in text_chunks(texts) for ids in enc.encode(part)], pa.int64())
+            yield pa.array(enc.count(column) + 1, pa.int64())
 
     lengths.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(lengths, "long")(F.col("text"))

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlens.llm.common import ready, scratch
-from auditlens.llm.tokenizing import DEFAULT_TOKENIZER, encoder, text_chunks, tokenizer_path
+from auditlens.llm.tokenizing import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 END_ID = 2
 #: Ids of one block; ids after which a chunk is closed (at the next document end).
 BLOCK, CHUNK = 1 << 16, 1 << 19
+#: Characters of the text by which texts of one id are dealt.
+RANGE_CHARS = 64
 PLANES = {"byte": 4, "bit": 32}
 
 CHUNK_SCHEMA = ("shard int, chunk int, first long, n_ids long, block int, planes string, plane_bytes array<int>, "
@@ -74,7 +76,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
                       block: int = BLOCK, chunk: int = CHUNK, end_id: int = END_ID) -> None:
     """Encode (doc_id, text) and write the token files to ``path``.
 
-    Documents are range-partitioned on doc_id; partition k writes shard k, so
+    Documents are range-partitioned on doc_id and the start of the text; partition k writes shard k, so
     shards and chunks are in ascending doc_id order (nulls first; equal ids by
     text).  A null or empty text has only the end id.  An empty table writes
     no chunk.  Tasks stream: memory is one Arrow batch plus one chunk (a
@@ -83,7 +85,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
     if planes not in PLANES:
         raise ValueError(f"planes must be one of {sorted(PLANES)}")
     ready(docs.sparkSession)
-    where, end = tokenizer_path(tokenizer), np.array([end_id], "<u4").tobytes()
+    where = tokenizer_path(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
 
         def close():
             nonlocal ids, tokens, parts, held, number, first
-            payload, sizes = pack_chunk(np.frombuffer(b"".join(parts), "<u4"), planes, block)
+            payload, sizes = pack_chunk(np.concatenate(parts), planes, block)
             row = {"shard": shard, "chunk": number, "first": first, "n_ids": held, "block": block, "planes": planes,
                    "plane_bytes": sizes, "doc_id": ids, "doc_ids": tokens, "payload": payload}
             number, first = number + 1, first + held
@@ -100,21 +102,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = DEFAULT_TOKEN
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            for part in text_chunks(texts):
-                for got in enc.encode(part):
-                    ids.append(batch.column(0)[at].as_py())
-                    parts.append(got + end)
-                    tokens.append(len(got) // 4 + 1)
-                    held += tokens[-1]
-                    at += 1
+            docs, at = batch.column(0).to_pylist(), 0
+            for got, bounds in enc.encode_flat(batch.column(1)):
+                # the end id behind each text
+                got, counts = np.insert(got, bounds[1:], end_id), np.diff(bounds) + 1
+                ends, lo = np.cumsum(counts), 0
+                while lo < len(counts):
+                    # whole documents until the chunk is full
+                    before = ends[lo - 1] if lo else 0
+                    hi = min(len(counts), int(np.searchsorted(ends, before + chunk - held)) + 1)
+                    ids += docs[at + lo:at + hi]
+                    tokens += counts[lo:hi].tolist()
+                    parts.append(got[before:ends[hi - 1]])
+                    held += int(ends[hi - 1] - before)
+                    lo = hi
                     if held >= chunk:
                         yield close()
+                at += len(counts)
         if ids:
             yield close()
 
-    rows = (docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    # a start of the text in the range, so that many texts of one id (or of none) are several shards
+    rows = (docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, RANGE_CHARS).asc_nulls_first())
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
     rows.mapInArrow(encode, CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(path)
 

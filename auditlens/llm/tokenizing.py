@@ -1,27 +1,41 @@
 """Byte-level BPE encoding inside tasks, with a bounded cache of encoded pieces.
 
 A byte-level pre-tokenizer never puts a non-space character and a following
-space into one piece, so a text cut before such spaces encodes piece by piece
-to exactly the ids of the whole text.  Words repeat, so most pieces come from
-the cache; the rest are encoded by the ``tokenizers`` library in one batch.
+space into one piece, nor a letter and a following mark, so a text cut there
+encodes piece by piece to exactly the ids of the whole text.  Texts are cut and their pieces made
+distinct on Arrow and numpy arrays; only distinct pieces are looked up, new ones
+are encoded by the ``tokenizers`` library many at a time, and ids (or just their
+counts) are gathered.
+
+Texts with a space after a non-ASCII white space or a control character, or with
+a special string of the tokenizer, are one piece, which the library encodes as it
+is.  So does any text of a tokenizer of another kind.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from auditlens.llm import kernels as K
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
-#: Cached pieces per worker (about 250 bytes each); the cache starts anew beyond it.
-MAX_CACHED = 800_000
-_NOT_PLAIN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of a worker's cache (keys, ids and their places); it starts anew beyond that.  Longer pieces are not kept.
+CACHE_BYTES, CACHED_PIECE = 128 << 20, 64
+#: Bytes that one kept piece takes besides its own and its ids'.
+PIECE_BYTES = 130
+#: Bytes of text whose pieces are made distinct at a time (one text at least).
+CHUNK = 6 << 20
 #: ASCII marks that the pre-tokenizer always cuts from a letter before them (apostrophes may start a contraction).
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_IS_MARK, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: A space after one of these may belong to the piece before it.
+_UNCLEAR = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -33,15 +47,25 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
 
 
 class PieceEncoder:
-    """Encodes whole texts; ids come as little-endian unsigned 32-bit bytes."""
+    """Encodes whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.cuttable = self._byte_level()
-        self.cache: dict[str, bytes] = {}
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._sizes: np.ndarray | None = None
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.kept = self.used = self.n_slots = self.key_bytes = 0
+        self.ids, self.at, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def cache_bytes(self) -> int:
+        """Bytes that the kept pieces take."""
+        return self.key_bytes + 4 * self.kept + PIECE_BYTES * len(self.slots)
 
     def _byte_level(self) -> bool:
         """Whether cutting before spaces is known to be exact for this tokenizer."""
@@ -51,33 +75,115 @@ class PieceEncoder:
         return (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
                 and bool(pre.get("use_regex", True)) and all(a.get("special") for a in spec.get("added_tokens", [])))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces whose ids join to the ids of the text."""
+    def _encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece) of pieces that start with a space and end solid: encoded as one text, cut by bytes."""
+        if self._sizes is None:
+            self._sizes = self.byte_lengths()
+        ids = np.concatenate(self._encode_batch([b"".join(pieces[i:i + 4000]).decode() for i in range(0, len(pieces), 4000)]))
+        ends = np.cumsum([len(p) for p in pieces])
+        place = np.cumsum(self._sizes[ids])
+        cut = np.searchsorted(place, ends)
+        if not (cut < len(place)).all() or not (place[cut] == ends).all():  # never for the cuts made here
+            single = self._encode_batch([p.decode() for p in pieces])
+            return np.concatenate(single), np.array([len(x) for x in single])
+        return ids, np.diff(cut + 1, prepend=0)
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slots of new pieces; their ids go behind those held."""
+        n, m = self.n_slots, len(pieces)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + m > len(self.at):
+            self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.at[n:n + m] = self.used + np.cumsum(sizes) - sizes
+        self.size[n:n + m] = sizes
+        self.used, self.n_slots = self.used + len(ids), n + m
+        return np.arange(n, n + m)
+
+    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+        """Slot of each distinct piece; long pieces stand behind the kept ones until the next call."""
+        self.used, self.n_slots = self.kept, len(self.slots)
+        if self.cache_bytes() > CACHE_BYTES:
+            self._start_anew()
+        get = self.slots.get
+        slots = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(slots < 0)
+        short = [i for i in new if len(pieces[i]) <= CACHED_PIECE]
+        joined = [i for i in short if self.cuttable and pieces[i][0] == 32 and pieces[i][-1] > 32 and len(pieces[i]) > 1]
+        chosen = set(joined)
+        other = [i for i in short if i not in chosen]
+        for group, keep in ((joined, True), (other, True), ([i for i in new if len(pieces[i]) > CACHED_PIECE], False)):
+            # one at a time beyond the short ones: a long piece may be a whole text
+            for i in range(0, len(group), step := 40_000 if keep else 64):
+                part = [pieces[k] for k in group[i:i + step]]
+                if group is joined:
+                    ids, sizes = self._encode_joined(part)
+                else:
+                    single = self._encode_batch([p.decode() for p in part])
+                    ids, sizes = np.concatenate(single), np.array([len(x) for x in single])
+                slots[group[i:i + step]] = at = self._add(part, ids, sizes)
+                if keep:
+                    self.slots.update(zip(part, at.tolist(), strict=True))
+                    self.kept, self.key_bytes = self.used, self.key_bytes + sum(map(len, part))
+        return slots
+
+    def _whole(self, column: pa.Array) -> np.ndarray:
+        """Texts that are not cut."""
         if not self.cuttable:
-            return [text]
-        parts = _CUT.split(text) if _NOT_PLAIN.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+            return np.ones(len(column), bool)
+        odd = pc.match_substring_regex(column, _UNCLEAR)
+        for x in self.specials:
+            odd = pc.or_(odd, pc.match_substring(column, x))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def _parts(self, column: pa.Array):
+        """Chunk by chunk: (texts, slot of every piece, pieces before each text)."""
+        column = column.cast(pa.large_string()).fill_null("")
+        data, offsets = K.text_bytes(column)
+        whole = self._whole(column)
+        for i, j in K.chunks(offsets, CHUNK):
+            cuts = offsets[i:j + 1] - offsets[i]
+            part = data[offsets[i]:offsets[j]]
+            first = np.zeros(len(part) + 1, bool)
+            if len(part):
+                before, at = part[:-1], part[1:]
+                first[1:-1] = ((at == 32) & ~K._IS_SPACE[before]) | (_IS_MARK[at] & _IS_LETTER[before])
+            for t in np.flatnonzero(whole[i:j]):
+                first[cuts[t]:cuts[t + 1]] = False
+            first[cuts[:-1]] = True
+            first[-1] = False
+            starts = np.flatnonzero(first)
+            pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+                None, pa.py_buffer(np.append(starts, len(part)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
+            slots = self._slots(pieces.dictionary.to_pylist())
+            yield j - i, slots[pieces.indices.to_numpy()], np.searchsorted(starts, cuts)
+
+    def encode_flat(self, column: pa.Array):
+        """Chunk by chunk: (ids, ids before each text of the chunk and behind the last)."""
+        for _, slots, bounds in self._parts(column):
+            sizes = self.size[slots]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            place = np.repeat(self.at[slots] - ends[:-1], sizes) + np.arange(ends[-1])
+            yield self.ids[place], ends[bounds]
+
+    def count(self, column: pa.Array) -> np.ndarray:
+        """Ids of each text."""
+        out = []
+        for _, slots, bounds in self._parts(column):
+            ends = np.concatenate([[0], np.cumsum(self.size[slots])])
+            out.append(np.diff(ends[bounds]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self._pieces(t) for t in texts]
-        missing = list(set().union(*pieces).difference(self.cache)) if pieces else []
-        if len(self.cache) + len(missing) > MAX_CACHED:
-            self.cache = {}
-            missing = list(set().union(*pieces))
-        # most new pieces are known words with new marks: encode the two parts apart
-        tails = {p: len(core) for p in missing if self.cuttable and len(core := p.rstrip(_MARKS)) < len(p) and core[-1:].isalpha()}
-        parts = {p[:n] for p, n in tails.items()} | {p[n:] for p, n in tails.items()} | {p for p in missing if p not in tails}
-        parts = list(parts.difference(self.cache))
-        for i in range(0, len(parts), 20_000):
-            part = parts[i:i + 20_000]
-            self.cache.update(zip(part, self._ids(part), strict=True))
-        for p, n in tails.items():
-            self.cache[p] = self.cache[p[:n]] + self.cache[p[n:]]
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        out = []
+        for ids, at in self.encode_flat(pa.array(texts, pa.large_string())):
+            out += [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+        return out
 
     def byte_lengths(self) -> np.ndarray:
         """UTF-8 bytes that each id stands for (byte-level vocabularies: one character per byte)."""

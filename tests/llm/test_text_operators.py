@@ -3,8 +3,10 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, base_figures, base_spans, contamination, corpus, frame, prose, repeats, similar
 
@@ -121,16 +123,15 @@ def test_extract_rows(spark):
 
 # -- 2 and 6 tokens ---------------------------------------------------------
 
-ODD_TEXTS = ["a  b", "\n\n x\n  y z ", " lead", "trail ", "it's ''s 'll", "a\xa0 b c  d", "", "x", "\t \n", "日本 語  テ", "a\x1c b", "<|endoftext|> a", "😀 é"]
+ODD_TEXTS = ["a  b", "\n\n x\n  y z ", " lead", "trail ", "it's ''s 'll", "a\xa0 b c  d", "", "x", "\t \n", "日本 語  テ", "a\x1c b", "<|endoftext|> a", "😀 é",
+             "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|", "end. <|endoftext|>\n", "a\u2003 b\u3000  c", "f(x)=y_1;z's", "word,,word!,", "a" * 300, "\x85 b"]
 
 
 def plain_tokenizer():
     from tokenizers import Tokenizer
 
     from auditlens.llm.tokenizing import tokenizer_path
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_cached_pieces_give_the_ids_of_whole_texts():
@@ -138,7 +139,27 @@ def test_cached_pieces_give_the_ids_of_whole_texts():
     rng = random.Random(5)
     texts = ODD_TEXTS + ["".join(rng.choice([" ", "\n", "a", "'s", "é", ".", "12", "\t"]) for _ in range(60)) for _ in range(200)]
     want = [np.asarray(e.ids, "<u4").tobytes() for e in plain_tokenizer().encode_batch(texts, add_special_tokens=False)]
-    assert PieceEncoder(tokenizer_path()).encode(texts) == want
+    enc = PieceEncoder(tokenizer_path())
+    assert enc.encode(texts) == want
+    assert enc.encode(texts[::-1]) == want[::-1]  # from the cache
+    assert enc.count(pa.array([*texts, None])).tolist() == [len(w) // 4 for w in want] + [0]
+    assert enc.encode([]) == [] and enc.encode(["", ""]) == [b"", b""]
+
+
+def test_texts_without_spaces_do_not_fill_the_cache(monkeypatch):
+    """Kept pieces are short and bounded by bytes; what is not kept encodes to the same ids."""
+    from auditlens.llm import tokenizing as T
+    enc, rng = T.PieceEncoder(T.tokenizer_path()), random.Random(3)
+    long = ["".join(rng.choice("日本語テキスト0123456789abcdef") for _ in range(5000)) for _ in range(40)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in plain_tokenizer().encode_batch(long, add_special_tokens=False)]
+    assert enc.encode(long) == want and enc.encode(long) == want
+    assert enc.cache_bytes() < 10_000 and len(enc.ids) < 8 * sum(len(w) // 4 for w in want) + (1 << 17)
+    monkeypatch.setattr(T, "CACHE_BYTES", 200_000)
+    words = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(500)) for _ in range(20)]
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in plain_tokenizer().encode_batch(words, add_special_tokens=False)]
+    for text, ids in zip(words, want, strict=True):
+        assert enc.encode([text]) == [ids]
+        assert enc.cache_bytes() < 200_000 + 500 * 400
 
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
@@ -171,6 +192,43 @@ def test_token_files(spark, planes, tmp_path):
     assert read_token_files(spark, f"{path}-empty").count() == 0
 
 
+def test_many_texts_of_one_id_are_several_shards(spark, tmp_path):
+    from auditlens.llm.token_files import read_token_files, write_token_files
+    rows = [(7 if i % 2 else None, f"text {i} " + prose(random.Random(i), 20)) for i in range(400)]
+    path = f"file://{tmp_path}/ids"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few bytes: they would be one partition
+    try:
+        write_token_files(frame(spark, rows), path, chunk=200)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    shards = {r.shard: r.n for r in spark.read.parquet(path).groupBy("shard").agg({"n_ids": "sum"}).toDF("shard", "n").collect()}
+    assert len(shards) >= 4 and max(shards.values()) < sum(shards.values()) / 2
+    got = [r.ids for r in sorted(read_token_files(spark, path, digest_only=False).collect(), key=lambda r: r.start)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == [e.ids + [2] for e in plain_tokenizer().encode_batch([t for _, t in order], add_special_tokens=False)]
+
+
+def test_attribution_against_a_loop_over_tokens(spark):
+    """Majority by bytes, token by token, from the library's own offsets of pieces."""
+    from auditlens.llm.token_attribution import count_tokens
+    from auditlens.llm.tokenizing import PieceEncoder, tokenizer_path
+    sizes = PieceEncoder(tokenizer_path()).byte_lengths()
+    rows = [(i, t) for i, t in enumerate(ODD_TEXTS + ["one\ntwo é\n\n  three\r\nfour 😀\n", "a\n\n\nb"]) if t]
+    got = {(r.doc_id, r.section): r.n_tokens for r in count_tokens(frame(spark, rows)).collect()}
+    for i, text in rows:
+        lines, want = text.encode().split(b"\n"), Counter()
+        bounds = np.cumsum([0] + [len(x) + 1 for x in lines])
+        bounds[-1] = len(text.encode())
+        if len(bounds) > 2 and bounds[-1] == bounds[-2]:
+            bounds = bounds[:-1]
+        at = 0
+        for token in plain_tokenizer().encode(text, add_special_tokens=False).ids:
+            share = [max(0, min(at + sizes[token], b) - max(at, a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            want[int(np.argmax(share))] += 1
+            at += sizes[token]
+        assert {s: n for (d, s), n in got.items() if d == i and n} == dict(want), text
+
+
 def test_attribution_rules(spark):
     from auditlens.llm.token_attribution import attribute, count_tokens
     ends, bounds = np.array([2, 6, 7]), np.array([0, 3, 7])

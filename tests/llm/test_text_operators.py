@@ -455,3 +455,36 @@ def test_item_windows_found(spark):
     assert kept.columns == docs.columns and kept.count() == sum(h == 0 for _, h, _ in want.values())
     assert find_contamination(empty(spark), bench).count() == 0
     assert not find_contamination(docs, bench.limit(0)).where("contaminated").count()
+
+
+def test_repeats_with_many_texts_under_one_id_and_a_hot_passage(spark, monkeypatch):
+    """A third of the rows share one doc_id, most rows one passage; rows of one id do not count as earlier than each other."""
+    from auditlens.llm import substring_dedup as S
+    rng = random.Random(12)
+    passage, other = prose(rng, 90), prose(rng, 70)
+    rows = [(7, f"{prose(rng, 30)} {passage} {prose(rng, 20)}") for _ in range(60)] + [(7, rows7) for rows7 in [f"{other} same"] * 3]
+    rows += [(100 + i, f"{prose(rng, 10)} {passage if i % 4 else other} {prose(rng, 10)}") for i in range(100)] + [(3, other), (None, passage)]
+    first, want = {}, []
+    for i, t in rows:
+        w = t.split()
+        for p in range(len(w) - 49):
+            if i is not None:
+                key = tuple(w[p:p + 50])
+                first[key] = min(first.get(key, i), i)
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for p in range(len(w) - 49):
+            if i is not None and first[tuple(w[p:p + 50])] < i:
+                gone.update(range(p, p + 50))
+        kept = " ".join(x for p, x in enumerate(w) if p not in gone)
+        want.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    for parts in (1000, 3):  # with the passage's keys broadcast, and dealt out
+        monkeypatch.setattr(S, "HOT_PARTS", parts)
+        got = S.remove_repeats(frame(spark, rows)).drop("kept_text").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_repeats_of_nothing(spark):
+    from auditlens.llm.substring_dedup import remove_repeats
+    assert remove_repeats(empty(spark)).count() == 0
+    assert [r.n_removed for r in remove_repeats(frame(spark, [(1, "short"), (1, "short")])).collect()] == [0, 0]

@@ -6,7 +6,8 @@ the sum of its children's densities, and the subtree with the greatest score
 among nodes at or above the body-path threshold is the article.  Words in class
 and id names lower densities; a subtree is dropped by them only when every word
 of a name marks furniture and it holds no article, no article heading and no
-large share of the page's text.  The work is one map over the pages: no
+large share of the page's text.  So is a form.  Containers of reader comments go
+whatever their size, unless they hold the article itself.  The work is one map over the pages: no
 shuffle, memory bounded by one Arrow batch.
 """
 
@@ -29,7 +30,7 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold article text.
 DROPPED = frozenset(
-    "head title script style noscript template iframe object svg math canvas audio video nav footer aside form "
+    "head title script style noscript template iframe object svg math canvas audio video nav footer aside "
     "button select input textarea label datalist dialog menu".split())
 #: Start tags that end an open element of these names (up to the nearest barrier).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -46,6 +47,10 @@ FURNITURE = frozenset(
     "social related recommended widget toolbar login search copyright disclaimer alert skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 KEPT = frozenset("html body article main".split())
+#: Words that name a container of reader comments, words beside them that do not, and elements that can be one.
+COMMENT_WORDS = frozenset("comment comments disqus replies".split())
+COMMENT_STATES = frozenset("open opened closed status enabled disabled on off allowed no count counts link links".split())
+COMMENT_TAGS = frozenset("div section article aside ul ol li dl table details".split())
 #: Text blocks that a class or id name never drops, only lowers.
 TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre figure figcaption table tbody thead tfoot tr td th li dt dd".split())
 #: Factors of the densities below a name that has a furniture word, and one of furniture words only.
@@ -57,11 +62,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "score", "factor", "holds")
+    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "score", "factor", "holds", "comment")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, factor: float = 1.0):
         self.tag, self.parent, self.dropped, self.factor = tag, parent, dropped, factor
-        self.holds = False
+        self.holds = self.comment = False
         self.parts: list[str | _Node] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.score = 0.0
@@ -87,6 +92,7 @@ class _Builder(HTMLParser):
             stack.pop()
         top = stack[-1]
         node = _Node(tag, top, top.dropped or self._furniture(tag, attrs), _factor(tag, attrs))
+        node.comment = _comment(tag, attrs)
         top.parts.append(node)
         self.order.append(node)
         if tag not in VOID:
@@ -155,6 +161,8 @@ def _factor(tag: str, attrs) -> float:
     out = 1.0
     if tag in KEPT:
         return out
+    if tag == "form":
+        return WHOLLY
     for name, value in attrs:
         if value and name in ("class", "id"):
             for one in value.lower().split():
@@ -164,8 +172,79 @@ def _factor(tag: str, attrs) -> float:
     return out
 
 
+def _comment(tag: str, attrs) -> bool:
+    """Whether class or id name a container of reader comments."""
+    if tag not in COMMENT_TAGS:
+        return False
+    names = (one for name, value in attrs if value and name in ("class", "id") for one in value.lower().split())
+    return any(not COMMENT_WORDS.isdisjoint(words) and COMMENT_STATES.isdisjoint(words) for words in map(_NAME_PARTS.findall, names))
+
+
+def _own_text(order: list[_Node]) -> dict[_Node, int]:
+    """Non-link characters of every subtree that is not dropped."""
+    own: dict[_Node, int] = {}
+    for n in reversed(order):
+        if n.dropped:
+            continue
+        total = 0
+        for part in n.parts:
+            if isinstance(part, str):
+                total += len("".join(part.split()))
+            elif not part.dropped:
+                total += own[part]
+        own[n] = 0 if n.tag == "a" else total
+    return own
+
+
+def _drop_comments(order: list[_Node]) -> None:
+    """Drops containers of reader comments, whatever their size and inner tags.
+
+    One that holds the article is none: where a marked article stands outside all of
+    them, none holds it; else the one with a heading or article that nearly starts
+    the page's text does, or one that holds all text.
+    """
+    named = [n for n in order if n.comment and not n.dropped]
+    if not named:
+        return
+    own = _own_text(order)
+    page, seen, before = own[order[0]], 0, {}
+    todo = [order[0]]
+    while todo:  # characters before each node, in page order
+        n = todo.pop()
+        if isinstance(n, str):
+            seen += len("".join(n.split()))
+            continue
+        before[n] = seen
+        if n.tag != "a":
+            todo.extend(p for p in reversed(n.parts) if isinstance(p, str) or not p.dropped)
+    marks = dict.fromkeys(order, False)  # holds a heading or an article
+    for n in reversed(order):
+        if not n.dropped and own[n]:
+            marks[n] = marks[n] or n.tag in HEADINGS or n.tag in ("article", "main")
+            if n.parent is not None and marks[n]:
+                marks[n.parent] = True
+    while named:
+        within: dict[_Node, bool] = {order[0]: False}
+        for n in order[1:]:
+            within[n] = within[n.parent] or n.comment
+        marked = any(n.tag in ("article", "main") and not within[n] and own.get(n) for n in order)
+        outer = [n for n in named if not within[n.parent]]
+        kept = [n for n in outer if own[n] == page or (not marked and marks[n] and 4 * before[n] < own[n])]
+        for n in kept:
+            n.comment = False
+        if not kept:
+            for n in order[1:]:
+                n.dropped = n.dropped or n.comment or n.parent.dropped
+            return
+        named = [n for n in named if n.comment]
+
+
 def _drop_marked(order: list[_Node]) -> None:
-    """Drops the subtrees whose name is wholly furniture and that hold nothing of the article; hands the factors down."""
+    """Drops comments, and the subtrees whose name is wholly furniture and that hold nothing of the article; hands the factors down.
+
+    A form is such a subtree by its tag; one that is kept lowers nothing.
+    """
+    _drop_comments(order)
     if all(n.factor == 1.0 for n in order):
         return
     scope: dict[_Node, tuple] = {order[0]: (None, None, False)}  # nearest article or main, nearest heading, below a marked name
@@ -179,30 +258,26 @@ def _drop_marked(order: list[_Node]) -> None:
             started.add(article)
             if article is not None and heading is not None:
                 heading.holds = True  # an article starts with its heading
-    own: dict[_Node, int] = {}  # non-link characters
+    own = _own_text(order)
     for n in reversed(order):
-        if n.dropped:
-            continue
-        total = 0
-        for part in n.parts:
-            if isinstance(part, str):
-                total += len("".join(part.split()))
-            elif not part.dropped:
-                total += own[part]
-                n.holds = n.holds or part.holds
-        own[n] = 0 if n.tag == "a" else total
+        if not n.dropped:
+            n.holds = n.holds or any(not isinstance(part, str) and not part.dropped and part.holds for part in n.parts)
     page = own[order[0]]
     # a page that marks its article says itself that large texts beside it are not part of it
     beside = any(n.tag in ("article", "main") and own.get(n) and not scope[n][2] for n in order)
+    code = {order[0]: False}  # names in program text are those of its highlighter
     for n in order[1:]:
         up = n.parent
+        code[n] = code[up] or up.tag in ("pre", "code")
         if up.dropped:
             n.dropped = True
         if n.dropped:
             continue
         large = own[n] >= LARGE_SHARE * page and not (beside and scope[n][0] is None)
-        if n.factor == WHOLLY and n.tag not in TEXT_BLOCKS and not n.holds and not large:
+        if n.factor == WHOLLY and n.tag not in TEXT_BLOCKS and not n.holds and not large and not code[n]:
             n.dropped = True
+        elif n.tag == "form":
+            n.factor = up.factor
         elif n.tag not in ("article", "main"):  # a marked article counts whole wherever it stands
             n.factor *= up.factor
 
@@ -307,8 +382,9 @@ def extract_main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...
     """``keep`` columns plus text and n_chars (code points) for every page row.
 
     Null or empty html gives an empty text.  Rows are independent: repeated
-    rows, ties and null ids pass through unchanged; other columns (whatever
-    their names) are not read.  An empty table gives an empty result.
+    rows and null ids pass through unchanged; of subtrees with equal scores the first
+    in page order wins; very long pages are parsed whole, one at a time; other
+    columns (whatever their names) are not read.  An empty table gives an empty result.
     """
     from auditlens.llm.common import ready
     ready(pages.sparkSession)

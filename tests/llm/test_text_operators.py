@@ -488,3 +488,111 @@ def test_repeats_of_nothing(spark):
     from auditlens.llm.substring_dedup import remove_repeats
     assert remove_repeats(empty(spark)).count() == 0
     assert [r.n_removed for r in remove_repeats(frame(spark, [(1, "short"), (1, "short")])).collect()] == [0, 0]
+
+
+# -- 1 html: forms, comments, brute-force densities ---------------------------------
+
+COMMENT = "<p>Great post, I could not agree more with every single word of it, thank you so much for writing this.</p>"
+BODY_TEXT = ["Title", "First paragraph of some length.", "Second paragraph, longer than the first one."]
+
+
+def test_a_form_around_the_page_is_not_furniture():
+    from auditlens.llm.html_extract import main_text
+    paragraphs = "".join(f"<p>{prose(random.Random(i), 40)}</p>" for i in range(3))
+    want = "\n\n".join(prose(random.Random(i), 40) for i in range(3))
+    assert main_text(f"<body><form action='./default.aspx' id='aspnetForm'><input type=hidden value=x><div>{ARTICLE}</div></form></body>").split("\n\n") == BODY_TEXT
+    assert main_text(f"<body><form id='form1'><div><h2>Head</h2>{paragraphs}</div><button>Send</button></form></body>") == "Head\n\n" + want
+    assert main_text(f"<body><form id='form1'><div>{paragraphs}</div></form></body>") == want
+    inner = "<form class='contact'><h3>Write to us</h3><p>Your message will be read by somebody.</p><input></form>"
+    assert "Write" not in main_text(f"<body><div><h2>Head</h2>{paragraphs}</div>{inner}</body>")
+    assert "Write" not in main_text(f"<body><article><h2>Head</h2>{paragraphs}{inner}</article></body>")
+
+
+@pytest.mark.parametrize("name", ["comments", "comments-area", "comment-list", "disqus_thread", "post-comments"])
+@pytest.mark.parametrize("item", ["{}", "<article class='comment'><h4>Somebody says</h4>{}</article>", "<article>{}</article>", "<ul><li class='comment-item'>{}</li></ul>"])
+@pytest.mark.parametrize("many", [1, 30])
+def test_reader_comments_go_whatever_their_size(name, item, many):
+    from auditlens.llm.html_extract import main_text
+    comments = f"<section id='{name}'><h3>Comments</h3>{''.join(item.format(COMMENT) for _ in range(many))}</section>"
+    assert main_text(f"<body><div>{ARTICLE}{comments}</div></body>").split("\n\n") == BODY_TEXT
+    assert main_text(f"<body><div>{ARTICLE.replace('</article>', comments + '</article>')}</div></body>").split("\n\n") == BODY_TEXT
+    paragraphs = [prose(random.Random(i), 60) for i in range(4)]
+    plain = "<h1>Head</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    assert main_text(f"<body><div class='post comments-open'>{plain}{comments}</div></body>").split("\n\n") == ["Head", *paragraphs]
+
+
+def test_an_article_below_a_comment_name_stays():
+    from auditlens.llm.html_extract import main_text
+    inner = f"<div class='comments'>{COMMENT * 3}</div>"
+    for page in (f"<div class='comment-page'>{ARTICLE}{inner}</div>", f"<div class='comment'>{ARTICLE.replace('</article>', inner + '</article>')}</div>"):
+        assert main_text(f"<body>{page}</body>").split("\n\n") == BODY_TEXT
+    assert main_text(f"<body><div class='comments'>{COMMENT}</div></body>") == COMMENT[3:-4]  # nothing else on the page
+    code = "<pre>x = 1 <span class='comment'># why</span></pre>"
+    assert "# why" in main_text(f"<body>{ARTICLE.replace('</article>', code + '</article>')}</body>")
+
+
+def test_density_and_choice_by_brute_force():
+    """Random unmarked pages: the subtree by its definition, from counts over whole subtrees."""
+    import math
+
+    from auditlens.llm import html_extract as H
+    rng = random.Random(17)
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["p", "a", "span", "div"]), [prose(rng, rng.randrange(0, 25))]
+        return rng.choice(["div", "section", "span", "a"]) if depth < 4 else "div", [rng.choice([grow(depth - 1), prose(rng, rng.randrange(4))]) for _ in range(rng.randrange(1, 5))]
+
+    def html(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{' '.join(map(html, node[1]))}</{node[0]}>"
+
+    def walk(node):
+        yield node
+        for x in node.parts:
+            if not isinstance(x, str):
+                yield from walk(x)
+
+    for _ in range(80):
+        parser = H._Builder()
+        parser.feed("<body>" + html(grow(5)) + "</body>")
+        parser.close()
+        nodes = parser.order
+        body = next(n for n in nodes if n.tag == "body")
+
+        def counts(n):
+            text = lambda x, linked: sum(len("".join(p.split())) * (linked or not only) if isinstance(p, str) else text(p, linked or p.tag == "a") for p in x.parts)
+            only = False
+            chars = text(n, False)
+            only = True
+            links = text(n, n.tag == "a")
+            below = [x for x in walk(n) if x is not n]
+            return chars, links, len(below), sum(x.tag == "a" for x in below)
+
+        facts = {n: counts(n) for n in nodes}
+        total = facts[body]
+
+        def density(n):
+            c, lc, t, lt = facts[n]
+            if not c:
+                return 0.0
+            base = math.log(c / max(1, c - lc) * lc + total[1] / max(1, total[0]) * c + math.e)
+            inner = max(1.0, c / (lc or 1) * (t or 1) / (lt or 1))
+            return c / (t or 1) * math.log(inner) / math.log(max(base, 1.0001)) if base > 1 else 0.0
+
+        d = {n: density(n) for n in nodes}
+        score = {n: sum(d[x] for x in n.parts if not isinstance(x, str)) for n in nodes}
+        best = max(nodes, key=lambda n: score[n])
+        if score[best] > 0:
+            path, at = [best], best
+            while at is not body and at.parent is not None:
+                at = at.parent
+                path.append(at)
+            least = min(d[x] for i, x in enumerate(path) if i == 0 or d[x])
+            best = max((n for n in nodes if d[n] >= least), key=lambda n: score[n])
+        else:
+            best = body
+        assert H.main_text("<body>" + html_of(body) + "</body>") == "\n\n".join(H._blocks(best))
+
+
+def html_of(body):
+    return "".join(x if isinstance(x, str) else f"<{x.tag}>{html_of(x)}</{x.tag}>" for x in body.parts)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
+from auditlens.functions.slices import prefix_sum, rank_two_level
 from auditlens.functions.text import line_count
 
 
-#: Directory levels below the repository that are listed as rows of their own.
-LIST_LEVELS = 2
+#: Directories listed by one task of a round.
+DIRS_PER_TASK = 200
+#: Bytes of a read batch, and what opening a file counts.
+READ_BYTES, OPEN_BYTES = 64 << 20, 4096
 
 
 def _skipped_by_spark(rel: str) -> bool:
@@ -43,53 +48,81 @@ def _store(uri: str):
     return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
 
 
-def _hidden_files(spark: SparkSession, roots: list[tuple[str, str]], glob: str, repo_depth: int) -> DataFrame:
-    """Files Spark's listing skips, found and read by a distributed lister.
+def _listed(spark: SparkSession, roots: DataFrame, glob: str, repo_depth: int) -> DataFrame:
+    """(repo_id, path, uri, size) of the files that Spark's listing skips, by a frontier of directories.
 
-    ``roots``: (repo_id, qualified directory), repo_id '' where the first
-    ``repo_depth`` levels name it.  Every listing step is a map over directory
-    rows, dealt anew between steps: the levels that name the repository and
-    the first ``LIST_LEVELS`` below it list one directory per row, the last
-    step lists what is left recursively.  The found paths are dealt out again
-    before reading, so a giant repository is not one task.
+    ``roots``: (repo_id, uri), repo_id '' where the first ``repo_depth`` levels
+    name it.  A round lists the directories found by the round before, one
+    directory per row, dealt out anew, until no directory is left; its result is
+    written, so no directory is listed twice.  One round per level of depth.
     """
     import fnmatch
+    import uuid
 
+    from auditlens.functions.plan import cut_lineage
     from auditlens.session import ship_package
 
     ship_package(spark)
-    n = spark.sparkContext.defaultParallelism
-    schema = "repo_id string, path string, uri string, is_dir boolean"
-    columns = schema.replace(" string", "").replace(" boolean", "").split(", ")
+    run = f"listing/{uuid.uuid4().hex[:12]}"
+    schema = "repo_id string, path string, uri string, is_dir boolean, size long"
+    columns = ["repo_id", "path", "uri", "is_dir", "size"]
 
-    def lister(naming: bool, recursive: bool):
+    def lister(naming: bool):
         def work(it):
+            import os
+
             import pandas as pd
             from pyarrow import fs as pafs
 
             for pdf in it:
                 rows = []
-                for rid, path, uri, is_dir in pdf.itertuples(index=False):
-                    if not is_dir:
-                        rows.append((rid, path, uri, False))
-                        continue
+                for rid, path, uri in pdf[["repo_id", "path", "uri"]].itertuples(index=False):
                     store, base = _store(uri)
-                    for info in store.get_file_info(pafs.FileSelector(base, recursive=recursive)):
+                    for info in store.get_file_info(pafs.FileSelector(base, recursive=False)):
                         rel = info.path[len(base.rstrip("/")) + 1:]
                         at, below = f"{uri}/{rel}", info.type == pafs.FileType.Directory
+                        if below and isinstance(store, pafs.LocalFileSystem) and os.path.islink(info.path) \
+                                and (base + "/").startswith(os.path.realpath(info.path).rstrip("/") + "/"):
+                            continue  # a link to a directory above it
+                        full = f"{path}/{rel}" if path else rel
                         if naming:
                             if below:
-                                rows.append((f"{rid}/{rel}" if rid else rel, "", at, True))
-                        elif below and not recursive:
-                            rows.append((rid, f"{path}/{rel}" if path else rel, at, True))
+                                rows.append((f"{rid}/{rel}" if rid else rel, "", at, True, 0))
+                        elif below:
+                            rows.append((rid, full, at, True, 0))
                         elif info.type == pafs.FileType.File and fnmatch.fnmatch(info.base_name, glob):
-                            full = f"{path}/{rel}" if path else rel
                             # seen from the directory that Spark lists: a hidden repository name counts too
                             if info.size == 0 or _skipped_by_spark(f"{rid}/{full}" if repo_depth else full):
-                                rows.append((rid, full, at, False))
+                                rows.append((rid, full, at, False, info.size))
                 yield pd.DataFrame(rows, columns=columns)
         return work
 
+    frontier, parts, level = roots.select("repo_id", F.lit("").alias("path"), "uri"), [], 0
+    waiting = frontier.count()
+    while waiting:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-waiting // DIRS_PER_TASK))
+        round_ = cut_lineage(frontier.repartition(tasks, "repo_id", "uri").mapInPandas(lister(level < repo_depth), schema), f"{run}/level{level}")
+        parts.append(round_.where(~F.col("is_dir")).select("repo_id", "path", "uri", "size"))
+        frontier = round_.where(F.col("is_dir")).select("repo_id", "path", "uri")
+        waiting, level = frontier.count(), level + 1
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "repo_id string, path string, uri string, size long")
+
+
+def read_batches(files: DataFrame, batch_bytes: int = READ_BYTES) -> DataFrame:
+    """``files`` (.., uri, size) dealt out in batches of about equal bytes, whatever directories they are in.
+
+    The batch follows from the running sum of the sizes, so it is fixed by the
+    rows themselves.  A file counts some bytes for being opened.
+    """
+    weighed = files.withColumn("_weight", F.col("size") + F.lit(OPEN_BYTES)).withColumn("_at", F.concat_ws("\0", "uri", "repo_id"))
+    total = weighed.agg(F.sum("_weight")).first()[0] or 0
+    batches = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // batch_bytes))
+    run = prefix_sum(weighed, [], "_at", "_weight", "_run", inclusive=False)
+    return run.repartitionById(batches, F.floor(F.col("_run") * batches / F.lit(max(1, total))).cast("int")).drop("_weight", "_at", "_run")
+
+
+def _hidden_files(spark: SparkSession, roots: DataFrame, glob: str, repo_depth: int) -> DataFrame:
+    """Files Spark's listing skips, found and read by maps over rows."""
     def reader(it):
         import pandas as pd
 
@@ -101,11 +134,7 @@ def _hidden_files(spark: SparkSession, roots: list[tuple[str, str]], glob: str,
                     texts.append(fh.read().decode("utf-8", errors="replace"))
             yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "content": texts})
 
-    found = spark.createDataFrame([(rid, "", uri, True) for rid, uri in roots], schema)
-    for level in range(repo_depth + LIST_LEVELS + 1):
-        found = found.repartition(n, "uri").mapInPandas(lister(level < repo_depth, level == repo_depth + LIST_LEVELS), schema)
-    return (found.filter(~F.col("is_dir")).select("repo_id", "path", "uri")
-            .repartition(n, "uri").mapInPandas(reader, "repo_id string, path string, content string"))
+    return read_batches(_listed(spark, roots, glob, repo_depth)).mapInPandas(reader, "repo_id string, path string, content string")
 
 
 def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
@@ -133,20 +162,22 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
         if not root:
             return spark.createDataFrame([], "repo_id string, path string, content string" + (", file_ord bigint" if with_ord else ""))
         places = [(rid, _qualified(spark, d)) for rid, d in root.items()]
-        ids: dict[str, list[str]] = {}
-        for rid, d in places:
-            ids.setdefault(d, []).append(rid)
-        owners = F.create_map(*[x for d, r in ids.items() for x in (F.lit(d), F.array(*map(F.lit, r)))])
+        dirs = {d for _, d in places}
+        parents = lambda d: (d[:i] for i in range(len(d) - 1, 0, -1) if d[i] == "/")
+        above = {d: next((p for p in parents(d) if p in dirs), None) for d in dirs}
+        for d, up in above.items():
+            while up is not None:
+                if _skipped_by_spark(d[len(up) + 1:] + "/x"):
+                    raise ValueError("a directory inside another one, below a hidden name: scan it on its own")
+                up = above[up]
+        owners = spark.createDataFrame([(d, rid) for rid, d in places], "_base string, repo_id string")
         # one read of the outermost directories; a file belongs to every given directory above it
-        outer = [d for d in ids if not any(d.startswith(o + "/") for o in ids)]
         parts = F.split("_abs", "/")
-        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-        out = (read(outer).select("_abs", "content", F.explode(F.filter(above, lambda a: F.map_contains_key(owners, a))).alias("_base"))
-               .select(F.explode(F.element_at(owners, F.col("_base"))).alias("repo_id"),
-                       F.substring(F.col("_abs"), F.length("_base") + 2, F.length("_abs")).alias("path"), "content"))
-        if any(_skipped_by_spark(d[len(o) + 1:] + "/x") for d in ids for o in outer if d.startswith(o + "/")):
-            raise ValueError("a directory inside another one, below a hidden name: scan it on its own")
-        out = out.unionByName(_hidden_files(spark, places, glob, 0))
+        ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+        out = (read([d for d, up in above.items() if up is None]).select("_abs", "content", F.explode(ancestors).alias("_base"))
+               .join(F.broadcast(owners), "_base")  # the caller's own table of roots, from the driver's memory
+               .select("repo_id", F.substring(F.col("_abs"), F.length("_base") + 2, F.length("_abs")).alias("path"), "content"))
+        out = out.unionByName(_hidden_files(spark, owners.select("repo_id", F.col("_base").alias("uri")), glob, 0))
     else:
         base = _qualified(spark, root) + "/"
         comps = F.split(F.substring(F.col("_abs"), len(base) + 1, 1 << 30), "/")
@@ -155,9 +186,8 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
         out = read([root]).select(repo.alias("repo_id"), path.alias("path"), "content")
         if repo_depth:  # a file above the repository level belongs to none
             out = out.filter(F.col("path") != "")
-        out = out.unionByName(_hidden_files(spark, [("", base[:-1])], glob, repo_depth))
+        out = out.unionByName(_hidden_files(spark, spark.createDataFrame([("", base[:-1])], "repo_id string, uri string"), glob, repo_depth))
     if with_ord:
-        from auditlens.functions.slices import rank_two_level
         out = rank_two_level(out, ["repo_id"], [F.col("path")], out="file_ord")
     return out
 

@@ -71,3 +71,40 @@ def test_roots_with_and_without_scheme_agree(spark, tmp_path):
     assert got == sorted([(rid, n) for rid in ("one", "two", "again") for n in names]
                          + [("inner", "e/f/g/__init__.py"), ("inner", "e/f/g/h.py")])
     assert scan_source_tree(spark, {}).count() == 0
+
+
+def test_many_files_in_one_deep_directory_are_read_by_many_tasks(spark, tmp_path):
+    """2 000 hidden files of uneven size eight levels down: batches of about equal bytes."""
+    from auditlens.sources.files import _listed, read_batches
+    deep = tmp_path / "repo" / "a" / "b" / "c" / "d" / "e" / "f" / "g"
+    deep.mkdir(parents=True)
+    for i in range(2000):
+        (deep / f"_m{i:04}.py").write_text("x" * (20_000 if i % 100 == 0 else 10))
+    (deep / "up").symlink_to(tmp_path / "repo")  # a loop
+    root = spark.createDataFrame([("", f"file:{tmp_path}")], "repo_id string, uri string")
+    found = _listed(spark, root, "*.py", 1)
+    assert found.count() == 2000
+    sizes = [r.b for r in read_batches(found).groupBy(F.spark_partition_id()).agg(F.sum(F.col("size") + 4096).alias("b")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1.2 * sum(sizes) / len(sizes)
+    got = scan_source_tree(spark, str(tmp_path))
+    assert got.where("repo_id = 'repo' AND path LIKE 'a/b/c/d/e/f/g/_m%'").count() == 2000
+
+
+def test_thousands_of_given_roots(spark, tmp_path):
+    """A join finds the roots of a file; nested roots own it as well."""
+    roots = {}
+    for i in range(1200):
+        d = tmp_path / f"g{i % 30}" / f"r{i}"
+        d.mkdir(parents=True)
+        (d / "m.py").write_text(f"x = {i}")
+        if i % 100 == 0:
+            (d / "__init__.py").write_text("")
+        roots[f"repo{i}"] = str(d)
+    roots["outer"] = str(tmp_path / "g0")
+    out = scan_source_tree(spark, roots)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_contains_key" not in plan and "repo1199" not in plan.split("LocalRelation")[0]
+    got = sorted((r.repo_id, r.path, r.content) for r in out.collect())
+    want = [(f"repo{i}", "m.py", f"x = {i}") for i in range(1200)] + [(f"repo{i}", "__init__.py", "") for i in range(0, 1200, 100)]
+    want += [("outer", f"r{i}/m.py", f"x = {i}") for i in range(0, 1200, 30)] + [("outer", f"r{i}/__init__.py", "") for i in range(0, 1200, 300)]
+    assert got == sorted(want)

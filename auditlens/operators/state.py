@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from auditlens.functions.plan import cut_lineage
 from auditlens.operators.responses import JS_WS
 
+NOT_STARTED = "not_started"
+
+
+def recorded(state: DataFrame) -> DataFrame:
+    """The entries of files that a scan has begun with; 'not_started' says the same as no entry."""
+    return state.filter(F.col("status") != NOT_STARTED)
+
+
 def pending_files(files: DataFrame, state: DataFrame, keys=("repo_id", "path")) -> DataFrame:
     """Files still to analyse: the list minus completed entries (anti-join)."""
     done = state.filter(F.col("status") == "complete").select(*keys)
@@ -24,7 +32,7 @@ def mark_complete(state: DataFrame, updates: DataFrame, keys=("repo_id", "path")
     unreadable simply carry status 'pending'.  With ``name`` the new state is
     written to a version folder of its own below ``name`` in the shared
     checkpoint folder; the version it was read from is never touched."""
-    both = state.select(*keys, "status", "updated_at").unionByName(updates.select(*keys, "status", "updated_at"))
+    both = recorded(state).select(*keys, "status", "updated_at").unionByName(updates.select(*keys, "status", "updated_at"))
     rank = F.when(F.col("status") == "complete", F.lit(1)).otherwise(F.lit(0))
     out = (both.groupBy(*keys)
            .agg(F.max_by(F.struct("status", "updated_at"), F.struct("updated_at", rank.alias("r"))).alias("_w"))
@@ -34,15 +42,15 @@ def mark_complete(state: DataFrame, updates: DataFrame, keys=("repo_id", "path")
 
 def progress_summary(state: DataFrame, repos: DataFrame | None = None, by=("repo_id",)) -> DataFrame:
     """not_started / in_progress / complete, totals and percent (1 decimal, half up)."""
-    agg = state.groupBy(*by).agg(F.count(F.lit(1)).alias("total_files"),
-                                 F.count_if(F.col("status") == "complete").alias("completed_files"),
-                                 F.count_if(F.col("status") != "complete").alias("pending_files"))
+    agg = recorded(state).groupBy(*by).agg(F.count(F.lit(1)).alias("total_files"),
+                                           F.count_if(F.col("status") == "complete").alias("completed_files"),
+                                           F.count_if(F.col("status") != "complete").alias("pending_files"))
     if repos is not None:
         agg = repos.select(*by).distinct().join(agg, list(by), "left")
     tot = F.coalesce("total_files", F.lit(0))
     pct = F.when(tot > 0, F.expr("(completed_files * 2000 + total_files) div (2 * total_files)").cast("double") / 10.0) \
         .otherwise(F.lit(0.0))
-    status = (F.when(F.col("total_files").isNull(), F.lit("not_started"))
+    status = (F.when(F.col("total_files").isNull(), F.lit(NOT_STARTED))
               .when(F.col("pending_files") > 0, F.lit("in_progress")).otherwise(F.lit("complete")))
     return agg.select(*by, status.alias("status"), tot.cast("bigint").alias("total_files"),
                       F.coalesce("completed_files", F.lit(0)).cast("bigint").alias("completed_files"),
@@ -52,7 +60,7 @@ def progress_summary(state: DataFrame, repos: DataFrame | None = None, by=("repo
 
 def resumable_scans(state: DataFrame, by=("repo_id",)) -> DataFrame:
     """Scans with at least one pending file."""
-    return (state.groupBy(*by).agg(F.count_if(F.col("status") != "complete").alias("pending"))
+    return (recorded(state).groupBy(*by).agg(F.count_if(F.col("status") != "complete").alias("pending"))
             .filter(F.col("pending") > 0))
 
 

@@ -205,7 +205,7 @@ def q_sink_rule_scores(spark, sf):
     return sink_rule_scores(fixture(spark, sf, "fx_files"))
 
 
-from auditlens.plans import catalog_findings, catalog_ledger, catalog_symbols, catalog_prompts, catalog_state, catalog_reports, catalog_scoring, catalog_streams  # noqa: E402,F401  (register more queries)
+from auditlens.plans import catalog_findings, catalog_ledger, catalog_symbols, catalog_prompts, catalog_state, catalog_reports, catalog_documents, catalog_scoring, catalog_streams  # noqa: E402,F401  (register more queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -119,12 +119,12 @@ def q_csv(spark, sf):
     return csv_report(_findings(spark, sf))
 
 
-@register("sign_payloads", _CSV_SQL + f"""SELECT repo_id, ord, text AS payload,
-  'sha256=' || sha256(unhex('{{opad}}') || unhex(sha256(unhex('{{ipad}}') || encode(text)))) AS signature FROM rows WHERE part = 1""")
+@register("sign_payloads", _CSV_SQL + f"""SELECT repo_id, part, ord, text AS payload,
+  'sha256=' || sha256(unhex('{{opad}}') || unhex(sha256(unhex('{{ipad}}') || encode(text)))) AS signature FROM rows""")
 def q_sign(spark, sf):
     from auditlens.operators.delivery import sign_payloads
     from auditlens.operators.reports import csv_report
-    rows = csv_report(_findings(spark, sf)).filter("part = 1").select("repo_id", "ord", F.col("text").alias("payload"))
+    rows = csv_report(_findings(spark, sf)).select("repo_id", "part", "ord", F.col("text").alias("payload"))
     return sign_payloads(rows, SECRET)
 
 
@@ -200,7 +200,7 @@ def q_issue_rows(spark, sf):
 
 @register("dedupe_issues", with_fixtures("fx_findings", "fx_issues") + f""",
 t AS (SELECT finding_ord, repo_id, severity, '[audit] ' || vuln_type || ' vulnerability in ' || file_path AS title FROM fx_findings),
-d AS (SELECT t.*, {O.sev_rank_case('t.severity')} < 1 AS below, EXISTS (SELECT 1 FROM fx_issues i WHERE i.title = t.title) AS ex FROM t),
+d AS (SELECT t.*, {O.sev_rank_case('t.severity')} < 1 AS below, EXISTS (SELECT 1 FROM fx_issues i WHERE i.title = t.title AND i.state <> 'none') AS ex FROM t),
 r AS (SELECT *, CASE WHEN NOT below THEN row_number() OVER (PARTITION BY repo_id, title, below ORDER BY finding_ord) END AS fst FROM d)
 SELECT finding_ord, title,
   CASE WHEN below THEN 'skipped' WHEN ex OR fst > 1 THEN 'duplicate' ELSE 'to_create' END AS disposition,
@@ -285,21 +285,6 @@ def q_notify_json(spark, sf):
                        g("$.confidence").alias("confidence"), g("$.file_path").alias("file_path"), g("$.cwe").alias("cwe"))
 
 
-@register("write_all_reports", None)
-def q_write_all(spark, sf):
-    """Writes every sink for the run, then reads the written lines back."""
-    from auditlens.operators.reports import write_all_reports
-    from auditlens.session import checkpoint_dir
-    from auditlens.operators.reports import _norm
-    out = f"{checkpoint_dir(spark).rstrip('/')}/reports"
-    paths = write_all_reports(_norm(_findings(spark, sf)), _all_files(spark, sf), out, RUN_TS, calls=_costs(spark, sf))
-    parts = [spark.read.text(p).select(F.lit(name).alias("format"), F.col("value").alias("line")) for name, p in paths.items()]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("format").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
 def _pads():
     import hashlib
     key = SECRET.encode()

@@ -21,7 +21,7 @@ def _state(spark, sf):
 
 
 KEYS = ("repo_id", "doc_id")
-FS = with_fixtures("fx_files", "fx_completed")
+FS = with_fixtures("fx_files", "fx_completed").rstrip() + ",\nrec AS (SELECT * FROM fx_completed WHERE status <> 'not_started')\n"
 
 
 @register("pending_files", FS + """
@@ -36,7 +36,7 @@ def q_pending(spark, sf):
 # files of the same runs that do not pass (skipped) are re-recorded pending.
 @register("mark_complete", FS + f""",
 u AS (SELECT repo_id, doc_id, CASE WHEN {O.network_sql('content')} THEN 'complete' ELSE 'pending' END AS status FROM fx_files),
-a AS (SELECT repo_id, doc_id, status, TIMESTAMP '{T0}' AS updated_at FROM fx_completed
+a AS (SELECT repo_id, doc_id, status, TIMESTAMP '{T0}' AS updated_at FROM rec
       UNION ALL SELECT repo_id, doc_id, status, TIMESTAMP '{T1}' FROM u),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, doc_id ORDER BY updated_at DESC, CASE WHEN status = 'complete' THEN 1 ELSE 0 END DESC) AS rk FROM a)
 SELECT repo_id, doc_id, status, updated_at FROM r WHERE rk = 1""")
@@ -51,7 +51,7 @@ def q_mark(spark, sf):
 
 @register("progress_summary", FS + """,
 a AS (SELECT repo_id, count(*) AS total_files, count(*) FILTER (WHERE status = 'complete') AS completed_files,
-             count(*) FILTER (WHERE status <> 'complete') AS pending_files FROM fx_completed GROUP BY repo_id),
+             count(*) FILTER (WHERE status <> 'complete') AS pending_files FROM rec GROUP BY repo_id),
 r AS (SELECT DISTINCT repo_id FROM fx_files)
 SELECT r.repo_id, CASE WHEN a.total_files IS NULL THEN 'not_started' WHEN a.pending_files > 0 THEN 'in_progress' ELSE 'complete' END AS status,
   CAST(coalesce(a.total_files, 0) AS BIGINT) AS total_files, CAST(coalesce(a.completed_files, 0) AS BIGINT) AS completed_files,
@@ -63,8 +63,8 @@ def q_progress(spark, sf):
     return progress_summary(_state(spark, sf), _files(spark, sf))
 
 
-@register("resumable_scans", with_fixtures("fx_completed") + """
-SELECT repo_id, count(*) FILTER (WHERE status <> 'complete') AS pending FROM fx_completed GROUP BY repo_id HAVING pending > 0""")
+@register("resumable_scans", FS + """
+SELECT repo_id, count(*) FILTER (WHERE status <> 'complete') AS pending FROM rec GROUP BY repo_id HAVING pending > 0""")
 def q_resumable(spark, sf):
     from auditlens.operators.state import resumable_scans
     return resumable_scans(_state(spark, sf))

@@ -101,8 +101,8 @@ SELECT o_orderkey AS finding_ord, 'r' || CAST(o_custkey % 20 AS STRING) AS repo_
   CASE WHEN o_orderkey % 6 = 0 THEN 'ctx' || chr(10) || 'line' ELSE '' END AS context_code, o_orderdate AS discovered_at FROM orders
 """,
     "fx_issues": """
-SELECT DISTINCT '[audit] ' || (CASE CAST(floor(o_custkey / 20) AS BIGINT) % 8 WHEN 0 THEN 'LFI' WHEN 1 THEN 'RCE' WHEN 2 THEN 'SSRF' ELSE 'AFO' END) || ' vulnerability in src/c' || CAST(o_custkey AS STRING) || '.py' AS title,
-  CASE WHEN o_custkey % 2 = 0 THEN 'open' ELSE 'closed' END AS state FROM orders WHERE o_custkey % 3 = 0 AND CAST(floor(o_custkey / 20) AS BIGINT) % 8 < 4
+SELECT DISTINCT '[audit] ' || (CASE CAST(floor(o_custkey / 20) AS BIGINT) % 8 WHEN 0 THEN 'LFI' WHEN 1 THEN 'RCE' WHEN 2 THEN 'SSRF' WHEN 3 THEN 'AFO' WHEN 4 THEN 'SQLI' WHEN 5 THEN 'XSS' WHEN 6 THEN 'IDOR' ELSE 'OTHER' END) || ' vulnerability in src/c' || CAST(o_custkey AS STRING) || '.py' AS title,
+  CASE o_custkey % 6 WHEN 0 THEN 'open' WHEN 3 THEN 'closed' ELSE 'none' END AS state FROM orders
 """,
     "fx_trace": """
 WITH t AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS round FROM lineitem)
@@ -119,7 +119,7 @@ SELECT doc_id, 'repo' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS r
   CASE doc_id % 8 WHEN 1 THEN chr(10) || '```' WHEN 2 THEN ' done.' ELSE '' END AS raw FROM documents
 """,
     "fx_completed": """
-SELECT doc_id, 'repo' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS repo_id, CASE WHEN doc_id % 3 = 0 OR floor(doc_id / 50) = 1 THEN 'complete' ELSE 'pending' END AS status FROM documents WHERE doc_id >= 50
+SELECT doc_id, 'repo' || CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING) AS repo_id, CASE WHEN doc_id < 50 THEN 'not_started' WHEN doc_id % 3 = 0 OR floor(doc_id / 50) = 1 THEN 'complete' ELSE 'pending' END AS status FROM documents
 """,
     "fx_options": """
 SELECT n_name AS repo_id, CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS in_budget, CASE WHEN n_nationkey % 4 = 0 THEN 8 END AS in_min_confidence,

@@ -1,25 +1,12 @@
-"""Plan helpers: size-checked broadcast and lineage cuts."""
+"""Plan helpers: lineage cuts."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from auditlens.session import checkpoint_dir
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
-
-    The side is persisted first, so the counting job's work is reused by the
-    join (no second evaluation).  Beyond the bound the join falls back to a
-    shuffle join (AQE may still pick a broadcast from measured sizes).
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

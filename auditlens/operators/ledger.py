@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlens.functions import dims
-from auditlens.functions.plan import broadcast_if_small
 from auditlens.functions.slices import prefix_sum
 from auditlens.functions.text import nano_round4, nano_to_usd
 
-MAX_MODELS = 100_000  # distinct model names are a dimension; bound before broadcast
 
 
 def pricing_key(model: Column) -> Column:
@@ -86,22 +84,17 @@ def price_expr(key: Column) -> Column:
     return out
 
 
-def _bounded_broadcast(df: DataFrame, limit: int = MAX_MODELS) -> DataFrame:
-    """Broadcast only when the row count is proven under ``limit``."""
-    return broadcast_if_small(df, limit)
-
-
 def call_costs(calls: DataFrame, model_col: str = "model", prices: DataFrame | None = None) -> DataFrame:
     """Add ``key`` (pricing name), prices and exact ``cost_nano`` per call.
 
     With the fixed price list the price is the ``price_expr`` projection
     (map-only); a user price table (``prices``: key, in_nano, out_nano, e.g.
-    from ``resolve_pricing`` over another list) is joined instead, broadcast
-    behind a row-count check.
+    from ``resolve_pricing`` over another list) is joined instead, by the plan
+    that its size calls for.
     """
     c = calls.withColumn("key", pricing_key(F.col(model_col)))
     if prices is not None:
-        return (c.join(_bounded_broadcast(prices.select("key", "in_nano", "out_nano")), "key", "left")
+        return (c.join(prices.select("key", "in_nano", "out_nano"), "key", "left")
                 .withColumn("cost_nano", F.col("input_tokens") * F.col("in_nano") + F.col("output_tokens") * F.col("out_nano")))
     p = price_expr(F.col("key"))
     return (c.withColumn("in_nano", p["in_nano"]).withColumn("out_nano", p["out_nano"])

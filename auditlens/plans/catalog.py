@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from auditlens.functions import dims
 from auditlens.plans import oracle as O
+from auditlens.sources.files import SHORT_RE, URL_RE
 from auditlens.sources.tables import fixture, table, with_fixtures
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -83,7 +84,7 @@ def q_explode_lines(spark, sf):
 
 
 @register("pick_readme", with_fixtures("fx_files") + """,
-cand AS (SELECT * FROM (VALUES ('README.md', 0), ('readme.md', 1), ('README.rst', 2), ('README.txt', 3), ('README', 4)) AS c(name, prio)),
+cand AS (SELECT * FROM (VALUES """ + ", ".join(f"({O.q(n)}, {i})" for i, n in enumerate(dims.README_CANDIDATES)) + """) AS c(name, prio)),
 best AS (SELECT repo_id, arg_min(path, prio) AS p, arg_min(length(content), prio) AS n
          FROM fx_files JOIN cand ON path = name GROUP BY repo_id)
 SELECT r.repo_id, coalesce(b.p, 'none') AS readme_path, b.p IS NOT NULL AS found, CAST(coalesce(b.n, 0) AS BIGINT) AS readme_chars
@@ -95,8 +96,7 @@ def q_pick_readme(spark, sf):
     return r.select("repo_id", "readme_path", "found", F.length("content").cast("bigint").alias("readme_chars"))
 
 
-_URL = r"(?:https?://)?github\.com/([^/]+)/([^/.]+)(?:\.git)?"
-_SHORT = r"^([^/]+)/([^/]+)$"
+_URL, _SHORT = URL_RE, SHORT_RE.replace("\\z", "$")  # RE2's $ is the end of the text
 
 
 @register("repo_ref_rollup", with_fixtures("fx_refs") + f""",

@@ -86,16 +86,12 @@ def q_md(spark, sf):
     return markdown_section(_findings(spark, sf))
 
 
-_HTML = f"""'<div class="finding ' || lower(severity) || '">' || chr(10) || '<div class="finding-header"><span class="finding-num">#' || pos ||
-  '</span> <span class="badge ' || lower(severity) || '">' || severity || '</span> <span class="finding-title">' || {_ESC('vuln_type')} || ' — ' ||
-  {_ESC('file_path')} || CASE WHEN start_line > 0 THEN ' (L' || start_line || ')' ELSE '' END || '</span> <span class="confidence">Confidence: ' ||
-  confidence || '/10</span></div>' || chr(10) || '<div class="finding-body"><div class="meta"><a href="' || {_URL} || '">' || {_ESC('cwe')} ||
-  CASE WHEN coalesce(cwe_name, '') <> '' THEN ' — ' || {_ESC('cwe_name')} ELSE '' END || '</a>' ||
-  CASE WHEN discovered_at IS NOT NULL THEN ' <span class="timestamp">' || {_ESC(_TS)} || '</span>' ELSE '' END ||
-  '</div>' || chr(10) || '<div class="analysis"><h4>Analysis</h4><p>' || {_ESC('analysis')} || '</p></div>' ||
-  CASE WHEN coalesce(poc, '') <> '' THEN chr(10) || '<div class="poc"><h4>Proof of Concept</h4><pre><code>' || {_ESC('poc')} || '</code></pre></div>' ELSE '' END ||
-  CASE WHEN context_code <> '' THEN chr(10) || '<details class="context"><summary>Context Code</summary><pre><code>' || {_ESC('context_code')} || '</code></pre></details>' ELSE '' END ||
-  chr(10) || '</div>' || chr(10) || '</div>'"""
+_HTML = f"""'<section data-severity="' || lower(severity) || '">' || chr(10) || '<h3>' || pos || '. ' || {_ESC('vuln_type')} || ': <code>' || {_ESC('file_path')} || '</code>' ||
+  CASE WHEN start_line > 0 THEN ', line ' || start_line ELSE '' END || '</h3>' || chr(10) || '<ul><li>Severity: ' || severity || '</li><li>Confidence: ' || confidence || '/10</li><li><a href="' ||
+  {_URL} || '">' || {_ESC('cwe')} || '</a>' || CASE WHEN coalesce(cwe_name, '') <> '' THEN ' ' || {_ESC('cwe_name')} ELSE '' END || '</li>' ||
+  CASE WHEN discovered_at IS NOT NULL THEN '<li><time>' || {_ESC(_TS)} || '</time></li>' ELSE '' END || '</ul>' || chr(10) || '<h4>Analysis</h4>' || chr(10) || '<p>' || {_ESC('analysis')} || '</p>' ||
+  CASE WHEN coalesce(poc, '') <> '' THEN chr(10) || '<h4>Proof of Concept</h4>' || chr(10) || '<pre>' || {_ESC('poc')} || '</pre>' ELSE '' END ||
+  CASE WHEN context_code <> '' THEN chr(10) || '<details><summary>Context Code</summary><pre>' || {_ESC('context_code')} || '</pre></details>' ELSE '' END || chr(10) || '</section>'"""
 
 
 @register("html_report", FR + f"SELECT repo_id, pos, finding_ord, {_HTML} AS text FROM fr")

@@ -276,16 +276,16 @@ def pick_readme(all_files: DataFrame) -> DataFrame:
 
 # Repository reference forms (fixed): URL containing github.com/<owner>/<repo>
 # (repo stops at '/' or '.'), or a bare "<owner>/<repo>".
-_URL_RE = r"(?:https?://)?github\.com/([^/]+)/([^/.]+)(?:\.git)?"
-_SHORT_RE = r"^([^/]+)/([^/]+)\z"
+URL_RE = r"(?:https?://)?github\.com/([^/]+)/([^/.]+)(?:\.git)?"
+SHORT_RE = r"^([^/]+)/([^/]+)\z"
 
 
 def parse_repo_ref(ref) -> tuple:
     """Column expressions (owner, repo, clone_url); null when not a reference."""
-    u_owner = F.nullif(F.regexp_extract(ref, _URL_RE, 1), F.lit(""))
-    u_repo = F.regexp_extract(ref, _URL_RE, 2)
-    s_owner = F.nullif(F.regexp_extract(ref, _SHORT_RE, 1), F.lit(""))
-    s_repo = F.regexp_extract(ref, _SHORT_RE, 2)
+    u_owner = F.nullif(F.regexp_extract(ref, URL_RE, 1), F.lit(""))
+    u_repo = F.regexp_extract(ref, URL_RE, 2)
+    s_owner = F.nullif(F.regexp_extract(ref, SHORT_RE, 1), F.lit(""))
+    s_repo = F.regexp_extract(ref, SHORT_RE, 2)
     owner = F.coalesce(u_owner, s_owner)
     repo = F.when(u_owner.isNotNull(), u_repo).when(s_owner.isNotNull(), s_repo)
     url = F.when(owner.isNotNull(), F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo, F.lit(".git")))

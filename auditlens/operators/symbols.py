@@ -190,54 +190,55 @@ def _unit_kind(base: Column) -> Column:
                   F.when(base.rlike(_UNITS["identifier"][0]), F.lit("identifier")))
 
 
-def reference_index(files: DataFrame, kind: str = "identifier") -> DataFrame:
-    """(repo_id, unit, _o): distinct units of each repository with the first file they stand in.
+def reference_index(files: DataFrame, kind: str = "identifier", least: int = 1) -> DataFrame:
+    """(repo_id, unit, _o): distinct units, of ``least`` characters and more, of each repository with the first file they stand in.
 
     Units are made distinct inside each file before they are exploded, and
     aggregated in part before the shuffle, so what moves is vocabulary, not text.
     """
     units = F.array_distinct(_UNITS[kind][1](F.col("content")))
     return (files.select("repo_id", F.col(_order_col(files)).alias("_o"), F.explode(units).alias("unit"))
-            .groupBy("repo_id", "unit").agg(F.min("_o").alias("_o")))
+            .where(F.length("unit") >= least).groupBy("repo_id", "unit").agg(F.min("_o").alias("_o")))
 
 
 def _first_references(names: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, base, _o): first file that holds each wanted (repo_id, base) on one of its lines."""
-    wanted = _written(names.select("repo_id", "base", _unit_kind(F.col("base")).alias("kind"),
-                                   F.least(F.lit(GRAM), F.length("base")).alias("size")), "names")
+    wanted = names.select("repo_id", "base", F.coalesce(_unit_kind(F.col("base")), F.when(F.col("base") == "", F.lit("empty"))).alias("kind"),
+                          F.least(F.lit(GRAM), F.length("base")).alias("size"))
     ordc = _order_col(files)
-    # an empty name is found at once
-    found = [wanted.where("base = ''").join(files.where("content is not null").groupBy("repo_id").agg(F.min(ordc).alias("_o")), "repo_id")
-             .select("repo_id", "base", "_o")]
-    # at most 3 kinds x 3 sizes
-    shapes = wanted.where("kind is not null").select("kind", "size").distinct().collect()
-    for kind in sorted({r["kind"] for r in shapes}):
-        index = _written(reference_index(files, kind), f"index-{kind}")
-        for size in sorted(r["size"] for r in shapes if r["kind"] == kind):
-            mine = wanted.where((F.col("kind") == kind) & (F.col("size") == size)).select("repo_id", "base")
-            units = index.select("repo_id", "unit", "_o", F.explode(grams(F.col("unit"), size)).alias("gram"))
-            if size < GRAM:  # the name is its own gram
-                probe = mine.withColumn("gram", F.col("base"))
-            else:
-                parts = mine.select("repo_id", "base", F.explode(grams(F.col("base"), size)).alias("gram"))
-                seen = units.join(parts.select("repo_id", "gram").distinct(), ["repo_id", "gram"]).groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-                # the rarest gram; a name with a gram that no unit has meets nothing
-                probe = (parts.join(seen, ["repo_id", "gram"], "left").groupBy("repo_id", "base")
-                         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_g"))
-                         .where("_g.n > 0").select("repo_id", "base", F.col("_g.gram").alias("gram")))
-            found.append(units.join(probe, ["repo_id", "gram"]).where(F.col("unit").contains(F.col("base")))
-                         .groupBy("repo_id", "base").agg(F.min("_o").alias("_o")))
+    found = [files.select("repo_id", F.lit("").alias("base"), F.col(ordc).alias("_o")).where(F.lit(False))]
+    # at most 3 kinds x 3 sizes, and the empty name, which is found at once
+    shapes = wanted.where("kind is not null").groupBy("kind", "size").agg(F.min(F.length("base")).alias("least")).collect()
+    if any(r["kind"] == "empty" for r in shapes):
+        found.append(wanted.where("kind = 'empty'").join(files.where("content is not null").groupBy("repo_id").agg(F.min(ordc).alias("_o")), "repo_id")
+                     .select("repo_id", "base", "_o"))
+    for kind in sorted({r["kind"] for r in shapes} - {"empty"}):
+        sizes = sorted(r["size"] for r in shapes if r["kind"] == kind)
+        least = min(r["least"] for r in shapes if r["kind"] == kind)
+        mine = wanted.where(F.col("kind") == kind)
+        # a name shorter than a gram is its own gram
+        parts = mine.select("repo_id", "base", F.explode(F.when(F.col("size") < GRAM, F.array("base")).otherwise(grams(F.col("base"), GRAM))).alias("gram"))
+        # postings of the wanted grams alone: one pass over the files, and one over the vocabulary
+        postings = _written(reference_index(files, kind, least).select("repo_id", "unit", "_o", F.explode(F.concat(*[grams(F.col("unit"), n) for n in sizes])).alias("gram"))
+                            .join(parts.select("repo_id", "gram").distinct(), ["repo_id", "gram"]), f"postings-{kind}")
+        seen = postings.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+        # the rarest gram; a name with a gram that no unit has meets nothing
+        probe = (parts.join(seen, ["repo_id", "gram"], "left").groupBy("repo_id", "base")
+                 .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_g"))
+                 .where("_g.n > 0").select("repo_id", "base", F.col("_g.gram").alias("gram")))
+        found.append(postings.join(probe, ["repo_id", "gram"]).where(F.col("unit").contains(F.col("base")))
+                     .groupBy("repo_id", "base").agg(F.min("_o").alias("_o")))
     return reduce(DataFrame.unionByName, found)
 
 
 def _sources(files: DataFrame, wanted: DataFrame, ordc: str, before: int = REF_BEFORE, after: int = REF_AFTER, cap: int = BLOCK_CAP) -> DataFrame:
     """Text around each distinct answer: repo_id, _o, path, how, base, at (line of a definition, else 0), line_no, source.
 
-    ``wanted`` (repo_id, _o, how, line_no, base) is narrow and written once.
+    ``wanted`` (repo_id, _o, how, line_no, base) is narrow.
     The answers of a file travel as an array (in chunks where one file has
     very many), so its text is split once a chunk.
     """
-    narrow = _written(wanted.select("repo_id", "_o", "how", F.coalesce("line_no", F.lit(0)).cast("bigint").alias("at"), "base").distinct(), "wanted")
+    narrow = wanted.select("repo_id", "_o", "how", F.coalesce("line_no", F.lit(0)).cast("bigint").alias("at"), "base").distinct()
     chunks = narrow.groupBy("repo_id", "_o").agg(F.count(F.lit(1)).alias("n"))
     grouped = _written(narrow.join(chunks, ["repo_id", "_o"])
                        .withColumn("chunk", F.pmod(F.xxhash64("how", "at", "base"), F.ceil(F.col("n") / ANSWERS_PER_SPLIT)))
@@ -269,7 +270,7 @@ def _sources(files: DataFrame, wanted: DataFrame, ordc: str, before: int = REF_B
 
 def _reference_winners(requests: DataFrame, files: DataFrame) -> DataFrame:
     """(request_id, repo_id, _o, how, line_no, base) for every request whose last part stands on some line."""
-    req = request_parts(requests).select("request_id", "repo_id", F.element_at("_parts", -1).alias("base"))
+    req = _written(request_parts(requests).select("request_id", "repo_id", F.element_at("_parts", -1).alias("base")), "requests")
     # one search per distinct (repo, name): requests repeating a name share it
     best = _first_references(req.where("base is not null").select("repo_id", "base").distinct(), files)
     return req.join(best, ["repo_id", "base"]).select("request_id", "repo_id", "_o", F.lit("reference").alias("how"),

@@ -3,18 +3,26 @@
 Documents that share a hub (for the registered query: an equal text) should
 share a shard, while every shard holds the same number of rows, to one.  Links
 are kept as (document, hub) rows, so a group of n copies is n rows, not n*n/2
-edges.  Whole groups are placed first, by best fit decreasing on the histogram
-of their sizes; other rows and groups that fit nowhere fill the room that is
-left.  In each round hubs count their members' shards, each linked document
-asks for the shard with most of its neighbours (a hash of hub and shard breaks
-ties, so that members agree), and moves are granted in balance: round cycles
-of shards, and for the rest against unlinked documents.  The row counts never
-change: the law ``rows`` holds at every step.
-
-The driver sees the histogram and at most shards * shards counts per round.
-Moves are picked by two-level numbers, so no window holds a whole shard.  Only
-a hub with more members than a shard has rows is split, into whole shards and
-a rest.
+edges.
+
+Labels start neutral: rows are dealt evenly by a hash.  In each round hubs count
+their members' shards, each linked document asks for the shard with most of its
+neighbours (a hash of hub and shard breaks ties, so that members agree), and
+moves are granted in balance: pairs and cycles of shards swap, and what is left
+swaps with unlinked documents.  Row counts never change, so the law ``rows`` holds
+at every step; rounds end when nothing is granted or after ``rounds``.
+
+The rounds leave some groups cut, where quotas were short or a group needs more
+room than its neighbours leave.  A repair by falling size lets every group stay
+at its label while there is room, and moves the others to the best-fitting shard;
+groups that fit nowhere whole fill the gaps.
+
+The driver sees at most shards * shards counts a round, and at the end the numbers
+of groups by size and label.  Moves are picked by two-level numbers, so no window
+holds a whole shard.  Only a hub with more members than a shard has rows is
+split, into whole shards and a rest.  Joins by hub broadcast the hubs with more
+than one in ``HOT_PARTS`` of all links, of which there are fewer than that, and deal
+out the rest.
 """
 
 from __future__ import annotations
@@ -24,6 +32,9 @@ from pyspark.sql import functions as F
 
 from auditlens.llm.common import drop, number_rows, slices_for, written
 
+#: A hub is hot with more than this part of all links.
+HOT_PARTS = 1000
+
 
 def _cycle(edges) -> list[tuple[int, int]]:
     """The edges of one cycle; none if there is no cycle."""
@@ -45,17 +56,30 @@ def _cycle(edges) -> list[tuple[int, int]]:
     return next((found for i in sorted(after) if i not in done and (found := walk([i]))), [])
 
 
-def _plan(histogram: dict[int, int], room: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """Best fit decreasing of groups into shards: ((size, first rank, rank after the last, shard) runs, room left)."""
+def _repair(groups: dict[tuple[int, int], int], room: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[int]]:
+    """Shards of groups, from their numbers by (size, label): ((size, label, first rank, rank after the last, shard) runs, room left).
+
+    By falling size, groups stay at their label while there is room; the others
+    go to the fullest shard that takes them.
+    """
     runs, room = [], list(room)
-    for size, n in sorted(histogram.items(), reverse=True):
-        at = 0
-        for shard in sorted(range(len(room)), key=lambda x: (room[x], x)):
-            k = min(n - at, room[shard] // size)
+    for size in sorted({k[0] for k in groups}, reverse=True):
+        over = {}
+        for label in range(len(room)):
+            n = groups.get((size, label), 0)
+            k = min(n, room[label] // size)
             if k:
-                runs.append((size, at, at + k, shard))
-                room[shard] -= k * size
-                at += k
+                runs.append((size, label, 0, k, label))
+                room[label] -= k * size
+            if n > k:
+                over[label] = (k, n)
+        for label, (at, n) in over.items():
+            for shard in sorted(range(len(room)), key=lambda x: (room[x], x)):
+                k = min(n - at, room[shard] // size)
+                if k:
+                    runs.append((size, label, at, at + k, shard))
+                    room[shard] -= k * size
+                    at += k
     return runs, room
 
 
@@ -81,67 +105,124 @@ def _grants(wants: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[di
     return {k: v for k, v in linked.items() if v}, back
 
 
-def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6, name: str = "shards") -> DataFrame:
-    """(node, shard): even shards (row counts at most one apart) with few hub members apart.
-
-    ``nodes`` has a unique ``node``; ``links`` has (node, hub) rows, any number
-    per node.  Deterministic for given nodes and links.
-    """
-    spark = nodes.sparkSession
-    n = nodes.count()
-    slices = slices_for(n)
-    most = max(1, -(-n // n_shards))
-    sizes = links.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1")
-    sized = links.join(sizes, "hub").select("node", "hub", "members")
-    whole = sized.where(F.col("members") <= most).select("node", "hub", F.lit(0).cast("bigint").alias("part"))
-    cut = (number_rows(sized.where(F.col("members") > most).select("node", "hub"), ["hub"], F.col("node"), slices, "row")
-           .select("node", "hub", F.expr(f"row div {most}").alias("part")))
-    links = written(whole.unionByName(cut), name)
-    # a node's first hub places it
-    home = written(links.groupBy("node").agg(F.min(F.struct(F.xxhash64("hub", "part").alias("h"), "hub", "part")).alias("x"))
-                   .select("node", "x.hub", "x.part"), name)
-    groups = written(home.groupBy("hub", "part").agg(F.count("*").alias("size")), name)
-    histogram = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    runs, room = _plan(histogram, [n // n_shards + (i < n % n_shards) for i in range(n_shards)])
-    runs = spark.createDataFrame(runs, "size long, lo long, hi long, shard int")
+def _by_hub(rows: DataFrame, hubs: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (hub, part, hot, ..) with rows of ``hubs`` (hub, part, hot, ..): hot hubs are broadcast."""
+    few = F.broadcast(hubs.where("hot").drop("hot"))  # fewer than HOT_PARTS hubs, their parts and shards
+    return (rows.where("hot").join(few, ["hub", "part"], how)
+            .unionByName(rows.where("NOT hot").join(hubs.where("NOT hot").drop("hot"), ["hub", "part"], how)))
+
+
+def _parted(links: DataFrame, most: int, slices: int) -> DataFrame:
+    """(node, hub, part, hot) of the links of hubs with two members or more; a hub above ``most`` members is cut into parts."""
+    sizes = written(links.groupBy("hub").agg(F.count("*").alias("members")).where("members > 1"), "hubs")
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    few = F.broadcast(sizes.where(F.col("members") * HOT_PARTS > total))  # fewer than HOT_PARTS rows
+    hot = links.join(few, "hub").withColumn("hot", F.lit(True))
+    cold = (links.join(few, "hub", "left_anti").join(sizes.where(F.col("members") * HOT_PARTS <= total), "hub").withColumn("hot", F.lit(False)))
+    sized = hot.unionByName(cold).select("node", "hub", "members", "hot")
+    whole = sized.where(F.col("members") <= most).select("node", "hub", F.lit(0).cast("bigint").alias("part"), "hot")
+    cut = (number_rows(sized.where(F.col("members") > most).select("node", "hub", "hot"), ["hub"], F.col("node"), slices, "row")
+           .select("node", "hub", F.expr(f"row div {most}").alias("part"), "hot"))
+    out = written(whole.unionByName(cut), "links")
+    drop(sizes)
+    return out
+
+
+def cut_links(links: DataFrame, state: DataFrame) -> int:
+    """Links (of parted hubs) whose node is not in the shard where most of the hub's members are."""
+    votes = links.join(state.select("node", "shard"), "node").groupBy("hub", "part", "shard").agg(F.count("*").alias("n"))
+    per_hub = votes.groupBy("hub", "part").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    return per_hub.agg(F.sum(F.col("all") - F.col("most"))).first()[0] or 0
+
+
+def _round(state: DataFrame, links: DataFrame, slices: int, name: str) -> DataFrame | None:
+    """State after one round of asking and granting; None if nothing was granted."""
+    spark = state.sparkSession
+    own = links.join(state.select("node", "shard"), "node")
+    votes = (own.groupBy("hub", "part", "hot", "shard").agg(F.count("*").alias("votes"))
+             .withColumn("tie", F.xxhash64("hub", "part", "shard")))
+    asked = (_by_hub(links, votes).groupBy("node", "shard").agg(F.sum("votes").alias("votes"), F.max("tie").alias("tie"))
+             .groupBy("node").agg(F.max(F.struct("votes", "tie", "shard")).alias("best")).select("node", F.col("best.shard").alias("to")))
+    now = written(state.where("linked").join(asked, "node").where("shard <> to").select("node", "shard", "to"), f"{name}-wishes")
+    wants = {(r["shard"], r["to"]): r["n"] for r in now.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
+    free = {r["shard"]: r["n"] for r in state.where("NOT linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    linked_moves, back = _grants(wants, free)
+    if not linked_moves:
+        drop(now)
+        return None
+    quota = spark.createDataFrame([(i, j, k) for (i, j), k in linked_moves.items()], "shard int, to int, quota long")
+    chosen = (number_rows(now, ["shard", "to"], F.col("node"), slices, "row").join(F.broadcast(quota), ["shard", "to"])
+              .where("row < quota").select("node", "to"))
+    if back:
+        ranges, at = [], {}
+        for (i, j), k in sorted(back.items()):
+            ranges.append((i, j, at.get(i, 0), at.get(i, 0) + k))
+            at[i] = at.get(i, 0) + k
+        give = spark.createDataFrame(ranges, "shard int, to int, lo long, hi long")
+        spare = number_rows(state.where("NOT linked").select("node", "shard"), ["shard"], F.col("node"), slices, "row")
+        chosen = chosen.unionByName(spare.join(F.broadcast(give), "shard").where("row >= lo AND row < hi").select("node", "to"))
+    nxt = written(state.join(chosen, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"), "linked"), name)
+    drop(now)
+    return nxt
+
+
+def _repaired(state: DataFrame, links: DataFrame, n: int, n_shards: int, slices: int, name: str) -> DataFrame:
+    """State with the groups that are still cut made whole where they fit; a node's first hub is its group."""
+    spark = state.sparkSession
+    home = written(links.groupBy("node").agg(F.min(F.struct(F.xxhash64("hub", "part").alias("h"), "hub", "part", "hot")).alias("x"))
+                   .select("node", "x.hub", "x.part", "x.hot"), f"{name}-home")
+    groups = written(home.join(state.select("node", "shard"), "node").groupBy("hub", "part", "hot", "shard").agg(F.count("*").alias("n"))
+                     .groupBy("hub", "part", "hot").agg(F.sum("n").alias("size"), F.max(F.struct("n", F.xxhash64("hub", "part", "shard").alias("t"), "shard")).alias("x"))
+                     .select("hub", "part", "hot", "size", F.col("x.shard").alias("label")), f"{name}-groups")
+    counts = {(r["size"], r["label"]): r["n"] for r in groups.groupBy("size", "label").agg(F.count("*").alias("n")).collect()}
+    runs, room = _repair(counts, [n // n_shards + (i < n % n_shards) for i in range(n_shards)])
+    runs = spark.createDataFrame(runs, "size long, label int, lo long, hi long, shard int")
     ends = [sum(room[:i]) for i in range(n_shards + 1)]
     gaps = spark.createDataFrame([(ends[i], ends[i + 1], i) for i in range(n_shards)], "lo long, hi long, shard int")
-    placed = (number_rows(groups, ["size"], F.struct("hub", "part"), slices, "row").join(F.broadcast(runs), "size")
-              .where("row >= lo AND row < hi").select("hub", "part", "shard"))
-    spots = written(nodes.select("node").join(home.join(placed, ["hub", "part"], "left").select("node", "shard", F.lit(True).alias("linked")), "node", "left")
-                    .select("node", "shard", F.coalesce("linked", F.lit(False)).alias("linked")), name)
+    # as many runs as there are sizes, labels and shards
+    placed = (number_rows(groups, ["size", "label"], F.struct("hub", "part"), slices, "row").join(F.broadcast(runs), ["size", "label"])
+              .where("row >= lo AND row < hi").select("hub", "part", "hot", "shard"))
+    spots = written(state.select("node", "linked").join(_by_hub(home, placed).select("node", "shard"), "node", "left"), f"{name}-spots")
     rest = (number_rows(spots.where("shard IS NULL").drop("shard"), [], F.col("node"), slices, "row")
             .join(F.broadcast(gaps), F.expr("row >= lo AND row < hi")).select("node", "shard", "linked"))
-    state = written(spots.where("shard IS NOT NULL").unionByName(rest), name)
+    out = written(spots.where("shard IS NOT NULL").select("node", "shard", "linked").unionByName(rest), name)
     for used in (home, groups, spots):
         drop(used)
+    return out
+
+
+def propagate(nodes: DataFrame, links: DataFrame, n_shards: int, rounds: int = 6, name: str = "shards", trace: list | None = None) -> DataFrame:
+    """(node, shard): even shards (row counts at most one apart) with few hub members apart.
+
+    ``nodes`` has a unique ``node``; ``links`` has (node, hub) rows, any number
+    per node.  Deterministic for given nodes and links.  ``trace`` takes the
+    number of cut links at the start, after each round and after the repair.
+    """
+    n = nodes.count()
+    slices = slices_for(n)
+    links = _parted(links, max(1, -(-n // n_shards)), slices)
+    linked = links.select("node").distinct().withColumn("linked", F.lit(True))
+    start = number_rows(nodes.select("node"), [], F.struct(F.xxhash64("node"), "node"), slices, "row")
+    state = written(start.join(linked, "node", "left").select("node", F.expr(f"cast(row * {n_shards} div {max(1, n)} as int)").alias("shard"),
+                                                               F.coalesce("linked", F.lit(False)).alias("linked")), name)
+
+    def note():
+        if trace is not None:
+            trace.append(cut_links(links, state))
+
+    note()
     for _ in range(rounds):
-        own = links.join(state.select("node", "shard"), "node")
-        votes = own.groupBy("hub", "part", "shard").agg(F.count("*").alias("votes"))
-        votes = votes.withColumn("tie", F.xxhash64("hub", "part", "shard"))
-        asked = (links.join(votes, ["hub", "part"]).groupBy("node", "shard").agg(F.sum("votes").alias("votes"), F.max("tie").alias("tie"))
-                 .groupBy("node").agg(F.max(F.struct("votes", "tie", "shard")).alias("best"))
-                 .select("node", F.col("best.shard").alias("to"), F.col("best.votes").alias("top")))
-        now = state.where("linked").join(asked, "node").where("shard <> to").select("node", "shard", "to")
-        wants = {(r["shard"], r["to"]): r["n"] for r in now.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()}
-        free = {r["shard"]: r["n"] for r in state.where("NOT linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        linked_moves, back = _grants(wants, free)
-        if not linked_moves:
+        nxt = _round(state, links, slices, name)
+        if nxt is None:
             break
-        quota = spark.createDataFrame([(i, j, k) for (i, j), k in linked_moves.items()], "shard int, to int, quota long")
-        chosen = (number_rows(now, ["shard", "to"], F.col("node"), slices, "row").join(F.broadcast(quota), ["shard", "to"])
-                  .where("row < quota").select("node", "to"))
-        if back:
-            ranges, at = [], {}
-            for (i, j), k in sorted(back.items()):
-                ranges.append((i, j, at.get(i, 0), at.get(i, 0) + k))
-                at[i] = at.get(i, 0) + k
-            give = spark.createDataFrame(ranges, "shard int, to int, lo long, hi long")
-            spare = number_rows(state.where("NOT linked").select("node", "shard"), ["shard"], F.col("node"), slices, "row")
-            chosen = chosen.unionByName(spare.join(F.broadcast(give), "shard").where("row >= lo AND row < hi").select("node", "to"))
-        nxt = written(state.join(chosen, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"), "linked"), name)
         drop(state)
         state = nxt
+        note()
+    nxt = _repaired(state, links, n, n_shards, slices, name)
+    drop(state)
+    state = nxt
+    note()
+    drop(links)
     return state.select("node", "shard")
 
 
@@ -151,7 +232,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, rounds: int = 6) -> Dat
     The law is ``rows``: shard sizes differ by at most one row.  Null texts
     count as empty ones (size 1) and equal each other.  Rows are told apart by
     position, so repeated rows and null ids are fine; only doc_id and text are
-    read.  An empty table gives an empty result.  Slots number each shard from
+    read, so further columns of any name do not clash.  Very long texts count by
+    their bytes only.  Ties between shards go by a hash.  An empty table gives an empty result.  Slots number each shard from
     0 without gaps.  grown_shard is null: growing moves rows under this law.
     """
     t = F.coalesce(F.col("text"), F.lit(""))

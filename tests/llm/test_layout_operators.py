@@ -182,3 +182,54 @@ def test_queries_are_registered():
     import __spark_entry__ as E
     names = E.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+
+
+@pytest.mark.parametrize("parts", [1000, 3])
+def test_cut_links_fall_round_by_round(spark, monkeypatch, parts):
+    """Neutral start, quota-bound rounds, repair; with hot hubs broadcast and with most hubs dealt out."""
+    from pyspark.sql import functions as F
+
+    from auditlens.llm import sharding as S
+    monkeypatch.setattr(S, "HOT_PARTS", parts)
+    nodes = spark.range(3200).select(F.col("id").alias("node"))
+    hub = F.when(F.col("node") < 300, F.lit(-1)).when(F.col("node") < 2400, F.floor(F.col("node") / 3)).otherwise(F.col("node") + 10_000)
+    trace = []
+    got = S.propagate(nodes, nodes.select("node", hub.cast("bigint").alias("hub")), 16, trace=trace).collect()
+    count = Counter(r.shard for r in got)
+    assert set(count.values()) == {200}
+    assert len(trace) >= 4 and all(a > b for a, b in zip(trace[:3], trace[1:4]))  # the rounds do the work
+    assert trace[-2] < 0.35 * trace[0] and trace[-1] <= trace[-2]
+    where = {}
+    for r in got:
+        where.setdefault(-1 if r.node < 300 else r.node // 3 if r.node < 2400 else r.node + 10_000, set()).add(r.shard)
+    assert len(where.pop(-1)) == 2 and sum(len(s) > 1 for s in where.values()) <= 2
+    again = {r.node: r.shard for r in S.propagate(nodes, nodes.select("node", hub.cast("bigint").alias("hub")), 16).collect()}
+    assert again == {r.node: r.shard for r in got}
+
+
+def test_nodes_with_several_hubs(spark):
+    """Rings of documents linked to their neighbours: far fewer links are cut than by the start."""
+    from pyspark.sql import functions as F
+
+    from auditlens.llm import sharding as S
+    nodes = spark.range(800).select(F.col("id").alias("node"))
+    ring = F.floor(F.col("node") / 40) * 100
+    at = F.pmod(F.col("node"), F.lit(40))
+    links = nodes.select("node", (ring + F.floor(at / 2)).alias("hub")).unionByName(nodes.select("node", (ring + 50 + F.floor(F.pmod(at + 1, F.lit(40)) / 2)).alias("hub")))
+    trace = []
+    got = S.propagate(nodes, links, 8, trace=trace).collect()
+    count = Counter(r.shard for r in got)
+    assert set(count.values()) == {100} and trace[-1] < trace[0]
+
+
+def test_sharding_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from auditlens.llm.sharding import shard_documents
+    rows = [(None, None), (None, ""), (1, "x" * 200_000), (1, "x" * 200_000), (2, "tie"), (3, "tie"), (4, "é😀")] + [(10 + i, f"t{i}") for i in range(40)]
+    df = frame(spark, rows).withColumns({c: F.lit("x") for c in ("node", "hub", "part", "hot", "shard", "slot", "law", "row", "linked")})
+    got = shard_documents(df).collect()
+    count = Counter(r.shard for r in got)
+    assert len(got) == len(rows) and max(count.values()) - min(count.values()) <= 1
+    assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 1 for _, t in rows)
+    assert len({r.shard for r in got if r.doc_id == 1}) == 1

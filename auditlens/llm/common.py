@@ -106,5 +106,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
         now = nxt
         if same:
             break
+    else:
+        raise RuntimeError(f"components of {name} did not converge in {max_rounds} rounds")
     roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -14,7 +14,9 @@
 4. Components of the verified links are the groups.
 
 A component larger than ``BLOCK`` only makes more block tasks, so none holds
-an unbounded group.  Members are pulled by a class key, so no link between
+an unbounded group; but each member meets every block, so rows moved and work grow
+with the square of a component's *different* texts over ``BLOCK`` (copies are one
+class).  The number of links asks for that.  Members are pulled by a class key, so no link between
 different texts is lost beyond the banding's miss rate.
 """
 
@@ -62,6 +64,12 @@ def _class_key(words: np.ndarray) -> tuple[int, int]:
     return tuple(int(K.hash_spans(words, *ends, s)[0].astype(np.int64)) for s in (1, 2))
 
 
+def _row_name():
+    """(doc_id, or 0 and a flag where it is null, and two hashes of the text)."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                    F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+
+
 def signatures(docs: DataFrame, size: int, bands: int, rows: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(``keep`` columns, k1, k2, bands array<long>) for every document row; no bands without a word."""
     ready(docs.sparkSession)
@@ -142,20 +150,21 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies:
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: int, block: int) -> DataFrame:
-    """Verified links of ``classes`` (k, least doc_id, copies, bands): (k, n_links, root) per class and task."""
+    """Verified links of ``classes`` (k, source row, copies, bands): (k, n_links, root) per class and task."""
     buckets = classes.select("k", F.posexplode("bands").alias("band", "h"))
     least = buckets.groupBy("band", "h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").drop("hi")
     stars = buckets.join(least, ["band", "h"]).where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")).distinct()
     groups = components(stars, "candidates")
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    members = (groups.join(sizes, "root").join(classes.select(F.col("k").alias("node"), "doc_id", "copies"), "node")
+    members = (groups.join(sizes, "root").join(classes.select(F.col("k").alias("node"), "source", "copies"), "node")
                .withColumn("blocks", F.expr(f"(m + {block - 1}) div {block}").cast("int"))
                .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     # one task per pair of blocks: a member meets every block once
     members = (members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "doc_id", "copies"))
-    texts = docs.select(F.col("doc_id").alias("__doc"), "text")
-    rows = members.join(texts, members.doc_id.eqNullSafe(texts["__doc"])).select("root", "lo", "hi", "own", "node", "copies", "text")
+               .select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "source", "copies"))
+    # the text of a class is that of one of its rows, named by doc_id and text, so rows without an id are told apart too
+    texts = docs.select(_row_name().alias("source"), "text")
+    rows = members.join(texts, "source").select("root", "lo", "hi", "own", "node", "copies", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +208,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: in
 def _grouped(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL,
              rows: int = ROWS, block: int = BLOCK, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """Document rows (``keep`` columns, bands, class key k), and classes (k, least doc_id, n_links, root)."""
-    signed = written(signatures(docs, size, bands_for(threshold, rows, recall), rows, keep), "signatures")
+    docs = docs.withColumn("source", _row_name())
+    signed = written(signatures(docs, size, bands_for(threshold, rows, recall), rows, (*keep, "source")), "signatures")
     with_key = signed.withColumn("k", F.struct("k1", "k2"))
     classes = written(with_key.where("bands IS NOT NULL").groupBy("k")
-                      .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+                      .agg(F.min("doc_id").alias("doc_id"), F.min("source").alias("source"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
     found = written(link_classes(docs.select("doc_id", "text"), classes, threshold, size, block), "links")
     edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(edges, "groups").withColumnRenamed("node", "k")

@@ -596,3 +596,27 @@ def test_density_and_choice_by_brute_force():
 
 def html_of(body):
     return "".join(x if isinstance(x, str) else f"<{x.tag}>{html_of(x)}</{x.tag}>" for x in body.parts)
+
+
+def test_rows_without_ids_meet_their_own_text_only(spark):
+    """Classes of rows without a doc_id join one text each, not every such row."""
+    from auditlens.llm import jaccard_join as J
+    rng = random.Random(21)
+    base = prose(rng, 60).split()
+    near = []
+    for i in range(30):
+        w = list(base)
+        w[i] = f"e{i}"
+        near.append((None, " ".join(w)))
+    rows = near + [(None, prose(rng, 60)) for _ in range(30)] + [(5, " ".join(base)), (5, prose(rng, 40))]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in J.similar_documents(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted(((d, c, n) for (d, _), (c, n) in zip(rows, similar(rows), strict=True)), key=repr)
+    docs = frame(spark, rows).select("doc_id", "text")
+    signed = J.signatures(docs.withColumn("source", J._row_name()), 5, 5, 4, ("source",)).collect()
+    assert len({(r.source.unnamed, r.source.id, r.source.t1, r.source.t2) for r in signed}) == len(rows)
+
+
+def test_components_that_do_not_converge_raise(spark):
+    from auditlens.llm.common import components
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long"), "t", max_rounds=1)

@@ -181,7 +181,7 @@ def test_pipeline_stages(spark, tmp_path):
 def test_queries_are_registered():
     import __spark_entry__ as E
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in names} and "pipeline" in names
 
 
 @pytest.mark.parametrize("parts", [1000, 3])
@@ -233,3 +233,64 @@ def test_sharding_odd_rows(spark):
     assert len(got) == len(rows) and max(count.values()) - min(count.values()) <= 1
     assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 1 for _, t in rows)
     assert len({r.shard for r in got if r.doc_id == 1}) == 1
+
+
+CLASHES = ("k", "k1", "t1", "t2", "source", "kept", "row", "rows", "node", "word", "w", "at", "own", "unnamed", "id", "hit_doc", "n_tokens", "bin", "piece", "__row")
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids and columns, equal rows, very long texts, clashing columns: every stage runs and keeps what is clean."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as P
+    rng = random.Random(31)
+    items = [(1, prose(rng, 20)), (2, None), (None, prose(rng, 15)), (3, "")]
+    good = [prose(rng, 50, 5000) for _ in range(6)]
+    rows = [(None, good[0]), (None, good[1]), (7, good[2]), (7, good[3]), (8, good[4]), (8, good[4]), (9, None), (10, ""), (11, prose(rng, 60_000, 50_000)),
+            (12, good[5] + " " + items[0][1]), (None, None), (13, " \n ")]
+    path = f"file://{tmp_path}/in"
+    extra = {c: F.lit("x") for c in CLASHES if c != "source"}
+    docs = frame(spark, rows).withColumn("lang", F.lit(None).cast("string")).withColumns(extra)
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").withColumns(extra).write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(7, 1, None), (None, 0, 0), (8, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{path}/documents.parquet"), {}
+    for name, stage in P.STAGES:
+        before, out = docs, f"file://{tmp_path}/{name}"
+        stage(spark, docs, path).write.parquet(out)
+        docs = spark.read.parquet(out)
+        if name != "packing":
+            assert docs.columns == before.columns
+            kept[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    clean = [(None, good[0]), (None, good[1]), (7, good[2]), (7, good[3]), (8, good[4]), (11, rows[8][1])]
+    assert kept["quality_rules"] == sorted([*clean, (8, good[4]), (12, rows[9][1])], key=repr)
+    assert kept["near_duplicates"] == sorted([*clean, (12, rows[9][1])], key=repr)
+    assert kept["decontamination"] == kept["personal_data"] == sorted(clean, key=repr)
+    packed = docs.collect()
+    assert len(packed) > len(clean) and {r.doc_id for r in packed} == {None, 7, 8, 11}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+    path = f"file://{tmp_path}/in"
+    spark.createDataFrame([], DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    assert P.run(spark, path).count() == 0
+
+
+def test_packing_odd_rows(spark):
+    """Equal rows, clashing columns, a text longer than the largest bin, ties in length."""
+    from pyspark.sql import functions as F
+
+    from auditlens.llm.packing import CAPACITIES, pack_documents
+    rows = [(1, "same words here"), (1, "same words here"), (None, None), (None, None), (2, ""), (3, prose(random.Random(1), 9000)), (4, "same words here")]
+    df = frame(spark, rows).withColumns({c: F.lit("x") for c in CLASHES if c != "source"})
+    got = pack_documents(df).collect()
+    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, _ in rows)
+    used = {}
+    for r in sorted(got, key=lambda r: (r.bin, r.offset)):
+        assert r.offset >= used.get(r.bin, 0) and r.offset + r.n_tokens <= r.capacity and r.capacity in CAPACITIES
+        used[r.bin] = r.offset + r.n_tokens
+    long = sorted((r.start, r.n_tokens) for r in got if r.doc_id == 3)
+    assert len(long) > 1 and all(a + n == b for (a, n), (b, _) in zip(long[:-1], long[1:], strict=True))

@@ -62,9 +62,10 @@ class LineModel:
     weights: np.ndarray      # (features, WIDTH)
     start: np.ndarray        # (2,)
     step: np.ndarray         # (2, 2) from, to
+    bias: float = CONTENT_BIAS
 
     def emissions(self, buckets: np.ndarray) -> np.ndarray:
-        return self.weights[np.arange(buckets.shape[1]), buckets].sum(axis=1) + CONTENT_BIAS
+        return self.weights[np.arange(buckets.shape[1]), buckets].sum(axis=1) + self.bias
 
 
 @dataclass
@@ -220,7 +221,8 @@ def train(buckets: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineModel | None:
     """Train on at most ``sample_docs`` documents per quality label (first by a hash of doc_id) and ``sample_lines`` lines of each.
 
-    Lines take the label of their document; a line equal to an earlier one of
+    The lines are a run from a place that follows from the text's length; of several rows of one
+    doc_id one text is taken.  Lines take the label of their document; a line equal to an earlier one of
     its document counts as boilerplate.  None when a label has no document:
     then no line can be told apart and all count as content.
     """
@@ -236,14 +238,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
             for i, j in K.chunks(offsets):
                 lines = line_features(data, offsets, i, j)
                 for r in range(j - i):
-                    a, b = lines.bounds[r], min(lines.bounds[r + 1], lines.bounds[r] + sample_lines)
+                    n = lines.bounds[r + 1] - lines.bounds[r]
+                    size = int(offsets[i + r + 1] - offsets[i + r])
+                    a = lines.bounds[r] + int(K.mix(np.array([size], np.uint64))[0]) % max(1, int(n) - sample_lines + 1)
+                    b = min(lines.bounds[r + 1], a + sample_lines)
                     if b > a:
                         y = np.where(lines.duplicate[a:b], 0, quality[i + r])
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([quality[i + r]], pa.int32()), pa.array([lines.buckets[a:b].astype(np.uint8).tobytes()]), pa.array([y.astype(np.uint8).tobytes()])],
                             ["quality", "buckets", "labels"])
 
-    rows = (docs.join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int"), "text")
+    # one row a label and doc_id, made in part before the shuffle: a doc_id may stand for any number of rows
+    rows = (docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+            .select(F.col("quality").cast("int"), "text")
             .mapInArrow(describe, "quality int, buckets binary, labels binary").collect())
     if len({r.quality for r in rows}) < 2:
         return None

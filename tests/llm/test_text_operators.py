@@ -620,3 +620,15 @@ def test_components_that_do_not_converge_raise(spark):
     from auditlens.llm.common import components
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long"), "t", max_rounds=1)
+
+
+def test_the_training_sample_is_bounded_by_documents(spark, monkeypatch):
+    """A labelled doc_id that stands for many rows is one training document."""
+    from auditlens.llm import line_quality as Q
+    rng = random.Random(2)
+    rows = [(1, f"{prose(rng, 30)}\n{prose(rng, 30)}.") for _ in range(300)] + [(2, "### $$$ ||| ***\n" * 5 + str(i)) for i in range(300)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda docs, marks, **k: seen.append(len(docs)))
+    Q.fit(frame(spark, rows).select("doc_id", "text"), labels)
+    assert seen == [2]

@@ -16,7 +16,9 @@
 A component larger than ``BLOCK`` only makes more block tasks, so none holds
 an unbounded group; but each member meets every block, so rows moved and work grow
 with the square of a component's *different* texts over ``BLOCK`` (copies are one
-class).  The number of links asks for that.  Members are pulled by a class key, so no link between
+class).  The number of links asks for that; groups alone (``connect_classes``, for
+the pipeline) are verified against bucket representatives first, which is linear
+where near copies resemble their representative.  Members are pulled by a class key, so no link between
 different texts is lost beyond the banding's miss rate.
 """
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlens.llm import kernels as K
-from auditlens.llm.common import WORD_CLASS, components, ready, written
+from auditlens.llm.common import WORD_CLASS, components, drop, ready, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, TARGET_RECALL = 4, 0.99999
@@ -149,12 +151,91 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, copies:
     return degree, np.array([find(x) for x in range(len(sets))])
 
 
+def _stars(buckets: DataFrame) -> DataFrame:
+    """(a, b): every class of a bucket (band, h) with the bucket's least class."""
+    least = buckets.groupBy("band", "h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").drop("hi")
+    return buckets.join(least, ["band", "h"]).where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: int, block: int) -> DataFrame:
     """Verified links of ``classes`` (k, source row, copies, bands): (k, n_links, root) per class and task."""
+    groups = components(_stars(classes.select("k", F.posexplode("bands").alias("band", "h"))), "candidates")
+    return _block_links(docs, classes, groups, threshold, size, block)
+
+
+def connect_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: int, block: int) -> DataFrame:
+    """Like ``link_classes``, for groups alone: (node, root) rows that connect what is linked, without link counts.
+
+    Components of at most ``block`` classes are one task each.  In larger ones
+    every class is verified against the least class of each of its buckets
+    first, which is linear.  Only buckets whose classes this leaves apart go to the
+    blocks: a linked pair that shares a band is either connected by now, or in
+    such a bucket.
+    """
     buckets = classes.select("k", F.posexplode("bands").alias("band", "h"))
-    least = buckets.groupBy("band", "h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").drop("hi")
-    stars = buckets.join(least, ["band", "h"]).where("k <> lo").select(F.col("k").alias("a"), F.col("lo").alias("b")).distinct()
+    stars = written(_stars(buckets), "stars")
     groups = components(stars, "candidates")
+    large = groups.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > block).select("root")
+    in_large = written(groups.join(large, "root").select("node"), "large")
+    first = written(_star_links(docs, classes, stars.join(in_large, stars.a == in_large.node, "left_semi"), threshold, size, block), "firsts")
+    sub = components(first, "parts").withColumnRenamed("node", "k")
+    apart = buckets.join(in_large.withColumnRenamed("node", "k"), "k").join(sub, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    open_ = apart.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "h")
+    rest = components(_stars(apart.select("k", "band", "h").join(open_, ["band", "h"])), "open")
+    small = groups.join(large, "root", "left_anti").select("node", "root")
+    found = _block_links(docs, classes, small.unionByName(rest.select("node", "root")), threshold, size, block)
+    out = written(found.select("node", "root").unionByName(first.select(F.col("a").alias("node"), F.col("b").alias("root"))), "connected")
+    for table in (stars, in_large, first):
+        drop(table)
+    return out
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, threshold: float, size: int, block: int) -> DataFrame:
+    """The stars (a, b) whose two classes are linked; at most ``block`` members of one b are a task."""
+    counts = stars.groupBy("b").agg(F.expr(f"(count(*) + {block - 1}) div {block}").cast("int").alias("salts"))
+    salted = stars.join(counts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    heads = counts.select("b", F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = salted.select("b", F.col("a").alias("node"), "salt").unionByName(heads)
+    rows = rows.join(classes.select(F.col("k").alias("node"), "source"), "node").join(docs.select(_row_name().alias("source"), "text"), "source")
+    key = "struct<k1:long,k2:long>"
+
+    def check(table: pa.Table) -> pa.Table:
+        head = table.column("b")[0].as_py()
+        nodes, sets = table.column("node").to_pylist(), table.column("shingles").to_pylist()
+        whole = np.frombuffer(next(s for n, s in zip(nodes, sets, strict=True) if n == head), np.uint64)
+        keep = []
+        for r, (n, s) in enumerate(zip(nodes, sets, strict=True)):
+            mine = np.frombuffer(s, np.uint64)
+            inter = len(np.intersect1d(mine, whole, assume_unique=True))
+            if n != head and inter * 1_000_000 >= round(threshold * 1_000_000) * (len(mine) + len(whole) - inter):
+                keep.append(r)
+        linked = table.take(pa.array(keep, pa.int64()))
+        return pa.table({"a": linked.column("node"), "b": linked.column("b")})
+
+    sets = rows.select("b", "salt", "node", "text").mapInArrow(_to_sets(["b", "salt", "node"], size), f"b {key}, salt int, node {key}, shingles binary")
+    return sets.groupBy("b", "salt").applyInArrow(check, f"a {key}, b {key}").distinct()
+
+
+def _to_sets(keep: list[str], size: int):
+    """``keep`` columns and the sorted shingle set of the text, of rows whose text is that of class ``node``."""
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.text_bytes(batch.column("text"))
+            keys, kept, sets = batch.column("node").to_pylist(), [], []
+            for i, j in K.chunks(offsets):
+                words, _, _, bounds = K.words_of(data, offsets, i, j)
+                for r in range(i, j):
+                    w = words[bounds[r - i]:bounds[r - i + 1]]
+                    if _class_key(w) == (keys[r]["k1"], keys[r]["k2"]):  # else another text under the same name
+                        kept.append(r)
+                        sets.append(np.unique(shingles(w, size)).tobytes())
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(n) for n in keep] + [pa.array(sets, pa.binary())], [*keep, "shingles"])
+    return to_sets
+
+
+def _block_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, size: int, block: int) -> DataFrame:
+    """Verified links inside the given groups (node, root), block against block: (node, n_links, root) per class and task."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
     members = (groups.join(sizes, "root").join(classes.select(F.col("k").alias("node"), "source", "copies"), "node")
                .withColumn("blocks", F.expr(f"(m + {block - 1}) div {block}").cast("int"))
@@ -166,25 +247,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: in
     texts = docs.select(_row_name().alias("source"), "text")
     rows = members.join(texts, "source").select("root", "lo", "hi", "own", "node", "copies", "text")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column("text"))
-            keys, keep, sets = batch.column("node").to_pylist(), [], []
-            for i, j in K.chunks(offsets):
-                words, _, _, bounds = K.words_of(data, offsets, i, j)
-                for r in range(i, j):
-                    w = words[bounds[r - i]:bounds[r - i + 1]]
-                    if _class_key(w) == (keys[r]["k1"], keys[r]["k2"]):  # else another text under the same doc_id
-                        keep.append(r)
-                        sets.append(np.unique(shingles(w, size)).tobytes())
-            kept = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [kept.column(n) for n in ("root", "lo", "hi", "own", "node", "copies")] + [pa.array(sets, pa.binary())],
-                ["root", "lo", "hi", "own", "node", "copies", "shingles"])
-
     key = "struct<k1:long,k2:long>"
     ready(docs.sparkSession)
-    rows = rows.mapInArrow(to_sets, f"root {key}, lo int, hi int, own int, node {key}, copies long, shingles binary")
+    rows = rows.mapInArrow(_to_sets(["root", "lo", "hi", "own", "node", "copies"], size), f"root {key}, lo int, hi int, own int, node {key}, copies long, shingles binary")
 
     def verify(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
@@ -206,13 +271,19 @@ def link_classes(docs: DataFrame, classes: DataFrame, threshold: float, size: in
 
 
 def _grouped(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = TARGET_RECALL,
-             rows: int = ROWS, block: int = BLOCK, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """Document rows (``keep`` columns, bands, class key k), and classes (k, least doc_id, n_links, root)."""
+             rows: int = ROWS, block: int = BLOCK, keep: tuple[str, ...] = ("doc_id",), count: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Document rows (``keep`` columns, bands, class key k), and classes (k, least doc_id, root, and n_links if they are to be counted)."""
     docs = docs.withColumn("source", _row_name())
     signed = written(signatures(docs, size, bands_for(threshold, rows, recall), rows, (*keep, "source")), "signatures")
     with_key = signed.withColumn("k", F.struct("k1", "k2"))
     classes = written(with_key.where("bands IS NOT NULL").groupBy("k")
                       .agg(F.min("doc_id").alias("doc_id"), F.min("source").alias("source"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    if not count:
+        found = connect_classes(docs.select("doc_id", "text"), classes, threshold, size, block)
+        roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), "groups").withColumnRenamed("node", "k")
+        grouped = written(classes.select("k", "doc_id").join(roots, "k", "left").select("k", "doc_id", F.coalesce("root", "k").alias("root")), "grouped")
+        drop(found)
+        return with_key, grouped
     found = written(link_classes(docs.select("doc_id", "text"), classes, threshold, size, block), "links")
     edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(edges, "groups").withColumnRenamed("node", "k")
@@ -249,7 +320,7 @@ def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
     """
     named = lambda c: F.coalesce(c, F.lit(0))
     hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
-    rows, grouped = _grouped(docs.select("doc_id", "text", *[h.alias(c) for c, h in hashes.items()]), keep=("doc_id", "t1", "t2"), **options)
+    rows, grouped = _grouped(docs.select("doc_id", "text", *[h.alias(c) for c, h in hashes.items()]), keep=("doc_id", "t1", "t2"), count=False, **options)
     rows = rows.where("bands IS NOT NULL").select("k", F.col("doc_id").isNull().alias("unnamed"), F.struct("doc_id", "t1", "t2").alias("row"))
     of_class = rows.groupBy("k", "unnamed").agg(F.min("row").alias("least")).join(grouped.select("k", "root"), "k")
     of_group = of_class.groupBy("root", "unnamed").agg(F.min("least").alias("best"))

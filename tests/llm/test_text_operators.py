@@ -632,3 +632,57 @@ def test_the_training_sample_is_bounded_by_documents(spark, monkeypatch):
     monkeypatch.setattr(Q, "train", lambda docs, marks, **k: seen.append(len(docs)))
     Q.fit(frame(spark, rows).select("doc_id", "text"), labels)
     assert seen == [2]
+
+
+def _kept(rows, similar_rows):
+    """One row a group, as the stage keeps them, for rows with distinct ids and texts with words."""
+    return sorted(i for (i, _), (c, _) in zip(rows, similar_rows, strict=True) if i == c)
+
+
+@pytest.mark.parametrize("block", [1, 4, 16, 1500])
+def test_groups_by_representatives_lose_no_link(spark, block):
+    """Chains of edits (the ends are not alike), a large group around one text, and groups beside it."""
+    from auditlens.llm.jaccard_join import keep_one_per_group
+    rng = random.Random(41)
+    rows, base = [], prose(rng, 90, 4000).split()
+    for i in range(60):  # a chain: each differs from the one before by a word, neighbours are alike, the ends are not
+        base = list(base)
+        base[i] = f"chain{i}"
+        rows.append((i, " ".join(base)))
+    hub = prose(rng, 100, 4000).split()
+    for i in range(40):
+        w = list(hub)
+        w[2 * i] = f"edit{i}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200 + i, prose(rng, 80, 4000)) for i in range(20)]
+    rng.shuffle(rows)
+    want = _kept(rows, similar(rows))
+    got = sorted(r.doc_id for r in keep_one_per_group(frame(spark, rows), block=block).collect())
+    assert got == want
+
+
+def test_rows_verified_grow_in_line_with_a_hot_group(spark):
+    """One group of near copies of one text: pairs checked per member stay the same."""
+    from pyspark.sql import functions as F
+
+    from auditlens.llm import jaccard_join as J
+    checked = []
+    for m in (100, 200, 400):
+        rng = random.Random(5)
+        hub = prose(rng, 400, 4000).split()
+        rows = []
+        for i in range(m):
+            w = list(hub)
+            w[i] = f"edit{i}"
+            rows.append((i, " ".join(w)))
+        docs = frame(spark, rows).select("doc_id", "text").withColumn("source", J._row_name())
+        signed = J.signatures(docs, 5, J.bands_for(), J.ROWS, ("doc_id", "source")).withColumn("k", F.struct("k1", "k2"))
+        classes = signed.groupBy("k").agg(F.min("source").alias("source"), F.count("*").alias("copies"), F.first("bands").alias("bands")).persist()
+        stars = J._stars(classes.select("k", F.posexplode("bands").alias("band", "h")))
+        checked.append(stars.count())
+        connected = J.connect_classes(docs, classes, 0.8, 5, 20)
+        assert connected.where("node <> root").select("node").distinct().count() >= m - 1
+        # nothing was left for the blocks: every row is a verified star
+        assert connected.count() <= stars.count()
+        classes.unpersist()
+    assert checked[2] / 400 < 1.5 * checked[0] / 100

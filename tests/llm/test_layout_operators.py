@@ -82,9 +82,11 @@ def test_only_groups_that_must_be_cut_are_cut(spark, pairs, hot):
 
 
 def test_grants_go_round_cycles():
-    from auditlens.llm.sharding import _grants, _plan
+    from auditlens.llm.sharding import _grants, _repair
     assert _grants({(0, 1): 5, (1, 2): 3, (2, 0): 4}, {}) == ({(0, 1): 3, (1, 2): 3, (2, 0): 3}, {})
-    assert _plan({6: 1, 4: 2, 2: 1}, [8, 8]) == ([(6, 0, 1, 0), (4, 0, 2, 1), (2, 0, 1, 0)], [0, 0])
+    # by falling size: at the label while there is room, else where it fits best
+    assert _repair({(6, 0): 1, (4, 0): 2, (2, 1): 1}, [8, 8]) == ([(6, 0, 0, 1, 0), (4, 0, 0, 2, 1), (2, 1, 0, 1, 0)], [0, 0])
+    assert _repair({(4, 1): 2, (2, 0): 1}, [4, 8]) == ([(4, 1, 0, 2, 1), (2, 0, 0, 1, 0)], [2, 0])
 
 
 def test_growing_the_grant_never_exceeds_supply():

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ CACHE_BYTES, CACHED_PIECE = 128 << 20, 64
 #: Bytes that one kept piece takes besides its own and its ids'.
 PIECE_BYTES = 130
 #: Bytes of text whose pieces are made distinct at a time (one text at least).
-CHUNK = 6 << 20
+CHUNK = 12 << 20
 #: ASCII marks that the pre-tokenizer always cuts from a letter before them (apostrophes may start a contraction).
 _IS_MARK, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _IS_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -76,14 +77,16 @@ class PieceEncoder:
                 and bool(pre.get("use_regex", True)) and all(a.get("special") for a in spec.get("added_tokens", [])))
 
     def _encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        # the same ids without character offsets, where the library has it
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.asarray(e.ids, "<u4") for e in encode(texts, add_special_tokens=False)]
 
-    def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_joined(self, pieces: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per piece) of pieces that start with a space and end solid: encoded as one text, cut by bytes."""
         if self._sizes is None:
             self._sizes = self.byte_lengths()
         ids = np.concatenate(self._encode_batch([b"".join(pieces[i:i + 4000]).decode() for i in range(0, len(pieces), 4000)]))
-        ends = np.cumsum([len(p) for p in pieces])
+        ends = np.cumsum(lengths)
         place = np.cumsum(self._sizes[ids])
         cut = np.searchsorted(place, ends)
         if not (cut < len(place)).all() or not (place[cut] == ends).all():  # never for the cuts made here
@@ -104,31 +107,35 @@ class PieceEncoder:
         self.used, self.n_slots = self.used + len(ids), n + m
         return np.arange(n, n + m)
 
-    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+    def _slots(self, distinct: pa.LargeBinaryArray) -> np.ndarray:
         """Slot of each distinct piece; long pieces stand behind the kept ones until the next call."""
         self.used, self.n_slots = self.kept, len(self.slots)
         if self.cache_bytes() > CACHE_BYTES:
             self._start_anew()
-        get = self.slots.get
-        slots = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        pieces = distinct.to_pylist()
+        slots = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(slots < 0)
-        short = [i for i in new if len(pieces[i]) <= CACHED_PIECE]
-        joined = [i for i in short if self.cuttable and pieces[i][0] == 32 and pieces[i][-1] > 32 and len(pieces[i]) > 1]
-        chosen = set(joined)
-        other = [i for i in short if i not in chosen]
-        for group, keep in ((joined, True), (other, True), ([i for i in new if len(pieces[i]) > CACHED_PIECE], False)):
-            # one at a time beyond the short ones: a long piece may be a whole text
-            for i in range(0, len(group), step := 40_000 if keep else 64):
-                part = [pieces[k] for k in group[i:i + step]]
+        if not len(new):
+            return slots
+        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset:distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)
+        lengths = np.diff(offsets)[new]
+        short = lengths <= CACHED_PIECE
+        joined = short & (lengths > 1) & (data[offsets[new]] == 32) & (data[offsets[new + 1] - 1] > 32) & self.cuttable
+        for group, keep in ((joined, True), (short & ~joined, True), (~short, False)):
+            at, size = new[group], lengths[group]
+            # a long piece may be a whole text
+            for i in range(0, len(at), step := 40_000 if keep else 64):
+                part, n = [pieces[k] for k in at[i:i + step].tolist()], size[i:i + step]
                 if group is joined:
-                    ids, sizes = self._encode_joined(part)
+                    ids, counts = self._encode_joined(part, n)
                 else:
                     single = self._encode_batch([p.decode() for p in part])
-                    ids, sizes = np.concatenate(single), np.array([len(x) for x in single])
-                slots[group[i:i + step]] = at = self._add(part, ids, sizes)
+                    ids, counts = np.concatenate(single), np.array([len(x) for x in single])
+                slots[at[i:i + step]] = got = self._add(part, ids, counts)
                 if keep:
-                    self.slots.update(zip(part, at.tolist(), strict=True))
-                    self.kept, self.key_bytes = self.used, self.key_bytes + sum(map(len, part))
+                    self.slots.update(zip(part, got.tolist(), strict=True))
+                    self.kept, self.key_bytes = self.used, self.key_bytes + int(n.sum())
         return slots
 
     def _whole(self, column: pa.Array) -> np.ndarray:
@@ -159,7 +166,7 @@ class PieceEncoder:
             starts = np.flatnonzero(first)
             pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
                 None, pa.py_buffer(np.append(starts, len(part)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
-            slots = self._slots(pieces.dictionary.to_pylist())
+            slots = self._slots(pieces.dictionary)
             yield j - i, slots[pieces.indices.to_numpy()], np.searchsorted(starts, cuts)
 
     def encode_flat(self, column: pa.Array):

@@ -639,7 +639,7 @@ def _kept(rows, similar_rows):
     return sorted(i for (i, _), (c, _) in zip(rows, similar_rows, strict=True) if i == c)
 
 
-@pytest.mark.parametrize("block", [1, 4, 16, 1500])
+@pytest.mark.parametrize("block", [4, 1500])
 def test_groups_by_representatives_lose_no_link(spark, block):
     """Chains of edits (the ends are not alike), a large group around one text, and groups beside it."""
     from auditlens.llm.jaccard_join import keep_one_per_group
@@ -667,7 +667,7 @@ def test_rows_verified_grow_in_line_with_a_hot_group(spark):
 
     from auditlens.llm import jaccard_join as J
     checked = []
-    for m in (100, 200, 400):
+    for m in (80, 240):
         rng = random.Random(5)
         hub = prose(rng, 400, 4000).split()
         rows = []
@@ -685,4 +685,4 @@ def test_rows_verified_grow_in_line_with_a_hot_group(spark):
         # nothing was left for the blocks: every row is a verified star
         assert connected.count() <= stars.count()
         classes.unpersist()
-    assert checked[2] / 400 < 1.5 * checked[0] / 100
+    assert checked[1] / 240 < 1.5 * checked[0] / 80

@@ -7,8 +7,9 @@ expectation-maximisation estimates the language proportions, and the set of
 languages is chosen by penalised likelihood:
 
 1. EM over all languages gives the proportions and a likelihood that no subset
-   can exceed.  If the best single language comes within one penalty of it,
-   the document has that one language.
+   can exceed.  If the best single language comes within one penalty of it (or
+   within half of one after a few rounds, which is most documents), the
+   document has that one language.
 2. Otherwise the language of least share leaves, EM runs again on the rest, and
    so on; the set of best penalised likelihood wins.
 
@@ -49,6 +50,8 @@ MODEL_BYTES = 64 << 20
 SMOOTHING = 0.5
 PENALTY = 6.0
 ROUNDS = 20
+#: EM rounds after which documents that one language explains within half a penalty go no further.
+FIRST_ROUNDS = 6
 #: Likelihoods (n-gram, language) in memory at a time, one document at least.
 CELLS = 8 << 20
 #: Prediction of texts without a letter.
@@ -165,29 +168,36 @@ def infer_mixture(logp: np.ndarray, doc: np.ndarray, bucket: np.ndarray, n_docs:
     single = np.add.reduceat((lp - top) * c[:, None], first, axis=0)
     price = penalty * np.log(np.maximum(2, np.add.reduceat(c, first))) / 2
     best_one = single.max(axis=1)
-    share, ll = _mix(p, c, first, at, np.full((len(here), langs), 1.0 / langs), rounds)
+    early = min(FIRST_ROUNDS, rounds)
+    share, ll = _mix(p, c, first, at, np.full((len(here), langs), 1.0 / langs), early)
     pick = np.zeros_like(share)
     pick[np.arange(len(here)), single.argmax(axis=1)] = 1.0
     value = best_one.copy()
     score = 1.0 / np.exp(single - best_one[:, None]).sum(axis=1)
-    open_ = np.flatnonzero(ll - price > best_one)
+    def again(docs: np.ndarray, start: np.ndarray, rounds: int):
+        """EM on some documents only."""
+        rows = np.flatnonzero(np.isin(at, docs))
+        sub = np.searchsorted(docs, at[rows])
+        return _mix(p[rows], c[rows], np.searchsorted(sub, np.arange(len(docs))), sub, start, rounds)
+
+    open_ = np.flatnonzero(ll - price / 2 > best_one)
+    if len(open_):
+        share[open_], ll[open_] = again(open_, share[open_], rounds - early)
+        open_ = open_[ll[open_] - price[open_] > best_one[open_]]
     now = share
     for size in range(langs, 1, -1):
         if not len(open_):
             break
-        rows = np.flatnonzero(np.isin(at, open_))
-        sub_at = np.searchsorted(open_, at[rows])
-        sub_first = np.searchsorted(sub_at, np.arange(len(open_)))
         if size < langs:
             # the least share leaves
             start = now[open_].copy()
             start[np.arange(len(open_)), np.where(start > 0, start, np.inf).argmin(axis=1)] = 0
             start /= start.sum(axis=1, keepdims=True)
-            found, ll = _mix(p[rows], c[rows], sub_first, sub_at, start, rounds)
+            found, gain = again(open_, start, rounds)
             now[open_] = found
         else:
-            found, ll = now[open_], ll[open_]
-        gain = ll - price[open_] * (size - 1)
+            found, gain = now[open_], ll[open_]
+        gain = gain - price[open_] * (size - 1)
         better = gain > value[open_]
         chosen = open_[better]
         value[chosen], pick[chosen], score[chosen] = gain[better], found[better], found[better].max(axis=1)

@@ -163,32 +163,35 @@ def restore_ledger(prior: DataFrame, new: DataFrame, key: str = "call_id") -> Da
 # Running totals
 # ---------------------------------------------------------------------------
 
-def budget_gate(costs: DataFrame, budget_usd: float | None, by=("scan_id",)) -> DataFrame:
+def budget_gate(costs: DataFrame, budget_usd: float | None, by=("scan_id",), order: str = "seq") -> DataFrame:
     """Per file in file order (first call): spent before it and admitted.
 
+    ``order`` is any sortable column that is unique in a scan - a dense or
+    sparse number, a timestamp; one hot scan is cut at quantiles of it.
+
     A file is admitted iff the total spent before it is below the budget: the
     cost of all earlier files and of every call without a file made before
     its first call.  Costs are non-negative, so the prefix is monotone and
     the gate never reopens.  No budget admits everything.
     """
     files = (costs.filter(F.col("file_path").isNotNull())
-             .groupBy(*by, "file_path").agg(F.min("seq").alias("first_seq"), F.sum("cost_nano").alias("file_nano")))
-    other = costs.filter(F.col("file_path").isNull()).select(*by, "file_path", F.col("seq").alias("first_seq"), F.col("cost_nano").alias("file_nano"))
+             .groupBy(*by, "file_path").agg(F.min(order).alias("first_seq"), F.sum("cost_nano").alias("file_nano")))
+    other = costs.filter(F.col("file_path").isNull()).select(*by, "file_path", F.col(order).alias("first_seq"), F.col("cost_nano").alias("file_nano"))
     out = (prefix_sum(files.unionByName(other), by, "first_seq", "file_nano", "spent_before_nano", inclusive=False)
            .filter(F.col("file_path").isNotNull()))
     adm = F.lit(True) if budget_usd is None else F.col("spent_before_nano") < F.lit(int(round(budget_usd * 1e9)))
     return out.withColumn("admitted", adm)
 
 
-def running_cost(costs: DataFrame, by=("scan_id",)) -> DataFrame:
-    return prefix_sum(costs, by, "seq", "cost_nano", "running_nano", inclusive=True)
+def running_cost(costs: DataFrame, by=("scan_id",), order: str = "seq") -> DataFrame:
+    return prefix_sum(costs, by, order, "cost_nano", "running_nano", inclusive=True)
 
 
-def budget_warning(costs: DataFrame, budget_usd: float, threshold: float = 0.8, by=("scan_id",)) -> DataFrame:
-    """First call per scan whose running total reaches threshold x budget."""
+def budget_warning(costs: DataFrame, budget_usd: float, threshold: float = 0.8, by=("scan_id",), order: str = "seq") -> DataFrame:
+    """First call per scan, in ``order``, whose running total reaches threshold x budget."""
     thr = int(round(budget_usd * 1e9 * threshold))
-    r = running_cost(costs, by).filter(F.col("running_nano") >= F.lit(thr))
-    first = r.groupBy(*by).agg(F.min_by(F.struct("seq", "running_nano"), F.col("seq")).alias("_f"))
+    r = running_cost(costs, by, order).filter(F.col("running_nano") >= F.lit(thr))
+    first = r.groupBy(*by).agg(F.min_by(F.struct(F.col(order).alias("seq"), "running_nano"), F.col(order)).alias("_f"))
     b = int(round(budget_usd * 1e9))
     # percentage to one decimal, half up, in integers
     pct = F.expr(f"(_f.running_nano * 2000 + {b}) div {2 * b}").cast("double") / F.lit(10.0)
@@ -196,8 +199,8 @@ def budget_warning(costs: DataFrame, budget_usd: float, threshold: float = 0.8,
                         pct.alias("pct"))
 
 
-def remaining_budget(costs: DataFrame, budget_usd: float | None, by=("scan_id",)) -> DataFrame:
-    r = running_cost(costs, by)
+def remaining_budget(costs: DataFrame, budget_usd: float | None, by=("scan_id",), order: str = "seq") -> DataFrame:
+    r = running_cost(costs, by, order)
     if budget_usd is None:
         return r.withColumn("remaining_nano", F.lit(None).cast("bigint"))
     return r.withColumn("remaining_nano", F.greatest(F.lit(0), F.lit(int(round(budget_usd * 1e9))) - F.col("running_nano")))

@@ -52,3 +52,24 @@ def test_budget_gate_counts_calls_without_a_file(spark):
     costs = spark.createDataFrame([(1, None, 1, 100), (1, "a.py", 2, 10), (1, "b.py", 3, 10)], "scan_id long, file_path string, seq long, cost_nano long")
     got = {r.file_path: (r.spent_before_nano, r.admitted) for r in budget_gate(costs, 105e-9).collect()}
     assert got == {"a.py": (100, True), "b.py": (110, False)}
+
+
+def test_budgets_in_timestamp_order(spark, monkeypatch):
+    """One hot scan, calls in bursts: the same results as by dense numbers, and no window far above a slice."""
+    from auditlens.functions import slices
+    from auditlens.operators.ledger import budget_gate, budget_warning, remaining_budget
+    monkeypatch.setattr(slices, "ROWS_PER_SLICE", 500)
+    n = F.col("id")
+    calls = spark.range(6000).select(F.when(n % 4 > 0, F.lit(1)).otherwise(F.lit(2) + n % 5).cast("bigint").alias("scan_id"), (n + 1).alias("seq"),
+                                     F.timestamp_micros(1_700_000_000_000_000 + F.when(n % 1000 < 990, n).otherwise(n * 3_600_000_000)).alias("ts"),
+                                     F.when(n % 11 > 0, F.concat(F.lit("f"), F.floor(n / 7))).alias("file_path"), (n % 13).alias("cost_nano"))
+    # numbers in the order of the timestamps
+    from pyspark.sql import Window
+    dense = calls.withColumn("seq", F.row_number().over(Window.partitionBy("scan_id").orderBy("ts")).cast("bigint"))
+    key = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+    assert key(budget_gate(calls, 1e-5, order="ts"), "scan_id", "file_path", "spent_before_nano", "admitted") == \
+        key(budget_gate(dense, 1e-5), "scan_id", "file_path", "spent_before_nano", "admitted")
+    assert key(budget_warning(calls, 1e-5, order="ts"), "scan_id", "running_nano", "pct") == key(budget_warning(dense, 1e-5), "scan_id", "running_nano", "pct")
+    assert key(remaining_budget(calls, 1e-5, order="ts"), "scan_id", "ts", "remaining_nano") == key(remaining_budget(dense, 1e-5), "scan_id", "ts", "remaining_nano")
+    cut = slices.with_slices(calls, ["scan_id"], [F.col("ts")])
+    assert max(r["count"] for r in cut.groupBy("scan_id", "_slice").count().collect()) < 1500

@@ -26,11 +26,11 @@ from auditlens.llm import kernels as K
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of a worker's cache (keys, ids and their places); it starts anew beyond that.  Longer pieces are not kept.
-CACHE_BYTES, CACHED_PIECE = 128 << 20, 64
+CACHE_BYTES, CACHED_PIECE = 80 << 20, 64
 #: Bytes that one kept piece takes besides its own and its ids'.
 PIECE_BYTES = 130
 #: Bytes of text whose pieces are made distinct at a time (one text at least).
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 #: ASCII marks that the pre-tokenizer always cuts from a letter before them (apostrophes may start a contraction).
 _IS_MARK, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _IS_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -159,15 +159,19 @@ class PieceEncoder:
             if len(part):
                 before, at = part[:-1], part[1:]
                 first[1:-1] = ((at == 32) & ~K._IS_SPACE[before]) | (_IS_MARK[at] & _IS_LETTER[before])
+                del before, at
             for t in np.flatnonzero(whole[i:j]):
                 first[cuts[t]:cuts[t + 1]] = False
             first[cuts[:-1]] = True
             first[-1] = False
             starts = np.flatnonzero(first)
+            del first
             pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
                 None, pa.py_buffer(np.append(starts, len(part)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))]).dictionary_encode()
-            slots = self._slots(pieces.dictionary)
-            yield j - i, slots[pieces.indices.to_numpy()], np.searchsorted(starts, cuts)
+            slots = self._slots(pieces.dictionary)[pieces.indices.to_numpy()]
+            bounds = np.searchsorted(starts, cuts)
+            del pieces, starts, part
+            yield j - i, slots, bounds
 
     def encode_flat(self, column: pa.Array):
         """Chunk by chunk: (ids, ids before each text of the chunk and behind the last)."""

@@ -108,3 +108,34 @@ def test_thousands_of_given_roots(spark, tmp_path):
     want = [(f"repo{i}", "m.py", f"x = {i}") for i in range(1200)] + [(f"repo{i}", "__init__.py", "") for i in range(0, 1200, 100)]
     want += [("outer", f"r{i}/m.py", f"x = {i}") for i in range(0, 1200, 30)] + [("outer", f"r{i}/__init__.py", "") for i in range(0, 1200, 300)]
     assert got == sorted(want)
+
+
+def _odd_documents(spark, tmp_path):
+    rows = [(i, f"text {i}\nline") for i in range(130)] + [(7, "again"), (7, "again"), (51, None), (None, "a"), (None, "b"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_files_projection_has_the_rows_of_its_sql(spark, tmp_path):
+    """Repeated and null doc_ids included; among rows of one path the numbers are interchangeable."""
+    from auditlens.sources.tables import FX_SQL, fixture, table
+    sf = _odd_documents(spark, tmp_path)
+    got = fixture(spark, sf, "fx_files")
+    table(spark, sf, "documents").createOrReplaceTempView("documents")
+    want = spark.sql(FX_SQL["fx_files"])
+    assert got.columns == want.columns and dict(got.dtypes)["file_ord"] == "bigint"
+    for cols in (["doc_id", "repo_id"], ["repo_id", "path", "file_ord"]):
+        assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, want.select(*cols).collect()))
+    alone = "doc_id IS NOT NULL AND doc_id NOT IN (7, 51)"
+    assert sorted(map(repr, got.where(alone).collect())) == sorted(map(repr, want.where(alone).collect()))
+    odd = ["doc_id", "repo_id", "content"]
+    assert sorted(map(repr, got.select(*odd).collect())) == sorted(map(repr, want.select(*odd).collect()))
+
+
+def test_files_projection_moves_texts_once_and_sorts_none(spark, tmp_path):
+    from auditlens.sources.tables import _files_projection, table
+    docs = table(spark, _odd_documents(spark, tmp_path), "documents")
+    plan = _files_projection(docs)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = [n for n in plan.split("\n\n") if n.lstrip().startswith("(")]
+    with_text = [n.split(")")[1].split()[0] for n in nodes if "text#" in n]
+    assert "Sort" not in with_text and "Window" not in with_text and with_text.count("Exchange") == 1

@@ -139,3 +139,14 @@ def test_files_projection_moves_texts_once_and_sorts_none(spark, tmp_path):
     nodes = [n for n in plan.split("\n\n") if n.lstrip().startswith("(")]
     with_text = [n.split(")")[1].split()[0] for n in nodes if "text#" in n]
     assert "Sort" not in with_text and "Window" not in with_text and with_text.count("Exchange") == 1
+
+
+def test_map_projection_of_a_wide_read_is_not_dealt_out_again(spark, tmp_path):
+    """As many tasks read the table as there are cores: each writes its rows as they come."""
+    from auditlens.sources.tables import fixture
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(4000).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey").repartition(2 * cores).write.parquet(str(tmp_path / "customer.parquet"))
+    tasks = spark.read.parquet(str(tmp_path / "customer.parquet")).rdd.getNumPartitions()
+    assert cores <= tasks < 2 * cores
+    got = fixture(spark, str(tmp_path), "fx_refs")
+    assert got.count() == 4000 and len(got.inputFiles()) == tasks

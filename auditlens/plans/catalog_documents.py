@@ -220,7 +220,7 @@ def q_write_all(spark, sf):
 
     from auditlens.session import checkpoint_dir
     out = f"{checkpoint_dir(spark).rstrip('/')}/reports/{uuid.uuid4().hex[:10]}"
-    paths = R.write_all_reports(R._norm(_findings(spark, sf)), _all_files(spark, sf), out, RUN_TS, calls=_costs(spark, sf))
+    paths = R.write_all_reports(R._norm(_findings(spark, sf)), _all_files(spark, sf), out, RUN_TS, calls=_costs(spark, sf), compression="gzip")
     parts = []
     for name, p in paths.items():
         key = "scan_id" if name == "cost_json" else "repo_id"

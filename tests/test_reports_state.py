@@ -144,3 +144,37 @@ def test_cost_document_holds_every_file_and_model(spark, tmp_path):
     assert docs["s1"]["costs_by_model"] == {"m0": 0.2501, "m1": 0.25} and docs["s2"]["costs_by_file"] == {}
     assert docs["s1"]["costs_by_file"] == {f"d/{k}'\"\n.py": round(0.025 * (3 if k < 6 else 2), 4) for k in range(7)}
     assert docs["s1"]["api_calls"] == 21 and docs["s1"]["total_cost_usd"] == 0.5001
+
+
+def test_reports_are_in_order_over_many_files_and_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Three repositories of uneven size, many findings a file; rendered findings are written by a map."""
+    from auditlens.operators import reports
+    monkeypatch.setattr(reports, "ROWS_PER_FILE", 40)
+    n = 600
+    found = spark.range(n).selectExpr(
+        "id AS finding_ord", "CASE WHEN id % 10 < 7 THEN 'big' WHEN id % 10 < 9 THEN 'mid' ELSE 'small' END AS repo_id", "'a/' || id || '.py' AS file_path",
+        "CASE WHEN id % 3 = 0 THEN 'LFI' ELSE 'RCE' END AS vuln_type", "CAST(id % 11 AS INT) AS confidence",
+        "CASE WHEN id % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity", "'found ' || id AS analysis", "CAST('2024-01-01' AS timestamp_ntz) AS discovered_at").repartition(5)
+    files = spark.createDataFrame([("big", "a.py"), ("clean", "c.py")], "repo_id string, path string")
+    plain = reports.write_all_reports(found, files, str(tmp_path / "plain"), "t")
+    packed = reports.write_all_reports(found, files, str(tmp_path / "packed"), "t", compression="gzip")
+    shuffled = []
+    write = reports._write_sorted
+
+    def seen(lines, *rest):
+        shuffled.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return write(lines, *rest)
+    monkeypatch.setattr(reports, "_write_sorted", seen)
+    reports.write_all_reports(found, files, str(tmp_path / "again"), "t")
+    assert len(shuffled) == 5 and all(p.splitlines()[0].startswith("Union") for p in shuffled)  # only its ends are dealt out
+    summary, numbered = None, reports.number_findings(found)
+    from auditlens.operators.findings import scan_summary
+    summary = scan_summary(found, files, as_text=False)
+    want = {"sarif": reports.sarif_report(numbered, "t", summary), "json": reports.json_report(numbered, summary, "t"),
+            "markdown": reports.markdown_report(numbered, summary, "t"), "html": reports.html_report(numbered, summary, "t"),
+            "csv": reports.csv_report(numbered, summary)}
+    for name, lines in want.items():
+        whole = {r.repo_id: r.document for r in reports.assemble(lines).collect()}
+        assert set(whole) == {"big", "mid", "small", "clean"}
+        assert _read_documents(spark, plain[name]) == whole and _read_documents(spark, packed[name]) == whole
+    assert spark.read.text(packed["csv"]).inputFiles()[0].endswith(".gz") and len(spark.read.text(plain["csv"] + "/repo_id=big").inputFiles()) >= 5

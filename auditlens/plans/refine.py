@@ -214,6 +214,8 @@ def refine(files: DataFrame, initial: DataFrame, scorer, max_iterations: int = 7
     run_name = run_name or f"refine/{uuid.uuid4().hex}"
     if types:
         initial = initial.filter(F.col("vuln_type").isin(*types))
+    # the initial scoring is often the dearest step: once for all that is made of it
+    initial = cut_lineage(initial.select(*PAIR, "previous"), f"{run_name}/initial")
     if prior is not None:
         prior = cut_lineage(prior.groupBy("repo_id", F.col("file_path").alias("path")).agg(F.sum("cost_nano").cast("bigint").alias("spent")),
                             f"{run_name}/prior")

@@ -18,16 +18,6 @@ DIRS_PER_TASK = 200
 READ_BYTES, OPEN_BYTES = 64 << 20, 4096
 
 
-def _skipped_by_spark(rel: str) -> bool:
-    """Names that Spark's listing skips, with all below such directories (e.g.
-    ``__init__.py``); empty files are skipped as well, whatever their name."""
-    def private(name: str) -> bool:
-        return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
-
-    *dirs, name = rel.split("/")
-    return private(name) or any(private(d) and not d.startswith(("_metadata", "_common_metadata")) for d in dirs)
-
-
 def _qualified(spark: SparkSession, root: str) -> str:
     """``root`` with scheme and authority, in the form Spark's ``path`` column has."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -49,14 +39,14 @@ def _store(uri: str):
 
 
 def _listed(spark: SparkSession, roots: DataFrame, glob: str, repo_depth: int) -> DataFrame:
-    """(repo_id, path, uri, size) of the files that Spark's listing skips, by a frontier of directories.
+    """(repo_id, path, uri, size) of the files that match ``glob``, by a frontier of directories.
 
     ``roots``: (repo_id, uri), repo_id '' where the first ``repo_depth`` levels
     name it.  A round lists the directories found by the round before, one
     directory per row, dealt out anew, until no directory is left; its result is
     written, so no directory is listed twice.  One round per level of depth.
     """
-    import fnmatch
+    import re
     import uuid
 
     from auditlens.functions.plan import cut_lineage
@@ -66,6 +56,8 @@ def _listed(spark: SparkSession, roots: DataFrame, glob: str, repo_depth: int) -
     run = f"listing/{uuid.uuid4().hex[:12]}"
     schema = "repo_id string, path string, uri string, is_dir boolean, size long"
     columns = ["repo_id", "path", "uri", "is_dir", "size"]
+    # the glob as Spark's pathGlobFilter reads it
+    matches = re.compile(spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern(), re.DOTALL)
 
     def lister(naming: bool):
         def work(it):
@@ -90,10 +82,8 @@ def _listed(spark: SparkSession, roots: DataFrame, glob: str, repo_depth: int) -
                                 rows.append((f"{rid}/{rel}" if rid else rel, "", at, True, 0))
                         elif below:
                             rows.append((rid, full, at, True, 0))
-                        elif info.type == pafs.FileType.File and fnmatch.fnmatch(info.base_name, glob):
-                            # seen from the directory that Spark lists: a hidden repository name counts too
-                            if info.size == 0 or _skipped_by_spark(f"{rid}/{full}" if repo_depth else full):
-                                rows.append((rid, full, at, False, info.size))
+                        elif info.type == pafs.FileType.File and matches.fullmatch(info.base_name):
+                            rows.append((rid, full, at, False, info.size))
                 yield pd.DataFrame(rows, columns=columns)
         return work
 
@@ -121,20 +111,22 @@ def read_batches(files: DataFrame, batch_bytes: int = READ_BYTES) -> DataFrame:
     return run.repartitionById(batches, F.floor(F.col("_run") * batches / F.lit(max(1, total))).cast("int")).drop("_weight", "_at", "_run")
 
 
-def _hidden_files(spark: SparkSession, roots: DataFrame, glob: str, repo_depth: int) -> DataFrame:
-    """Files Spark's listing skips, found and read by maps over rows."""
-    def reader(it):
-        import pandas as pd
+def _read_files(listed: DataFrame) -> DataFrame:
+    """``content`` in place of (uri, size), read by a map over rows; invalid UTF-8 is replaced."""
+    kept = [c for c in listed.columns if c not in ("uri", "size")]
 
+    def reader(it):
         for pdf in it:
             texts = []
             for uri in pdf["uri"]:
                 store, path = _store(uri)
                 with store.open_input_stream(path) as fh:
-                    texts.append(fh.read().decode("utf-8", errors="replace"))
-            yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"], "content": texts})
+                    texts.append(fh.read())
+            yield pdf[kept].assign(content=texts)
 
-    return read_batches(_listed(spark, roots, glob, repo_depth)).mapInPandas(reader, "repo_id string, path string, content string")
+    schema = ", ".join(f"{c} {dict(listed.dtypes)[c]}" for c in kept)
+    return (read_batches(listed).mapInPandas(reader, f"{schema}, content binary")
+            .withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))))
 
 
 def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
@@ -142,54 +134,28 @@ def scan_source_tree(spark: SparkSession, root: str | dict, glob: str = "*.py",
     """Recursive scan of source files into ``files(repo_id, path, content)``.
 
     ``root`` is either one directory whose first ``repo_depth`` path levels
-    name the repository, or a small ``{repo_id: dir}`` dict, on any store;
-    both are qualified first, and every path is taken relative to that.  The
-    bulk is read by Spark's binaryFile source (JVM, parallel listing and
-    reads, only the glob's files); files that Spark's listing skips - leading
-    '_' or '.', such as ``__init__.py``, and empty ones - come from a distributed supplement,
-    through ``pyarrow.fs`` on the same store.  Invalid UTF-8 is replaced.
-    ``file_ord`` (rank by path) is optional: all "first file" logic orders
-    by ``path``, which needs no window over a possibly giant repository.
+    name the repository, or a small ``{repo_id: dir}`` dict, on any store that
+    ``pyarrow.fs`` opens; both are qualified first, and every path is taken
+    relative to that.  Executors list the directories and read the files, those
+    included that Spark's own listing skips (a leading '_' or '.', such as
+    ``__init__.py``, and empty ones).  Spark's file sources keep the status of
+    every file in the driver; here the listing is a written table, so the driver
+    holds counts alone.  A file belongs to every given directory above it.
+    Invalid UTF-8 is replaced.  ``file_ord`` (rank by path) is optional: all
+    "first file" logic orders by ``path``, which needs no window over a possibly
+    giant repository.
     """
-    def read(dirs: list[str]) -> DataFrame:
-        return (spark.read.format("binaryFile")
-                .option("recursiveFileLookup", "true")
-                .option("pathGlobFilter", glob)
-                .load(dirs)
-                .select(F.col("path").alias("_abs"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
-
     if isinstance(root, dict):
         if not root:
             return spark.createDataFrame([], "repo_id string, path string, content string" + (", file_ord bigint" if with_ord else ""))
-        places = [(rid, _qualified(spark, d)) for rid, d in root.items()]
-        dirs = {d for _, d in places}
-        parents = lambda d: (d[:i] for i in range(len(d) - 1, 0, -1) if d[i] == "/")
-        above = {d: next((p for p in parents(d) if p in dirs), None) for d in dirs}
-        for d, up in above.items():
-            while up is not None:
-                if _skipped_by_spark(d[len(up) + 1:] + "/x"):
-                    raise ValueError("a directory inside another one, below a hidden name: scan it on its own")
-                up = above[up]
-        owners = spark.createDataFrame([(d, rid) for rid, d in places], "_base string, repo_id string")
-        # one read of the outermost directories; a file belongs to every given directory above it
-        parts = F.split("_abs", "/")
-        ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-        out = (read([d for d, up in above.items() if up is None]).select("_abs", "content", F.explode(ancestors).alias("_base"))
-               .join(F.broadcast(owners), "_base")  # the caller's own table of roots, from the driver's memory
-               .select("repo_id", F.substring(F.col("_abs"), F.length("_base") + 2, F.length("_abs")).alias("path"), "content"))
-        out = out.unionByName(_hidden_files(spark, owners.select("repo_id", F.col("_base").alias("uri")), glob, 0))
+        roots, repo_depth = [(rid, _qualified(spark, d)) for rid, d in root.items()], 0
     else:
-        base = _qualified(spark, root) + "/"
-        comps = F.split(F.substring(F.col("_abs"), len(base) + 1, 1 << 30), "/")
-        repo = F.array_join(F.slice(comps, 1, repo_depth), "/")
-        path = F.array_join(F.slice(comps, repo_depth + 1, 1 << 20), "/")
-        out = read([root]).select(repo.alias("repo_id"), path.alias("path"), "content")
-        if repo_depth:  # a file above the repository level belongs to none
-            out = out.filter(F.col("path") != "")
-        out = out.unionByName(_hidden_files(spark, spark.createDataFrame([("", base[:-1])], "repo_id string, uri string"), glob, repo_depth))
-    if with_ord:
-        out = rank_two_level(out, ["repo_id"], [F.col("path")], out="file_ord")
-    return out
+        roots = [("", _qualified(spark, root))]
+    listed = _listed(spark, spark.createDataFrame(roots, "repo_id string, uri string"), glob, repo_depth)
+    if with_ord:  # numbered before any text is read
+        listed = rank_two_level(listed, ["repo_id"], [F.col("path")], out="file_ord")
+    out = _read_files(listed)
+    return out.select("repo_id", "path", "content", *(["file_ord"] if with_ord else []))
 
 
 def materialize_tree(files: DataFrame, root: str) -> None:

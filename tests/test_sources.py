@@ -150,3 +150,15 @@ def test_map_projection_of_a_wide_read_is_not_dealt_out_again(spark, tmp_path):
     assert cores <= tasks < 2 * cores
     got = fixture(spark, str(tmp_path), "fx_refs")
     assert got.count() == 4000 and len(got.inputFiles()) == tasks
+
+
+def test_files_are_listed_by_executors_alone(spark, tmp_path):
+    """No file source whose index (a status a file) stands in the driver; globs as Spark reads them; numbers from the listing."""
+    root = _tree()
+    out = scan_source_tree(spark, root, glob="*.{py,txt}", with_ord=True)
+    assert not [f for f in out.inputFiles() if not f.endswith(".parquet")]
+    got = {(r.repo_id, r.path): (r.file_ord, r.content) for r in out.collect()}
+    assert got == {("repoA", ".hidden/h.py"): (1, "h = 1\n"), ("repoA", "pkg/__init__.py"): (2, "x = 1\n"), ("repoA", "pkg/_priv.py"): (3, "y = 2\n"),
+                   ("repoA", "pkg/mod.py"): (4, "z = 3\n"), ("repoB", "main.py"): (1, "b = 1\nc = 2"), ("repoB", "notes.txt"): (2, "not python")}
+    inner = scan_source_tree(spark, {"all": root, "below": os.path.join(root, "repoA", ".hidden")})
+    assert ("below", "h.py") in {(r.repo_id, r.path) for r in inner.collect()} and inner.where("repo_id = 'all'").count() == 5

@@ -114,3 +114,20 @@ def test_rounds_hold_open_pairs_only(spark):
     sizes = [spark.read.parquet(f"{folder}/round{i}").count() for i in range(4)]
     assert sizes == [n, n, n * 4 // 5, n * 3 // 5]  # pairs closed at a round's check are written by that round, then never again
     assert calls.value == n + n * 4 // 5 + n * 3 // 5 + n * 2 // 5
+
+
+def test_initial_replies_are_evaluated_once(spark):
+    """Whatever is made of the pairs, the step that scored them first runs once."""
+    import json
+    files = spark.createDataFrame([("r", f"f{i}.py", i, f"def h{i}():\n    open(x)\n") for i in range(3)], "repo_id string, path string, file_ord long, content string")
+    reply = json.dumps({"scratchpad": "", "analysis": "a", "poc": None, "confidence_score": 5, "vulnerability_types": ["LFI"], "context_code": []})
+    rows, seen = [("r", f"f{i}.py", "LFI", reply) for i in range(3)], spark.sparkContext.accumulator(0)
+
+    def score(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+    schema = "repo_id string, path string, vuln_type string, previous string"
+    out = refine(files, spark.createDataFrame(rows, schema).mapInPandas(score, schema), context_scorer, max_iterations=2)
+    assert {(r.path, r.vuln_type) for r in out.collect()} == {(f"f{i}.py", "LFI") for i in range(3)}
+    assert seen.value == 3

@@ -10,9 +10,10 @@ Here the work is set-oriented:
   pass over its lines with a monotonic stack: map-only, each file split once;
 * ``resolve_definition`` is an equi-join of request targets with the index
   on (repo, kind, name) plus ``min_by`` (file order, pattern order, line);
-* ``resolve_reference`` answers the leftovers from an inverted index: the
-  distinct words of each repository with the first file they stand in, looked up
-  by the rarest trigram of each wanted name and verified by ``contains``.
+* ``resolve_reference`` answers the leftovers: wanted names meet the distinct
+  words of all files by the rarest gram of each name, verified by ``contains``;
+  the words that hold a name then have an inverted index of each repository with
+  the first file they stand in.
 
 Both kinds of answers are first decided on narrow tables (ids, file order, line
 numbers).  These are written once, so the planner knows their size when they meet
@@ -38,8 +39,9 @@ BLOCK_CAP = 150
 REF_BEFORE, REF_AFTER = 20, 30
 #: The characters of ``JS_WS``, for trimming.
 WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-#: Grams of the inverted index; shorter names are grams themselves.
-GRAM = 3
+#: Gram lengths.  A name is looked up by the longest that fits: over half of it,
+#: so few words share it (up to twice the last length).
+GRAMS = (1, 2, 4, 8, 16)
 #: Answers taken from one split of a file.
 ANSWERS_PER_SPLIT = 256
 
@@ -190,24 +192,37 @@ def _unit_kind(base: Column) -> Column:
                   F.when(base.rlike(_UNITS["identifier"][0]), F.lit("identifier")))
 
 
-def reference_index(files: DataFrame, kind: str = "identifier", least: int = 1) -> DataFrame:
+def _unit_rows(files: DataFrame, kind: str, least: int, *keep) -> DataFrame:
+    """The units of each file, of ``least`` characters and more, beside ``keep``; distinct inside a file before they are exploded."""
+    units = F.array_distinct(_UNITS[kind][1](F.col("content")))
+    return files.select(*keep, F.explode(units).alias("unit")).where(F.length("unit") >= least)
+
+
+def reference_index(files: DataFrame, kind: str = "identifier", least: int = 1, among: DataFrame | None = None) -> DataFrame:
     """(repo_id, unit, _o): distinct units, of ``least`` characters and more, of each repository with the first file they stand in.
 
-    Units are made distinct inside each file before they are exploded, and
-    aggregated in part before the shuffle, so what moves is vocabulary, not text.
+    ``among`` (unit) names the units to index; all by default.  The others are
+    dropped as they are read, where ``among`` is small enough to broadcast.
+    Units are aggregated in part before the shuffle, so what moves is vocabulary, not text.
     """
-    units = F.array_distinct(_UNITS[kind][1](F.col("content")))
-    return (files.select("repo_id", F.col(_order_col(files)).alias("_o"), F.explode(units).alias("unit"))
-            .where(F.length("unit") >= least).groupBy("repo_id", "unit").agg(F.min("_o").alias("_o")))
+    units = _unit_rows(files, kind, least, "repo_id", F.col(_order_col(files)).alias("_o"))
+    if among is not None:
+        units = units.join(among, "unit", "left_semi")
+    return units.groupBy("repo_id", "unit").agg(F.min("_o").alias("_o"))
 
 
 def _first_references(names: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo_id, base, _o): first file that holds each wanted (repo_id, base) on one of its lines."""
-    wanted = names.select("repo_id", "base", F.coalesce(_unit_kind(F.col("base")), F.when(F.col("base") == "", F.lit("empty"))).alias("kind"),
-                          F.least(F.lit(GRAM), F.length("base")).alias("size"))
+    """(repo_id, base, _o): first file that holds each wanted (repo_id, base) on one of its lines.
+
+    Which unit holds which name does not depend on the repository: it is found on
+    the distinct units of all files together, a small part of the text.  Only
+    units that hold a name are then indexed by repository.
+    """
+    wanted = _written(names.select("repo_id", "base", F.coalesce(_unit_kind(F.col("base")), F.when(F.col("base") == "", F.lit("empty"))).alias("kind"),
+                                   reduce(lambda c, n: F.when(F.length("base") >= n, n).otherwise(c), GRAMS, F.lit(0)).alias("size")), "names")
     ordc = _order_col(files)
     found = [files.select("repo_id", F.lit("").alias("base"), F.col(ordc).alias("_o")).where(F.lit(False))]
-    # at most 3 kinds x 3 sizes, and the empty name, which is found at once
+    # at most 3 kinds x 5 sizes, and the empty name, which is found at once
     shapes = wanted.where("kind is not null").groupBy("kind", "size").agg(F.min(F.length("base")).alias("least")).collect()
     if any(r["kind"] == "empty" for r in shapes):
         found.append(wanted.where("kind = 'empty'").join(files.where("content is not null").groupBy("repo_id").agg(F.min(ordc).alias("_o")), "repo_id")
@@ -215,18 +230,21 @@ def _first_references(names: DataFrame, files: DataFrame) -> DataFrame:
     for kind in sorted({r["kind"] for r in shapes} - {"empty"}):
         sizes = sorted(r["size"] for r in shapes if r["kind"] == kind)
         least = min(r["least"] for r in shapes if r["kind"] == kind)
-        mine = wanted.where(F.col("kind") == kind)
-        # a name shorter than a gram is its own gram
-        parts = mine.select("repo_id", "base", F.explode(F.when(F.col("size") < GRAM, F.array("base")).otherwise(grams(F.col("base"), GRAM))).alias("gram"))
+        mine = wanted.where(F.col("kind") == kind).select("repo_id", "base", "size")
+        parts = (mine.select("base", "size").distinct()
+                 .select("base", F.explode(reduce(lambda c, n: F.when(F.col("size") == n, grams(F.col("base"), n)).otherwise(c), sizes, F.array().cast("array<string>"))).alias("gram")))
         # postings of the wanted grams alone: one pass over the files, and one over the vocabulary
-        postings = _written(reference_index(files, kind, least).select("repo_id", "unit", "_o", F.explode(F.concat(*[grams(F.col("unit"), n) for n in sizes])).alias("gram"))
-                            .join(parts.select("repo_id", "gram").distinct(), ["repo_id", "gram"]), f"postings-{kind}")
-        seen = postings.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+        postings = _written(_unit_rows(files, kind, least).distinct().select("unit", F.explode(F.concat(*[grams(F.col("unit"), n) for n in sizes])).alias("gram"))
+                            .join(parts.select("gram").distinct(), "gram"), f"postings-{kind}")
+        seen = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         # the rarest gram; a name with a gram that no unit has meets nothing
-        probe = (parts.join(seen, ["repo_id", "gram"], "left").groupBy("repo_id", "base")
+        probe = (parts.join(seen, "gram", "left").groupBy("base")
                  .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_g"))
-                 .where("_g.n > 0").select("repo_id", "base", F.col("_g.gram").alias("gram")))
-        found.append(postings.join(probe, ["repo_id", "gram"]).where(F.col("unit").contains(F.col("base")))
+                 .where("_g.n > 0").select("base", F.col("_g.gram").alias("gram")))
+        held = _written(postings.join(probe, "gram").where(F.col("unit").contains(F.col("base"))).select("unit", "base"), f"held-{kind}")
+        # the second pass over the files: units that hold a name, wherever they stand
+        index = reference_index(files, kind, least, held.select("unit").distinct())
+        found.append(index.join(held, "unit").join(mine.select("repo_id", "base"), ["repo_id", "base"])
                      .groupBy("repo_id", "base").agg(F.min("_o").alias("_o")))
     return reduce(DataFrame.unionByName, found)
 
@@ -290,8 +308,8 @@ def resolve_reference(requests: DataFrame, files: DataFrame, before: int = REF_B
     returns lines i-before .. i+after-1 around it.
 
     The first file comes from the inverted index (see ``reference_index``), the
-    line from that file's text.  Work follows the vocabulary of a repository and
-    the units that share a name's rarest trigram, not files x names.
+    line from that file's text.  Work follows the vocabulary and the units that
+    share a name's rarest gram, not files x names.
     """
     winners = _written(_reference_winners(requests, files), "references")
     return _answers(winners, files, before=before, after=after).drop("how")

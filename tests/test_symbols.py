@@ -141,3 +141,45 @@ def test_many_answers_in_one_file(spark, monkeypatch):
     got = {r.request_id: r for r in S.resolve_symbols_batch(req, files)[0].collect()}
     assert all(got[i].source == f"def f{i}():\n    use{i}" and got[i].line_no == 2 * i + 1 for i in range(100))
     assert got[1005].line_no == 12 and got[1005].how == "reference"
+
+
+def test_references_of_repositories_and_name_lengths(spark):
+    """Names of every gram length and beyond; a name another repository holds is not found in one that lacks it."""
+    import random
+
+    from auditlens.operators.symbols import resolve_reference
+    rng = random.Random(3)
+    letters = "ab_1é😀"
+    long = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(4)] + ["".join(rng.choice("ab") for _ in range(50)) for _ in range(4)]
+    files = [(repo, f"p{i}.py", i, "\n".join(" ".join(rng.sample(long, 2) + [rng.choice(long)[:rng.randrange(1, 40)]]) for _ in range(4))) for repo in "rst" for i in range(5)]
+    files += [("u", "only.py", 0, "word_in_u = 1 😀"), ("r", "none.py", 9, None)]
+    names = sorted({w[at:at + n] for w in long for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 40) for at in (0, 7, 20)} | {"ababababababababababababababababab", "word_in_u", "rd_in", "😀"})
+    wanted = [(repo, n) for repo in "rstuv" for n in names]
+    req = spark.createDataFrame([(i, *w) for i, w in enumerate(wanted)], "request_id long, repo_id string, name string")
+    f = spark.createDataFrame(files, "repo_id string, path string, file_ord long, content string")
+    got = {r.request_id: (r.file_path, r.line_no, r.source) for r in resolve_reference(req, f).collect()}
+    want = {i: w for i, (repo, n) in enumerate(wanted) if (w := _plain_reference(n, [x for x in files if x[0] == repo and x[3] is not None]))}
+    assert got == want and {repo for i in got for repo in wanted[i][0]} == set("rstu")
+
+
+def test_reference_search_does_not_repeat_the_vocabulary_by_repository(spark, monkeypatch):
+    """Postings follow the distinct words of all files; what is indexed by repository holds a wanted name."""
+    from pyspark.sql import functions as F
+
+    from auditlens.operators import symbols as S
+    written, indexed, write, index = {}, [], S._written, S.reference_index
+    monkeypatch.setattr(S, "_written", lambda df, name: written.setdefault(name, write(df, name)))
+    monkeypatch.setattr(S, "reference_index", lambda *a, **k: indexed.append(index(*a, **k)) or indexed[-1])
+
+    def postings(repos):
+        written.clear()
+        words = F.concat_ws(" ", *[F.concat(F.lit(f"other_{i}_"), F.col("id") % 5) for i in range(20)], F.lit("wanted_name"))
+        repo = (F.col("id") % repos).cast("string")
+        files = spark.range(10 * repos).select(repo.alias("repo_id"), F.concat(F.lit("f"), F.col("id")).alias("path"), F.col("id").alias("file_ord"), words.alias("content"))
+        req = spark.range(repos).select(F.col("id").alias("request_id"), repo.alias("repo_id"), F.lit("a.b.wanted_name").alias("name"))
+        _, counts = S.resolve_symbols_batch(req, files)
+        assert counts.agg(F.sum("resolved"), F.sum("total"), F.count("*")).first()[:] == (repos, repos, repos)
+        return written["postings-identifier"].count()
+
+    assert postings(3) == postings(30)
+    assert sorted(r.unit for r in indexed[-1].collect()) == ["wanted_name"] * 30
